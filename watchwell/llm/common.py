@@ -5,9 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zlib
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,3 +47,27 @@ def bucket_of(key: Column, n: int) -> Column:
 def bucket_of_py(key, n: int) -> int:
     """bucket_of() for a Python value."""
     return zlib.crc32(("" if key is None else str(key)).encode()) % n
+
+
+def appended(df: DataFrame, column: str, schema: str, compute: Callable[[list], list[list]]) -> DataFrame:
+    """``df`` with new columns that ``compute`` makes from the values of ``column``, batch by batch.
+
+    schema: the new columns ("a long, b string"); compute: from the values to one
+    list per new column. A column of ``df`` with a new column's name is replaced.
+    """
+    new = StructType.fromDDL(schema)
+    df = df.drop(*(f.name for f in new if f.name != column))
+    whole = StructType([*df.schema.fields, *new.fields])
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        kinds = [f.type for f in to_arrow_schema(new)]
+        for batch in batches:
+            at = batch.schema.get_field_index(column)
+            lists = compute(batch.column(at).to_pylist())
+            made = [pa.array(x, type=k) for x, k in zip(lists, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *(f.name for f in new)])
+
+    return df.mapInArrow(run, whole)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from watchwell.llm import token_store, topk
+from watchwell.llm import pii, token_store, topk, toxicity, urls
 
-_MODULES = (token_store, topk)
+_MODULES = (pii, token_store, topk, toxicity, urls)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
