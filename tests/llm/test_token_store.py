@@ -24,7 +24,7 @@ def test_elias_fano_is_small():
     assert len(EliasFano.encode(values).to_bytes()) * 8 < 4000 * 11
 
 
-@pytest.mark.parametrize("text", ["", "a  b", "Hello, World. don't I'll 12,5 x.\ty z", "É̈A, ÉA. Σίσυφος, İx. ß.", "<|endoftext|>, a", "\n\n", "a\x1cb ́c ,. . ,"])
+@pytest.mark.parametrize("text", ["", "a  b", "Hello, World. don't I'll 12,5 x.\ty z", "É̈A, ÉA. Σίσυφος, İx. ß.", "<|endoftext|>, a", "\n\n", "a\x1cb ́c ,. . ,", "Ndheha, ESBLE!! euxan### Çà, mail7.x@y.com,&& 's x's 'S a_b ﬁn ǅ. Ωmega, naïve-- x!'s"])
 def test_chunks_encode_as_whole_texts(text):
     whole = Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
     assert np.frombuffer(ChunkEncoder(PATH, 2).encode([text])[0], "<u2").tolist() == whole
