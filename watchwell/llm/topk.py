@@ -3,10 +3,9 @@
 Rows are sparse: (term, weight) pairs. Candidates are dealt into blocks of
 about ``block_rows`` by a hash of their id, queries into blocks of
 ``query_rows``. Every query block meets every candidate block once. There, the
-block's postings (term -> rows and weights) are scattered term by term into one
-dense array of scores, a query row after the other being never looked at twice;
-partition selection keeps the k best of each query in the block, and the blocks'
-winners are merged by one ranking per query. The work is exhaustive, so its cost
+postings (term -> rows and weights) of both are scattered, term after term, into
+one dense array of scores; partition selection keeps the k best of each query in
+the block, and the blocks' winners are merged by one ranking per query. The work is exhaustive, so its cost
 is queries times candidates by its nature; no task holds more than two blocks.
 
 Edge cases: vectors that are null or hold null or non-finite components take no
@@ -49,6 +48,7 @@ def _packed(rows: DataFrame, slot: Column) -> DataFrame:
     """One row per slot with all its sparse rows as flat arrays."""
 
     def pack(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("id", kind="stable")
         sizes = group["terms"].map(len).to_numpy()
         at = np.repeat(np.arange(len(group), dtype=np.int32), sizes)
         flat = lambda c, kind: np.concatenate([np.zeros(0, kind), *(np.asarray(x, dtype=kind) for x in group[c])])
@@ -73,35 +73,36 @@ def _postings(rows: bytes, terms: bytes, weights: bytes) -> dict[int, tuple[np.n
 
 
 def best_in_block(q_ids: np.ndarray, q_post: dict, c_ids: np.ndarray, c_post: dict, k: int) -> pd.DataFrame:
-    """The k best candidates of the block for each query, ties to the smaller id."""
-    scores = np.zeros((len(q_ids), len(c_ids)), dtype=np.int64)
-    for term in q_post.keys() & c_post.keys():
-        (qr, qw), (cr, cw) = q_post[term], c_post[term]
-        if len(cr) == len(c_ids):  # every row has the term: no scatter
-            dense = np.empty(len(c_ids), dtype=np.int64)
-            dense[cr] = cw
-            for r, w in zip(qr, qw, strict=True):
-                scores[r] += w * dense
+    """The k best candidates of the block for each query, ties to the smaller id.
+
+    Candidates must be in ascending order of their ids.
+    """
+    n, terms = len(c_ids), sorted(q_post.keys() & c_post.keys())
+    bound = sum(int(np.abs(q_post[t][1]).max()) * int(np.abs(c_post[t][1]).max()) for t in terms)
+    kind = np.int32 if bound < 2**31 else np.int64
+    scores = np.zeros((len(q_ids), n), dtype=kind)
+    for t in terms:
+        (qr, qw), (cr, cw) = q_post[t], c_post[t]
+        gain = np.multiply.outer(qw.astype(kind), cw.astype(kind))
+        if len(qr) == len(q_ids) and len(cr) == n:  # all rows have the term: nothing to scatter
+            scores += gain
         else:
-            for r, w in zip(qr, qw, strict=True):
-                scores[r, cr] += w * cw
-    out_q, out_c, out_s = [], [], []
-    for i, q in enumerate(q_ids):
-        row, allowed = scores[i], np.flatnonzero(c_ids != q)
-        if len(allowed) > k:
-            floor = np.partition(row[allowed], len(allowed) - k)[len(allowed) - k]
-            over, even = allowed[row[allowed] > floor], allowed[row[allowed] == floor]
-            if len(even) > k - len(over):
-                even = even[np.argpartition(c_ids[even], k - len(over) - 1)[: k - len(over)]]
-            allowed = np.concatenate([over, even])
-        out_q += [q] * len(allowed)
-        out_c.append(c_ids[allowed])
-        out_s.append(row[allowed])
-    empty = [np.zeros(0, np.int64)]
-    return pd.DataFrame({"query_id": np.array(out_q, dtype=np.int64), "vec_id": np.concatenate(empty + out_c), "score": np.concatenate(empty + out_s)})
-
-
-def top_k(rows: DataFrame, is_query: Column, k: int = 5, block_rows: int = 512, query_rows: int = 256) -> DataFrame:
+            scores[np.ix_(qr, cr)] += gain
+    first, last = np.searchsorted(c_ids, q_ids, "left"), np.searchsorted(c_ids, q_ids, "right")
+    chosen = np.zeros((len(q_ids), min(n, k + int((last - first).max(initial=0)))), dtype=np.int64)
+    if bound < 2**62 // max(n, 1):  # one number holds score and position
+        keys = scores.astype(np.int64) * n + np.arange(n - 1, -1, -1)
+        chosen = np.argpartition(keys, n - chosen.shape[1], axis=1)[:, n - chosen.shape[1] :]
+    else:
+        for i, row in enumerate(scores):
+            chosen[i] = np.lexsort((np.arange(n), -row))[: chosen.shape[1]]
+    own = (chosen >= first[:, None]) & (chosen < last[:, None])
+    at, col = np.nonzero(~own)
+    picks = chosen[at, col]
+    return pd.DataFrame({"query_id": q_ids[at], "vec_id": c_ids[picks], "score": scores[at, picks].astype(np.int64)})
+
+
+def top_k(rows: DataFrame, is_query: Column, k: int = 5, block_rows: int = 2048, query_rows: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score: the k best other rows of each query row.
 
     rows: (id, terms, weights), see sparse_rows(); is_query: which are queries.
