@@ -21,6 +21,7 @@ their names; an empty table gives no rows.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -40,15 +41,23 @@ _RUN = r"(?<= )(?:(?:" + "|".join(sorted(set(ANCHORS))) + r") )+"
 _NO_ID = -(2**63)
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, also where lambdas refer to it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def signatures(text: Column) -> Column:
     """The sorted set of signature hashes of a text (array<int>)."""
     text = F.coalesce(text, F.lit(""))
     plain = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
-    pieces = F.split(plain, _RUN)
-    chain = lambda i: F.concat_ws("", *(F.get(pieces, i + k) for k in range(CHAIN)))
-    after = lambda i: F.hash(F.substring_index(chain(i), " ", CHAIN))
-    spots = F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), after)))
-    return F.when(F.size(pieces) > 1, spots).otherwise(F.array(F.hash(text)))
+
+    def spots(pieces: Column) -> Column:
+        chain = lambda i: F.concat_ws("", *(F.get(pieces, i + k) for k in range(CHAIN)))
+        after = lambda i: F.hash(F.substring_index(chain(i), " ", CHAIN))
+        found = F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), after)))
+        return F.when(F.size(pieces) > 1, found).otherwise(F.array(F.hash(text)))
+
+    return _bound(F.split(plain, _RUN), spots)
 
 
 def fingerprint(signs: Column) -> Column:

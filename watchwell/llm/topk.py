@@ -5,8 +5,9 @@ about ``block_rows`` by a hash of their id, queries into blocks of
 ``query_rows``. Every query block meets every candidate block once. There, the
 postings (term -> rows and weights) of both are scattered, term after term, into
 one dense array of scores; partition selection keeps the k best of each query in
-the block, and the blocks' winners are merged by one ranking per query. The work is exhaustive, so its cost
-is queries times candidates by its nature; no task holds more than two blocks.
+the block, and the blocks' winners are merged by one ranking per query. The work
+is exhaustive, so its cost is queries times candidates by its nature; no task
+holds more than two blocks.
 
 Edge cases: vectors that are null or hold null or non-finite components take no
 part, neither as queries nor as candidates; null ids neither. Ties go to the
