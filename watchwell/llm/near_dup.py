@@ -220,6 +220,19 @@ def _repeats(links: DataFrame, rows: DataFrame) -> DataFrame:
     return links.join(several, "b").select("a", "b")
 
 
+def representatives(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """One row of docs (doc_id, text, ...) per class: that of the smallest doc_id.
+
+    Of rows that share this doc_id one stays; rows without doc_id all stay.
+    """
+    kept = classes(docs, threshold).filter(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("watchwell_kept"))
+    kept = stored(kept.groupBy("watchwell_kept").agg(F.count("*").alias("watchwell_rows")), "near-dup-kept")
+    rows = docs.join(kept, docs["doc_id"].cast("long") == kept["watchwell_kept"])
+    if kept.filter("watchwell_rows > 1").limit(1).count():
+        rows = rows.dropDuplicates(["watchwell_kept"])
+    return rows.select(*(docs[c] for c in docs.columns)).unionByName(docs.filter(F.col("doc_id").isNull()))
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents"))
 
