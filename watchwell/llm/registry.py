@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from watchwell.llm import fingerprints, lm_score, near_dup, packing, pii, token_store, topk, toxicity, urls
+from watchwell.llm import fingerprints, lm_score, near_dup, packing, pieces, pii, token_store, topk, toxicity, urls
 
-_MODULES = (fingerprints, lm_score, near_dup, packing, pii, token_store, topk, toxicity, urls)
+_MODULES = (fingerprints, lm_score, near_dup, packing, pieces, pii, token_store, topk, toxicity, urls)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
