@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from watchwell.plans import detection, profiles, services
+from watchwell.plans import detection, profiles, records, services
 
-_MODULES = (detection, profiles, services)
+_MODULES = (detection, profiles, records, services)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
