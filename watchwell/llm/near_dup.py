@@ -15,10 +15,13 @@ A pair at 0.8 shares a given entry with probability 0.8 ** 3, so it escapes all
 16 with probability 1e-5; above 0.85 less than 3e-7.
 
 Large groups: equal texts are one node. In each bucket of a sketch entry all
-members are first verified against one centre (two rounds with other centres),
-so a group of n near copies takes about n comparisons; what is then still in
-different components is compared pair by pair, whatever its number. Nothing
-within a component is compared again, as it can't change a class.
+members are first verified against one centre, so a group of n near copies takes
+about n comparisons. For what is then still in different components, shingles
+that no other such text has are counted: they bound the similarity of a text, and
+of a pair, from above, and most chance meetings (documents that share a passage,
+copies with many changes) end there. The rest meets another centre, then pair by
+pair, whatever its number. Nothing within a component is compared again, as it
+can't change a class, and no pair that could reach the threshold is left out.
 
 Edge cases: null and empty texts are equal texts; texts under five words have one
 shingle, their words; rows without a doc_id are no documents here and get no
@@ -166,23 +169,49 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 
 
 def _star(members: DataFrame, turn: int) -> DataFrame:
-    """Pairs (centre, member) of different components in each bucket; the centre has the smallest hash of this turn."""
-    rank = F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node", "n", "label")
+    """Pairs (centre, member) of different components in each bucket.
+
+    The centre is the member that meets most others over all its buckets: of near
+    copies of a text that is the text itself, if it is there. Later turns begin
+    with the members of other components.
+    """
+    rank = F.struct((-F.col("met")).alias("met"), F.xxhash64("node", F.lit(turn)).alias("order"), "node", "n", "label", "alone")
     centres = members.groupBy("key").agg(F.min(rank).alias("c"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high")
-    met = members.join(centres, "key").filter((F.col("label") != F.col("c.label")) & _sized(F.col("n"), F.col("c.n")))
-    return met.select(F.col("c.node").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = members.join(centres, "key").filter((F.col("label") != F.col("c.label")) & _possible(F.col("n"), F.col("alone"), F.col("c.n"), F.col("c.alone")))
+    return pairs.select(F.col("c.node").alias("a"), F.col("node").alias("b")).distinct()
 
 
-def _sized(n: Column, m: Column, threshold: float = 0.8) -> Column:
-    """Whether sizes n and m allow the threshold."""
-    return F.least(n, m) >= F.greatest(n, m) * F.lit(threshold) - F.lit(1e-9)
+def _possible(n: Column, alone: Column, m: Column, alone_m: Column, threshold: float = 0.8) -> Column:
+    """Whether texts of n and m shingles, of which so many are in no other text, can reach the threshold."""
+    common = F.least(n - alone, m - alone_m)
+    return common >= (n + m - common) * F.lit(threshold) - F.lit(1e-9)
 
 
 def _rest(members: DataFrame) -> DataFrame:
-    """All pairs of different components that share a bucket."""
+    """All pairs of different components that share a bucket and can reach the threshold."""
     a, b = members.alias("a"), members.alias("b")
-    met = (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.label") != F.col("b.label")) & _sized(F.col("a.n"), F.col("b.n"))
-    return a.join(b, met).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+    can = _possible(F.col("a.n"), F.col("a.alone"), F.col("b.n"), F.col("b.alone"))
+    meet = (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.label") != F.col("b.label")) & can
+    return a.join(b, meet).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+
+
+def _mixed(members: DataFrame) -> DataFrame:
+    """The members of buckets that hold several components."""
+    several = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("key")
+    return members.join(several, "key")
+
+
+def alone(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, alone): how many shingles of each node no other of these nodes has; nodes without any are left out."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = [shingles(t).view(np.int64) for t in batch["text"]]
+            yield pd.DataFrame({"shingle": np.concatenate(made), "node": np.repeat(batch["node"].to_numpy(), [len(s) for s in made])})
+
+    rows = texts.join(nodes.select("node").distinct(), "node", "left_semi").mapInPandas(run, "shingle long, node long")
+    single = rows.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("last")).filter("node = last")
+    return single.groupBy("node").agg(F.count("*").cast("int").alias("alone"))
 
 
 def classes(docs: DataFrame, threshold: float = 0.8, turns: int = 2) -> DataFrame:
@@ -195,17 +224,23 @@ def classes(docs: DataFrame, threshold: float = 0.8, turns: int = 2) -> DataFram
     rows = stored(sketches(known), "sketches")
     nodes = stored(rows.groupBy("h").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("keys").alias("keys")), "sketch-nodes")
     buckets = nodes.select("node", "n", F.explode("keys").alias("key"))
-    shared = buckets.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key")
-    buckets = stored(buckets.join(shared, "key"), "sketch-buckets")
+    shared = buckets.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    buckets = buckets.join(shared, "key")
+    met = buckets.groupBy("node").agg(F.sum("size").alias("met"))
+    buckets = stored(buckets.select("node", "n", "key").join(met, "node").withColumn("alone", F.lit(0)), "sketch-buckets")
     texts = stored(known.join(buckets.select(F.col("node").alias("doc_id")).distinct(), "doc_id").select(F.col("doc_id").alias("node"), "text"), "sketch-texts")
     # Rows that share a doc_id are one document.
     links = rows.join(nodes.select("h", "node"), "h").filter("doc_id != node").select(F.col("node").alias("a"), F.col("doc_id").alias("b")).distinct()
     near = None
     for turn in range(turns + 1):
-        labels = components(near) if near is not None else None
         members = buckets.withColumn("label", F.col("node"))
-        if labels is not None:
-            members = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        if near is not None:
+            members = buckets.join(components(near), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        if turn == 1:  # what is still apart: without texts that can't be near any other
+            left = stored(_mixed(members), "sketch-mixed")
+            few = left.drop("alone").join(alone(left, texts), "node", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
+            members = stored(few.filter(F.col("n") - F.col("alone") >= F.col("n") * F.lit(threshold) - F.lit(1e-9)), "sketch-few")
+            buckets = members.drop("label")
         found = stored(verified(_star(members, turn) if turn < turns else _rest(members), texts, threshold), "sketch-links")
         near = found if near is None else near.union(found)
     labels = components(near.union(_repeats(links, rows)))
