@@ -37,7 +37,8 @@ ANCHORS = (
     "au dans des du elle en est et la le les par pour que qui sur un une "
     "con de del el es las los no para por se y"
 ).split()
-_RUN = r"(?<= )(?:(?:" + "|".join(sorted(set(ANCHORS))) + r") )+"
+# One anchor a match: a repeated group would recurse, as deep as the run is long.
+_ANCHOR = r"(?<= )(?:" + "|".join(sorted(set(ANCHORS))) + r") "
 _NO_ID = -(2**63)
 
 
@@ -51,13 +52,15 @@ def signatures(text: Column) -> Column:
     text = F.coalesce(text, F.lit(""))
     plain = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
 
-    def spots(pieces: Column) -> Column:
-        chain = lambda i: F.concat_ws("", *(F.get(pieces, i + k) for k in range(CHAIN)))
-        after = lambda i: F.hash(F.substring_index(chain(i), " ", CHAIN))
-        found = F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), after)))
-        return F.when(F.size(pieces) > 1, found).otherwise(F.array(F.hash(text)))
+    def spots(after: Column) -> Column:
+        chain = lambda i: F.concat_ws("", *(F.get(after, i + k) for k in range(CHAIN)))
+        sign = lambda i: F.hash(F.substring_index(chain(i), " ", CHAIN))
+        found = F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(after) - 1), sign)))
+        return F.when(F.size(after) > 0, found).otherwise(F.array(F.hash(text)))
 
-    return _bound(F.split(plain, _RUN), spots)
+    # What follows each anchor, up to the next; anchors side by side leave nothing between them.
+    pieces = _bound(F.split(plain, _ANCHOR), lambda p: F.filter(F.slice(p, F.lit(2), F.size(p)), lambda x: x != ""))
+    return _bound(pieces, spots)
 
 
 def fingerprint(signs: Column) -> Column:
