@@ -15,6 +15,8 @@ from watchwell.operators.baseline import share
 from watchwell.sources.auth import ZONE, local
 
 KEYS = ("source_name", "grain", "bucket", "relying_party")
+#: Statuses of alerts that wait for somebody.
+OPEN = ("new", "notified", "investigating")
 COUNTS = ("total_events", "success_count", "failure_count", "lockout_count")
 
 
@@ -167,7 +169,7 @@ def overview(mart: DataFrame, alerts: DataFrame, start: str, stop: str, grain: s
     found = alerts.filter((F.col("last_seen") >= lo) & (F.col("last_seen") < hi)).withColumn("relying_party", F.explode(F.split("relying_parties", ";"))).filter("relying_party <> ''")
     if services is not None:
         rows, found = rows.filter(F.col("relying_party").isin(*services)), found.filter(F.col("relying_party").isin(*services))
-    is_open = F.col("investigation_status").isin("pending", "investigating")
+    is_open = F.col("investigation_status").isin(*OPEN)
     of = lambda cond: F.count_distinct(F.when(cond, F.col("alert_id")))
     ends = found.withColumn("bucket", F.to_utc_timestamp(F.date_trunc(grain, local(F.col("last_seen"), zone)), zone)).groupBy("bucket", "relying_party").agg(
         F.count_distinct("alert_id").alias("alerts"),

@@ -47,10 +47,13 @@ def trained(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Alerts of all rules over the whole activity, with the baseline of its first days."""
+    """Alerts of all rules over the whole activity, with the baseline of its first days.
+
+    Cached: most queries over alerts read them more than once.
+    """
     train = trained(spark, sf_dir)
     known = baseline.context(train, CONFIG)
-    return detect.detect(consistent(spark, sf_dir), RULES, (known["users"], known["user_ips"], TRAINING_END))
+    return detect.detect(consistent(spark, sf_dir), RULES, (known["users"], known["user_ips"], TRAINING_END)).cache()
 
 
 def text_time(column: str, name: str | None = None):

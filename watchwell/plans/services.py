@@ -27,14 +27,14 @@ def _mart(spark, sf_dir):
     return mart.buckets(activity(spark, sf_dir))
 
 
-# A status for the test alerts, by the first digit of their ids: pending, investigating, resolved or false_positive.
+# A status for the test alerts, by the first digit of their ids: new, investigating, resolved or false_positive.
 _HEX = "('0x' || substr(alert_id, 5, 1))::BIGINT"
-STATUS_SQL = f"CASE {_HEX} % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'investigating' WHEN 2 THEN 'resolved' ELSE 'false_positive' END"
+STATUS_SQL = f"CASE {_HEX} % 4 WHEN 0 THEN 'new' WHEN 1 THEN 'investigating' WHEN 2 THEN 'resolved' ELSE 'false_positive' END"
 
 
 def with_status(alerts):
     n = F.conv(F.substring("alert_id", 5, 1), 16, 10).cast("int") % 4
-    return alerts.withColumn("investigation_status", F.when(n == 0, "pending").when(n == 1, "investigating").when(n == 2, "resolved").otherwise("false_positive"))
+    return alerts.withColumn("investigation_status", F.when(n == 0, "new").when(n == 1, "investigating").when(n == 2, "resolved").otherwise("false_positive"))
 
 
 @REGISTRY.add("minute_metrics", f"WITH {E},{_MINUTES} SELECT * REPLACE ({_T.format('minute')} AS minute) FROM mi")
@@ -134,8 +134,8 @@ def oscillations_day(spark, sf_dir):
 _OVERVIEW = (
     ALL_RULES
     + f""",{_BUCKETS}, al AS (SELECT *, {STATUS_SQL} AS st, unnest(string_split(relying_parties, ';')) AS relying_party FROM alerts WHERE last_seen >= TIMESTAMP '2024-01-10 05:00:00' AND last_seen < TIMESTAMP '2024-01-24 05:00:00'),
-  en AS (SELECT date_trunc('day', last_seen - INTERVAL 5 HOUR) + INTERVAL 5 HOUR AS bucket, relying_party, count(*) AS alerts, count(*) FILTER (st IN ('pending', 'investigating')) AS open_alerts,
-    count(*) FILTER (st IN ('pending', 'investigating') AND severity = 'critical') AS critical_alerts, count(*) FILTER (st IN ('pending', 'investigating') AND severity = 'high') AS high_alerts FROM al GROUP BY 1, 2),
+  en AS (SELECT date_trunc('day', last_seen - INTERVAL 5 HOUR) + INTERVAL 5 HOUR AS bucket, relying_party, count(*) AS alerts, count(*) FILTER (st IN ('new', 'investigating')) AS open_alerts,
+    count(*) FILTER (st IN ('new', 'investigating') AND severity = 'critical') AS critical_alerts, count(*) FILTER (st IN ('new', 'investigating') AND severity = 'high') AS high_alerts FROM al GROUP BY 1, 2),
   ov AS (SELECT bucket, relying_party, total_events, success_count, failure_count, lockout_count, distinct_users, distinct_ips, coalesce(alerts, 0) AS alerts, coalesce(open_alerts, 0) AS open_alerts,
     coalesce(critical_alerts, 0) AS critical_alerts, coalesce(high_alerts, 0) AS high_alerts, sha256(relying_party) AS service_key
     FROM (SELECT * FROM b WHERE grain = 'day' AND bucket >= TIMESTAMP '2024-01-10 05:00:00' AND bucket < TIMESTAMP '2024-01-24 05:00:00') FULL JOIN en USING (bucket, relying_party))"""
