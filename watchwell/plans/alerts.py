@@ -192,7 +192,7 @@ def notification_routing(spark, sf_dir):
     return store.route(found.withColumn("run_order", F.col("first_seen_local")), _ledger(found), ("critical", "high"), 200, 3)
 
 
-@REGISTRY.add("delivery_ledger", ALL_RULES + _LEDGER + " SELECT alert_id, channel, "at", outcome, CAST(row_number() OVER (PARTITION BY alert_id ORDER BY "at") AS INTEGER) AS attempt, bool_or(outcome = 'sent') OVER (PARTITION BY alert_id) AS delivered FROM le")
+@REGISTRY.add("delivery_ledger", ALL_RULES + _LEDGER + """ SELECT alert_id, channel, "at", outcome, CAST(row_number() OVER (PARTITION BY alert_id ORDER BY "at") AS INTEGER) AS attempt, bool_or(outcome = 'sent') OVER (PARTITION BY alert_id) AS delivered FROM le""")
 def delivery_ledger(spark, sf_dir):
     return store.deliveries(_ledger(all_alerts(spark, sf_dir)))
 
