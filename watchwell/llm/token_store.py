@@ -174,15 +174,25 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of every text, as little-endian integers."""
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        known = self._known
-        if missing := {c for chunks in split for c in chunks if c not in known}:
+        known, out, open_rows = self._known, [], []
+        for t in texts:
+            chunks = (t or "").replace("\n", " ").split(" ")
+            ids = [*map(known.get, chunks)]
+            if None in ids:
+                open_rows.append((len(out), chunks))
+                out.append(b"")
+            else:
+                out.append(b"".join(ids))
+        if open_rows:
+            missing = {c for _, chunks in open_rows for c in chunks if c not in known}
             if len(known) + len(missing) > self.CACHE:
                 known.clear()
                 known[""] = b""
-                missing = {c for chunks in split for c in chunks if c}
+                missing = {c for _, chunks in open_rows for c in chunks if c}
             self._learn(list(missing))
-        return [b"".join([known[c] for c in chunks]) for chunks in split]
+            for i, chunks in open_rows:
+                out[i] = b"".join([known[c] for c in chunks])
+        return out
 
 
 _encoders: dict[tuple[str, int], ChunkEncoder] = {}
