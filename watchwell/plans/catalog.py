@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from watchwell.plans import alerts, detection, profiles, records, services
+from watchwell.plans import alerts, detection, profiles, records, reporting, services
 
-_MODULES = (alerts, detection, profiles, records, services)
+_MODULES = (alerts, detection, profiles, records, reporting, services)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
