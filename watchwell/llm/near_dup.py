@@ -15,13 +15,14 @@ A pair at 0.8 shares a given entry with probability 0.8 ** 3, so it escapes all
 16 with probability 1e-5; above 0.85 less than 3e-7.
 
 Large groups: equal texts are one node. In each bucket of a sketch entry all
-members are first verified against one centre, so a group of n near copies takes
-about n comparisons. For what is then still in different components, shingles
-that no other such text has are counted: they bound the similarity of a text, and
-of a pair, from above, and most chance meetings (documents that share a passage,
-copies with many changes) end there. The rest meets another centre, then pair by
-pair, whatever its number. Nothing within a component is compared again, as it
-can't change a class, and no pair that could reach the threshold is left out.
+members are verified against one centre, which then leaves the bucket; turn by
+turn what is linked grows together, and a group of n near copies takes a few times
+n comparisons. After the first turn, shingles that no other text still apart has
+are counted: they bound the similarity of a text, and of a pair, from above, and
+most chance meetings (documents that share a passage) end there. When the pairs of
+different components have become few, they are all verified. Nothing within a
+component is compared again, as it can't change a class, and no pair that meets
+and could reach the threshold is left out.
 
 Edge cases: null and empty texts are equal texts; texts under five words have one
 shingle, their words; rows without a doc_id are no documents here and get no
@@ -168,17 +169,27 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long")
 
 
-def _star(members: DataFrame, turn: int) -> DataFrame:
-    """Pairs (centre, member) of different components in each bucket.
+def _turn(members: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (centre, member) of different components in each bucket, and the members without the centres.
 
-    The centre is the member that meets most others over all its buckets: of near
-    copies of a text that is the text itself, if it is there. Later turns begin
-    with the members of other components.
+    The first centre is the member that meets most others over all its buckets: of
+    near copies of a text that is the text itself, if it is there. Later ones are
+    chosen by a hash. A centre has then met all of its bucket and leaves it.
     """
-    rank = F.struct((-F.col("met")).alias("met"), F.xxhash64("node", F.lit(turn)).alias("order"), "node", "n", "label", "alone")
+    first = (-F.col("met")).alias("met") if turn == 0 else F.lit(0).alias("met")
+    rank = F.struct(first, F.xxhash64("node", "key", F.lit(turn)).alias("order"), "node", "n", "label", "alone")
     centres = members.groupBy("key").agg(F.min(rank).alias("c"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high")
-    pairs = members.join(centres, "key").filter((F.col("label") != F.col("c.label")) & _possible(F.col("n"), F.col("alone"), F.col("c.n"), F.col("c.alone")))
-    return pairs.select(F.col("c.node").alias("a"), F.col("node").alias("b")).distinct()
+    met = stored(members.join(centres.select("key", "c"), "key"), "sketch-turn")
+    apart = (F.col("label") != F.col("c.label")) & _possible(F.col("n"), F.col("alone"), F.col("c.n"), F.col("c.alone"))
+    pairs = met.filter(apart).select(F.col("c.node").alias("a"), F.col("node").alias("b")).distinct()
+    return pairs, met.filter(F.col("node") != F.col("c.node")).select("node", "n", "key", "met", "alone")
+
+
+def _crossing(members: DataFrame) -> tuple[int, int]:
+    """How many pairs of different components the buckets hold, and how many members."""
+    parts = members.groupBy("key", "label").agg(F.count("*").alias("m")).groupBy("key").agg(F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("own"))
+    sums = parts.agg(F.coalesce(F.sum((F.col("all") * F.col("all") - F.col("own")) / 2), F.lit(0)).alias("pairs"), F.coalesce(F.sum("all"), F.lit(0)).alias("members")).first()
+    return int(sums.pairs), int(sums.members)
 
 
 def _possible(n: Column, alone: Column, m: Column, alone_m: Column, threshold: float = 0.8) -> Column:
@@ -214,10 +225,12 @@ def alone(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     return single.groupBy("node").agg(F.count("*").cast("int").alias("alone"))
 
 
-def classes(docs: DataFrame, threshold: float = 0.8, turns: int = 2) -> DataFrame:
+def classes(docs: DataFrame, threshold: float = 0.8, turns: int = 24, few_pairs: int = 4) -> DataFrame:
     """(doc_id, class_id) of every row of docs (doc_id, text).
 
     class_id is the smallest doc_id of the class; null for rows without doc_id.
+    Centres are compared until the pairs of different components are no more than
+    ``few_pairs`` a bucket member, in at most ``turns`` turns; then all those pairs.
     """
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     known = whole.filter(F.col("doc_id").isNotNull())
@@ -231,18 +244,25 @@ def classes(docs: DataFrame, threshold: float = 0.8, turns: int = 2) -> DataFram
     texts = stored(known.join(buckets.select(F.col("node").alias("doc_id")).distinct(), "doc_id").select(F.col("doc_id").alias("node"), "text"), "sketch-texts")
     # Rows that share a doc_id are one document.
     links = rows.join(nodes.select("h", "node"), "h").filter("doc_id != node").select(F.col("node").alias("a"), F.col("doc_id").alias("b")).distinct()
-    near = None
-    for turn in range(turns + 1):
-        members = buckets.withColumn("label", F.col("node"))
+    left, near, turn = buckets, None, 0
+    while True:
+        members = left.withColumn("label", F.col("node"))
         if near is not None:
-            members = buckets.join(components(near), "node", "left").withColumn("label", F.coalesce("label", "node"))
+            members = left.join(components(near), "node", "left").withColumn("label", F.coalesce("label", "node"))
         if turn == 1:  # what is still apart: without texts that can't be near any other
-            left = stored(_mixed(members), "sketch-mixed")
-            few = left.drop("alone").join(alone(left, texts), "node", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
-            members = stored(few.filter(F.col("n") - F.col("alone") >= F.col("n") * F.lit(threshold) - F.lit(1e-9)), "sketch-few")
-            buckets = members.drop("label")
-        found = stored(verified(_star(members, turn) if turn < turns else _rest(members), texts, threshold), "sketch-links")
+            mixed = stored(_mixed(members), "sketch-mixed")
+            few = mixed.drop("alone").join(alone(mixed, texts), "node", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
+            members = few.filter(F.col("n") - F.col("alone") >= F.col("n") * F.lit(threshold) - F.lit(1e-9))
+        if turn:
+            members = stored(members, "sketch-members")
+            crossing, size = _crossing(members)
+            if crossing <= few_pairs * size or turn == turns:
+                near = near.union(stored(verified(_rest(members), texts, threshold), "sketch-links"))
+                break
+        pairs, left = _turn(members, turn)
+        found = stored(verified(pairs, texts, threshold), "sketch-links")
         near = found if near is None else near.union(found)
+        turn += 1
     labels = components(near.union(_repeats(links, rows)))
     own = rows.select("doc_id", "h").join(nodes.select("h", "node"), "h").join(labels, "node", "left")
     named = own.groupBy("doc_id").agg(F.min(F.coalesce("label", "node")).alias("class_id"))
