@@ -63,6 +63,16 @@ def test_streaming_equals_full_table_where_pieces_cross_words(seed):
     assert len(parts) > 1
 
 
+@pytest.mark.parametrize("seed", range(20))
+def test_short_segments_are_the_stream(seed):
+    rng = random.Random(seed)
+    words = {"".join(rng.choice("abc") for _ in range(rng.randint(1, 4))) for _ in range(20)} | {"a", SPACE, SPACE + "a"}
+    m = small(sorted(words), seed)
+    for _ in range(20):
+        s = " " + "".join(rng.choice("abcd") for _ in range(rng.randint(0, 30)))
+        assert m._short(s) == [i for p in m.stream(s) for i in p]
+
+
 def test_frames(spark, model):
     df = spark.createDataFrame([(1, "some text", 5), (2, None, 6), (2, None, 6), (3, "", 7)], "doc_id long, text string, n int")
     got = decode(encode(df, PATH), PATH, text="back").orderBy("doc_id").collect()

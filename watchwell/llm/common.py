@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+#: Rows of an Arrow batch that are Python objects at one time.
+_SLICE = 1024
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
@@ -64,10 +68,12 @@ def appended(df: DataFrame, column: str, schema: str, compute: Callable[[list],
         from pyspark.sql.pandas.types import to_arrow_schema
 
         kinds = [f.type for f in to_arrow_schema(new)]
-        for batch in batches:
-            at = batch.schema.get_field_index(column)
-            lists = compute(batch.column(at).to_pylist())
-            made = [pa.array(x, type=k) for x, k in zip(lists, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *(f.name for f in new)])
+        for whole in batches:
+            at = whole.schema.get_field_index(column)
+            for a in range(0, whole.num_rows, _SLICE):
+                batch = whole.slice(a, _SLICE)
+                lists = compute(batch.column(at).to_pylist())
+                made = [pa.array(x, type=k) for x, k in zip(lists, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *(f.name for f in new)])
 
     return df.mapInArrow(run, whole)

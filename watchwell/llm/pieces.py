@@ -32,7 +32,6 @@ import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from watchwell.llm.common import appended, table
 
@@ -45,7 +44,7 @@ class Pieces:
     """The pieces of a model file: best splits and their inverse."""
 
     #: Segments that are remembered at most, and the longest of them.
-    CACHE, SHORT = 600_000, 64
+    CACHE, SHORT = 500_000, 64
 
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
@@ -68,6 +67,8 @@ class Pieces:
             self.raw[i] = name.replace(SPACE, " ").encode()
         for byte, i in self.bytes.items():
             self.raw[i] = bytes([byte])
+        self._beginnings: dict[str, tuple[float, int] | None] = {p[:k]: None for p in pieces for k in range(1, len(p))}
+        self._beginnings |= pieces
         self.by_word = not any(SPACE in p.lstrip(SPACE) for p in pieces)
         self._known: dict[str, bytes] = {}
 
@@ -125,7 +126,34 @@ class Pieces:
             yield path(len(shown))
 
     def _segment(self, segment: str) -> bytes:
-        return np.array([i for part in self.stream(segment) for i in part], dtype="<u4").tobytes()
+        if len(segment) > self.SHORT or SPACE in segment:
+            return np.array([i for part in self.stream(segment) for i in part], dtype="<u4").tobytes()
+        return np.array(self._short(segment), dtype="<u4").tobytes()
+
+    def _short(self, segment: str) -> list[int]:
+        """Ids of a segment that fits in one window: the same search, as a plain table."""
+        shown, beginnings, longest = segment.replace(" ", SPACE), self._beginnings, self.longest
+        n = len(shown)
+        best, back = [0.0] + [-math.inf] * n, [(0, -1)] * (n + 1)
+        for start in range(n):
+            so_far = best[start]
+            spelled = so_far + BYTE_SCORE * len(shown[start].encode())
+            if spelled > best[start + 1]:
+                best[start + 1], back[start + 1] = spelled, (start, -1)
+            for end in range(start + 1, min(n, start + longest) + 1):
+                hit = beginnings.get(shown[start:end], 0)
+                if hit == 0:  # no piece begins so
+                    break
+                # Of equal sums the first start, that is the longer last piece, stays; a piece is never worse than its bytes.
+                if hit is not None and (so_far + hit[0] > best[end] or (back[end][1] < 0 and so_far + hit[0] == best[end])):
+                    best[end], back[end] = so_far + hit[0], (start, hit[1])
+        out: list[int] = []
+        at = n
+        while at:
+            start, i = back[at]
+            out += [i] if i >= 0 else reversed(self._spelled(shown[start]))
+            at = start
+        return out[::-1]
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids (uint32) of a text."""
@@ -134,22 +162,24 @@ class Pieces:
         if not self.by_word:
             return np.frombuffer(self._segment(" " + text), dtype="<u4")
         known, segments = self._known, _SEGMENT.findall(" " + text)
-        out = []
-        for s in segments:
-            ids = known.get(s)
-            if ids is None:
-                ids = self._segment(s)
-                if len(s) <= self.SHORT:
-                    if len(known) >= self.CACHE:
-                        known.clear()
-                    known[s] = ids
-            out.append(ids)
+        out = [*map(known.get, segments)]
+        if None in out:
+            for k, s in enumerate(segments):
+                if out[k] is None:
+                    ids = known.get(s)
+                    if ids is None:
+                        ids = self._segment(s)
+                        if len(s) <= self.SHORT:
+                            if len(known) >= self.CACHE:
+                                known.clear()
+                            known[s] = ids
+                    out[k] = ids
         return np.frombuffer(b"".join(out), dtype="<u4")
 
     def decode(self, ids) -> str:
         """The text of ids; broken byte sequences become U+FFFD."""
         raw = self.raw
-        return b"".join([raw[i] for i in ids]).decode("utf-8", "replace")[1:] if len(ids) else ""
+        return b"".join([raw[i] for i in (ids.tolist() if isinstance(ids, np.ndarray) else ids)]).decode("utf-8", "replace")[1:] if len(ids) else ""
 
 
 _models: dict[str, Pieces] = {}
@@ -176,14 +206,14 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("piece_bpe_32k.model")
-    ids = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).select("doc_id", "ids")
 
-    def digest(rows: list) -> list[list]:
-        flat = [np.array(r, dtype="<u4") for r in rows]
-        texts = [_model(path).decode(r or ()) for r in rows]
-        return [[zlib.crc32(x) for x in flat], [len(x) for x in flat], [hashlib.sha256(t.encode()).hexdigest() for t in texts]]
+    def digest(texts: list[str | None]) -> list[list]:
+        model = _model(path)
+        ids = [model.encode(t) for t in texts]
+        return [[len(x) for x in ids], [zlib.crc32(x) for x in ids], [hashlib.sha256(model.decode(x).encode()).hexdigest() for x in ids]]
 
-    return appended(ids, "ids", "ids_crc32 long, n_ids long, decoded_sha256 string", digest).select("doc_id", "n_ids", "ids_crc32", "decoded_sha256")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return appended(docs, "text", "n_ids long, ids_crc32 long, decoded_sha256 string", digest).select("doc_id", "n_ids", "ids_crc32", "decoded_sha256")
 
 
 QUERIES = {"op2_sentencepiece": op2_sentencepiece}
