@@ -225,12 +225,13 @@ def alone(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     return single.groupBy("node").agg(F.count("*").cast("int").alias("alone"))
 
 
-def classes(docs: DataFrame, threshold: float = 0.8, turns: int = 24, few_pairs: int = 4) -> DataFrame:
+def classes(docs: DataFrame, threshold: float = 0.8, turns: int = 12, few_pairs: int = 4) -> DataFrame:
     """(doc_id, class_id) of every row of docs (doc_id, text).
 
     class_id is the smallest doc_id of the class; null for rows without doc_id.
     Centres are compared until the pairs of different components are no more than
-    ``few_pairs`` a bucket member, in at most ``turns`` turns; then all those pairs.
+    ``few_pairs`` a bucket member, or until few centres (one pair in fifty) still
+    link, in at most ``turns`` turns; then all those pairs.
     """
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     known = whole.filter(F.col("doc_id").isNotNull())
@@ -256,11 +257,12 @@ def classes(docs: DataFrame, threshold: float = 0.8, turns: int = 24, few_pairs:
         if turn:
             members = stored(members, "sketch-members")
             crossing, size = _crossing(members)
-            if crossing <= few_pairs * size or turn == turns:
+            if crossing <= few_pairs * size or not growing or turn == turns:
                 near = near.union(stored(verified(_rest(members), texts, threshold), "sketch-links"))
                 break
         pairs, left = _turn(members, turn)
         found = stored(verified(pairs, texts, threshold), "sketch-links")
+        growing = found.count() > 0.02 * pairs.count()
         near = found if near is None else near.union(found)
         turn += 1
     labels = components(near.union(_repeats(links, rows)))

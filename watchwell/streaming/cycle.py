@@ -89,15 +89,15 @@ class _BruteForce(StatefulProcessor):
         self.recent = handle.getListState("recent", row)
         self.last = handle.getValueState("last", StructType([StructField("us", LongType())]))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for batch in rows:
             for us, i, w in zip(batch["us"].tolist(), batch["event_id"].tolist(), batch["weight"].tolist(), strict=True):
                 self.waiting.appendValue((int(us), i, int(w)))
                 self.handle.registerTimer(int(us) // 1000 + 1)
         return iter([])
 
-    def handleExpiredTimer(self, key, timer_values, expired_timer_info) -> Iterator[pd.DataFrame]:
-        mark = timer_values.getCurrentWatermarkInMs() * 1000
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
         waiting = sorted(tuple(x) for x in self.waiting.get())
         ready, later = [x for x in waiting if x[0] < mark], [x for x in waiting if x[0] >= mark]
         if not ready:
