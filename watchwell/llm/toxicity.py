@@ -119,8 +119,12 @@ class _Rows:
         return np.bincount(self.cols, weights=v[self.at], minlength=self.width)
 
 
-def fit(rows: pd.DataFrame, width: int, swap_weight: float = 1.0, l2: float = 1e-5, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Weights and intercept: logistic loss + swap_weight * (logit change)^2 + L2, by Adam on the whole sample."""
+def fit(rows: pd.DataFrame, width: int, swap_weight: float = 1.0, prior: float = 0.5, steps: int = 600) -> tuple[np.ndarray, float]:
+    """Weights and intercept, by Adam on the whole sample.
+
+    Loss: logistic, plus swap_weight * (logit change)^2, both averaged over the
+    documents, plus prior / documents * |weights|^2.
+    """
     x, y, t = _Rows(list(rows["x"]), width), _Rows(list(rows["y"]), width), rows["toxic"].to_numpy(float)
     n, rate = len(t), min(max(t.mean(), 1e-3), 1 - 1e-3)
     w, b = np.zeros(width), float(np.log(rate / (1 - rate)))
@@ -130,7 +134,7 @@ def fit(rows: pd.DataFrame, width: int, swap_weight: float = 1.0, l2: float = 1e
         z = x.dot(w) + b
         error = weight * (1 / (1 + np.exp(-np.clip(z, -35, 35))) - t) / n
         change = 2 * swap_weight * (x.dot(w) - y.dot(w)) / n
-        g = np.append(x.t_dot(error + change) - y.t_dot(change) + 2 * l2 * w, error.sum())
+        g = np.append(x.t_dot(error + change) - y.t_dot(change) + 2 * prior / n * w, error.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = lr * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - float(move[-1])
@@ -155,7 +159,7 @@ def score(docs: DataFrame, model: tuple[dict[str, float], float]) -> DataFrame:
 
     def compute(texts: list[str | None]) -> list[list]:
         z = np.array([b + sum(weights[w] for w in sorted(keys & words(t))) for t in texts], dtype=float)
-        return [(1 / (1 + np.exp(-np.clip(z, -700, 700)))).tolist()]
+        return [np.where(np.isneginf(z), 0.0, 1 / (1 + np.exp(-np.clip(z, -700, 700)))).tolist()]
 
     return appended(docs, "text", "score double", compute)
 
