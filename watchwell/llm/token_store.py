@@ -142,7 +142,7 @@ class ChunkEncoder:
     """
 
     #: Chunks that are remembered at most, by a worker.
-    CACHE = 800_000
+    CACHE = 1_600_000
     # A Latin word and ASCII marks after it: the word in lower case, then the marks.
     _PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-/:-@\[-`{-~]*)")
 
