@@ -44,7 +44,7 @@ class Pieces:
     """The pieces of a model file: best splits and their inverse."""
 
     #: Segments that are remembered at most, and the longest of them.
-    CACHE, SHORT = 500_000, 64
+    CACHE, SHORT = 1_500_000, 64
 
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
