@@ -100,3 +100,23 @@ def test_small_head_gives_the_same_base_and_the_model_learns(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert lm_score.score(df, *lm_score.fit(df)).collect() == []
+
+
+def test_training_reads_every_symbol_and_carries_the_state():
+    rng = np.random.default_rng(6)
+    one, model, by_hand = rng.integers(0, 8, 75), toy(), toy()
+    assert gru.train(model, [one], 0) == 75
+    adam, state = gru.Adam(by_hand, 0.01), np.zeros((1, 4))
+    read = np.concatenate([[0], one[:-1]])
+    for t in range(0, 75, 16):
+        _, grads, state = by_hand.window(read[t : t + 16, None], one[t : t + 16, None], np.ones((len(one[t : t + 16]), 1), dtype=bool), state)
+        adam.apply(grads)
+    assert model.flat() == pytest.approx(by_hand.flat())
+    assert gru.train(toy(), iter([rng.integers(0, 8, n) for n in (1, 40, 0, 17, 33)]), 0, rows=2) == 91
+
+
+def test_the_model_learns_from_all_of_a_long_text(spark):
+    long = " ".join("abcdefgh" for _ in range(800)).replace("abcdefgh", "a b c d e f g h")
+    df = spark.createDataFrame([(1, long)], "doc_id long, text string")
+    (row,) = lm_score.score(df, *lm_score.fit(df)).collect()
+    assert row.score > row.base_score / 2  # a stretch of 160 characters is five windows

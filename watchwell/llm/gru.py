@@ -9,7 +9,9 @@ carried into the next window.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 
@@ -154,17 +156,22 @@ class Model:
         d_states[used] = d_flat
         d_states = d_states.reshape(steps, rows, h)
         carry = np.zeros((rows, h), dtype=flat.dtype)
+        d_inputs = np.zeros((steps, rows, 3 * h), dtype=flat.dtype)
         for t in reversed(range(steps)):
-            symbols, before, z, r, c, u = kept[t]
+            _, before, z, r, c, u = kept[t]
             d_new = np.where(mask[t][:, None], d_states[t] + carry, 0)
             d_c = d_new * (1 - z) * (1 - c * c)
             d_z = d_new * (before - c) * z * (1 - z)
             d_r = d_c * u * r * (1 - r)
-            d_x = np.concatenate([d_z, d_r, d_c], axis=1)
+            d_inputs[t] = np.concatenate([d_z, d_r, d_c], axis=1)
             d_u = np.concatenate([d_z, d_r, d_c * r], axis=1)
-            np.add.at(grads["inputs"], symbols, d_x)
             grads["recur"] += before.T @ d_u
             carry = d_new * z + d_u @ self.recur.T + np.where(mask[t][:, None], 0, d_states[t] + carry)
+        read = inputs.ravel()[used]
+        order = np.argsort(read, kind="stable")
+        symbols, first = np.unique(read[order], return_index=True)
+        if len(used):
+            grads["inputs"][symbols] = np.add.reduceat(d_inputs.reshape(-1, 3 * h)[used[order]], first, axis=0)
         return float(loss) / n, grads, state
 
 
@@ -198,16 +205,30 @@ def padded(texts: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray, n
     return inputs, targets, mask
 
 
-def train(model: Model, texts: list[np.ndarray], end: int, rows: int = 256, window: int = 16, rate: float = 0.01) -> Model:
-    """One pass over the sequences, by truncated backpropagation."""
-    adam = Adam(model, rate)
-    for at in range(0, len(texts), rows):
-        inputs, targets, mask = padded(texts[at : at + rows], end)
-        state = np.zeros((inputs.shape[1], model.shape.hidden), dtype=model.recur.dtype)
-        for t in range(0, len(inputs), window):
-            _, grads, state = model.window(inputs[t : t + window], targets[t : t + window], mask[t : t + window], state)
-            adam.apply(grads)
-    return model
+def train(model: Model, texts: Iterable[np.ndarray], end: int, rows: int = 256, window: int = 16, rate: float = 0.01) -> int:
+    """One pass over all symbols of the sequences, by truncated backpropagation; the number of symbols.
+
+    Up to ``rows`` sequences run side by side. Each carries its state from window to
+    window up to its end; then the next sequence takes its place.
+    """
+    adam, coming, total = Adam(model, rate), iter(texts), 0
+    zero = np.zeros(model.shape.hidden, dtype=model.recur.dtype)
+    open_: list[tuple[np.ndarray, int]] = []  # sequences and where each goes on
+    state = np.zeros((0, model.shape.hidden), dtype=model.recur.dtype)
+    while True:
+        new = [(x, 0) for x in islice((x for x in coming if len(x)), rows - len(open_))]
+        open_ += new
+        if not open_:
+            return total
+        state = np.concatenate([state, np.tile(zero, (len(new), 1))])
+        inputs, targets, mask = padded([x[t : t + window] for x, t in open_], end)
+        inputs[0] = [x[t - 1] if t else end for x, t in open_]
+        _, grads, state = model.window(inputs, targets, mask, state)
+        adam.apply(grads)
+        total += int(mask.sum())
+        going = [i for i, (x, t) in enumerate(open_) if t + window < len(x)]
+        open_ = [(open_[i][0], open_[i][1] + window) for i in going]
+        state = state[going]
 
 
 def log_likelihood(model: Model, texts: list[np.ndarray], end: int, rows: int = 1024, window: int = 32) -> np.ndarray:

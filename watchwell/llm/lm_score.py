@@ -8,10 +8,10 @@ The recurrent model (see gru) knows the ``n_words`` most frequent tokens one by
 one. Other tokens of the head (``head_words`` at most, by count) fall into bands
 of about equal weight, and all the rest into the last band; inside a band a
 token's probability is its share of the band's counts, smoothed like the base, so
-the model gives every token, seen or not, a probability. It is trained in rounds:
-each training document gives one stretch of ``stretch`` characters, at a place
-that the hash of its doc_id chooses; every partition trains on its stretches from
-the same parameters, and Spark averages the results, weighted by tokens.
+the model gives every token, seen or not, a probability. It is trained in rounds
+over the whole of every training text, in windows with the state carried along;
+every partition trains on its texts from the same parameters, and Spark averages
+the results, weighted by tokens.
 
 Only the head is broadcast, a table of ``head_words`` rows at most. Tokens of the
 tail are joined to their counts by a shuffle and summed per document.
@@ -44,6 +44,8 @@ _PLAIN = str.maketrans(_UPPER + _SPACES, _LOWER + " " * 5)
 END = ""  # no word is empty
 #: Documents that are scored side by side.
 ROWS = 4096
+#: Training texts that are Python objects at one time.
+SLICE = 256
 
 
 def plain(text: Column) -> Column:
@@ -108,22 +110,32 @@ def lexicon(counts: DataFrame, head_words: int, n_words: int, n_bands: int) -> L
     return Lexicon([(r.word, r.c) for r in [*head, *end]], sums.n, sums.v, n_words, n_bands)
 
 
-def _averaged(stretches: DataFrame, shared, model: gru.Model, rate: float) -> np.ndarray:
+def encoded(train: DataFrame, shared) -> DataFrame:
+    """symbols: of all tokens of every training text, the end token included."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lex: Lexicon = shared.value
+        at = lex.symbol
+        for whole in batches:
+            for a in range(0, len(whole), SLICE):
+                texts = (tokens(t) for t in whole["text"].iloc[a : a + SLICE])
+                yield pd.DataFrame({"symbols": [np.fromiter(map(at.get, [*x, END], repeat(lex.tail)), dtype=np.int32, count=len(x) + 1) for x in texts]})
+
+    return train.select("text").mapInPandas(run, "symbols array<int>")
+
+
+def _averaged(texts: DataFrame, shared, model: gru.Model, rate: float) -> np.ndarray:
     """The parameters after one round: each partition's, averaged by tokens."""
     start, shape = model.flat(), model.shape
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lex: Lexicon = shared.value
-        own, n = gru.Model(shape, lex.weights).load(start), 0
-        for batch in batches:
-            texts = [np.array([lex.symbol.get(w, lex.tail) for w in tokens(t)], dtype=np.int64) for t in batch["text"]]
-            texts = [np.append(x, lex.end) if ends else x for x, ends in zip(texts, batch["ends"], strict=True)]
-            gru.train(own, texts, lex.end, rate=rate)
-            n += sum(map(len, texts))
+        own = gru.Model(shape, lex.weights).load(start)
+        n = gru.train(own, (x for batch in batches for x in batch["symbols"]), lex.end, rate=rate)
         if n:
             yield pd.DataFrame({"n": [float(n)], "p": [own.flat().astype(float)]})
 
-    made = stretches.mapInPandas(run, "n double, p array<double>").select("n", F.posexplode("p").alias("i", "x"))
+    made = texts.mapInPandas(run, "n double, p array<double>").select("n", F.posexplode("p").alias("i", "x"))
     mean = made.groupBy("i").agg((F.sum(F.col("n") * F.col("x")) / F.sum("n")).alias("x")).toPandas()
     if mean.empty:
         return start
@@ -132,23 +144,16 @@ def _averaged(stretches: DataFrame, shared, model: gru.Model, rate: float) -> np
     return out
 
 
-def fit(train: DataFrame, head_words: int = 200_000, n_words: int = 1023, n_bands: int = 12, word_classes: int = 32, hidden: int = 16, stretch: int = 160, rounds: int = 2) -> tuple[DataFrame, Lexicon, gru.Model]:
+def fit(train: DataFrame, head_words: int = 200_000, n_words: int = 1023, n_bands: int = 12, word_classes: int = 32, hidden: int = 16, rounds: int = 2) -> tuple[DataFrame, Lexicon, gru.Model]:
     """Counts (stored), lexicon and trained model from training documents (doc_id, text)."""
     counts = stored(word_counts(train), "lm-counts")
     lex = lexicon(counts, head_words, n_words, n_bands)
-    room = F.greatest(F.length("text") - stretch, F.lit(0))
-    at = F.pmod(F.xxhash64("doc_id"), room + 1).cast("int")
-    texts = train.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    cut = texts.select(F.substring("text", at + 1, F.lit(stretch)).alias("text"), (at == room).alias("ends"), (at > 0).alias("inside"))
-    # A stretch begins and ends with whole words.
-    cut = cut.select(F.when(F.col("inside"), F.regexp_replace("text", r"^[^\x20\x09-\x0D]*", "")).otherwise(F.col("text")).alias("text"), "ends")
-    cut = cut.select(F.when(F.col("ends"), F.col("text")).otherwise(F.regexp_replace("text", r"[^\x20\x09-\x0D]*$", "")).alias("text"), "ends")
-    stretches = stored(cut, "lm-stretches")
     shape = gru.Shape.of(lex.weights, lex.n_words, word_classes, hidden)
     model = gru.Model(shape, lex.weights)
     shared = train.sparkSession.sparkContext.broadcast(lex)
+    texts = stored(encoded(train, shared), "lm-symbols")
     for k in range(rounds):
-        model.load(_averaged(stretches, shared, model, 0.02 / (1 + k)))
+        model.load(_averaged(texts, shared, model, 0.02 / (1 + k)))
     return counts, lex, model
 
 
