@@ -104,3 +104,15 @@ def test_severity_bounds(spark):
     rows = spark.createDataFrame([(0,), (39,), (40,), (64,), (65,), (84,), (85,)], "s int")
     got = [r[0] for r in rows.orderBy("s").select(detect.severity(F.col("s"), RuleSet())).collect()]
     assert got == ["low", "low", "medium", "medium", "high", "high", "critical"]
+
+
+def test_any_number_of_events_at_one_instant(spark):
+    rows = [(f"e{i:05}", START + timedelta(minutes=20 * (i >= 1500)), "failure", f"u{i % 7}", "ip", "app", 1) for i in range(3001)]
+    rules = replace(RuleSet(), brute_force=replace(RuleSet().brute_force, minimum=200))
+    got = detect.brute_force(frame(spark, rows), rules).select("user_key", "last_seen", "event_count").collect()
+    assert sorted(map(tuple, got)) == deque_hits(rows, 10, 200, 15)
+    one = [(i, t, k, "u", ip, a, w) for i, t, k, _, ip, a, w in rows]
+    rules = replace(rules, brute_force=replace(rules.brute_force, minimum=1400))
+    got = detect.brute_force(frame(spark, one), rules).select("user_key", "last_seen", "event_count").collect()
+    assert sorted(map(tuple, got)) == deque_hits(one, 10, 1400, 15)
+    assert [r.event_count for r in detect.password_spray(frame(spark, rows), rules).orderBy("last_seen").collect()] == [6, 6]

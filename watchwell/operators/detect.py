@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 from watchwell.operators.rules import TEXTS, Exclusions, Rule, RuleSet
 from watchwell.sources.auth import local
 
-#: Events of one key at one instant are told apart by so many bits.
-_TIE_BITS = 10
 _EPOCH_US = 1_577_836_800_000_000  # 2020-01-01
 
 ALERT_COLUMNS = (
@@ -51,30 +49,29 @@ def evaluation(events: DataFrame, training_end: str | None, zone: str) -> DataFr
 
 
 def sliced(events: DataFrame, keys: list[str], minutes: int) -> DataFrame:
-    """events, twice, with slice, home and the order key ``at``.
+    """events, twice, with slice, home, the time ``us`` and the number ``at``.
 
-    ``at`` grows with (time, id) in a key, so that a range frame of ``reach(minutes)``
-    holds the events of the trailing window at or before the current one.
+    ``at`` counts the events of a key and slice in the order of (time, id). The
+    trailing window of an event holds those up to its ``at`` that are ``recent``.
     """
     us = F.unix_micros("ts") - F.lit(_EPOCH_US)
     own = F.floor(us / F.lit(minutes * 60_000_000))
     twice = events.withColumn("us", us).withColumn("copy", F.explode(F.array(F.struct(own.alias("slice"), F.lit(True).alias("home")), F.struct((own + 1).alias("slice"), F.lit(False).alias("home")))))
     twice = twice.select("*", "copy.slice", "copy.home").drop("copy")
-    part = Window.partitionBy(*keys, "slice")
-    number = F.row_number().over(part.orderBy("us", "event_id"))
-    twice = twice.withColumn("nth", number)
-    tie = F.col("nth") - F.min("nth").over(part.orderBy("us").rangeBetween(0, 0))
-    at = F.when(tie < 2**_TIE_BITS, F.col("us") * 2 ** (_TIE_BITS + 1) + tie).otherwise(F.raise_error(F.lit("too many events of one key at one instant")).cast("long"))
-    return twice.withColumn("at", at).drop("nth")
+    return twice.withColumn("at", F.row_number().over(Window.partitionBy(*keys, "slice").orderBy("us", "event_id")).cast("long"))
 
 
-def reach(minutes: int) -> int:
-    """How far back ``at`` goes in a window of so many minutes, its edge included."""
-    return minutes * 60_000_000 * 2 ** (_TIE_BITS + 1) + 2**_TIE_BITS - 1
+def recent(minutes: int) -> Column:
+    """Whether an event (e_us, e_at) is in the trailing window of one at (us, at), its edge included."""
+    return (F.col("e_at") <= F.col("at")) & (F.col("e_us") >= F.col("us") - minutes * 60_000_000)
 
 
-def trailing(keys: list[str], minutes: int):
-    return Window.partitionBy(*keys, "slice").orderBy("at").rangeBetween(-reach(minutes), 0)
+def trailing_sum(value: Column, keys: list[str], minutes: int) -> Column:
+    """The sum over the trailing window: all up to an event, less all before its window."""
+    part = Window.partitionBy(*keys, "slice")
+    until = F.sum(value).over(part.orderBy("us", "at").rowsBetween(Window.unboundedPreceding, 0))
+    before = F.sum(value).over(part.orderBy("us").rangeBetween(Window.unboundedPreceding, -minutes * 60_000_000 - 1))
+    return until - F.coalesce(before, F.lit(0))
 
 
 def cooled(hits: DataFrame, keys: list[str], minutes: int) -> DataFrame:
@@ -83,7 +80,7 @@ def cooled(hits: DataFrame, keys: list[str], minutes: int) -> DataFrame:
     The fold runs over hits only; it keeps the first and then skips.
     """
     carried = [c for c in hits.columns if c not in keys]
-    hit = F.struct("at", *(c for c in carried if c != "at"))
+    hit = F.struct("us", "at", *(c for c in carried if c not in ("us", "at")))
     gap = F.lit(minutes * 60_000_000)
     lists = hits.groupBy(*keys).agg(F.array_sort(F.collect_list(hit)).alias("hits"))
     start = F.struct(F.lit(None).cast("long").alias("last"), F.slice("hits", 1, 0).alias("kept"))
@@ -129,11 +126,11 @@ def iso_local(ts: Column, zone: str) -> Column:
 def alerts(hits: DataFrame, evidence: DataFrame, keys: list[str], rules: RuleSet, rule: Rule, extra: list[tuple[str, Column]], more_limit: int = 0) -> DataFrame:
     """Alert records (ALERT_COLUMNS, first_seen, last_seen) of kept hits.
 
-    hits: keys, slice, at, lim (threshold), and what ``extra`` reads. evidence:
+    hits: keys, slice, at, us, lim (threshold), and what ``extra`` reads. evidence:
     sliced events; a hit's are those of its key and slice in the window.
     """
-    e = evidence.select(*keys, "slice", F.col("at").alias("e_at"), "ts", "event_id", "event_class", F.col("weight"), *(c for c in ("user_key", "client_ip_key", "relying_party") if c not in keys))
-    near = hits.join(e, [*keys, "slice"]).filter((F.col("e_at") <= F.col("at")) & (F.col("e_at") >= F.col("at") - reach(rule.window_minutes)))
+    e = evidence.select(*keys, "slice", F.col("at").alias("e_at"), F.col("us").alias("e_us"), "ts", "event_id", "event_class", F.col("weight"), *(c for c in ("user_key", "client_ip_key", "relying_party") if c not in keys))
+    near = hits.join(e, [*keys, "slice"]).filter(recent(rule.window_minutes))
     if rule.rule_id == "AUTH_SUCCESS_AFTER_FAILURES":  # the failures and this success
         near = near.filter((F.col("event_class") == "failure") | (F.col("e_at") == F.col("at")))
     own = [c for c in hits.columns if c not in (*keys, "slice", "at")]
@@ -194,7 +191,7 @@ def _weighty(events: DataFrame, rules: RuleSet, rule: Rule, exclusions: Exclusio
     """A rule that fires where the window's weight of a key reaches the threshold."""
     keys = [*keys, "authorized"]
     marked = sliced(events.withColumn("authorized", authorized(exclusions)), keys, rule.window_minutes)
-    total = F.sum("weight").over(trailing(keys, rule.window_minutes))
+    total = trailing_sum(F.col("weight"), keys, rule.window_minutes)
     hits = marked.withColumn("total", total).withColumn("lim", threshold(exclusions, limit_name, rule.minimum))
     hits = hits.filter(F.col("home") & (F.col("total") >= F.col("lim"))).select(*keys, "at", "us", "slice", "total", "lim")
     return alerts(cooled(hits, keys, rule.cooldown_minutes), marked, keys, rules, rule, extra)
@@ -224,11 +221,11 @@ def password_spray(events: DataFrame, rules: RuleSet, exclusions: Exclusions | N
     rule, keys = rules.spray, ["client_ip_key", "authorized"]
     failures = events.filter((F.col("event_class") == "failure") & (F.col("client_ip_key") != ""))
     marked = sliced(failures.withColumn("authorized", authorized(exclusions)), keys, rule.window_minutes)
-    total = F.sum("weight").over(trailing(keys, rule.window_minutes))
+    total = trailing_sum(F.col("weight"), keys, rule.window_minutes)
     heavy = marked.withColumn("total", total).withColumn("lim", threshold(exclusions, "failures_per_ip", rule.minimum)).filter(F.col("home") & (F.col("total") >= F.col("lim")))
     heavy = heavy.select(*keys, "slice", "at", "us", "total", "lim")
-    seen = marked.filter(F.col("user_key") != "").select(*keys, "slice", F.col("at").alias("e_at"), "user_key")
-    users = heavy.join(seen, [*keys, "slice"]).filter((F.col("e_at") <= F.col("at")) & (F.col("e_at") >= F.col("at") - reach(rule.window_minutes)))
+    seen = marked.filter(F.col("user_key") != "").select(*keys, "slice", F.col("at").alias("e_at"), F.col("us").alias("e_us"), "user_key")
+    users = heavy.join(seen, [*keys, "slice"]).filter(recent(rule.window_minutes))
     hits = users.groupBy(*heavy.columns).agg(F.count_distinct("user_key").alias("n_users"))
     hits = hits.filter(F.col("n_users") >= threshold(exclusions, "distinct_users_per_ip", rule.minimum_users))
     many = (F.col("total") >= rule.critical) | (F.col("n_users") >= rule.critical_users)
@@ -241,7 +238,7 @@ def success_after_failures(events: DataFrame, rules: RuleSet, exclusions: Exclus
     rule, keys = rules.success_after, ["user_key", "authorized"]
     used = events.filter(F.col("event_class").isin("failure", "success") & (F.col("user_key") != ""))
     marked = sliced(used.withColumn("authorized", authorized(exclusions)), keys, rule.window_minutes)
-    failed = F.sum(F.when(F.col("event_class") == "failure", F.col("weight")).otherwise(0)).over(trailing(keys, rule.window_minutes))
+    failed = trailing_sum(F.when(F.col("event_class") == "failure", F.col("weight")).otherwise(0), keys, rule.window_minutes)
     hits = marked.withColumn("total", failed).withColumn("lim", threshold(exclusions, "success_after_failures", rule.minimum))
     hits = hits.filter(F.col("home") & (F.col("event_class") == "success") & (F.col("total") >= F.col("lim"))).select(*keys, "at", "us", "slice", "total", "lim")
     extra = [("success_after_failures", F.lit(rule.bonus)), _intense(rule, F.col("total"))]
