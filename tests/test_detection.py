@@ -116,3 +116,30 @@ def test_any_number_of_events_at_one_instant(spark):
     got = detect.brute_force(frame(spark, one), rules).select("user_key", "last_seen", "event_count").collect()
     assert sorted(map(tuple, got)) == deque_hits(one, 10, 1400, 15)
     assert [r.event_count for r in detect.password_spray(frame(spark, rows), rules).orderBy("last_seen").collect()] == [6, 6]
+
+
+def test_cooldown_holds_no_list_of_a_keys_hits(spark):
+    rng = random.Random(9)
+    rows = [(f"u{rng.randint(0, 1)}", True, rng.randint(0, 400) * 1_000_000, i) for i in range(5000)]
+    hits = spark.createDataFrame(rows, "user_key string, authorized boolean, us long, at long").repartition(3)
+    out = detect.cooled(hits, ["user_key", "authorized"], 1)
+    assert "collect_list" not in out._jdf.queryExecution().toString()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    got = sorted((r.user_key, r.us, r.at) for r in out.collect())
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want, last = [], {}
+    for u, _, us, i in sorted(rows, key=lambda r: (r[2], r[3])):
+        if u not in last or us - last[u] >= 60_000_000:
+            last[u] = us
+            want.append((u, us, i))
+    assert got == sorted(want)
+
+
+def test_evidence_ids_services_and_users_are_bounded(spark):
+    rows = [(f"e{i:03}" if i % 3 else "", START + timedelta(seconds=i), "failure", f"u{i % 40}", "ip", f"app{i % 12:02}", 1) for i in range(60)]
+    rules = replace(RuleSet(), spray=replace(RuleSet().spray, minimum=60))
+    (r,) = detect.password_spray(frame(spark, rows), rules).collect()
+    assert (r.user_key, r.client_ip_key, r.distinct_users, r.distinct_client_ips) == ("", "ip", 40, 1)
+    assert r.evidence_event_ids.split(";") == [f"e{i:03}" for i in range(16) if i % 3][:10]
+    assert r.relying_parties.split(";") == [f"app{i:02}" for i in range(8)]
+    assert "collect_set(CASE WHEN NOT (user_key" not in detect.password_spray(frame(spark, rows), rules)._jdf.queryExecution().toString()

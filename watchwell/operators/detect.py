@@ -9,6 +9,9 @@ address, say) is spread over many partitions.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,20 +80,22 @@ def trailing_sum(value: Column, keys: list[str], minutes: int) -> Column:
 def cooled(hits: DataFrame, keys: list[str], minutes: int) -> DataFrame:
     """Of each key's hits those at least ``minutes`` after the last one kept.
 
-    The fold runs over hits only; it keeps the first and then skips.
+    The fold runs over hits only, which Spark sorts by key and time. It holds the
+    last time kept and one batch, however many hits a key has.
     """
-    carried = [c for c in hits.columns if c not in keys]
-    hit = F.struct("us", "at", *(c for c in carried if c not in ("us", "at")))
-    gap = F.lit(minutes * 60_000_000)
-    lists = hits.groupBy(*keys).agg(F.array_sort(F.collect_list(hit)).alias("hits"))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.slice("hits", 1, 0).alias("kept"))
+    gap, names = minutes * 60_000_000, hits.columns
 
-    def step(state: Column, x: Column) -> Column:
-        take = state["last"].isNull() | (x["us"] - state["last"] >= gap)
-        return F.when(take, F.struct(x["us"].alias("last"), F.concat(state["kept"], F.array(x)).alias("kept"))).otherwise(state)
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key = last = None
+        for batch in batches:
+            kept = []
+            for i, (*k, us) in enumerate(zip(*(batch[c] for c in keys), batch["us"], strict=True)):
+                if k != key or us - last >= gap:
+                    key, last = k, us
+                    kept.append(i)
+            yield batch.iloc[kept][names]
 
-    kept = lists.select(*keys, F.explode(F.aggregate("hits", start, step, lambda s: s["kept"])).alias("hit"))
-    return kept.select(*keys, *(F.col(f"hit.{c}").alias(c) for c in carried))
+    return hits.repartition(*keys).sortWithinPartitions(*keys, "us", "at").mapInPandas(fold, hits.schema)
 
 
 def severity(score: Column, rules: RuleSet) -> Column:
@@ -133,9 +138,13 @@ def alerts(hits: DataFrame, evidence: DataFrame, keys: list[str], rules: RuleSet
     near = hits.join(e, [*keys, "slice"]).filter(recent(rule.window_minutes))
     if rule.rule_id == "AUTH_SUCCESS_AFTER_FAILURES":  # the failures and this success
         near = near.filter((F.col("event_class") == "failure") | (F.col("e_at") == F.col("at")))
+    # Of ids the first ten and of services the first eight in order are kept; users and addresses are counted.
+    of_hit = Window.partitionBy(*keys, "slice", "at")
+    ranks = {"nth_id": F.row_number().over(of_hit.orderBy(F.coalesce(F.col("event_id"), F.lit("")) == "", "e_at")), "nth_app": F.dense_rank().over(of_hit.orderBy(F.coalesce(F.col("relying_party"), F.lit("")) == "", "relying_party"))}
+    near = near.withColumns(ranks)
     own = [c for c in hits.columns if c not in (*keys, "slice", "at")]
     of = lambda name: F.coalesce(F.sum(F.when(F.col("event_class") == name, F.col("weight"))), F.lit(0)).cast("long")
-    known = lambda c: F.sort_array(F.collect_set(F.when(F.col(c) != "", F.col(c))))
+    named = lambda c: F.when(F.col(c) != "", F.col(c))
     grouped = near.groupBy(*keys, "slice", "at").agg(
         *(F.first(c).alias(c) for c in own),
         F.min("ts").alias("first_seen"),
@@ -145,18 +154,20 @@ def alerts(hits: DataFrame, evidence: DataFrame, keys: list[str], rules: RuleSet
         of("failure").alias("failure_count"),
         of("lockout").alias("lockout_count"),
         of("other").alias("other_count"),
-        known("user_key").alias("users"),
-        known("client_ip_key").alias("ips"),
-        known("relying_party").alias("apps"),
-        F.slice(F.transform(F.array_sort(F.collect_list(F.when(F.col("event_id") != "", F.struct("e_at", "event_id")))), lambda x: x["event_id"]), 1, 10).alias("ids"),
+        F.count_distinct(named("user_key")).alias("n_user_keys"),
+        F.max(named("user_key")).alias("a_user_key"),
+        F.count_distinct(named("client_ip_key")).alias("n_client_ip_keys"),
+        F.max(named("client_ip_key")).alias("a_client_ip_key"),
+        F.sort_array(F.collect_set(F.when(F.col("nth_app") <= 8, named("relying_party")))).alias("apps"),
+        F.transform(F.array_sort(F.collect_list(F.when((F.col("nth_id") <= 10) & (F.col("event_id") != ""), F.struct("e_at", "event_id")))), lambda x: x["event_id"]).alias("ids"),
     )
     factors = risk_factors(rules, rule, F.col("event_count"), F.col("lim") + more_limit, extra)
     rows = grouped.withColumn("factors", factors)
     rows = rows.withColumn("score", risk_score(F.col("factors")))
-    only = lambda c: F.when(F.size(c) == 1, F.element_at(c, 1)).otherwise("")
+    only = lambda c: F.when(F.col(f"n_{c}s") == 1, F.col(f"a_{c}")).otherwise("")
     kinds = F.array(*(F.when(F.col(f"{k}_count") > 0, F.concat(F.lit(f"{k}:"), F.col(f"{k}_count"))) for k in ("failure", "lockout", "other", "success")))
     first, last = iso_local(F.col("first_seen"), rules.zone), iso_local(F.col("last_seen"), rules.zone)
-    print_ = F.concat_ws("|", F.lit(rule.rule_id), only("users"), only("ips"), first, last, F.array_join(F.sort_array("ids"), ","))
+    print_ = F.concat_ws("|", F.lit(rule.rule_id), only("user_key"), only("client_ip_key"), first, last, F.array_join(F.sort_array("ids"), ","))
     plain, special, advice = TEXTS[rule.rule_id]
     return rows.select(
         F.concat(F.lit("alt_"), F.left(F.sha2(print_, 256), F.lit(20))).alias("alert_id"),
@@ -168,16 +179,16 @@ def alerts(hits: DataFrame, evidence: DataFrame, keys: list[str], rules: RuleSet
         F.lit("new").alias("status"),
         first.alias("first_seen_local"),
         last.alias("last_seen_local"),
-        only("users").alias("user_key"),
-        only("ips").alias("client_ip_key"),
+        only("user_key").alias("user_key"),
+        only("client_ip_key").alias("client_ip_key"),
         F.array_join(F.array_compact(kinds), ";").alias("event_types"),
         "event_count",
         "success_count",
         "failure_count",
         "lockout_count",
-        F.size("users").cast("long").alias("distinct_users"),
-        F.size("ips").cast("long").alias("distinct_client_ips"),
-        F.array_join(F.slice("apps", 1, 8), ";").alias("relying_parties"),
+        F.col("n_user_keys").cast("long").alias("distinct_users"),
+        F.col("n_client_ip_keys").cast("long").alias("distinct_client_ips"),
+        F.array_join("apps", ";").alias("relying_parties"),
         F.array_join("ids", ";").alias("evidence_event_ids"),
         F.when(F.col("authorized"), special).otherwise(plain).alias("description"),
         F.lit(advice).alias("recommendation"),
