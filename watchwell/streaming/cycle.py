@@ -12,7 +12,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from watchwell.operators import mart, store
 from watchwell.operators.detect import detect
-from watchwell.operators.rules import RuleSet
+from watchwell.operators.rules import Exclusions, RuleSet
 
 LOOKBACK_MINUTES = 720
 
@@ -24,8 +24,11 @@ def _read(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
     return spark.read.schema(schema).parquet(folder) if there else spark.createDataFrame([], schema)
 
 
-def monitor_cycle(folder: str, rules: RuleSet, source: str, lookback_minutes: int = LOOKBACK_MINUTES) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: append new events, detect over the lookback, accept, log.
+def monitor_cycle(folder: str, rules: RuleSet, source: str, lookback_minutes: int = LOOKBACK_MINUTES, baseline: Callable[[SparkSession], tuple[DataFrame, DataFrame, str] | None] | None = None, exclusions: Callable[[], Exclusions | None] | None = None) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function: append new events, detect over the lookback, accept.
+
+    ``baseline`` and ``exclusions`` are read anew in every cycle; without a baseline
+    the new-address rule doesn't run. Batches are normalized events.
 
     A batch may come twice after a failure: events are known by key, alerts by id,
     and each batch writes into folders of its own number, so nothing doubles.
@@ -45,7 +48,7 @@ def monitor_cycle(folder: str, rules: RuleSet, source: str, lookback_minutes: in
         start = newest - pd.Timedelta(minutes=lookback_minutes).to_pytimedelta()
         # The date is a partition column: older days aren't read.
         recent = events.filter((F.col("event_date") >= F.lit(start).cast("date")) & (F.col("ts") >= F.lit(start)))
-        found = detect(recent.drop("batch", "event_date", "event_key"), rules)
+        found = detect(recent.drop("batch", "event_date", "event_key"), rules, baseline(spark) if baseline else None, exclusions() if exclusions else None)
         stored_schema = StructType([*found.schema.fields, StructField("source_name", StringType()), StructField("batch", LongType())])
         old = _read(spark, f"{folder}/alerts", stored_schema).filter(F.col("batch") != number)
         judged = store.accept(found, old.select("alert_id", "source_name", "rule_id", "user_key", "client_ip_key", "last_seen"), store.cooldown_minutes(rules), source)
