@@ -1,4 +1,8 @@
 import random
+import re
+
+import duckdb
+import numpy as np
 
 from watchwell.llm import near_dup
 
@@ -86,3 +90,48 @@ def test_similarity_by_hand():
     assert near_dup.similarity(a, b) == 95 / 105
     assert near_dup.similarity(a, a) == 1
     assert near_dup.similarity(a, a[:79]) == 0
+
+
+def test_all_links_of_the_given_documents_are_found(spark):
+    """Recall against all pairs at 0.8 or more of sf0.01, and clean documents stay apart."""
+    path = "/root/testdata/sf0.01/documents.parquet"
+    rows = duckdb.sql(f"select doc_id, text from '{path}' order by doc_id").fetchall()
+    made = [s for _, t in rows for s in [near_dup.shingles(t)]]
+    parent = list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    order = sorted(range(len(rows)), key=lambda i: len(made[i]))
+    pairs = 0
+    for x, i in enumerate(order):
+        for j in order[x + 1 :]:
+            if len(made[j]) > 1.25 * len(made[i]) + 1:
+                break
+            if near_dup.similarity(made[i], made[j]) >= 0.8:
+                pairs += 1
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    assert pairs > 50
+    got = {r.doc_id: r.class_id for r in near_dup.classes(spark.read.parquet(path)).collect()}
+    assert got == {d: rows[find(i)][0] for i, (d, _) in enumerate(rows)}
+
+
+def test_hashes_and_bounds():
+    texts = ["", "Zwölf Boxkämpfer jagen_1 Viktor, quer über den Sylter Deich", "a-b", "İstanbul ǅ", "x" * 70_000 + " y x", "y"]
+    lower = [t.lower() for t in texts]
+    units, at = near_dup.W.code_points(lower)
+    starts, ends, first = near_dup.W.spans(units, at, near_dup.W.word_points())
+    words = [re.findall(r"\w+", t) for t in lower]
+    assert np.diff(first).tolist() == [len(w) for w in words]
+    flat, hashes = [w for ws in words for w in ws], near_dup.W.hashes(units, starts, ends).tolist()
+    assert len(set(zip(flat, hashes, strict=True))) == len(set(flat)) == len(set(hashes))
+    rng = random.Random(3)
+    for n in (30, 200, 900):  # differing bits are never more than differing shingles
+        a = [f"w{rng.randrange(10**9)}" for _ in range(n)]
+        b = [w if rng.random() < 0.98 else "new" + w for w in a]
+        x, y = (near_dup.shingles(" ".join(t)) for t in (a, b))
+        bits = sum(int(v).bit_count() for v in (near_dup.signature(x) ^ near_dup.signature(y)).view(np.uint64))
+        assert bits <= len(set(x.tolist()) ^ set(y.tolist()))

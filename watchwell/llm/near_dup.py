@@ -11,29 +11,36 @@ order of both texts is their common part c; their similarity is
 c / (n_a + n_b - c). Pairs from ``threshold`` (0.8) on are links, and connected
 texts form a class.
 
-A pair at 0.8 shares a given entry with probability 0.8 ** 3, so it escapes all
-16 with probability 1e-5; above 0.85 less than 3e-7.
-
-Large groups: equal texts are one node. In each bucket of a sketch entry all
-members are verified against one centre, which then leaves the bucket; turn by
-turn what is linked grows together, and a group of n near copies takes a few times
-n comparisons. After the first turn, shingles that no other text still apart has
-are counted: they bound the similarity of a text, and of a pair, from above, and
-most chance meetings (documents that share a passage) end there. When the pairs of
-different components have become few, they are all verified. Nothing within a
-component is compared again, as it can't change a class, and no pair that meets
-and could reach the threshold is left out.
+A pair at 0.8 shares a given entry with probability 0.8 ** 6, so it escapes all 40
+with probability 5e-6; above 0.85 less than 1e-8. A pair at 0.5 meets with
+probability 0.46, one at 0.3 with 0.03. Texts of at most ``SHORT`` shingles have
+entries of fewer picks instead (24 of 3), and those of 20 to 24 have both kinds.
+
+Before texts are compared, a pair must pass bounds that its nodes carry: the
+lengths, and a parity signature of ``BITS`` bits. Each shingle flips one bit, so
+two signatures differ in no more bits than shingles that only one text has, of
+which a pair at the threshold has (n_a + n_b) / 9 at most. For short texts this
+never loses a pair; where the signature fills up (about 1,000 shingles on), a pair
+goes only if it differs by six standard deviations more than it should (1e-9).
+
+Large groups: equal texts are one node. First all members of each bucket are
+compared with one centre, the member that meets most others; so a group of near
+copies of one text grows together. Then, in turns, buckets that still hold several
+components take more and more centres (``GROWTH`` times as many each turn), which
+are compared with all members of other components and leave the bucket, until no
+bucket is mixed. Nothing within a component is compared again, as it can't change a
+class; a pair is compared in one of its buckets only; no pair that meets and could
+reach the threshold is left out.
 
 Edge cases: null and empty texts are equal texts; texts under five words have one
 shingle, their words; rows without a doc_id are no documents here and get no
-class (null); rows that share a doc_id are one document; other columns are
-ignored whatever their names; an empty table gives no rows.
+class (null); rows that share a doc_id are one document, whose texts all count;
+other columns are ignored whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -43,72 +50,96 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from watchwell.llm import words as W
 from watchwell.llm.common import stored, table
 from watchwell.llm.components import components
 
-K, SKETCHES, PICK = 5, 16, 3
-_WORD = re.compile(r"\w+")
-_C1, _C2, _S = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(32)
+K, SKETCHES, PICK = 5, 40, 6
+#: Texts of up to so many shingles have the short entries; those of over LONG the others.
+SHORT, LONG, SHORT_SKETCHES, SHORT_PICK = 24, 19, 24, 3
+BITS, GROWTH = 1024, 8
+#: Code points that are worked on in one go.
+UNITS = 1 << 17
 _WEIGHTS = np.array([int(xxhash.xxh3_64_intdigest(b"w%d" % i)) | 1 for i in range(K)], dtype=np.uint64)
 _SEEDS = np.array([xxhash.xxh3_64_intdigest(b"s%d" % i) for i in range(64)], dtype=np.uint64)
+_A, _B = np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = x * _C1
-    x ^= x >> _S
-    x *= _C2
-    x ^= x >> _S
-    return x
-
-
-class _WordHashes(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_hashes = _WordHashes()
-
-
-def shingles(text: str | None) -> np.ndarray:
-    """Hashes of the occurrence-labelled shingles, in text order."""
-    words = _WORD.findall((text or "").lower())
-    h = np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
+def _shingles(h: np.ndarray) -> np.ndarray:
+    """Hashes of the occurrence-labelled shingles of a text's word hashes, in text order."""
     if len(h) <= K:
         return np.array([xxhash.xxh3_64_intdigest(h.tobytes())], dtype=np.uint64)
     n = len(h) - K + 1
     s = h[:n] * _WEIGHTS[0]
     for j in range(1, K):
         s += h[j : n + j] * _WEIGHTS[j]
-    s = _mix(s)
-    order = np.argsort(s, kind="stable")
-    ranked = s[order]
-    fresh = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-    if len(fresh) < n:
+    s = W.mix(s)
+    ranked = np.sort(s)
+    if np.any(ranked[1:] == ranked[:-1]):
+        order = np.argsort(s, kind="stable")
+        ranked = s[order]
+        fresh = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
         nth = np.empty(n, dtype=np.uint64)
         nth[order] = np.arange(n) - np.repeat(fresh, np.diff(np.append(fresh, n)))
-        s = np.where(nth > 0, _mix(s + nth), s)
+        s = np.where(nth > 0, W.mix(s + nth), s)
     return s
 
 
-def sketch(s: np.ndarray) -> np.ndarray:
-    """One key per hash function: its PICK smallest shingles, in text order."""
-    pick, rows = min(PICK, len(s)), max(1, 1_000_000 // len(s))
+def shingle_lists(texts: list[str]) -> Iterator[np.ndarray]:
+    """The shingles of every text."""
+    lower = [t.lower() for t in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in lower])])
+    for a, b in W.slices(offsets, UNITS):
+        units, at = W.code_points(lower[a:b])
+        starts, ends, first = W.spans(units, at, W.word_points())
+        h = W.hashes(units, starts, ends)
+        for i in range(b - a):
+            yield _shingles(h[first[i] : first[i + 1]])
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """The shingles of one text."""
+    return next(shingle_lists([text or ""]))
+
+
+def _entries(s: np.ndarray, count: int, pick: int) -> np.ndarray:
+    """One key per hash function: its ``pick`` smallest shingles, in text order."""
+    pick, rows, small = min(pick, len(s)), max(1, 1_000_000 // len(s)), (s >> np.uint64(32)).astype(np.uint32)
     keys = []
-    for at in range(0, SKETCHES, rows):
-        seeds = _SEEDS[at : min(at + rows, SKETCHES)]
-        values = _mix(s[None, :] ^ seeds[:, None])
-        best = np.argpartition(values, pick - 1, axis=1)[:, :pick] if len(s) > pick else np.tile(np.arange(pick), (len(seeds), 1))
-        best.sort(axis=1)
-        key = seeds.copy()
+    for at in range(0, count, rows):
+        seeds = _SEEDS[at : min(at + rows, count)]
+        if len(s) > pick:
+            values = small[None, :] ^ seeds.astype(np.uint32)[:, None]
+            values *= _A
+            values ^= values >> np.uint32(15)
+            values *= _B
+            best = np.argpartition(values, pick - 1, axis=1)[:, :pick]
+            best.sort(axis=1)
+        else:
+            best = np.tile(np.arange(pick), (len(seeds), 1))
+        key = seeds + np.uint64(pick)
         for j in range(pick):
-            key = _mix(key ^ s[best[:, j]])
+            key = W.mix(key ^ s[best[:, j]])
         keys.append(key)
+    return np.concatenate(keys)
+
+
+def sketch(s: np.ndarray) -> np.ndarray:
+    """The sketch entries of a text's shingles."""
+    keys = []
+    if len(s) > LONG:
+        keys.append(_entries(s, SKETCHES, PICK))
+    if len(s) <= SHORT:
+        keys.append(_entries(s, SHORT_SKETCHES, SHORT_PICK))
     return np.concatenate(keys).view(np.int64)
 
 
+def signature(s: np.ndarray) -> np.ndarray:
+    """The parities of BITS counters of shingles, as 64-bit integers."""
+    odd = np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def similarity(a: np.ndarray, b: np.ndarray, threshold: float = 0.8) -> float:
     """Similarity of two shingle lists by banded alignment; 0 if under the threshold."""
     total = len(a) + len(b)
@@ -134,21 +165,21 @@ def similarity(a: np.ndarray, b: np.ndarray, threshold: float = 0.8) -> float:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, n, keys) of docs (doc_id, text): text hash, shingles, sketch keys."""
+    """(doc_id, h, n, keys, bits) of docs (doc_id, text): text hash, shingles, sketch entries, signature."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            made = [shingles(t) for t in batch["text"]]
-            yield pd.DataFrame(
-                {
-                    "doc_id": batch["doc_id"],
-                    "h": [hashlib.md5(t.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest() for t in batch["text"]],
-                    "n": [len(s) for s in made],
-                    "keys": [sketch(s) for s in made],
-                }
-            )
+        for whole in batches:
+            for a in range(0, len(whole), 256):
+                batch = whole.iloc[a : a + 256]
+                n, keys, bits = [], [], []
+                for s in shingle_lists(batch["text"].tolist()):
+                    n.append(len(s))
+                    keys.append(sketch(s))
+                    bits.append(signature(s))
+                h = [hashlib.md5(t.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest() for t in batch["text"]]
+                yield pd.DataFrame({"doc_id": batch["doc_id"], "h": h, "n": n, "keys": keys, "bits": bits})
 
-    return docs.mapInPandas(run, "doc_id long, h binary, n int, keys array<long>")
+    return docs.mapInPandas(run, "doc_id long, h binary, n int, keys array<long>, bits array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -156,138 +187,139 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, one = None, None
-        for batch in batches:
-            good = []
-            for a, ta, tb in zip(batch["a"], batch["text_a"], batch["text_b"], strict=True):
-                if a != held:
-                    held, one = a, shingles(ta)
-                good.append(similarity(one, shingles(tb), threshold) > 0)
-            yield batch.loc[good, ["a", "b"]]
+        for whole in batches:
+            for at in range(0, len(whole), 256):
+                batch, good = whole.iloc[at : at + 256], []
+                for a, ta, two in zip(batch["a"], batch["text_a"], shingle_lists(batch["text_b"].tolist()), strict=True):
+                    if a != held:
+                        held, one = a, shingles(ta)
+                    good.append(similarity(one, two, threshold) > 0)
+                yield batch.loc[good, ["a", "b"]]
 
     left, right = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
     # The centre, a, last: its rows arrive sorted by it.
     return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long")
 
 
-def _turn(members: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (centre, member) of different components in each bucket, and the members without the centres.
+def possible(a: str, b: str, threshold: float) -> Column:
+    """Whether rows a and b (n, bits) can be similar, by their lengths and signatures."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    apart = sum((F.bit_count(F.col(f"{a}.bits")[i].bitwiseXOR(F.col(f"{b}.bits")[i])) for i in range(BITS // 64)), F.lit(0))
+    single = (n + m) * F.lit((1 - threshold) / (1 + threshold)) + F.lit(1e-6)
+    filled = F.lit(BITS / 2) * (F.lit(1.0) - F.pow(F.lit(1 - 2 / BITS), single)) + F.lit(6 * BITS**0.5 / 2)
+    return (F.least(n, m) >= F.greatest(n, m) * F.lit(threshold) - F.lit(1e-6)) & (apart <= F.least(single, filled))
+
 
-    The first centre is the member that meets most others over all its buckets: of
-    near copies of a text that is the text itself, if it is there. Later ones are
-    chosen by a hash. A centre has then met all of its bucket and leaves it.
+def _starred(buckets: DataFrame, nodes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Pairs (centre, member) of each bucket (node, key, size) that can be similar, and the buckets without their centres.
+
+    The centre is the member that meets most others over all its buckets: of near
+    copies of a text that is the text itself, if it is there.
     """
-    first = (-F.col("met")).alias("met") if turn == 0 else F.lit(0).alias("met")
-    rank = F.struct(first, F.xxhash64("node", "key", F.lit(turn)).alias("order"), "node", "n", "label", "alone")
-    centres = members.groupBy("key").agg(F.min(rank).alias("c"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high")
-    met = stored(members.join(centres.select("key", "c"), "key"), "sketch-turn")
-    apart = (F.col("label") != F.col("c.label")) & _possible(F.col("n"), F.col("alone"), F.col("c.n"), F.col("c.alone"))
-    pairs = met.filter(apart).select(F.col("c.node").alias("a"), F.col("node").alias("b")).distinct()
-    return pairs, met.filter(F.col("node") != F.col("c.node")).select("node", "n", "key", "met", "alone")
+    met = buckets.groupBy("node").agg(F.sum("size").alias("met"))
+    centres = buckets.join(met, "node").groupBy("key").agg(F.max(F.struct("met", "node")).alias("c")).select("key", F.col("c.node").alias("centre"))
+    both = stored(buckets.join(centres, "key"), "sketch-stars")
+    facts = nodes.select("node", "n", "bits")
+    pairs = both.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = pairs.join(facts.select(F.col("node").alias("a"), F.struct("n", "bits").alias("x")), "a").join(facts.select(F.col("node").alias("b"), F.struct("n", "bits").alias("y")), "b")
+    return pairs.filter(possible("x", "y", threshold)).select("a", "b"), both.filter("node <> centre").drop("centre")
+
+
+def _mixed(members: DataFrame, near: DataFrame) -> DataFrame:
+    """The members of buckets that hold several components under the links ``near``, with their labels."""
+    members = members.drop("label").join(components(near), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    several = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
+    return members.join(several, "key")
 
 
 def _crossing(members: DataFrame) -> tuple[int, int]:
     """How many pairs of different components the buckets hold, and how many members."""
     parts = members.groupBy("key", "label").agg(F.count("*").alias("m")).groupBy("key").agg(F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("own"))
-    sums = parts.agg(F.coalesce(F.sum((F.col("all") * F.col("all") - F.col("own")) / 2), F.lit(0)).alias("pairs"), F.coalesce(F.sum("all"), F.lit(0)).alias("members")).first()
+    zero = F.lit(0)
+    sums = parts.agg(F.coalesce(F.sum((F.col("all") * F.col("all") - F.col("own")) / 2), zero).alias("pairs"), F.coalesce(F.sum("all"), zero).alias("members")).first()
     return int(sums.pairs), int(sums.members)
 
 
-def _possible(n: Column, alone: Column, m: Column, alone_m: Column, threshold: float = 0.8) -> Column:
-    """Whether texts of n and m shingles, of which so many are in no other text, can reach the threshold."""
-    common = F.least(n - alone, m - alone_m)
-    return common >= (n + m - common) * F.lit(threshold) - F.lit(1e-9)
-
-
-def _rest(members: DataFrame) -> DataFrame:
-    """All pairs of different components that share a bucket and can reach the threshold."""
-    a, b = members.alias("a"), members.alias("b")
-    can = _possible(F.col("a.n"), F.col("a.alone"), F.col("b.n"), F.col("b.alone"))
-    meet = (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.label") != F.col("b.label")) & can
-    return a.join(b, meet).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
-
+def _turn(members: DataFrame, centres: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Pairs of about so many centres of each bucket with its other members, where they can be similar, and the buckets without those centres.
 
-def _mixed(members: DataFrame) -> DataFrame:
-    """The members of buckets that hold several components."""
-    several = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("key")
-    return members.join(several, "key")
-
-
-def alone(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, alone): how many shingles of each node no other of these nodes has; nodes without any are left out."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            made = [shingles(t).view(np.int64) for t in batch["text"]]
-            yield pd.DataFrame({"shingle": np.concatenate(made), "node": np.repeat(batch["node"].to_numpy(), [len(s) for s in made])})
-
-    rows = texts.join(nodes.select("node").distinct(), "node", "left_semi").mapInPandas(run, "shingle long, node long")
-    single = rows.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("last")).filter("node = last")
-    return single.groupBy("node").agg(F.count("*").cast("int").alias("alone"))
+    A pair is taken in the first of the buckets that it shares.
+    """
+    members = members.withColumn("central", F.pmod(F.xxhash64("node", "key"), F.col("size")) < centres)
+    a, b = members.filter("central").alias("a"), members.alias("b")
+    once = F.element_at(F.array_intersect("a.keys", "b.keys"), 1) == F.col("a.key")
+    apart = (F.col("a.label") != F.col("b.label")) & (~F.col("b.central") | (F.col("a.node") < F.col("b.node")))
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & apart & possible("a", "b", threshold) & once)
+    return pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")), members.filter(~F.col("central")).drop("central")
 
 
-def classes(docs: DataFrame, threshold: float = 0.8, turns: int = 12, few_pairs: int = 4) -> DataFrame:
+def classes(docs: DataFrame, threshold: float = 0.8, few_pairs: int = 4) -> DataFrame:
     """(doc_id, class_id) of every row of docs (doc_id, text).
 
     class_id is the smallest doc_id of the class; null for rows without doc_id.
-    Centres are compared until the pairs of different components are no more than
-    ``few_pairs`` a bucket member, or until few centres (one pair in fifty) still
-    link, in at most ``turns`` turns; then all those pairs.
+    Buckets take more centres turn by turn; all members are centres once the pairs
+    of different components are no more than ``few_pairs`` a bucket member.
     """
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     known = whole.filter(F.col("doc_id").isNotNull())
     rows = stored(sketches(known), "sketches")
-    nodes = stored(rows.groupBy("h").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("keys").alias("keys")), "sketch-nodes")
-    buckets = nodes.select("node", "n", F.explode("keys").alias("key"))
+    nodes = rows.groupBy("h").agg(F.min("doc_id").alias("doc"), *(F.first(c).alias(c) for c in ("n", "keys", "bits")))
+    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "sketch-nodes")
+    buckets = nodes.select("node", F.explode("keys").alias("key"))
     shared = buckets.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    buckets = buckets.join(shared, "key")
-    met = buckets.groupBy("node").agg(F.sum("size").alias("met"))
-    buckets = stored(buckets.select("node", "n", "key").join(met, "node").withColumn("alone", F.lit(0)), "sketch-buckets")
-    texts = stored(known.join(buckets.select(F.col("node").alias("doc_id")).distinct(), "doc_id").select(F.col("doc_id").alias("node"), "text"), "sketch-texts")
-    # Rows that share a doc_id are one document.
-    links = rows.join(nodes.select("h", "node"), "h").filter("doc_id != node").select(F.col("node").alias("a"), F.col("doc_id").alias("b")).distinct()
-    left, near, turn = buckets, None, 0
-    while True:
-        members = left.withColumn("label", F.col("node"))
-        if near is not None:
-            members = left.join(components(near), "node", "left").withColumn("label", F.coalesce("label", "node"))
-        if turn == 1:  # what is still apart: without texts that can't be near any other
-            mixed = stored(_mixed(members), "sketch-mixed")
-            few = mixed.drop("alone").join(alone(mixed, texts), "node", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
-            members = few.filter(F.col("n") - F.col("alone") >= F.col("n") * F.lit(threshold) - F.lit(1e-9))
-        if turn:
-            members = stored(members, "sketch-members")
-            crossing, size = _crossing(members)
-            if crossing <= few_pairs * size or not growing or turn == turns:
-                near = near.union(stored(verified(_rest(members), texts, threshold), "sketch-links"))
-                break
-        pairs, left = _turn(members, turn)
-        found = stored(verified(pairs, texts, threshold), "sketch-links")
-        growing = found.count() > 0.02 * pairs.count()
-        near = found if near is None else near.union(found)
-        turn += 1
-    labels = components(near.union(_repeats(links, rows)))
-    own = rows.select("doc_id", "h").join(nodes.select("h", "node"), "h").join(labels, "node", "left")
-    named = own.groupBy("doc_id").agg(F.min(F.coalesce("label", "node")).alias("class_id"))
+    buckets = stored(buckets.join(shared, "key"), "sketch-buckets")
+    held = nodes.join(buckets.select("node").distinct(), "node").select("node", "doc", "h")
+    named = known.join(held, known["doc_id"] == held["doc"]).filter(F.unhex(F.md5(F.col("text").cast("binary"))) == F.col("h"))
+    texts = stored(named.select("node", "text").dropDuplicates(["node"]), "sketch-texts")
+    pairs, left = _starred(buckets, nodes, threshold)
+    near = _repeats(rows, nodes).union(stored(verified(pairs, texts, threshold), "sketch-links"))
+    mixed = _mixed(left, near)
+    own = mixed.groupBy("node").agg(F.array_sort(F.collect_list("key")).alias("keys"))
+    members = stored(mixed.join(own, "node").join(nodes.select("node", "n", "bits"), "node"), "sketch-mixed")
+    crossing, size = _crossing(members)
+    if crossing:
+        texts = stored(texts.join(members.select("node").distinct(), "node"), "sketch-texts")
+    centres = 1
+    while crossing:
+        last = crossing <= few_pairs * size
+        pairs, left = _turn(members, 2**62 if last else centres, threshold)
+        near = near.union(stored(verified(stored(pairs, "sketch-pairs"), texts, threshold), "sketch-links"))
+        if last:
+            break
+        members = stored(_mixed(left, near), "sketch-members")
+        crossing, size = _crossing(members)
+        centres *= GROWTH
+    labels = components(near)
+    labelled = nodes.select("node", "doc", "h").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    names = labelled.groupBy("label").agg(F.min("doc").alias("class_id"))
+    of_text = labelled.join(names, "label").select("h", "class_id")
+    named = rows.select("doc_id", "h").join(of_text, "h").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
     return whole.select("doc_id").join(named, "doc_id", "left")
 
 
-def _repeats(links: DataFrame, rows: DataFrame) -> DataFrame:
-    """Of the links from a text's node to its other ids, those of ids that have several texts."""
-    several = rows.groupBy("doc_id").agg(F.min("h").alias("low"), F.max("h").alias("high")).filter("low != high").select(F.col("doc_id").alias("b"))
-    return links.join(several, "b").select("a", "b")
+def _repeats(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links between the nodes of a doc_id that has several texts."""
+    several = rows.groupBy("doc_id").agg(F.min("h").alias("low"), F.max("h").alias("high")).filter("low <> high").select("doc_id")
+    own = rows.select("doc_id", "h").join(several, "doc_id").join(nodes.select("h", "node"), "h")
+    return own.join(own.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").select("a", F.col("node").alias("b")).filter("a <> b").distinct()
 
 
 def representatives(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """One row of docs (doc_id, text, ...) per class: that of the smallest doc_id.
 
-    Of rows that share this doc_id one stays; rows without doc_id all stay.
+    Of rows that share this doc_id the one whose text has the smallest hash stays,
+    then the one whose row has; rows without doc_id all stay.
     """
     kept = classes(docs, threshold).filter(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("watchwell_kept"))
     kept = stored(kept.groupBy("watchwell_kept").agg(F.count("*").alias("watchwell_rows")), "near-dup-kept")
     rows = docs.join(kept, docs["doc_id"].cast("long") == kept["watchwell_kept"])
+    single = rows.filter("watchwell_rows = 1").select(*(docs[c] for c in docs.columns))
     if kept.filter("watchwell_rows > 1").limit(1).count():
-        rows = rows.dropDuplicates(["watchwell_kept"])
-    return rows.select(*(docs[c] for c in docs.columns)).unionByName(docs.filter(F.col("doc_id").isNull()))
+        row = F.struct(*(docs[c] for c in docs.columns))
+        first = F.struct(F.sha2(F.coalesce(docs["text"], F.lit("")), 256), F.xxhash64(*(docs[c] for c in docs.columns)))
+        several = rows.filter("watchwell_rows > 1").groupBy("watchwell_kept").agg(F.min_by(row, first).alias("watchwell_row"))
+        single = single.unionByName(several.select("watchwell_row.*"))
+    return single.unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
