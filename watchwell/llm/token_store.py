@@ -15,23 +15,27 @@ a document starts at (ids in earlier shards) + (ids of earlier blocks of its
 shard) + (end of the document before it in the block).
 
 Edge cases: a null text counts as empty and yields only the end id; null doc_ids
-come first; rows that share a doc_id stay separate, ordered by text; an empty
+come first; rows that share a doc_id stay separate, ordered by their ids; an empty
 table gives an empty result; other columns are ignored whatever their names.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from watchwell.llm import words as W
 from watchwell.llm.common import stored, table
 
 #: One select sample per this many values.
@@ -131,18 +135,49 @@ def open_block(payload: bytes) -> tuple[list[int | None], EliasFano, memoryview,
     return [None] * n_null + known.tolist(), ends, data[a + n_keys + n_marks :], width
 
 
-class ChunkEncoder:
-    """Ids of a text by the tokenizers library, remembered by space-free chunk.
-
-    For tokenizers that drop white space and whose tokens never cross it, the
-    ids of a text are those of its chunks between spaces and line ends, so each
-    chunk goes through the library once while it stays in the cache. The rules by
-    which plain words skip the library's pre-tokenizer hold for tokenizers that
-    lower-case and split letters from marks, such as word_bpe_49k.json.
+def document_ids(payload: bytes, doc_id: int) -> np.ndarray | None:
+    """The ids of one document of a block, found by bisection over ``select``; None if it isn't there."""
+    data = memoryview(payload)
+    _, _, width, n_docs, _, n_keys, n_marks, n_null, first = _HEAD.unpack_from(data)
+    keys, _ = EliasFano.from_bytes(data[_HEAD.size : _HEAD.size + n_keys])
+    ends, _ = EliasFano.from_bytes(data[_HEAD.size + n_keys : _HEAD.size + n_keys + n_marks])
+    at = bisect_left(range(keys.n), doc_id - first, key=keys.select)
+    if at == keys.n or keys.select(at) != doc_id - first:
+        return None
+    at += n_null
+    begin, end = ends.select(at - 1) if at else 0, ends.select(at)
+    body = data[_HEAD.size + n_keys + n_marks :]
+    return np.frombuffer(body[begin * width : end * width], dtype=f"<u{width}")
+
+
+# Normalizer and pre-tokenizer of tokenizers for which the ids of a text
+# are those of its chunks between spaces and line ends, as they drop white space, never
+# cross it, lower-case, and part letters from digits and marks.
+_CHUNKED = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+)
+
+
+class Encoder:
+    """Ids of texts by the tokenizers library.
+
+    Where the tokenizer's file allows it (_CHUNKED), each distinct chunk between
+    spaces goes through the library once while it is remembered, by a 64-bit hash;
+    the ids of a batch are then gathered with numpy. (Two of a million remembered
+    chunks share a hash with probability 3e-8.) Other tokenizers encode whole texts.
     """
 
-    #: Chunks that are remembered at most, by a worker.
-    CACHE = 1_600_000
+    #: Chunks that are remembered at most, by a worker: some 70 bytes each.
+    CACHE = 1 << 20
+    #: Bytes of text that are worked on in one go.
+    UNITS = 1 << 17
     # A Latin word and ASCII marks after it: the word in lower case, then the marks.
     _PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-/:-@\[-`{-~]*)")
 
@@ -152,102 +187,158 @@ class ChunkEncoder:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._bytes = ByteLevel(add_prefix_space=False, use_regex=False)
-        self._type = f"<u{width}"
-        self._known: dict[str, bytes] = {"": b""}
-
-    def _word(self, word: str) -> bytes:
+        spec = json.loads(self._tokenizer.to_str())
+        model = spec["model"]
+        self.chunked = (spec["normalizer"], spec["pre_tokenizer"]) == _CHUNKED and model["type"] == "BPE" and not model["dropout"]
+        # Added tokens are looked for before anything else: none may hold white space, or take it from its sides.
+        self.chunked &= not any(t["lstrip"] or t["rstrip"] or t["normalized"] or t["single_word"] or any(c.isspace() for c in t["content"]) for t in spec["added_tokens"])
+        byte_level = ByteLevel(add_prefix_space=False, use_regex=False)
+        #: Letters of plain words as the model spells them.
+        self._bytes = {c: byte_level.pre_tokenize_str(chr(c))[0][0] for c in range(0x250) if chr(c).isalpha()}
+        self._kind = np.dtype(f"<u{width}")
+        self._inside = np.ones(256, dtype=bool)
+        self._inside[[10, 32]] = False
+        self._forget()
+
+    def _forget(self) -> None:
+        self._known, self._ids, self._used = W.Index(), np.zeros(1 << 16, dtype=self._kind), 0
+        self._at, self._size = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+
+    def _whole(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _word(self, word: str) -> list[int]:
         """Ids of a lower-case Latin word: one piece, straight to the library's model."""
-        piece = word if word.isascii() else self._bytes.pre_tokenize_str(word)[0][0]
-        return b"".join([t.id.to_bytes(int(self._type[2]), "little") for t in self._tokenizer.model.tokenize(piece)])
-
-    def _learn(self, chunks: list[str]) -> None:
-        known, kind = self._known, self._type
-        plain = {c: (m[1].lower(), m[2]) for c in chunks if (m := self._PLAIN.fullmatch(c))}
-        rest = list({*(c for c in chunks if c not in plain), *(marks for _, marks in plain.values())} - known.keys())
-        for c, e in zip(rest, self._tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            known[c] = np.array(e.ids, dtype=kind).tobytes()
-        for c, (word, marks) in plain.items():
-            if word not in known:
-                known[word] = self._word(word)
-            known[c] = known[word] + known[marks]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of every text, as little-endian integers."""
-        known, out, open_rows = self._known, [], []
-        for t in texts:
-            chunks = (t or "").replace("\n", " ").split(" ")
-            ids = [*map(known.get, chunks)]
-            if None in ids:
-                open_rows.append((len(out), chunks))
-                out.append(b"")
-            else:
-                out.append(b"".join(ids))
-        if open_rows:
-            missing = {c for _, chunks in open_rows for c in chunks if c not in known}
-            if len(known) + len(missing) > self.CACHE:
-                known.clear()
-                known[""] = b""
-                missing = {c for _, chunks in open_rows for c in chunks if c}
-            self._learn(list(missing))
-            for i, chunks in open_rows:
-                out[i] = b"".join([known[c] for c in chunks])
-        return out
-
-
-_encoders: dict[tuple[str, int], ChunkEncoder] = {}
-
-
-def _encoder(path: str, width: int) -> ChunkEncoder:
+        return [t.id for t in self._tokenizer.model.tokenize(word.translate(self._bytes))]
+
+    def _learn(self, hashes: np.ndarray, chunks: list[str]) -> None:
+        """Remembers new chunks."""
+        parts = [(m[1].lower(), m[2]) if (m := self._PLAIN.fullmatch(c)) else ("", c) for c in chunks]
+        words, rest = {w for w, _ in parts if w}, list({x for _, x in parts if x})
+        known = {"": [], **{w: self._word(w) for w in words}}
+        other = dict(zip(["", *rest], [[], *self._whole(rest)], strict=True))
+        lists = [known[w] + other[x] for w, x in parts]
+        n, used = len(self._known), self._used
+        sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+        self._used += int(sizes.sum())
+        self._ids = W.room(self._ids, used, self._used - used)
+        self._ids[used : self._used] = np.fromiter(chain.from_iterable(lists), dtype=self._kind, count=self._used - used)
+        self._at, self._size = W.room(self._at, n, len(lists)), W.room(self._size, n, len(lists))
+        self._at[n : n + len(lists)] = used + np.cumsum(sizes) - sizes
+        self._size[n : n + len(lists)] = sizes
+        self._known.add(hashes)
+
+    def _chunks(self, units: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        starts, ends, first = W.spans(units, offsets, self._inside)
+        h = W.hashes(units, starts, ends)
+        places = self._known.find(h)
+        new = np.flatnonzero(places < 0)
+        if len(new):
+            if len(self._known) + len(new) > self.CACHE:
+                self._forget()
+                new = np.arange(len(h))
+            fresh, at = np.unique(h[new], return_index=True)
+            data, at = units.tobytes(), new[at]
+            self._learn(fresh, [data[a:b].decode("utf-8", "surrogatepass") for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+            places = self._known.find(h)
+        sizes = self._size[places]
+        before = np.concatenate([[0], np.cumsum(sizes)])
+        source = np.repeat(self._at[places] - before[:-1], sizes) + np.arange(before[-1])
+        return self._ids[source], np.diff(before[first])
+
+    def encode(self, column) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of an Arrow string array without nulls, one text after the other, and how many each text has."""
+        ids, sizes = [np.zeros(0, dtype=self._kind)], [np.zeros(0, dtype=np.int64)]
+        if self.chunked:
+            units, offsets = W.arrow_bytes(column)
+            for a, b in W.slices(offsets, self.UNITS):
+                made = self._chunks(units[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                ids.append(made[0])
+                sizes.append(made[1])
+        else:
+            for a in range(0, len(column), 256):
+                lists = self._whole(column.slice(a, 256).to_pylist())
+                ids += [np.array(x, dtype=self._kind) for x in lists]
+                sizes.append(np.array([len(x) for x in lists], dtype=np.int64))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+
+_encoders: dict[tuple[str, int], Encoder] = {}
+
+
+def _encoder(path: str, width: int) -> Encoder:
     if (path, width) not in _encoders:
-        _encoders[path, width] = ChunkEncoder(path, width)
+        _encoders[path, width] = Encoder(path, width)
     return _encoders[path, width]
 
 
-def encode_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, width: int = 2, block_ids: int = 1 << 20) -> DataFrame:
-    """Blocks of token ids in ascending doc_id order (BLOCK_SCHEMA).
+def encode_texts(docs: DataFrame, tokenizer: str, width: int = 2) -> DataFrame:
+    """(doc_id, ids) of docs (doc_id, text): the ids of each text, ``width`` bytes each, without an end id."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        encoder = _encoder(tokenizer, width)
+        for whole in batches:
+            for a in range(0, whole.num_rows, 1024):
+                batch = whole.slice(a, 1024)
+                ids, sizes = encoder.encode(batch.column(1))
+                ends = np.concatenate([[0], np.cumsum(sizes)]) * width
+                made = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(ids.tobytes())])
+                yield pa.RecordBatch.from_arrays([batch.column(0), made.cast(pa.binary())], names=["doc_id", "ids"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return texts.mapInArrow(run, "doc_id long, ids binary")
+
 
-    docs: doc_id and text. tokenizer: a file of the tokenizers library whose
-    tokens don't cross white space. width: bytes per id. A block ends once it
-    holds ``block_ids`` ids; a longer document gets a block of its own size.
+def write_blocks(encoded: DataFrame, end_id: int = 1, width: int = 2, block_ids: int = 1 << 20) -> DataFrame:
+    """Blocks (BLOCK_SCHEMA) of stored (doc_id, ids), in ascending doc_id order; every document gets ``end_id``.
+
+    A block ends once it holds ``block_ids`` ids; a longer document gets a block of its own size.
     """
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator) -> Iterator[pd.DataFrame]:
+        import pyarrow as pa
         from pyspark import TaskContext
 
-        encoder, end = _encoder(tokenizer, width), end_id.to_bytes(width, "little")
-        shard, block, offset = TaskContext.get().partitionId(), 0, 0
+        shard, block, offset, end = TaskContext.get().partitionId(), 0, 0, end_id.to_bytes(width, "little")
         doc_ids, parts, sizes, n = [], [], [], 0
 
-        def flush() -> pd.DataFrame:
+        def flush():
             nonlocal block, offset, doc_ids, parts, sizes, n
             payload = pack_block(doc_ids, np.cumsum(sizes), b"".join(parts), width)
             row = (shard, block, offset, len(doc_ids), n, payload)
             block, offset, doc_ids, parts, sizes, n = block + 1, offset + n, [], [], [], 0
-            return pd.DataFrame([row], columns=["shard", "block", "shard_offset", "n_docs", "n_ids", "payload"])
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([x], type=k) for x, k in zip(row, kinds, strict=True)], names=["shard", "block", "shard_offset", "n_docs", "n_ids", "payload"])
 
         for batch in batches:
-            keys = [None if missing else int(d) for d, missing in zip(batch["doc_id"], batch["doc_id"].isna(), strict=True)]
-            texts = batch["text"].tolist()
-            for i in range(0, len(texts), 256):
-                for d, ids in zip(keys[i : i + 256], encoder.encode(texts[i : i + 256]), strict=True):
-                    size = len(ids) // width + 1
-                    if n and n + size > block_ids:
-                        yield flush()
-                    doc_ids.append(d)
-                    parts += (ids, end)
-                    sizes.append(size)
-                    n += size
+            for d, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                size = len(ids) // width + 1
+                if n and n + size > block_ids:
+                    yield flush()
+                doc_ids.append(d)
+                parts += (ids, end)
+                sizes.append(size)
+                n += size
         if doc_ids:
             yield flush()
 
-    ordered = docs.select(F.col("doc_id").cast("decimal(20,0)").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ordered = ordered.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return ordered.mapInPandas(write, BLOCK_SCHEMA)
+    order = F.col("doc_id").asc_nulls_first()
+    return encoded.repartitionByRange(order).sortWithinPartitions(order, "ids").mapInArrow(write, BLOCK_SCHEMA)
+
+
+def encode_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, width: int = 2, block_ids: int = 1 << 20) -> DataFrame:
+    """Blocks of token ids (BLOCK_SCHEMA) of docs (doc_id, text).
+
+    Texts are encoded where they are and the ids are stored; only ids are dealt by
+    range. tokenizer: a file of the tokenizers library; width: bytes per id.
+    """
+    return write_blocks(stored(encode_texts(docs, tokenizer, width), "token-ids"), end_id, width, block_ids)
 
 
 def read_documents(blocks: DataFrame) -> DataFrame:
-    """One row per document from stored blocks (DOC_SCHEMA).
+    """One row per document from stored blocks (DOC_SCHEMA); boundaries are read by ``select``.
 
     The driver sees one number per shard, that is per task that wrote.
     """
@@ -258,9 +349,9 @@ def read_documents(blocks: DataFrame) -> DataFrame:
         for batch in batches:
             for r in batch.itertuples():
                 doc_ids, ends, ids, width = open_block(r.payload)
-                stops = ends.values()
-                begins = np.concatenate([[0], stops[:-1]])
                 words = np.frombuffer(ids, dtype=f"<u{width}").astype("<u4")
+                stops = np.fromiter(map(ends.select, range(ends.n)), dtype=np.int64, count=ends.n)
+                begins = np.concatenate([[0], stops[:-1]])
                 yield pd.DataFrame(
                     {
                         "doc_id": pd.array(doc_ids, dtype="Int64"),

@@ -113,27 +113,35 @@ def hashes(units: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     return out
 
 
+def room(values: np.ndarray, used: int, more: int) -> np.ndarray:
+    """``values`` with room for so many more than the used ones; grows by doubling."""
+    if used + more <= len(values):
+        return values
+    return np.concatenate([values[:used], np.zeros(used + more, dtype=values.dtype)])
+
+
 class Index:
     """From distinct 64-bit hashes to their places 0, 1, ... in order of arrival."""
 
     def __init__(self, keys: np.ndarray | None = None):
-        self._keys = np.zeros(0, dtype=np.uint64)
+        self._keys, self._n = np.zeros(1, dtype=np.uint64), 0
         self._slots = np.full(1024, -1, dtype=np.int32)
         if keys is not None:
             self.add(keys)
 
     def __len__(self) -> int:
-        return len(self._keys)
+        return self._n
 
     def add(self, keys: np.ndarray) -> None:
         """New keys, none of which is known yet."""
-        first = len(self._keys)
-        self._keys = np.concatenate([self._keys, keys])
-        if 4 * len(self._keys) > len(self._slots):
-            self._slots = np.full(1 << (8 * len(self._keys)).bit_length(), -1, dtype=np.int32)
+        first, self._keys = self._n, room(self._keys, self._n, len(keys))
+        self._keys[first : first + len(keys)] = keys
+        self._n += len(keys)
+        if 2 * self._n > len(self._slots):
+            self._slots = np.full(1 << (4 * self._n).bit_length(), -1, dtype=np.int32)
             first = 0
         mask = np.uint64(len(self._slots) - 1)
-        open_ = np.arange(first, len(self._keys), dtype=np.int32)
+        open_ = np.arange(first, self._n, dtype=np.int32)
         at = self._keys[open_] & mask
         while len(open_):
             free = self._slots[at] < 0
@@ -143,8 +151,6 @@ class Index:
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """The place of every hash; -1 for unknown ones."""
-        if not len(self._keys):
-            return np.full(len(hashes), -1, dtype=np.int32)
         mask = np.uint64(len(self._slots) - 1)
         out = self._slots[hashes & mask]
         wrong = np.flatnonzero((out >= 0) & (self._keys[out] != hashes))
