@@ -57,7 +57,7 @@ from watchwell.llm.components import components
 K, SKETCHES, PICK = 5, 40, 6
 #: Texts of up to so many shingles have the short entries; those of over LONG the others.
 SHORT, LONG, SHORT_SKETCHES, SHORT_PICK = 24, 19, 24, 3
-BITS, GROWTH = 1024, 8
+BITS, GROWTH = 1024, 64
 #: Code points that are worked on in one go.
 UNITS = 1 << 17
 _WEIGHTS = np.array([int(xxhash.xxh3_64_intdigest(b"w%d" % i)) | 1 for i in range(K)], dtype=np.uint64)
@@ -225,9 +225,9 @@ def _starred(buckets: DataFrame, nodes: DataFrame, threshold: float) -> tuple[Da
     return pairs.filter(possible("x", "y", threshold)).select("a", "b"), both.filter("node <> centre").drop("centre")
 
 
-def _mixed(members: DataFrame, near: DataFrame) -> DataFrame:
-    """The members of buckets that hold several components under the links ``near``, with their labels."""
-    members = members.drop("label").join(components(near), "node", "left").withColumn("label", F.coalesce("label", "node"))
+def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members of buckets that hold several components, with their labels."""
+    members = members.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     several = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
     return members.join(several, "key")
 
@@ -253,7 +253,7 @@ def _turn(members: DataFrame, centres: int, threshold: float) -> tuple[DataFrame
     return pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")), members.filter(~F.col("central")).drop("central")
 
 
-def classes(docs: DataFrame, threshold: float = 0.8, few_pairs: int = 4) -> DataFrame:
+def classes(docs: DataFrame, threshold: float = 0.8, few_pairs: int = 64) -> DataFrame:
     """(doc_id, class_id) of every row of docs (doc_id, text).
 
     class_id is the smallest doc_id of the class; null for rows without doc_id.
@@ -273,23 +273,26 @@ def classes(docs: DataFrame, threshold: float = 0.8, few_pairs: int = 4) -> Data
     texts = stored(named.select("node", "text").dropDuplicates(["node"]), "sketch-texts")
     pairs, left = _starred(buckets, nodes, threshold)
     near = _repeats(rows, nodes).union(stored(verified(pairs, texts, threshold), "sketch-links"))
-    mixed = _mixed(left, near)
+    labels = components(near)
+    mixed = _mixed(left, labels)
     own = mixed.groupBy("node").agg(F.array_sort(F.collect_list("key")).alias("keys"))
     members = stored(mixed.join(own, "node").join(nodes.select("node", "n", "bits"), "node"), "sketch-mixed")
     crossing, size = _crossing(members)
     if crossing:
         texts = stored(texts.join(members.select("node").distinct(), "node"), "sketch-texts")
-    centres = 1
+    centres = GROWTH
     while crossing:
         last = crossing <= few_pairs * size
         pairs, left = _turn(members, 2**62 if last else centres, threshold)
-        near = near.union(stored(verified(stored(pairs, "sketch-pairs"), texts, threshold), "sketch-links"))
+        found = stored(verified(stored(pairs, "sketch-pairs"), texts, threshold), "sketch-links")
+        if found.limit(1).count():
+            near = near.union(found)
+            labels = components(near)
         if last:
             break
-        members = stored(_mixed(left, near), "sketch-members")
+        members = stored(_mixed(left, labels), "sketch-members")
         crossing, size = _crossing(members)
         centres *= GROWTH
-    labels = components(near)
     labelled = nodes.select("node", "doc", "h").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     names = labelled.groupBy("label").agg(F.min("doc").alias("class_id"))
     of_text = labelled.join(names, "label").select("h", "class_id")
