@@ -22,10 +22,15 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.divide(1, y, out=y)
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
-    x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
-    return x
+def _softmax(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shares (in place) of each column of x, and the log share of row at[i] in column i."""
+    x -= x.max(axis=0)
+    columns = np.arange(x.shape[1])
+    picked = x[at, columns]
+    np.exp(x, out=x)
+    sums = x.sum(axis=0)
+    x /= sums
+    return x, picked - np.log(sums)
 
 
 @dataclass
@@ -103,76 +108,87 @@ class Model:
     def scores(self, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural log probability of each target symbol after its state."""
         kinds = self.shape.class_of[targets]
-        logp = _log_softmax(states @ self.out + self.out_bias)[np.arange(len(targets)), kinds]
+        _, logp = _softmax(self.out.T @ states.T + self.out_bias[:, None], kinds)
         for k, rows in self._by_class(kinds):
             a, b = self.shape.first[k], self.shape.first[k + 1]
             if b - a > 1:
-                inside = _log_softmax(states[rows] @ self.word[:, a:b] + self.word_bias[a:b])
-                logp[rows] += inside[np.arange(len(rows)), targets[rows] - a]
+                _, inside = _softmax(self.word[:, a:b].T @ states[rows].T + self.word_bias[a:b, None], targets[rows] - a)
+                logp[rows] += inside
         return logp
 
     def _by_class(self, kinds: np.ndarray):
-        order = np.argsort(kinds, kind="stable")
+        order = np.argsort(kinds.astype(np.uint16), kind="stable")
         cuts = np.searchsorted(kinds[order], np.arange(self.shape.word_classes + 1))
         for k in range(self.shape.word_classes):
             if cuts[k] < cuts[k + 1]:
                 yield k, order[cuts[k] : cuts[k + 1]]
 
-    def window(self, inputs: np.ndarray, targets: np.ndarray, mask: np.ndarray, state: np.ndarray) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
-        """Loss per token, gradients and last state of one window (steps x rows)."""
-        steps, rows = inputs.shape
-        h, kept, states = self.shape.hidden, [], []
-        for t in range(steps):
-            new, memory = self.step(inputs[t], state)
-            state = np.where(mask[t][:, None], new, state)
-            kept.append(memory)
-            states.append(state)
-        used = np.flatnonzero(mask.ravel())
-        flat, goal = np.concatenate(states)[used], targets.ravel()[used]
-        n = max(len(used), 1)
-        grads = {name: np.zeros_like(getattr(self, name)) for name in self.NAMES}
-        kinds = self.shape.class_of[goal]
-        log_class = _log_softmax(flat @ self.out + self.out_bias)
-        at = np.arange(len(used))
-        loss = -log_class[at, kinds].sum()
-        d = np.exp(log_class)
-        d[at, kinds] -= 1
+    def _outputs(self, flat: np.ndarray, goal: np.ndarray, grads: dict[str, np.ndarray]) -> tuple[float, np.ndarray]:
+        """Loss of all tokens and its gradient by the states; gradients of the output layers go to grads."""
+        n = max(len(goal), 1)
+        kinds, at = self.shape.class_of[goal], np.arange(len(goal))
+        d, logp = _softmax(self.out.T @ flat.T + self.out_bias[:, None], kinds)
+        loss = -float(logp.sum())
+        d[kinds, at] -= 1
         d /= n
-        grads["out"], grads["out_bias"] = flat.T @ d, d.sum(axis=0)
-        d_flat = d @ self.out.T
+        grads["out"], grads["out_bias"] = (d @ flat).T, d.sum(axis=1)
+        d_flat = d.T @ self.out.T
         for k, some in self._by_class(kinds):
             a, b = self.shape.first[k], self.shape.first[k + 1]
             if b - a > 1:
-                inside = _log_softmax(flat[some] @ self.word[:, a:b] + self.word_bias[a:b])
-                own = np.arange(len(some))
-                loss -= inside[own, goal[some] - a].sum()
-                d = np.exp(inside)
-                d[own, goal[some] - a] -= 1
+                states, own = flat[some], goal[some] - a
+                d, logp = _softmax(self.word[:, a:b].T @ states.T + self.word_bias[a:b, None], own)
+                loss -= float(logp.sum())
+                d[own, np.arange(len(some))] -= 1
                 d /= n
-                grads["word"][:, a:b] = flat[some].T @ d
-                grads["word_bias"][a:b] = d.sum(axis=0)
-                d_flat[some] += d @ self.word[:, a:b].T
-        d_states = np.zeros((steps * rows, h), dtype=flat.dtype)
-        d_states[used] = d_flat
-        d_states = d_states.reshape(steps, rows, h)
-        carry = np.zeros((rows, h), dtype=flat.dtype)
-        d_inputs = np.zeros((steps, rows, 3 * h), dtype=flat.dtype)
-        for t in reversed(range(steps)):
-            _, before, z, r, c, u = kept[t]
-            d_new = np.where(mask[t][:, None], d_states[t] + carry, 0)
-            d_c = d_new * (1 - z) * (1 - c * c)
-            d_z = d_new * (before - c) * z * (1 - z)
-            d_r = d_c * u * r * (1 - r)
-            d_inputs[t] = np.concatenate([d_z, d_r, d_c], axis=1)
-            d_u = np.concatenate([d_z, d_r, d_c * r], axis=1)
-            grads["recur"] += before.T @ d_u
-            carry = d_new * z + d_u @ self.recur.T + np.where(mask[t][:, None], 0, d_states[t] + carry)
-        read = inputs.ravel()[used]
-        order = np.argsort(read, kind="stable")
-        symbols, first = np.unique(read[order], return_index=True)
-        if len(used):
-            grads["inputs"][symbols] = np.add.reduceat(d_inputs.reshape(-1, 3 * h)[used[order]], first, axis=0)
-        return float(loss) / n, grads, state
+                grads["word"][:, a:b] = (d @ states).T
+                grads["word_bias"][a:b] = d.sum(axis=1)
+                d_flat[some] += d.T @ self.word[:, a:b].T
+        return loss, d_flat
+
+    def window(self, inputs: np.ndarray, targets: np.ndarray, mask: np.ndarray, state: np.ndarray) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
+        """Loss per token, gradients and last state of one window (steps x rows).
+
+        mask: of each row, true up to its end. Rows are taken by falling length, so
+        that those which go on are always the first ones.
+        """
+        h, rows = self.shape.hidden, inputs.shape[1]
+        order = np.argsort(-mask.sum(axis=0), kind="stable")
+        live = [n for n in mask.sum(axis=1).tolist() if n]
+        inputs, targets, last = inputs[:, order], targets[:, order], state[order]
+        ends, before, kept = last.copy(), last, []
+        for t, n in enumerate(live):
+            new, memory = self.step(inputs[t, :n], before[:n])
+            ends[:n] = new
+            kept.append((memory, new))
+            before = new
+        after = np.empty((rows, h), dtype=state.dtype)
+        after[order] = ends
+        grads = {name: np.zeros_like(getattr(self, name)) for name in self.NAMES}
+        if not live:
+            return 0.0, grads, after
+        goal = np.concatenate([targets[t, :n] for t, n in enumerate(live)])
+        loss, d_flat = self._outputs(np.concatenate([new for _, new in kept]), goal, grads)
+        d_inputs, d_u = np.empty((len(goal), 3 * h), dtype=d_flat.dtype), np.empty((len(goal), 3 * h), dtype=d_flat.dtype)
+        carry, stop = np.zeros((0, h), dtype=d_flat.dtype), len(goal)
+        back = np.ascontiguousarray(self.recur.T)
+        for (_, before, z, r, c, u), _ in reversed(kept):
+            at = slice(stop - len(z), stop)
+            stop = at.start
+            d_new, own, ours = d_flat[at], d_inputs[at], d_u[at]
+            d_new[: len(carry)] += carry
+            np.multiply(d_new * (1 - z), 1 - c * c, out=own[:, 2 * h :])
+            np.multiply(d_new * (before - c), z * (1 - z), out=own[:, :h])
+            np.multiply(own[:, 2 * h :] * u, r * (1 - r), out=own[:, h : 2 * h])
+            ours[:, : 2 * h] = own[:, : 2 * h]
+            np.multiply(own[:, 2 * h :], r, out=ours[:, 2 * h :])
+            carry = d_new * z + ours @ back
+        grads["recur"] = np.concatenate([memory[1] for memory, _ in kept]).T @ d_u
+        read = np.concatenate([memory[0] for memory, _ in kept])
+        by_symbol = np.argsort(read.astype(np.uint16), kind="stable")
+        symbols, first = np.unique(read[by_symbol], return_index=True)
+        grads["inputs"][symbols] = np.add.reduceat(d_inputs[by_symbol], first, axis=0)
+        return loss / len(goal), grads, after
 
 
 class Adam:
@@ -205,7 +221,7 @@ def padded(texts: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray, n
     return inputs, targets, mask
 
 
-def train(model: Model, texts: Iterable[np.ndarray], end: int, rows: int = 256, window: int = 16, rate: float = 0.01) -> int:
+def train(model: Model, texts: Iterable[np.ndarray], end: int, rows: int = 256, window: int = 32, rate: float = 0.01) -> int:
     """One pass over all symbols of the sequences, by truncated backpropagation; the number of symbols.
 
     Up to ``rows`` sequences run side by side. Each carries its state from window to
