@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from watchwell.operators.mart import OPEN, service_key
-from watchwell.sources.auth import local
+from watchwell.sources.auth import day_start
 
 #: Severities by rank.
 RANKS = ("low", "medium", "high", "critical")
@@ -55,11 +55,10 @@ def browse_alerts(
     for column, value in (("severity", severity), ("investigation_status", status), ("rule_id", rule_id)):
         if value:
             found = found.filter(F.col(column) == value)
-    day = F.to_date(local(F.col("first_seen"), zone))
     if date_from:
-        found = found.filter(day >= F.lit(date_from).cast("date"))
+        found = found.filter(F.col("first_seen") >= day_start(date_from, zone))
     if date_to:
-        found = found.filter(day <= F.lit(date_to).cast("date"))
+        found = found.filter(F.col("first_seen") < day_start(date_to, zone, 1))
     services = F.split("relying_parties", ";")
     if service:
         found = found.filter(F.array_contains(services, service))
@@ -90,11 +89,10 @@ def scope(events: DataFrame, window_days: int = 0, date_from: str | None = None,
         newest = good.agg(F.max("ts").alias("_newest"))
         good = good.join(F.broadcast(newest)).filter(F.col("ts") >= F.timestamp_micros(F.unix_micros("_newest") - window_days * 86_400_000_000)).drop("_newest")
     found = good.filter(F.trim(F.coalesce(F.col("relying_party"), F.lit(""))) != "")
-    day = F.to_date(local(F.col("ts"), zone))
     if date_from:
-        found = found.filter(day >= F.lit(date_from).cast("date"))
+        found = found.filter(F.col("ts") >= day_start(date_from, zone))
     if date_to:
-        found = found.filter(day <= F.lit(date_to).cast("date"))
+        found = found.filter(F.col("ts") < day_start(date_to, zone, 1))
     if service:
         found = found.filter(F.col("relying_party") == service)
     if among is not None:

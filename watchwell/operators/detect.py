@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from watchwell.operators.rules import TEXTS, Exclusions, Rule, RuleSet
-from watchwell.sources.auth import local
+from watchwell.sources.auth import day_start, local
 
 _EPOCH_US = 1_577_836_800_000_000  # 2020-01-01
 
@@ -48,7 +48,7 @@ def evaluation(events: DataFrame, training_end: str | None, zone: str) -> DataFr
     """Events on local days after the training period."""
     if not training_end:
         return events
-    return events.filter(F.to_date(local(F.col("ts"), zone)) > F.lit(training_end).cast("date"))
+    return events.filter(F.col("ts") >= day_start(training_end, zone, 1))
 
 
 def sliced(events: DataFrame, keys: list[str], minutes: int) -> DataFrame:

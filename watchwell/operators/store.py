@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from watchwell.operators.detect import detect
+from watchwell.operators.detect import detect, evaluation
 from watchwell.operators.rules import Exclusions, RuleSet
 
+#: Before any instant.
+_NEVER = -(2**62)
 # Statuses of an alert.
 STATUSES = ("new", "notified", "investigating", "resolved", "false_positive")
 
@@ -43,12 +49,14 @@ def bounds(events: DataFrame) -> DataFrame:
     return events.filter("is_consistent").groupBy("source_name").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
-def accept(found: DataFrame, kept: DataFrame, cooldowns: dict[str, int], source: str, order: tuple[str, str] = ("first_seen", "rule_id"), simulate: bool = False) -> DataFrame:
+def accept(found: DataFrame, kept: DataFrame, cooldowns: dict[str, int], source: str, order: tuple[str, ...] = ("first_seen", "rule_id", "last_seen"), simulate: bool = False) -> DataFrame:
     """found with alert_id and outcome: created, duplicate_alert or persistent_cooldown.
 
     kept: stored alerts (alert_id, source_name, rule_id, user_key, client_ip_key,
-    last_seen). Candidates of one rule, user and address are folded in ``order``,
-    beginning at the newest kept one; only alerts, not events, are in the arrays.
+    last_seen). Candidates of one rule, user and address are folded in ``order``, then
+    by id, beginning at the newest kept one. Spark sorts them; the fold holds the last
+    time and the last id created, however many candidates a key has (equal ids have
+    equal times, so they follow each other).
     ``simulate``: as a preview does, where a cooldown of 0 still drops older alerts.
     """
     keys = ["rule_id", "user_key", "client_ip_key"]
@@ -60,28 +68,29 @@ def accept(found: DataFrame, kept: DataFrame, cooldowns: dict[str, int], source:
     named = named.join(own.select("alert_id", F.lit(True).alias("_known")).distinct(), "alert_id", "left")
     newest = own.groupBy(*keys).agg(F.max(F.unix_micros("last_seen")).alias("_newest"))
     minutes = F.create_map(*(F.lit(x) for pair in cooldowns.items() for x in pair)) if cooldowns else F.create_map(F.lit(""), F.lit(0))
-    carried = [c for c in named.columns if c not in (*keys, "_known")]
-    item = F.struct(*(F.col(c).alias(f"o_{i}") for i, c in enumerate(order)), F.col("alert_id").alias("o_id"), F.coalesce("_known", F.lit(False)).alias("known"), F.unix_micros("last_seen").alias("at"), *carried)
-    lists = named.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("items")).join(newest, keys, "left")
-    lists = lists.withColumn("_wait", F.coalesce(F.try_element_at(minutes, F.col("rule_id")), F.lit(0)).cast("long") * 60_000_000)
-    start = F.struct(F.col("_newest").alias("latest"), F.array().cast("array<string>").alias("ids"), F.array().cast("array<string>").alias("outcomes"))
-
-    def step(state: Column, x: Column) -> Column:
-        twin = x["known"] | F.array_contains(state["ids"], x["alert_id"])
-        soon = state["latest"].isNotNull() & (x["at"] - state["latest"] < F.col("_wait"))
-        if not simulate:
-            soon = soon & (F.col("_wait") > 0)
-        outcome = F.when(twin, "duplicate_alert").when(soon, "persistent_cooldown").otherwise("created")
-        made = outcome == "created"
-        return F.struct(
-            F.when(made, F.greatest(F.coalesce(state["latest"], x["at"]), x["at"])).otherwise(state["latest"]).alias("latest"),
-            F.when(made, F.array_append(state["ids"], x["alert_id"])).otherwise(state["ids"]).alias("ids"),
-            F.array_append(state["outcomes"], outcome).alias("outcomes"),
-        )
-
-    judged = lists.withColumn("outcomes", F.aggregate("items", start, step, lambda s: s["outcomes"]))
-    rows = judged.select(*keys, F.explode(F.arrays_zip("items", "outcomes")).alias("z"))
-    return rows.select(*(F.col(f"z.items.{c}").alias(c) if c not in keys else F.col(c) for c in found.columns), F.col("z.outcomes").alias("outcome"))
+    wait = F.coalesce(F.try_element_at(minutes, F.col("rule_id")), F.lit(0)).cast("long") * 60_000_000
+    rows = named.join(newest, keys, "left").withColumns({"_known": F.coalesce("_known", F.lit(False)), "_newest": F.coalesce("_newest", F.lit(_NEVER)), "_at": F.unix_micros("last_seen"), "_wait": wait})
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key = latest = created = None
+        for batch in batches:
+            outcomes = []
+            for *k, i, known, newest, at, wait in zip(*(batch[c] for c in (*keys, "alert_id", "_known", "_newest", "_at", "_wait")), strict=True):
+                if k != key:
+                    key, latest, created = k, newest, None
+                if known or i == created:
+                    outcomes.append("duplicate_alert")
+                elif (wait > 0 or simulate) and latest != _NEVER and at - latest < wait:
+                    outcomes.append("persistent_cooldown")
+                else:
+                    latest, created = max(latest, at), i
+                    outcomes.append("created")
+            yield batch[out_names[:-1]].assign(outcome=outcomes)
+
+    out = StructType([*found.schema.fields, StructField("outcome", StringType())])
+    out_names = out.names
+    sorted_ = rows.repartition(*keys).sortWithinPartitions(*keys, *order, "alert_id")
+    return sorted_.mapInPandas(fold, out)
 
 
 def suppressions(judged: DataFrame, source: str) -> DataFrame:
@@ -112,16 +121,17 @@ def analyze(events: DataFrame, kept: DataFrame, rules: RuleSet, start: str, stop
     return accept(found, kept, cooldown_minutes(rules), source, ("last_seen", "rule_id"))
 
 
-def preview(events: DataFrame, first: RuleSet, second: RuleSet, start: str, stop: str, baseline=None) -> DataFrame:
+def preview(events: DataFrame, first: RuleSet, second: RuleSet, start: str, stop: str, baseline=None, exclusions: Exclusions | None = None, training_end: str | None = None) -> DataFrame:
     """Counts of accepted alerts under two rule sets and their difference.
 
-    (measure, name, first, second, difference), by total, rule and severity.
+    (measure, name, first, second, difference), by total, rule and severity. Events
+    of days up to ``training_end`` are no evaluation and are left out.
     """
     look = max(first.longest_window(), second.longest_window())
-    scope = with_lookback(events, start, stop, look)
+    scope = evaluation(with_lookback(events, start, stop, look), training_end, first.zone)
     parts = []
     for name, rules in (("first", first), ("second", second)):
-        found = ending(detect(scope, rules, baseline), start, stop)
+        found = ending(detect(scope, rules, baseline, exclusions), start, stop)
         kept = found.select("alert_id", F.lit("").alias("source_name"), "rule_id", "user_key", "client_ip_key", "last_seen").limit(0)
         good = accept(found, kept, cooldown_minutes(rules), "preview", simulate=True).filter("outcome = 'created'")
         items = F.array(F.struct(F.lit("total").alias("measure"), F.lit("").alias("name")), F.struct(F.lit("rule").alias("measure"), F.col("rule_id").alias("name")), F.struct(F.lit("severity").alias("measure"), F.col("severity").alias("name")))

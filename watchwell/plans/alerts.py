@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from watchwell.operators import baseline, browse, store
 from watchwell.operators.rules import DISABLED
-from watchwell.plans.common import ALL_RULES, CONFIG, E, E_ALL, RULES, TRAINING_END, Registry, all_alerts, consistent, text_time, trained
+from watchwell.plans.common import ALL_RULES, CONFIG, E, E_ALL, RULE_CTES, RULES, TRAIN, TRAINING_END, Registry, all_alerts, consistent, text_time, trained
 from watchwell.plans.services import STATUS_SQL, with_status
 from watchwell.sources.auth import activity
 
@@ -36,7 +36,7 @@ _EACH = ", ex AS (SELECT *, unnest(string_split(relying_parties, ';')) AS rp FRO
 # --- acceptance
 
 _KEPT = """kept AS (SELECT alert_id, rule_id, user_key, client_ip_key, last_seen FROM alerts WHERE last_seen < TIMESTAMP '2024-01-11 00:00:00'),
-cand AS (SELECT *, row_number() OVER (PARTITION BY rule_id, user_key, client_ip_key ORDER BY first_seen, alert_id) AS rn FROM alerts WHERE last_seen >= TIMESTAMP '2024-01-10 00:00:00'),
+cand AS (SELECT *, row_number() OVER (PARTITION BY rule_id, user_key, client_ip_key ORDER BY first_seen, last_seen, alert_id) AS rn FROM alerts WHERE last_seen >= TIMESTAMP '2024-01-10 00:00:00'),
 cd AS (SELECT * FROM (VALUES ('AUTH_BRUTE_FORCE_USER', 900), ('AUTH_PASSWORD_SPRAY_IP', 900), ('AUTH_SUCCESS_AFTER_FAILURES', 900), ('AUTH_ACCOUNT_LOCKOUT', 86400), ('AUTH_NEW_IP_FOR_USER', 86400)) v(rule_id, wait)),
 fold AS (
   SELECT c.alert_id, c.rule_id, c.user_key, c.client_ip_key, c.rn,
@@ -55,7 +55,7 @@ def _accepted(spark, sf_dir):
     found = all_alerts(spark, sf_dir)
     kept = found.filter("last_seen < timestamp '2024-01-11 00:00:00'").select("alert_id", F.lit("demo").alias("source_name"), "rule_id", "user_key", "client_ip_key", "last_seen")
     new = found.filter("last_seen >= timestamp '2024-01-10 00:00:00'")
-    return store.accept(new, kept, store.cooldown_minutes(RULES), "demo", ("first_seen", "alert_id"))
+    return store.accept(new, kept, store.cooldown_minutes(RULES), "demo")
 
 
 @REGISTRY.add("accept_alerts", _ACCEPT + " SELECT alert_id, rule_id, user_key, client_ip_key, outcome FROM fold")
@@ -71,9 +71,23 @@ def suppressions(spark, sf_dir):
     return store.suppressions(_accepted(spark, sf_dir), "demo")
 
 
-@REGISTRY.add("history_job")
+_JOB = (
+    "WITH RECURSIVE " + TRAIN.replace("FROM e ", "FROM ef ").replace("e.*", "ef.*").replace("e AS (SELECT * FROM e_all WHERE ok)", "ef AS (SELECT * FROM e_all WHERE ok)")
+    + ", e AS (SELECT * FROM ef WHERE ts >= TIMESTAMP '2024-01-11 00:00:00' AND ts < TIMESTAMP '2024-01-20 00:00:00')," + RULE_CTES
+    + """, cand AS (SELECT *, row_number() OVER (PARTITION BY rule_id, user_key, client_ip_key ORDER BY last_seen, alert_id) AS rn FROM alerts WHERE last_seen >= TIMESTAMP '2024-01-12 00:00:00' AND last_seen < TIMESTAMP '2024-01-20 00:00:00'),
+    cd AS (SELECT * FROM (VALUES ('AUTH_BRUTE_FORCE_USER', 900), ('AUTH_PASSWORD_SPRAY_IP', 900), ('AUTH_SUCCESS_AFTER_FAILURES', 900), ('AUTH_ACCOUNT_LOCKOUT', 86400), ('AUTH_NEW_IP_FOR_USER', 86400)) v(rule_id, wait)),
+    fold AS (SELECT rule_id, user_key, client_ip_key, alert_id, severity, rn, epoch_us(last_seen) AS latest, 'created' AS outcome FROM cand WHERE rn = 1
+      UNION ALL
+      SELECT c.rule_id, c.user_key, c.client_ip_key, c.alert_id, c.severity, c.rn, CASE WHEN epoch_us(c.last_seen) - f.latest < wait::BIGINT * 1000000 THEN f.latest ELSE greatest(f.latest, epoch_us(c.last_seen)) END,
+        CASE WHEN epoch_us(c.last_seen) - f.latest < wait::BIGINT * 1000000 THEN 'persistent_cooldown' ELSE 'created' END
+      FROM fold f JOIN cand c ON c.rule_id = f.rule_id AND c.user_key = f.user_key AND c.client_ip_key = f.client_ip_key AND c.rn = f.rn + 1 JOIN cd ON cd.rule_id = c.rule_id)
+    SELECT alert_id, rule_id, severity, outcome FROM fold"""
+)
+
+
+@REGISTRY.add("history_job", _JOB)
 def history_job(spark, sf_dir):
-    """A past range, analyzed and accepted (rows only: each window begins at the range's lookback)."""
+    """A past range, analyzed and accepted; windows begin at the range's lookback."""
     events = consistent(spark, sf_dir)
     kept = all_alerts(spark, sf_dir).limit(0).select("alert_id", F.lit("demo").alias("source_name"), "rule_id", "user_key", "client_ip_key", "last_seen")
     known = baseline.context(trained(spark, sf_dir), CONFIG)
@@ -106,20 +120,20 @@ def rule_preview(spark, sf_dir):
 
 @REGISTRY.add(
     "append_events",
-    "WITH b AS (SELECT event_id % 4000 AS k, ts FROM events), f AS (SELECT k FROM b WHERE k % 3 <> 0 GROUP BY 1) SELECT (SELECT count(*) FROM f) AS inserted, (SELECT count(*) FROM b) - (SELECT count(*) FROM f) AS duplicates",
+    "WITH b AS (SELECT event_id // 4 AS k, ts FROM events), f AS (SELECT k FROM b WHERE k % 3 <> 0 GROUP BY 1) SELECT (SELECT count(*) FROM f) AS inserted, (SELECT count(*) FROM b) - (SELECT count(*) FROM f) AS duplicates",
 )
 def append_events(spark, sf_dir):
     """A batch whose keys repeat, against a store that has every third key."""
-    e = activity(spark, sf_dir).withColumn("k", F.col("event_id").cast("long") % 4000)
+    e = activity(spark, sf_dir).withColumn("k", F.floor(F.col("event_id").cast("long") / 4))
     e = e.withColumn("event_key", store.event_key(F.col("source_name"), F.col("k")))
     kept = e.filter("k % 3 = 0").select("event_key").distinct()
     return store.append_events(e, kept)[1]
 
 
-@REGISTRY.add("replay_check", "SELECT CAST(0 AS BIGINT) AS inserted, count(*) AS duplicates FROM events WHERE event_id % 10 = 0")
+@REGISTRY.add("replay_check", "SELECT CAST(0 AS BIGINT) AS inserted, count(*) AS duplicates FROM events")
 def replay_check(spark, sf_dir):
     e = activity(spark, sf_dir).withColumn("event_key", store.event_key(F.col("source_name"), F.col("event_id")))
-    return store.verify_replay(e.filter(F.col("event_id").cast("long") % 10 == 0), e)
+    return store.verify_replay(e, e)
 
 
 @REGISTRY.add("source_cursors", f"SELECT 'demo' AS source_name, {_T.format('ts')} AS cursor_ts, CAST(event_id AS VARCHAR) AS cursor_id FROM events ORDER BY ts DESC LIMIT 1")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from watchwell.operators import baseline, detect
 from watchwell.operators.rules import slow_rules
+from watchwell.sources import tables
 from watchwell.sources.auth import activity
 
 #: The test activity: its first seven local days are the training period.
@@ -46,14 +48,25 @@ def trained(spark: SparkSession, sf_dir: str) -> DataFrame:
     return baseline.training(localized(spark, sf_dir), CONFIG)
 
 
-def all_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Alerts of all rules over the whole activity, with the baseline of its first days.
+#: Alert tables of this session: (application, events, their version) -> folder.
+_ALERTS: dict[tuple, str] = {}
+
+
+def found_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts of all rules over the whole activity, with the baseline of its first days."""
+    known = baseline.context(trained(spark, sf_dir), CONFIG)
+    return detect.detect(consistent(spark, sf_dir), RULES, (known["users"], known["user_ips"], TRAINING_END))
 
-    Cached: most queries over alerts read them more than once.
-    """
-    train = trained(spark, sf_dir)
-    known = baseline.context(train, CONFIG)
-    return detect.detect(consistent(spark, sf_dir), RULES, (known["users"], known["user_ips"], TRAINING_END)).cache()
+
+def all_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The alert table: found once for a state of the events, stored, and read by every query over alerts."""
+    events = f"{sf_dir}/events.parquet"
+    key = (spark.sparkContext.applicationId, events, tables.version(spark, events))
+    if key not in _ALERTS or tables.version(spark, _ALERTS[key]) is None:
+        folder = f"{tables.shared_dir(spark)}/alerts-{uuid.uuid4().hex}"
+        found_alerts(spark, sf_dir).write.parquet(folder)
+        _ALERTS[key] = folder
+    return spark.read.parquet(_ALERTS[key])
 
 
 def text_time(column: str, name: str | None = None):
@@ -131,8 +144,9 @@ R_SPRAY = rule_sql("spray", "AUTH_PASSWORD_SPRAY_IP", "cls = 'failure'", "ip", "
 R_SUCCESS = rule_sql("succ", "AUTH_SUCCESS_AFTER_FAILURES", "cls IN ('failure', 'success')", "usr", "cls = 'failure'", 4, 15, 75, "5 + CASE WHEN total >= 10 THEN 10 ELSE 0 END", """|| ',{"factor":"success_after_failures","points":5}' """ + _INTENSE.format(10, 10), lim=5, hit="cls = 'success'", evidence="m.cls = 'failure' OR m.us = k.us")
 R_LOCK = rule_sql("lockd", "AUTH_ACCOUNT_LOCKOUT", "cls = 'lockout'", "usr", "true", 6, 1440, 85)
 R_NEW = rule_sql("newip", "AUTH_NEW_IP_FOR_USER", "cls IN ('success', 'failure', 'lockout') AND CAST(loc AS DATE) > DATE '2024-01-07' AND usr IN (SELECT usr FROM tr GROUP BY usr HAVING sum(w) >= 5) AND (usr, ip) NOT IN (SELECT usr, ip FROM tr)", "usr || ':' || ip", "true", 3, 1440, 40)
-ALL_RULES = "WITH RECURSIVE " + TRAIN + "," + ",".join((R_BRUTE, R_SPRAY, R_SUCCESS, R_LOCK, R_NEW)) + """,
+RULE_CTES = ",".join((R_BRUTE, R_SPRAY, R_SUCCESS, R_LOCK, R_NEW)) + """,
 alerts AS (SELECT * FROM brute UNION ALL SELECT * FROM spray UNION ALL SELECT * FROM succ UNION ALL SELECT * FROM lockd UNION ALL SELECT * FROM newip)"""
+ALL_RULES = "WITH RECURSIVE " + TRAIN + "," + RULE_CTES
 
 
 def one_rule(ctes: str, name: str, base: str = E) -> str:

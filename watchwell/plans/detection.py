@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from watchwell.operators import baseline, detect
 from watchwell.operators.rules import Exclusions
-from watchwell.plans.common import ALERT_FIELDS, ALL_RULES, CONFIG, E, R_BRUTE, R_LOCK, R_NEW, R_SPRAY, R_SUCCESS, RULES, TRAIN, TRAINING_END, Registry, all_alerts, consistent, one_rule, trained
+from watchwell.plans.common import ALERT_FIELDS, ALL_RULES, CONFIG, E, R_BRUTE, R_LOCK, R_NEW, R_SPRAY, R_SUCCESS, RULES, TRAIN, TRAINING_END, Registry, all_alerts, consistent, found_alerts, one_rule, trained
 
 REGISTRY = Registry()
 
@@ -39,7 +39,7 @@ def new_ip_alerts(spark, sf_dir):
 
 @REGISTRY.add("alerts_all", ALL_RULES + " SELECT " + ", ".join(ALERT_FIELDS) + " FROM alerts")
 def alerts_all(spark, sf_dir):
-    return all_alerts(spark, sf_dir).select(*ALERT_FIELDS)
+    return found_alerts(spark, sf_dir).select(*ALERT_FIELDS)
 
 
 @REGISTRY.add(

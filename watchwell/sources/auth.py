@@ -22,6 +22,14 @@ def local(ts, zone: str = ZONE):
     return F.from_utc_timestamp(ts, zone)
 
 
+def day_start(day: str, zone: str = ZONE, later: int = 0):
+    """The instant at which a local day, or one so many days later, begins.
+
+    A constant: filters on an instant reach the scan, filters on its local day don't.
+    """
+    return F.to_utc_timestamp(F.date_add(F.lit(day).cast("date"), later).cast("timestamp"), zone)
+
+
 def from_activity(events: DataFrame) -> DataFrame:
     """Events of an activity table (event_id, ts, user_id, event_type, props)."""
     kind = F.col("event_type")
