@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -11,34 +9,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from watchwell.sources.tables import shared_dir, stored
+
+__all__ = ["appended", "bucket_of", "bucket_of_py", "shared_dir", "stored", "table"]
 
 #: Rows of an Arrow batch that are Python objects at one time.
 _SLICE = 1024
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see.
-
-    Read from ``spark.checkpoint.dir``. Where the session has none (tests on one
-    machine), a new temporary folder is made and kept in the session's settings.
-    """
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.watchwell.shared.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="watchwell-")
-        spark.conf.set("spark.watchwell.shared.dir", folder)
-    return folder.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read back.
-
-    Cuts the lineage: a lost executor loses no finished work.
-    """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -5,15 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from watchwell.llm.common import shared_dir
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once into the shared checkpoint folder."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+from watchwell.llm.common import stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -21,17 +13,19 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round gives a node the smallest label around it, then the label of that
     label, so paths shorten by half or more; the rounds end when no label moves.
-    Sums per key are partial before they are shuffled, so hubs are no hot spots.
-    An empty graph gives no rows; loops and repeated edges change nothing.
+    Labels are stored in every round: Spark knows their size and broadcasts them
+    while they are few, else it shuffles. Sums per key are partial before they are
+    shuffled, so hubs are no hot spots. An empty graph gives no rows; loops and
+    repeated edges change nothing.
     """
-    both = _cut(edges.select("a", "b").union(edges.select("b", "a")).toDF("node", "other").distinct())
-    labels = _cut(both.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("label")))
+    both = stored(edges.select("a", "b").union(edges.select("b", "a")).toDF("node", "other").distinct(), "graph-edges")
+    labels = stored(both.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("label")), "graph-labels")
     while True:
         around = both.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("label").alias("near"))
-        step = labels.join(around, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        far = step.select(F.col("node").alias("label"), F.col("label").alias("far"))
+        step = around.join(labels, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        far = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
         jumped = step.join(far, "label", "left").select("node", "old", F.least("label", F.coalesce("far", "label")).alias("label"))
-        jumped = _cut(jumped)
+        jumped = stored(jumped, "graph-labels")
         moved = jumped.filter(F.col("old") != F.col("label")).limit(1).count()
         labels = jumped.select("node", "label")
         if not moved:

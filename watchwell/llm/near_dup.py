@@ -272,7 +272,7 @@ def classes(docs: DataFrame, threshold: float = 0.8, few_pairs: int = 64) -> Dat
     named = known.join(held, known["doc_id"] == held["doc"]).filter(F.unhex(F.md5(F.col("text").cast("binary"))) == F.col("h"))
     texts = stored(named.select("node", "text").dropDuplicates(["node"]), "sketch-texts")
     pairs, left = _starred(buckets, nodes, threshold)
-    near = _repeats(rows, nodes).union(stored(verified(pairs, texts, threshold), "sketch-links"))
+    near = stored(_repeats(rows, nodes).union(verified(pairs, texts, threshold)), "sketch-links")
     labels = components(near)
     mixed = _mixed(left, labels)
     own = mixed.groupBy("node").agg(F.array_sort(F.collect_list("key")).alias("keys"))
