@@ -1,6 +1,9 @@
 import random
 
+import duckdb
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from watchwell.llm.pieces import BYTE_SCORE, SPACE, Pieces, decode, encode
@@ -63,14 +66,35 @@ def test_streaming_equals_full_table_where_pieces_cross_words(seed):
     assert len(parts) > 1
 
 
-@pytest.mark.parametrize("seed", range(20))
-def test_short_segments_are_the_stream(seed):
-    rng = random.Random(seed)
-    words = {"".join(rng.choice("abc") for _ in range(rng.randint(1, 4))) for _ in range(20)} | {"a", SPACE, SPACE + "a"}
-    m = small(sorted(words), seed)
-    for _ in range(20):
-        s = " " + "".join(rng.choice("abcd") for _ in range(rng.randint(0, 30)))
-        assert m._short(s) == [i for p in m.stream(s) for i in p]
+def test_a_long_text_without_spaces_is_committed_on_the_way(model):
+    rng = random.Random(4)
+    text = "".join(rng.choice(["ing", "the", "water", "é", "x", "of"]) for _ in range(40_000))
+    parts = list(model.stream(" " + text))
+    assert len(text) > 90_000 and len(parts) > len(text) / 100
+    assert max(map(len, parts)) < 400  # what is held at one time
+    ids = [i for p in parts for i in p]
+    assert score_of(model, ids) == pytest.approx(best_score(model, " " + text))
+
+
+def test_word_by_word_is_the_search_over_the_whole_text(model):
+    rng = random.Random(6)
+    pieces = ["word", "naïve", " ", "  ", "\n", "▁", "東京", "x", "Straße,", "\0"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 12))) for _ in range(400)] + ["", " ", "   ", "a" * 3000]
+    m = Pieces(PATH)
+    m.CACHE = 60
+    ids, begins = m.encode_all(pa.array(["head", *texts, "tail"]).slice(1, len(texts)))
+    assert [x.tolist() for x in np.split(ids, begins[1:-1])] == [model.encode(t).tolist() for t in texts]
+
+
+def test_most_words_get_the_ids_of_the_library(model):
+    from sentencepiece import SentencePieceProcessor
+
+    library = SentencePieceProcessor(model_file=PATH)
+    rows = duckdb.sql("select text from '/root/testdata/sf0.001/documents.parquet' where length(text) < 3000").fetchall()
+    words = [w for (t,) in rows for w in t.split()]
+    same = {w: library.encode(w) == model.encode(w).tolist() for w in set(words)}
+    assert sum(same[w] for w in words) > 0.78 * len(words)
+    assert sum(len(model.encode(t)) for (t,) in rows) <= sum(len(library.encode(t)) for (t,) in rows)
 
 
 def test_frames(spark, model):

@@ -28,7 +28,6 @@ import struct
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -198,11 +197,7 @@ class Encoder:
         self._kind = np.dtype(f"<u{width}")
         self._inside = np.ones(256, dtype=bool)
         self._inside[[10, 32]] = False
-        self._forget()
-
-    def _forget(self) -> None:
-        self._known, self._ids, self._used = W.Index(), np.zeros(1 << 16, dtype=self._kind), 0
-        self._at, self._size = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self._known = W.Memory(self._kind)
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -211,40 +206,23 @@ class Encoder:
         """Ids of a lower-case Latin word: one piece, straight to the library's model."""
         return [t.id for t in self._tokenizer.model.tokenize(word.translate(self._bytes))]
 
-    def _learn(self, hashes: np.ndarray, chunks: list[str]) -> None:
-        """Remembers new chunks."""
+    def _learn(self, chunks: list[str]) -> list[list[int]]:
+        """The ids of new chunks."""
         parts = [(m[1].lower(), m[2]) if (m := self._PLAIN.fullmatch(c)) else ("", c) for c in chunks]
         words, rest = {w for w, _ in parts if w}, list({x for _, x in parts if x})
         known = {"": [], **{w: self._word(w) for w in words}}
         other = dict(zip(["", *rest], [[], *self._whole(rest)], strict=True))
-        lists = [known[w] + other[x] for w, x in parts]
-        n, used = len(self._known), self._used
-        sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
-        self._used += int(sizes.sum())
-        self._ids = W.room(self._ids, used, self._used - used)
-        self._ids[used : self._used] = np.fromiter(chain.from_iterable(lists), dtype=self._kind, count=self._used - used)
-        self._at, self._size = W.room(self._at, n, len(lists)), W.room(self._size, n, len(lists))
-        self._at[n : n + len(lists)] = used + np.cumsum(sizes) - sizes
-        self._size[n : n + len(lists)] = sizes
-        self._known.add(hashes)
+        return [known[w] + other[x] for w, x in parts]
 
     def _chunks(self, units: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         starts, ends, first = W.spans(units, offsets, self._inside)
-        h = W.hashes(units, starts, ends)
-        places = self._known.find(h)
-        new = np.flatnonzero(places < 0)
-        if len(new):
-            if len(self._known) + len(new) > self.CACHE:
-                self._forget()
-                new = np.arange(len(h))
-            fresh, at = np.unique(h[new], return_index=True)
-            data, at = units.tobytes(), new[at]
-            self._learn(fresh, [data[a:b].decode("utf-8", "surrogatepass") for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
-            places = self._known.find(h)
-        sizes = self._size[places]
-        before = np.concatenate([[0], np.cumsum(sizes)])
-        source = np.repeat(self._at[places] - before[:-1], sizes) + np.arange(before[-1])
-        return self._ids[source], np.diff(before[first])
+
+        def learn(at: np.ndarray) -> list[list[int]]:
+            data = units.tobytes()
+            return self._learn([data[a:b].decode("utf-8", "surrogatepass") for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+
+        ids, begins = self._known.gather(self._known.recall(W.hashes(units, starts, ends), self.CACHE, learn))
+        return ids, np.diff(begins[first])
 
     def encode(self, column) -> tuple[np.ndarray, np.ndarray]:
         """All ids of an Arrow string array without nulls, one text after the other, and how many each text has."""

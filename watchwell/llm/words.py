@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import functools
 import re
+from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import xxhash
@@ -162,3 +164,55 @@ class Index:
             still = (got >= 0) & (self._keys[got] != hashes[wrong])
             wrong, at = wrong[still], at[still]
         return out
+
+
+class Memory:
+    """Lists of ids by the 64-bit hash of what they stand for, gathered many at a time."""
+
+    def __init__(self, kind: np.dtype):
+        self._kind = kind
+        self.forget()
+
+    def __len__(self) -> int:
+        return len(self._index)
+
+    def forget(self) -> None:
+        self._index, self._ids, self._used = Index(), np.zeros(1 << 16, dtype=self._kind), 0
+        self._at, self._size = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        return self._index.find(keys)
+
+    def add(self, keys: np.ndarray, lists: list[list[int]]) -> None:
+        """The lists of new keys."""
+        n, used = len(self._index), self._used
+        sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+        self._used += int(sizes.sum())
+        self._ids = room(self._ids, used, self._used - used)
+        self._ids[used : self._used] = np.fromiter(chain.from_iterable(lists), dtype=self._kind, count=self._used - used)
+        self._at, self._size = room(self._at, n, len(lists)), room(self._size, n, len(lists))
+        self._at[n : n + len(lists)] = used + np.cumsum(sizes) - sizes
+        self._size[n : n + len(lists)] = sizes
+        self._index.add(keys)
+
+    def gather(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the lists at these places, one list after the other, and where each begins (and the last ends)."""
+        sizes = self._size[places]
+        begins = np.concatenate([[0], np.cumsum(sizes)])
+        return self._ids[np.repeat(self._at[places] - begins[:-1], sizes) + np.arange(begins[-1])], begins
+
+    def recall(self, keys: np.ndarray, most: int, learn: Callable[[np.ndarray], list[list[int]]]) -> np.ndarray:
+        """The places of all keys; ``learn`` makes the lists of new ones, from the position of one occurrence of each.
+
+        Once there would be more than ``most``, all that is known is forgotten.
+        """
+        places = self.find(keys)
+        new = np.flatnonzero(places < 0)
+        if len(new):
+            if len(self) + len(new) > most:
+                self.forget()
+                new = np.arange(len(keys))
+            fresh, at = np.unique(keys[new], return_index=True)
+            self.add(fresh, learn(new[at]))
+            places = self.find(keys)
+        return places
