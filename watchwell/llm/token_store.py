@@ -312,7 +312,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, width: in
     Texts are encoded where they are and the ids are stored; only ids are dealt by
     range. tokenizer: a file of the tokenizers library; width: bytes per id.
     """
-    return write_blocks(stored(encode_texts(docs, tokenizer, width), "token-ids"), end_id, width, block_ids)
+    return write_blocks(stored(encode_texts(docs, tokenizer, width), "token-ids", "zstd"), end_id, width, block_ids)
 
 
 def read_documents(blocks: DataFrame) -> DataFrame:
@@ -348,7 +348,7 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     blocks = encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
-    return read_documents(stored(blocks, "token-store"))
+    return read_documents(stored(blocks, "token-store", "zstd"))
 
 
 QUERIES = {"op1_token_store": op1_token_store}
