@@ -1,7 +1,9 @@
 import hashlib
+import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 
 from watchwell.llm import pii
@@ -73,3 +75,46 @@ def test_frames(spark):
     assert {r.text for r in shown.collect()} == {"to <email>, <ip>", None, "", "<card> é <phone>"}
     empty = df.limit(0)
     assert pii.scan(empty, pii.train(empty)).collect() == []
+
+
+@pytest.mark.parametrize("loops", [False, True])
+def test_beliefs_against_enumeration(loops):
+    rng = np.random.default_rng(5)
+    for _ in range(5):
+        field = pii.Field(np.zeros((pii.N_FEATURES, 5)), rng.normal(0, 0.7, (3, 5, 5)))
+        field.pair = (field.pair + field.pair.transpose(0, 2, 1)) / 2
+        scores = rng.normal(0, 1, (6, 5))
+        links = [(int(rng.integers(j)), j, int(rng.integers(3))) for j in range(1, 6)] + [(0, 5, 1)] * loops
+        weights = np.zeros((5,) * 6)
+        for labels in itertools.product(range(5), repeat=6):
+            weights[labels] = np.exp(sum(scores[i, k] for i, k in enumerate(labels)) + sum(field.pair[t][labels[i], labels[j]] for i, j, t in links))
+        weights /= weights.sum()
+        want = np.stack([weights.sum(axis=tuple(j for j in range(6) if j != i)) for i in range(6)])
+        got = np.exp(field.beliefs(scores, np.array(links), rounds=80)[0])
+        assert np.abs(got - want).max() < (0.05 if loops else 1e-6)
+
+
+def test_cut_and_respelled_repeats_are_added_and_other_numbers_are_not(spark):
+    """The potentials come from one half of the documents; the other half is searched."""
+    rng = random.Random(9)
+
+    def text(i):
+        n = rng.randrange(10**6, 10**7)
+        words = lambda: " ".join(rng.choice(["so", "und", "que", "the"]) for _ in range(rng.randint(8, 60)))
+        kind = i % 3
+        if kind == 0:
+            return f"{words()} +49 30 {n} {words()} 030 {n} {words()} {rng.randrange(10**7, 10**8)} {words()}", f"030 {n}"
+        if kind == 1:
+            return f"{words()} user{n}@mail.example.com {words()} user{n}@mail {words()} {rng.randrange(10**7, 10**8)} {words()}", f"user{n}@mail"
+        return f"{words()} {rng.randrange(10**7, 10**8)} {words()} 1.2.3.{i % 200} {words()} {rng.randrange(10**15, 10**16)}1x", None
+
+    rows = [(i, *text(i)) for i in range(300)]
+    df = spark.createDataFrame([r[:2] for r in rows if r[0] < 150], "doc_id long, text string")
+    field = pii.train(df)
+    kept = [r for r in rows if r[0] >= 150]
+    caught = wrong = 0
+    for (_, t, want), (_, more) in zip(kept, pii.find([r[1] for r in kept], field), strict=True):
+        shown = [t[a:b] for _, a, b in more]
+        caught += want in shown if want else 0
+        wrong += sum(x != want for x in shown)
+    assert caught >= 90 and wrong <= 2

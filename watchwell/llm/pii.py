@@ -4,16 +4,20 @@ Base patterns find e-mail addresses, IPv4 addresses, card numbers and phone
 numbers. Each document then becomes a small graph. Its nodes are the base spans
 and every other token that looks like contact data (it holds "@" or a run of
 digits). Chain edges join neighbours in the text; skip edges join each node to
-the next one with the same text, or with the same last digits, however far off.
-The labels are none and the four kinds. Base spans keep their kind; loopy
-max-marginal message passing carries it along the edges to the other nodes, and a
-node whose kind is surer than ``min_probability`` becomes a further span.
+the next one with the same text, or to the next similar one (the same last seven
+digits, the same name before "@"), however far off. The labels are none and the four
+kinds. Base spans keep their kind; loopy sum-product message passing carries it along
+the edges to the other nodes, and a node whose kind is surer than
+``min_probability`` becomes a further span: a number or address that is cut or
+spelled otherwise in one place and complete in another.
 
 The potentials are trained on a bounded sample of documents that have base spans
-(``max_documents``, smallest hash first, ``max_nodes`` nodes at most a document):
-each base span keeps its label there but hides it from its own node, and the
-gradient is the difference of observed and expected features under the same
-message passing. Edges form linked lists, so their number is linear in the nodes.
+(``max_documents``, smallest hash first, ``max_nodes`` nodes at most a document). A
+base span has its kind as label there, but its node doesn't show that a pattern
+matched; a look-alike that no skip edge ties to a base span is none; the label of one
+that is tied is hidden. The gradient is the difference of the features expected with
+the known labels held and with all labels free, under the same message passing. Edges
+form linked lists, so their number is linear in the nodes.
 
 Edge cases: null and empty texts have no spans; offsets are code points, ends
 exclusive; repeated rows are read separately; very long texts are read whole,
@@ -25,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -44,7 +49,8 @@ _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_NODE = re.compile(r"(?<![^\s])[^\s@0-9]*+@\S*+|\+?\(?[0-9][0-9().\x20/-]{4,}[0-9]|(?<![0-9])[0-9]{5,}")
+_NUMBER = re.compile(r"\+?\(?[0-9][0-9().\x20/-]{4,}[0-9]|(?<![0-9])[0-9]{5,}")
+_REST = re.compile(r"\S*")
 _SEEN = re.compile(r"[0-9@]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 _CUES = {"mail": 0, "email": 0, "e-mail": 0, "ip": 1, "host": 1, "addr": 1, "card": 2, "visa": 2, "iban": 2, "tel": 3, "phone": 3, "call": 3, "fax": 3, "mobile": 3}
@@ -83,26 +89,46 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
+def _at_tokens(text: str) -> Iterator[tuple[int, int]]:
+    """The tokens between white space that hold "@"."""
+    at = text.find("@")
+    while at >= 0:
+        a, b = at, _REST.match(text, at).end()
+        while a and not text[a - 1].isspace():
+            a -= 1
+        yield a, b
+        at = text.find("@", b)
+
+
 def nodes(text: str, base: Iterable[Span]) -> list[tuple[int, int, int]]:
     """(start, end, label) in text order: base spans, and look-alikes (label 0) beside them."""
     known = sorted((a, b, LABELS.index(kind)) for kind, a, b in base)
-    out, ends = [], 0
+    out: list[tuple[int, int, int]] = []
+    ends = 0
     for a, b, label in known:  # of base spans that overlap, the first
         if a >= ends:
             out.append((a, b, label))
             ends = b
-    taken = np.array([x[:2] for x in out], dtype=np.int64).reshape(-1, 2)
-    for m in _NODE.finditer(text):
-        a, b = m.span()
-        while b > a and text[b - 1] in ".,;:!?)]}>\"'-/ ":
-            b -= 1
-        i = int(np.searchsorted(taken[:, 1], a, side="right")) if len(taken) else 0
-        if b - a > 3 and (i == len(taken) or taken[i, 0] >= b):
-            out.append((a, b, 0))
+    taken = [x[:2] for x in out]
+    held: list[tuple[int, int]] = []
+    for looks in (_at_tokens(text), (m.span() for m in _NUMBER.finditer(text))):
+        taken, held = sorted([*taken, *held]), []
+        stops = [x[1] for x in taken]
+        for a, b in looks:
+            while b > a and text[b - 1] in ".,;:!?)]}>\"'-/ ":
+                b -= 1
+            while a < b and text[a] in "<([{\"'":
+                a += 1
+            i = bisect_right(stops, a)
+            if b - a > 3 and (i == len(taken) or taken[i][0] >= b):
+                held.append((a, b))
+                out.append((a, b, 0))
     return sorted(out)
 
 
 N_FEATURES = 26
+#: What agreement along an edge of each type is worth before training, and what training is drawn to.
+AGREE = (0.0, 4.0, 4.0)
 
 
 def features(text: str, a: int, b: int) -> list[int]:
@@ -127,24 +153,40 @@ _DROP_DIGITS = {ord(c): None for c in "0123456789"}
 
 
 def edges(text: str, found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """(i, j, type): 0 next within 40 characters, 1 next with the same text, 2 next with the same last 7 digits."""
+    """(i, j, type): 0 next within 40 characters, 1 next with the same text, 2 next that is similar.
+
+    Similar are those with the same last seven digits, or the same name before "@".
+    """
     out = [(i, i + 1, 0) for i in range(len(found) - 1) if found[i + 1][0] - found[i][1] <= 40]
     same: dict[str, int] = {}
-    tail: dict[str, int] = {}
+    alike: dict[str, int] = {}
     for i, (a, b, _) in enumerate(found):
         t = text[a:b].lower()
         if t in same:
             out.append((same[t], i, 1))
-        digits = _NOT_DIGIT.sub("", t)[-7:]
-        if len(digits) == 7:
-            j = tail.get(digits)
+        name, at, _ = t.partition("@")
+        key = name + at if at else _NOT_DIGIT.sub("", t)[-7:]
+        if len(key) >= (4 if at else 7):
+            j = alike.get(key)
             if j is not None and same.get(t) != j:
                 out.append((j, i, 2))
-            tail[digits] = i
+            alike[key] = i
         same[t] = i
     return out
 
 
+def hidden(found: list[tuple[int, int, int]], links: list[tuple[int, int, int]]) -> list[int]:
+    """Labels for training: -1 for look-alikes that skip edges tie to a base span."""
+    ties = [(i, j) for i, j, kind in links if kind]
+    tied = {i for i, (_, _, label) in enumerate(found) if label}
+    grown = True
+    while grown:
+        more = {x for pair in ties if not tied.isdisjoint(pair) for x in pair} - tied
+        tied |= more
+        grown = bool(more)
+    return [label if label or i not in tied else -1 for i, (_, _, label) in enumerate(found)]
+
+
 class Field:
     """Potentials: unary (features x labels) and one symmetric label matrix per edge type."""
 
@@ -153,7 +195,7 @@ class Field:
 
     @classmethod
     def start(cls) -> Field:
-        return cls(np.zeros((N_FEATURES, len(LABELS))), np.stack([0.0 * np.eye(len(LABELS)), 2.0 * np.eye(len(LABELS)), 1.0 * np.eye(len(LABELS))]))
+        return cls(np.zeros((N_FEATURES, len(LABELS))), np.stack([AGREE[kind] * np.eye(len(LABELS)) for kind in range(3)]))
 
     def beliefs(self, scores: np.ndarray, links: np.ndarray, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
         """Log beliefs of nodes, and messages (2 x edges x labels), by flooding sum-product."""
@@ -193,6 +235,8 @@ class Graph:
         self.features: list[int] = []
         self.sizes: list[int] = []
         self.labels: list[int] = []
+        #: Labels for training: -1 where they are hidden.
+        self.hidden: list[int] = []
         self.links: list[tuple[int, int, int]] = []
 
     def add(self, text: str, found: list[tuple[int, int, int]]) -> None:
@@ -202,7 +246,9 @@ class Graph:
             self.features += on
             self.sizes.append(len(on))
             self.labels.append(label)
-        self.links += [(at + i, at + j, kind) for i, j, kind in edges(text, found)]
+        links = edges(text, found)
+        self.hidden += hidden(found, links)
+        self.links += [(at + i, at + j, kind) for i, j, kind in links]
 
     def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         node = np.repeat(np.arange(len(self.sizes)), self.sizes)
@@ -215,32 +261,41 @@ def _unary(field: Field, node: np.ndarray, feature: np.ndarray, n: int) -> np.nd
     return scores
 
 
-def fit(graph: Graph, steps: int = 60, rate: float = 0.5, l2: float = 1e-3) -> Field:
-    """Potentials by gradient steps on the observed labels of the graph."""
+def _expected(field: Field, scores: np.ndarray, node: np.ndarray, feature: np.ndarray, links: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Expected sums of the features by label, and of the label pairs by edge type."""
+    belief, messages = field.beliefs(scores, links, rounds)
+    unary, pair = np.zeros_like(field.unary), np.zeros_like(field.pair)
+    np.add.at(unary, feature, np.exp(belief)[node])
+    if len(links):
+        np.add.at(pair, links[:, 2], field.pair_beliefs(belief, messages, links))
+    return unary, pair
+
+
+def _held(scores: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Scores with the labels that are known (0 or more) held."""
+    out, known = scores.copy(), np.flatnonzero(labels >= 0)
+    out[known] = -50.0
+    out[known, labels[known]] = 50.0
+    return out
+
+
+def fit(graph: Graph, steps: int = 120, rate: float = 0.5, l2: float = 1e-3, rounds: int = 6) -> Field:
+    """Potentials by gradient steps on the labels of the graph that are not hidden."""
     field = Field.start()
-    node, feature, labels, links = graph.arrays()
-    n = len(labels)
-    if not n:
+    node, feature, _, links = graph.arrays()
+    labels = np.array(graph.hidden, dtype=np.int64)
+    if not len(labels):
         return field
-    hot = np.eye(len(LABELS))[labels]
-    seen = np.zeros_like(field.unary)
-    np.add.at(seen, feature, hot[node])
-    seen_pair = np.zeros_like(field.pair)
-    both = hot[links[:, 0]][:, :, None] * hot[links[:, 1]][:, None, :]
-    np.add.at(seen_pair, links[:, 2], both)
+    start = field.pair.copy()
     size = np.bincount(feature, minlength=N_FEATURES)[:, None] + 1.0
     size_pair = np.bincount(links[:, 2], minlength=3)[:, None, None] + 1.0
     for _ in range(steps):
-        belief, messages = field.beliefs(_unary(field, node, feature, n), links, rounds=4)
-        p = np.exp(belief)
-        want = np.zeros_like(seen)
-        np.add.at(want, feature, p[node])
+        scores = _unary(field, node, feature, len(labels))
+        seen, seen_pair = _expected(field, _held(scores, labels), node, feature, links, rounds)
+        want, want_pair = _expected(field, scores, node, feature, links, rounds)
         field.unary += rate * ((seen - want) / size - l2 * field.unary)
-        if len(links):
-            want_pair = np.zeros_like(seen_pair)
-            np.add.at(want_pair, links[:, 2], field.pair_beliefs(belief, messages, links))
-            step = (seen_pair - want_pair) / size_pair
-            field.pair += rate * ((step + step.transpose(0, 2, 1)) / 2 - l2 * field.pair)
+        step = (seen_pair - want_pair) / size_pair
+        field.pair += rate * ((step + step.transpose(0, 2, 1)) / 2 - l2 * (field.pair - start))
     return field
 
 
@@ -254,7 +309,7 @@ def train(docs: DataFrame, max_documents: int = 2000, max_nodes: int = 200) -> F
                 if 0 < len(found) <= max_nodes:
                     g.add(t, found)
                     node, feature, labels, links = g.arrays()
-                    yield pd.DataFrame({"f": [feature.astype(np.int32).tobytes()], "s": [np.bincount(node).astype(np.int32).tobytes()], "l": [labels.astype(np.int32).tobytes()], "e": [links.astype(np.int32).tobytes()]})
+                    yield pd.DataFrame({"f": [feature.astype(np.int32).tobytes()], "s": [np.bincount(node).astype(np.int32).tobytes()], "l": [np.array(g.hidden, dtype=np.int32).tobytes()], "e": [links.astype(np.int32).tobytes()]})
 
     looks = docs.filter(F.col("text").rlike(r"[0-9]{7}|@|\+[0-9]|[0-9]\.[0-9]+\.[0-9]"))
     ids = looks.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_documents)
@@ -265,6 +320,7 @@ def train(docs: DataFrame, max_documents: int = 2000, max_nodes: int = 200) -> F
         whole.features += np.frombuffer(r.f, np.int32).tolist()
         whole.sizes += np.frombuffer(r.s, np.int32).tolist()
         whole.labels += np.frombuffer(r.l, np.int32).tolist()
+        whole.hidden += np.frombuffer(r.l, np.int32).tolist()
         whole.links += [(at + i, at + j, k) for i, j, k in np.frombuffer(r.e, np.int32).reshape(-1, 3).tolist()]
     return fit(whole)
 
@@ -283,10 +339,8 @@ def find(texts: list[str | None], field: Field, min_probability: float = 0.9) ->
         out.append((base, []))
     node, feature, labels, links = graph.arrays()
     if len(labels):
-        scores = _unary(field, node, feature, len(labels))
         fixed = labels > 0
-        scores[fixed] = -50.0
-        scores[fixed, labels[fixed]] = 50.0
+        scores = _held(_unary(field, node, feature, len(labels)), np.where(fixed, labels, -1))
         p = np.exp(field.beliefs(scores, links)[0])
         best = p[:, 1:].argmax(axis=1) + 1
         sure = ~fixed & (p[np.arange(len(p)), best] >= min_probability)
