@@ -73,8 +73,48 @@ def test_held_out_accuracy_and_neutral_mentions(spark):
 
 
 def test_counterfactuals():
-    assert toxicity.counterfactual("The WOMEN left. Gay or not!") == "The men left. straight or not!"
-    assert toxicity.counterfactual("plain text").endswith(" plain text")
+    swap = toxicity.swaps(toxicity.IDENTITY)
+    assert toxicity.counterfactual("The WOMEN left. Gay or not!", swap) == "The men left. straight or not!"
+    assert toxicity.counterfactual("plain text", swap).endswith(" plain text")
+    assert "chri*" not in toxicity.words("christians", swap) and "word*" in toxicity.words("wordless", swap)
+
+
+def test_the_regulariser_lowers_false_positives_on_neutral_mentions(spark):
+    """Groups are mentioned in both classes, more often in toxic texts; insults are weak signs."""
+    rng = random.Random(7)
+    vocabulary, rows = [f"w{i}" for i in range(200)], []
+    for i in range(900):
+        toxic = i % 3 == 0
+        words = [rng.choice(vocabulary) for _ in range(rng.randint(4, 12))]
+        if rng.random() < (0.85 if toxic else 0.15):
+            words.insert(rng.randrange(len(words)), rng.choice(["muslims", "women", "juden"]))
+        if toxic and rng.random() < 0.75:
+            words.insert(rng.randrange(len(words)), rng.choice([f"slur{j}" for j in range(12)]))
+        rows.append((i, " ".join(words) + ".", int(toxic)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    labels, held = df.filter("doc_id % 4 <> 0").select("doc_id", "toxic"), df.filter("doc_id % 4 = 0")
+    mentions = F.expr("text rlike 'muslims|women|juden'")
+
+    def false_positives(swap_weight):
+        model = toxicity.train(df, labels, swap_weight=swap_weight)
+        found = toxicity.score(held, model).withColumn("hit", F.col("score") >= 0.5)
+        neutral = found.filter(mentions & (F.col("toxic") == 0)).agg(F.sum(F.col("hit").cast("int")), F.count("*")).first()
+        right = found.filter("toxic = 1 AND text LIKE '%slur%'").agg(F.avg(F.col("hit").cast("int"))).first()[0]
+        return neutral[0] / neutral[1], right
+
+    plain, regular = false_positives(0.0), false_positives(1.0)
+    assert plain[0] > 0.25 and regular[0] < plain[0] / 2, (plain, regular)
+    assert regular[1] > 0.8
+
+
+def test_empty_table_and_very_long_text(spark):
+    docs, labels = corpus(200)
+    d, y = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.train(d, y)
+    assert toxicity.score(d.limit(0), model).collect() == []
+    assert toxicity.score(d, toxicity.train(d.limit(0), y)).select("score").distinct().collect()[0].score == 0
+    long = spark.createDataFrame([(1, "w1 " * 400_000 + "scum")], "doc_id long, text string")
+    assert toxicity.score(long, model).collect()[0].score > toxicity.score(spark.createDataFrame([(1, "w1")], "doc_id long, text string"), model).collect()[0].score
 
 
 def test_query_and_edges(spark, tmp_path):

@@ -1,11 +1,13 @@
 """Toxicity: a word-presence classifier, regularised by counterfactuals.
 
-The classifier is logistic over the presence of words and of word beginnings. It is trained on labelled
-documents together with counterfactual copies: in every sentence that mentions an
-identity term the term is swapped for another of its group; a document that
-mentions none gets a neutral mention put into its first sentence. The loss adds
-the squared change of the score's logit between a document and its copy, so that
-a mention of a group moves no score by itself.
+The classifier is logistic over the presence of words and of word beginnings. It is
+trained on labelled documents together with counterfactual copies: in every sentence
+that mentions an identity term the term is swapped for another of its group; a
+document that mentions none gets a neutral mention put in front. The loss adds the
+squared change of the score's logit between a document and its copy, so that a
+mention of a group moves no score by itself, even if a group stands more often in
+toxic texts than in others. Identity terms are words of their own: their beginnings,
+which other words share, are no features.
 
 Training uses a bounded sample of labelled ids (``max_labelled``, smallest hash
 first). Spark counts the words of the sample by class, keeps the
@@ -15,20 +17,22 @@ of word numbers; the fit is numpy on the driver. Scoring reads all documents.
 Edge cases: null and empty texts score the intercept; labels that are null or not
 0/1 are ignored, a doc_id labelled more than once counts as toxic if any label
 says so; without labels every score is 0; repeated rows are scored separately;
-long texts are read whole; other columns are ignored whatever their names.
+long texts are read whole; an empty table gives no rows; other columns are ignored
+whatever their names.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchwell.llm.common import appended, bucket_of, table
+from watchwell.llm.common import appended, bucket_of, stored, table
 
 #: Groups of identity terms; a swap stays within its group.
 IDENTITY = (
@@ -41,27 +45,32 @@ IDENTITY = (
     ("femmes", "hommes", "chrétiens", "musulmans", "juifs"),
     ("mujeres", "hombres", "cristianos", "musulmanes", "judíos"),
 )
-_TERMS = sorted(t for group in IDENTITY for t in group)
-_SWAP = {t: group[(i + 1) % len(group)] for group in IDENTITY for i, t in enumerate(group)}
+Groups = tuple[tuple[str, ...], ...]
 _WORD = re.compile(r"[^\W_]+")
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?\n]*")
 
 
-def words(text: str | None) -> set[str]:
-    """The text's words, and the first letters of its longer words ("moro*")."""
+def swaps(groups: Groups) -> dict[str, str]:
+    """Each identity term's place-taker: the next of its group."""
+    return {t: group[(i + 1) % len(group)] for group in groups for i, t in enumerate(group)}
+
+
+def words(text: str | None, identity: Container[str] = ()) -> set[str]:
+    """The text's words, and the first letters of its longer words ("moro*") that are no identity terms."""
     found = set(_WORD.findall((text or "").lower()))
-    return found | {w[:4] + "*" for w in found if len(w) > 4}
+    return found | {w[:4] + "*" for w in found if len(w) > 4 and w not in identity}
 
 
-def counterfactual(text: str | None) -> str:
+def counterfactual(text: str | None, swap: dict[str, str]) -> str:
     """The text with identity terms swapped in its sentences, or one put in."""
     text = text or ""
-    low = words(text)
-    if not low.isdisjoint(_SWAP):
-        swap = lambda m: _SWAP.get(m[0].lower(), m[0])
-        return _SENTENCE.sub(lambda s: _WORD.sub(swap, s[0]), text)
-    term = _TERMS[sum(map(ord, text[:64])) % len(_TERMS)]
-    return f"{term} {text}"
+    if not swap:
+        return text
+    if not set(_WORD.findall(text.lower())).isdisjoint(swap):
+        other = lambda m: swap.get(m[0].lower(), m[0])
+        return _SENTENCE.sub(lambda s: _WORD.sub(other, s[0]), text)
+    terms = sorted(swap)
+    return f"{terms[sum(map(ord, text[:64])) % len(terms)]} {text}"
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, max_labelled: int) -> DataFrame:
@@ -71,12 +80,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_labelled: int) -> Da
     return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
 
 
-def _vocabulary(sample: DataFrame, max_words: int, min_docs: int) -> list[str]:
+def _vocabulary(sample: DataFrame, max_words: int, min_docs: int, swap: dict[str, str]) -> list[str]:
     """The words of the largest chi-square, with all identity terms."""
 
     def distinct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            sets = [words(t) for t in b["text"]]
+            sets = [words(t, swap) for t in b["text"]]
             yield pd.DataFrame({"word": [w for s in sets for w in s], "toxic": np.repeat(b["toxic"].to_numpy(), [len(s) for s in sets])})
 
     sizes = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
@@ -87,18 +96,17 @@ def _vocabulary(sample: DataFrame, max_words: int, min_docs: int) -> list[str]:
     spread = F.greatest(d * (n - d) * pos * neg, F.lit(1.0))
     chi = (a * n - d * pos) ** 2 * n / spread
     best = counts.filter(d >= min_docs).withColumn("chi", chi).orderBy(F.desc("chi"), "word").limit(max_words)
-    terms = {w for t in _TERMS for w in words(t)}
-    return sorted({r.word for r in best.collect()} | terms)
+    return sorted({r.word for r in best.collect()} | set(swap))
 
 
-def _numbered(sample: DataFrame, vocabulary: list[str]) -> pd.DataFrame:
+def _numbered(sample: DataFrame, vocabulary: list[str], swap: dict[str, str]) -> pd.DataFrame:
     """The sample as word numbers, of each document and of its counterfactual."""
     at = {w: i for i, w in enumerate(vocabulary)}
 
     def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of = lambda t: np.array(sorted(at[w] for w in at.keys() & words(t)), dtype=np.int32).tobytes()
+        of = lambda t: np.array(sorted(at[w] for w in at.keys() & words(t, swap)), dtype=np.int32).tobytes()
         for b in batches:
-            yield pd.DataFrame({"toxic": b["toxic"], "x": [of(t) for t in b["text"]], "y": [of(counterfactual(t)) for t in b["text"]]})
+            yield pd.DataFrame({"toxic": b["toxic"], "x": [of(t) for t in b["text"]], "y": [of(counterfactual(t, swap)) for t in b["text"]]})
 
     return sample.mapInPandas(number, "toxic int, x binary, y binary").orderBy("toxic", "x", "y").toPandas()
 
@@ -141,24 +149,34 @@ def fit(rows: pd.DataFrame, width: int, swap_weight: float = 1.0, prior: float =
     return w, b
 
 
-def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_words: int = 4_096, min_docs: int = 3) -> tuple[dict[str, float], float]:
-    """Word weights and intercept from docs (doc_id, text) and labels (doc_id, toxic)."""
-    sample = labelled_sample(docs, labels, max_labelled)
-    vocabulary = _vocabulary(sample, max_words, min_docs)
-    rows = _numbered(sample, vocabulary)
+@dataclass(frozen=True)
+class Classifier:
+    """Weights of words and the intercept; identity terms have no beginnings."""
+
+    weights: dict[str, float]
+    intercept: float
+    identity: frozenset[str] = frozenset()
+
+
+def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_words: int = 4_096, min_docs: int = 3, groups: Groups = IDENTITY, swap_weight: float = 1.0) -> Classifier:
+    """A classifier from docs (doc_id, text) and labels (doc_id, toxic); groups: identity terms of the corpus' languages."""
+    swap = swaps(groups)
+    sample = stored(labelled_sample(docs, labels, max_labelled), "toxicity-sample")
+    vocabulary = _vocabulary(sample, max_words, min_docs, swap)
+    rows = _numbered(sample, vocabulary, swap)
     if rows.empty:
-        return {}, float("-inf")
-    w, b = fit(rows, len(vocabulary))
-    return {word: float(x) for word, x in zip(vocabulary, w, strict=True) if abs(x) > 1e-6}, b
+        return Classifier({}, float("-inf"))
+    w, b = fit(rows, len(vocabulary), swap_weight)
+    return Classifier({word: float(x) for word, x in zip(vocabulary, w, strict=True) if abs(x) > 1e-6}, b, frozenset(swap))
 
 
-def score(docs: DataFrame, model: tuple[dict[str, float], float]) -> DataFrame:
+def score(docs: DataFrame, model: Classifier) -> DataFrame:
     """Columns of docs and score: the probability that a text is toxic."""
-    weights, b = model
+    weights, b, identity = model.weights, model.intercept, model.identity
     keys = frozenset(weights)
 
     def compute(texts: list[str | None]) -> list[list]:
-        z = np.array([b + sum(weights[w] for w in sorted(keys & words(t))) for t in texts], dtype=float)
+        z = np.array([b + sum(weights[w] for w in sorted(keys & words(t, identity))) for t in texts], dtype=float)
         return [np.where(np.isneginf(z), 0.0, 1 / (1 + np.exp(-np.clip(z, -700, 700)))).tolist()]
 
     return appended(docs, "text", "score double", compute)
