@@ -32,3 +32,9 @@ def test_few_rows(spark):
     assert run(spark, [(0, [0.5, 0.25]), (1, [1.0, -1.0])]) == [(0, 1, 1, 128 * 256 - 64 * 256)]
     assert run(spark, [(0, [0.5])]) == []
     assert run(spark, []) == []
+
+
+def test_repeated_query_ids_have_ranks_of_their_own(spark):
+    rows = [(0, [1.0]), (0, [2.0]), *((i, [i / 8]) for i in range(1, 10)), (7, [7 / 8])]
+    assert run(spark, rows, 3) == brute(rows, 3)
+    assert len(run(spark, rows, 3)) == 6

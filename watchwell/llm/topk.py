@@ -11,8 +11,9 @@ holds more than two blocks.
 
 Edge cases: vectors that are null or hold null or non-finite components take no
 part, neither as queries nor as candidates; null ids neither. Ties go to the
-smaller id. A query never meets the row with its own id. Repeated ids are
-separate candidates. Empty tables give an empty result. Scores are exact while
+smaller id. A query never meets a row with its own id. Rows that share an id are
+separate candidates and separate queries, each with its own ranks. Empty tables give
+an empty result. Scores are exact while
 they fit 63 bits.
 """
 
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from watchwell.llm.common import table
 
 _PACKED = "slot long, ids binary, rows binary, terms binary, weights binary"
-_BEST = "query_id long, vec_id long, score long"
+_BEST = "query_slot long, query_row int, query_id long, vec_id long, score long"
 
 
 def sparse_rows(vectors: DataFrame, id_col: str, vector_col: str, scale: int = 256) -> DataFrame:
@@ -100,7 +101,7 @@ def best_in_block(q_ids: np.ndarray, q_post: dict, c_ids: np.ndarray, c_post: di
     own = (chosen >= first[:, None]) & (chosen < last[:, None])
     at, col = np.nonzero(~own)
     picks = chosen[at, col]
-    return pd.DataFrame({"query_id": q_ids[at], "vec_id": c_ids[picks], "score": scores[at, picks].astype(np.int64)})
+    return pd.DataFrame({"query_row": at, "query_id": q_ids[at], "vec_id": c_ids[picks], "score": scores[at, picks].astype(np.int64)})
 
 
 def top_k(rows: DataFrame, is_query: Column, k: int = 5, block_rows: int = 2048, query_rows: int = 256) -> DataFrame:
@@ -113,7 +114,7 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 5, block_rows: int = 2048,
     dealt = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
     candidates = _packed(rows, dealt(blocks))
     queries = _packed(rows.filter(is_query), dealt(groups)).select(*(F.col(c).alias(f"q_{c}") for c in ("slot", "ids", "rows", "terms", "weights")))
-    meet = queries.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    meet = queries.withColumn("q_group", F.col("q_slot")).withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, post = None, {}
@@ -121,10 +122,10 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 5, block_rows: int = 2048,
             for r in batch.itertuples():
                 if held != r.slot:
                     held, post = r.slot, _postings(r.rows, r.terms, r.weights)
-                yield best_in_block(np.frombuffer(r.q_ids, np.int64), _postings(r.q_rows, r.q_terms, r.q_weights), np.frombuffer(r.ids, np.int64), post, k)
+                yield best_in_block(np.frombuffer(r.q_ids, np.int64), _postings(r.q_rows, r.q_terms, r.q_weights), np.frombuffer(r.ids, np.int64), post, k).assign(query_slot=r.q_group)
 
     best = candidates.join(meet, "slot").mapInPandas(score, _BEST)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_slot", "query_row").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -141,11 +142,12 @@ WITH v AS (
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+n AS (SELECT *, row_number() OVER () AS query_row FROM v WHERE vec_id % 50 = 0),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.w, c.w) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+  SELECT q.query_row, q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.w, c.w) AS BIGINT) AS score
+  FROM n q JOIN v c ON q.vec_id <> c.vec_id)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+FROM (SELECT *, row_number() OVER (PARTITION BY query_row ORDER BY score DESC, vec_id) AS rank FROM s)
 WHERE rank <= 5
 """
 }
