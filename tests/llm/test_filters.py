@@ -39,6 +39,26 @@ def test_trees_learn_from_labelled_urls(spark):
     assert sum((r.method == "block") == bool(r.label) for r in got) >= 98
 
 
+def test_held_out_hosts(spark):
+    """Labels depend on path and suffix; a third of the hosts is never trained on, some suffixes say nothing."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(1500):
+        host, kind = rng.randrange(120), rng.randrange(4)
+        suffix = ["bad", "good", "mixed", "mixed"][kind]
+        path = rng.choice(["index.html", "a/b/c?x=1&y=2&z=3&id=" + str(rng.randrange(10**9))])
+        label = int(suffix == "bad" or (suffix == "mixed" and "?" in path))
+        rows.append((i, f"http://h{host}.site.{suffix}/{path}", label))
+    df = spark.createDataFrame(rows, "page_id long, url string, label int")
+    host, path = urls.parts(F.col("url"))
+    new = F.pmod(F.xxhash64(host), F.lit(3)) == 0
+    judge = urls.train(df.filter(~new).select("url", "label"))
+    got = judge(df.filter(new).withColumns({"host": host, "path": path})).collect()
+    assert len(got) > 200 and sum((r.method == "block") == bool(r.label) for r in got) > 0.97 * len(got)
+    twice = urls.judge_urls(df.unionByName(df.filter("page_id < 5")).select("page_id", "url"), df.select("url", "label")).collect()
+    assert len(twice) == 1505 and len({(r.page_id, r.verdict) for r in twice}) == 1500  # repeated rows
+
+
 def test_entropy(spark):
     df = spark.createDataFrame([("",), ("aaaa",), ("ab",), ("abcd",)], "t string")
     assert [r[0] for r in df.select(urls.entropy(F.col("t"))).collect()] == [0.0, 0.0, 1.0, 2.0]

@@ -10,7 +10,9 @@ The trees are trained from labelled URLs: a DataFrame (url, label) with 1 for
 block. The query's labels are the verdicts that the rules give to the table's own
 URLs, as the given tables label none; suffix statistics are counted over all of
 them, the trees are fitted on a bounded sample of distinct ones
-(``max_labelled``, smallest hash first).
+(``max_labelled``, smallest hash first). A URL that the trees are fitted on gets its
+suffix statistics from the hosts of the other folds, so that they weigh as much as
+they are worth for a new host.
 
 Edge cases: a null url, or one without "://", has an empty host and path, fits no
 rule and gets the trees' verdict over all-zero lexical features; very long urls
@@ -38,6 +40,8 @@ RULES = (
     ("block", "net/es/"),
     ("block", "net/fr/"),
 )
+#: Parts of the hosts for which suffix statistics are taken from the others.
+FOLDS = 4
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 FEATURES = ("f_length", "f_host_length", "f_path_length", "f_depth", "f_digit_ratio", "f_entropy", "f_parameters", "f_labels", "f_hyphens", "f_fragment", "f_secure", "f_suffix_rate", "f_suffix_log")
@@ -97,25 +101,39 @@ def lexical(df: DataFrame) -> DataFrame:
     )
 
 
-def suffix_statistics(labelled: DataFrame, weight: float = 20.0) -> DataFrame:
-    """Per host suffix: its smoothed block rate and the log of its count."""
+def _rate(blocked: Column, n: Column, weight: float = 20.0) -> tuple[Column, Column]:
+    """A smoothed block rate and the log of the count."""
+    return ((blocked + weight * 0.5) / (n + weight)).alias("f_suffix_rate"), F.log1p(n).alias("f_suffix_log")
+
+
+def _fold(host: Column) -> Column:
+    return F.pmod(F.xxhash64(host), F.lit(FOLDS)).cast("int")
+
+
+def suffix_statistics(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Per host suffix its smoothed block rate and the log of its count: of all rows, and for the hosts of each fold of all other rows."""
     host, _ = parts(F.col("url"))
-    sums = labelled.select(F.substring_index(host, ".", -1).alias("suffix"), "label").groupBy("suffix").agg(F.sum("label").alias("b"), F.count("*").alias("n"))
-    return sums.select("suffix", ((F.col("b") + weight * 0.5) / (F.col("n") + weight)).alias("f_suffix_rate"), F.log1p("n").alias("f_suffix_log"))
+    folds = labelled.select(F.substring_index(host, ".", -1).alias("suffix"), _fold(host).alias("fold"), "label").groupBy("suffix", "fold").agg(F.sum("label").alias("b"), F.count("*").alias("n"))
+    sums = stored(folds, "url-suffixes").groupBy("suffix").agg(F.sum("b").alias("b"), F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("fold", F.struct("b", "n")))).alias("own"))
+    each = sums.select("suffix", "b", "n", "own", F.explode(F.sequence(F.lit(0), F.lit(FOLDS - 1))).alias("fold"))
+    own = F.try_element_at("own", F.col("fold"))
+    rest = each.select("suffix", "fold", *_rate(F.col("b") - F.coalesce(own["b"], F.lit(0.0)), F.col("n") - F.coalesce(own["n"], F.lit(0))))
+    return sums.select("suffix", *_rate(F.col("b"), F.col("n"))), rest
 
 
 def _featured(df: DataFrame, suffixes: DataFrame) -> DataFrame:
-    whole = lexical(df).join(suffixes, "suffix", "left")
+    keys = ["suffix", "fold"] if "fold" in suffixes.columns else ["suffix"]
+    whole = lexical(df).withColumn("fold", _fold(F.col("host"))).join(suffixes, keys, "left")
     return whole.withColumns({"f_suffix_rate": F.coalesce("f_suffix_rate", F.lit(0.5)), "f_suffix_log": F.coalesce("f_suffix_log", F.lit(0.0))})
 
 
 def train(labelled: DataFrame, max_labelled: int = 4000, trees: int = 20, depth: int = 4) -> Callable[[DataFrame], DataFrame]:
     """Fit on (url, label in 0/1); gives a function that adds ``method`` (allow or block) to (url, host, path)."""
     labelled = labelled.filter(F.col("label").isin(0, 1) & F.col("url").isNotNull()).select("url", F.col("label").cast("double").alias("label"))
-    suffixes = suffix_statistics(labelled)
+    suffixes, others = suffix_statistics(labelled)
     host, path = parts(F.col("url"))
     sample = labelled.groupBy("url").agg(F.max("label").alias("label")).orderBy(F.xxhash64("url"), "url").limit(max_labelled)
-    rows = _featured(sample.withColumns({"host": host, "path": path}), suffixes).select(*FEATURES, "label").coalesce(2)
+    rows = _featured(sample.withColumns({"host": host, "path": path}), others).select(*FEATURES, "label").coalesce(2)
     rows = stored(rows, "url-labels")
     kinds = {r.label for r in rows.select("label").distinct().collect()}
     if len(kinds) < 2:
