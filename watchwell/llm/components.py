@@ -8,24 +8,28 @@ from pyspark.sql import functions as F
 from watchwell.llm.common import stored
 
 
+ROWS_PER_FILE = 1_000_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node of edges (a, b): label is the smallest node it reaches.
 
     Each round gives a node the smallest label around it, then the label of that
     label, so paths shorten by half or more; the rounds end when no label moves.
-    Labels are stored in every round: Spark knows their size and broadcasts them
-    while they are few, else it shuffles. Sums per key are partial before they are
+    Labels are stored in every round, in no more files than their number asks for:
+    Spark knows their size and broadcasts them while they are few, else it shuffles. Sums per key are partial before they are
     shuffled, so hubs are no hot spots. An empty graph gives no rows; loops and
     repeated edges change nothing.
     """
     both = stored(edges.select("a", "b").union(edges.select("b", "a")).toDF("node", "other").distinct(), "graph-edges")
-    labels = stored(both.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("label")), "graph-labels")
+    files = max(8, -(-both.count() // ROWS_PER_FILE))
+    labels = stored(both.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("label")).coalesce(files), "graph-labels")
     while True:
         around = both.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("label").alias("near"))
         step = around.join(labels, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         far = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
         jumped = step.join(far, "label", "left").select("node", "old", F.least("label", F.coalesce("far", "label")).alias("label"))
-        jumped = stored(jumped, "graph-labels")
+        jumped = stored(jumped.coalesce(files), "graph-labels")
         moved = jumped.filter(F.col("old") != F.col("label")).limit(1).count()
         labels = jumped.select("node", "label")
         if not moved:

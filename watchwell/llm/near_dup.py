@@ -278,8 +278,6 @@ def classes(docs: DataFrame, threshold: float = 0.8, few_pairs: int = 64) -> Dat
     own = mixed.groupBy("node").agg(F.array_sort(F.collect_list("key")).alias("keys"))
     members = stored(mixed.join(own, "node").join(nodes.select("node", "n", "bits"), "node"), "sketch-mixed")
     crossing, size = _crossing(members)
-    if crossing:
-        texts = stored(texts.join(members.select("node").distinct(), "node"), "sketch-texts")
     centres = GROWTH
     while crossing:
         last = crossing <= few_pairs * size
