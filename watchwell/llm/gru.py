@@ -221,27 +221,40 @@ def padded(texts: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray, n
     return inputs, targets, mask
 
 
-def train(model: Model, texts: Iterable[np.ndarray], end: int, rows: int = 256, window: int = 32, rate: float = 0.01) -> int:
+def train(model: Model, texts: Iterable[np.ndarray], end: int, rows: int = 256, window: int = 32, rate: float = 0.01, batch: int = 2048) -> int:
     """One pass over all symbols of the sequences, by truncated backpropagation; the number of symbols.
 
     Up to ``rows`` sequences run side by side. Each carries its state from window to
-    window up to its end; then the next sequence takes its place.
+    window up to its end; then the next sequence takes its place. Windows are gathered
+    to ``batch`` symbols or more before the parameters move, so that the last sequences,
+    which run with few beside them, weigh no more than others.
     """
     adam, coming, total = Adam(model, rate), iter(texts), 0
     zero = np.zeros(model.shape.hidden, dtype=model.recur.dtype)
     open_: list[tuple[np.ndarray, int]] = []  # sequences and where each goes on
     state = np.zeros((0, model.shape.hidden), dtype=model.recur.dtype)
+    held, size = {}, 0  # gradients that wait, summed, and the symbols behind them
     while True:
         new = [(x, 0) for x in islice((x for x in coming if len(x)), rows - len(open_))]
         open_ += new
         if not open_:
+            if size:
+                adam.rate *= min(1.0, size / batch)
+                adam.apply({n: g / size for n, g in held.items()})
             return total
         state = np.concatenate([state, np.tile(zero, (len(new), 1))])
         inputs, targets, mask = padded([x[t : t + window] for x, t in open_], end)
         inputs[0] = [x[t - 1] if t else end for x, t in open_]
         _, grads, state = model.window(inputs, targets, mask, state)
-        adam.apply(grads)
-        total += int(mask.sum())
+        n = int(mask.sum())
+        total += n
+        if size or n < batch:
+            size, held = size + n, {k: g * n + held[k] if size else g * n for k, g in grads.items()}
+            if size >= batch:
+                adam.apply({k: g / size for k, g in held.items()})
+                held, size = {}, 0
+        else:
+            adam.apply(grads)
         going = [i for i, (x, t) in enumerate(open_) if t + window < len(x)]
         open_ = [(open_[i][0], open_[i][1] + window) for i in going]
         state = state[going]

@@ -210,7 +210,7 @@ def _summed(made: DataFrame, groups: int) -> DataFrame:
     return made.repartitionById(groups, F.col("trainer") % groups).sortWithinPartitions("trainer").mapInArrow(run, "n double, p binary")
 
 
-def _averaged(texts: DataFrame, trainers: int, shared, model: gru.Model, rate: float) -> np.ndarray:
+def _averaged(texts: DataFrame, trainers: int, shared, model: gru.Model, rate: float, batch: int) -> np.ndarray:
     """The parameters after one round: each trainer's, averaged by tokens."""
     start, shape = model.flat(), model.shape
 
@@ -220,7 +220,7 @@ def _averaged(texts: DataFrame, trainers: int, shared, model: gru.Model, rate: f
 
         lex: Lexicon = shared.value
         own = gru.Model(shape, lex.weights).load(start)
-        n = gru.train(own, (np.frombuffer(x, dtype="<u2").astype(np.int64) for batch in batches for x in batch.column(0).to_pylist()), lex.end, rate=rate)
+        n = gru.train(own, (np.frombuffer(x, dtype="<u2").astype(np.int64) for batch in batches for x in batch.column(0).to_pylist()), lex.end, rate=rate, batch=batch)
         if n:
             row = ([TaskContext.get().partitionId()], [float(n)], [(own.flat().astype(float) * n).tobytes()])
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in row], names=["trainer", "n", "p"])
@@ -240,7 +240,7 @@ def _averaged(texts: DataFrame, trainers: int, shared, model: gru.Model, rate: f
 
 
 def fit(
-    train: DataFrame, head_words: int = 200_000, n_words: int = 1023, n_bands: int = 12, word_classes: int = 32, hidden: int = 16, rounds: int = 2, epochs: int = 1, trainer_tokens: int = 4_000_000, rate: float = 0.01
+    train: DataFrame, head_words: int = 200_000, n_words: int = 1023, n_bands: int = 12, word_classes: int = 32, hidden: int = 16, rounds: int = 2, epochs: int = 1, trainer_tokens: int = 4_000_000, rate: float = 0.02
 ) -> tuple[DataFrame, Lexicon, gru.Model]:
     """Counts (stored), lexicon and trained model from training documents (doc_id, text).
 
@@ -253,10 +253,12 @@ def fit(
     shared = train.sparkSession.sparkContext.broadcast(lex)
     texts = stored(encoded(train, shared).withColumn("at", F.xxhash64("symbols")), "lm-symbols")
     trainers = max(1, -(-lex.total // (trainer_tokens * rounds)))
+    # Some hundred moves of the parameters for every trainer, of 2,048 symbols at most.
+    batch = min(2048, max(32, lex.total // (trainers * rounds * 100)))
     for epoch in range(epochs):
         for k in range(rounds):
             part = texts.filter(F.pmod(F.xxhash64("at"), F.lit(rounds)) == k)
-            model.load(_averaged(part, trainers, shared, model, rate / (1 + epoch * rounds + k)))
+            model.load(_averaged(part, trainers, shared, model, rate / (1 + epoch * rounds + k), batch))
     return counts, lex, model
 
 
