@@ -17,20 +17,22 @@ import numpy as np
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    y = np.exp(-x)
-    y += 1
-    return np.divide(1, y, out=y)
+    """In place."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
-def _softmax(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Shares (in place) of each column of x, and the log share of row at[i] in column i."""
+def _softmax(x: np.ndarray, at: np.ndarray, shares: bool = True) -> np.ndarray:
+    """The log share of row at[i] in column i; x becomes the shares of each column, if they are wanted."""
     x -= x.max(axis=0)
-    columns = np.arange(x.shape[1])
-    picked = x[at, columns]
+    picked = x[at, np.arange(x.shape[1])]
     np.exp(x, out=x)
     sums = x.sum(axis=0)
-    x /= sums
-    return x, picked - np.log(sums)
+    if shares:
+        x /= sums
+    return picked - np.log(sums)
 
 
 @dataclass
@@ -97,23 +99,33 @@ class Model:
             at += old.size
         return self
 
-    def step(self, symbols: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, tuple]:
+    def gates(self) -> list[np.ndarray]:
+        """Input and recurrent weights of the update, the reset and the candidate, each an array of its own."""
         h = self.shape.hidden
-        x, u = self.inputs[symbols], state @ self.recur
-        gates = _sigmoid(x[:, : 2 * h] + u[:, : 2 * h])
-        z, r = gates[:, :h], gates[:, h:]
-        n = np.tanh(x[:, 2 * h :] + r * u[:, 2 * h :])
-        return n + z * (state - n), (symbols, state, z, r, n, u[:, 2 * h :])
+        return [np.ascontiguousarray(x[:, k * h : (k + 1) * h]) for x in (self.inputs, self.recur) for k in range(3)]
+
+    def step(self, symbols: np.ndarray, state: np.ndarray, gates: list[np.ndarray] | None = None) -> tuple[np.ndarray, tuple]:
+        in_z, in_r, in_c, z_of, r_of, c_of = gates or self.gates()
+        z, r, u = state @ z_of, state @ r_of, state @ c_of
+        z += in_z.take(symbols, axis=0)
+        r += in_r.take(symbols, axis=0)
+        _sigmoid(z)
+        c = u * _sigmoid(r)
+        c += in_c.take(symbols, axis=0)
+        np.tanh(c, out=c)
+        new = state - c
+        new *= z
+        new += c
+        return new, (symbols, state, z, r, c, u)
 
     def scores(self, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural log probability of each target symbol after its state."""
         kinds = self.shape.class_of[targets]
-        _, logp = _softmax(self.out.T @ states.T + self.out_bias[:, None], kinds)
+        logp = _softmax(self.out.T @ states.T + self.out_bias[:, None], kinds, shares=False)
         for k, rows in self._by_class(kinds):
             a, b = self.shape.first[k], self.shape.first[k + 1]
             if b - a > 1:
-                _, inside = _softmax(self.word[:, a:b].T @ states[rows].T + self.word_bias[a:b, None], targets[rows] - a)
-                logp[rows] += inside
+                logp[rows] += _softmax(self.word[:, a:b].T @ states[rows].T + self.word_bias[a:b, None], targets[rows] - a, shares=False)
         return logp
 
     def _by_class(self, kinds: np.ndarray):
@@ -127,7 +139,8 @@ class Model:
         """Loss of all tokens and its gradient by the states; gradients of the output layers go to grads."""
         n = max(len(goal), 1)
         kinds, at = self.shape.class_of[goal], np.arange(len(goal))
-        d, logp = _softmax(self.out.T @ flat.T + self.out_bias[:, None], kinds)
+        d = self.out.T @ flat.T + self.out_bias[:, None]
+        logp = _softmax(d, kinds)
         loss = -float(logp.sum())
         d[kinds, at] -= 1
         d /= n
@@ -137,7 +150,8 @@ class Model:
             a, b = self.shape.first[k], self.shape.first[k + 1]
             if b - a > 1:
                 states, own = flat[some], goal[some] - a
-                d, logp = _softmax(self.word[:, a:b].T @ states.T + self.word_bias[a:b, None], own)
+                d = self.word[:, a:b].T @ states.T + self.word_bias[a:b, None]
+                logp = _softmax(d, own)
                 loss -= float(logp.sum())
                 d[own, np.arange(len(some))] -= 1
                 d /= n
@@ -156,9 +170,9 @@ class Model:
         order = np.argsort(-mask.sum(axis=0), kind="stable")
         live = [n for n in mask.sum(axis=1).tolist() if n]
         inputs, targets, last = inputs[:, order], targets[:, order], state[order]
-        ends, before, kept = last.copy(), last, []
+        ends, before, kept, gates = last.copy(), last, [], self.gates()
         for t, n in enumerate(live):
-            new, memory = self.step(inputs[t, :n], before[:n])
+            new, memory = self.step(inputs[t, :n], before[:n], gates)
             ends[:n] = new
             kept.append((memory, new))
             before = new
@@ -169,21 +183,26 @@ class Model:
             return 0.0, grads, after
         goal = np.concatenate([targets[t, :n] for t, n in enumerate(live)])
         loss, d_flat = self._outputs(np.concatenate([new for _, new in kept]), goal, grads)
-        d_inputs, d_u = np.empty((len(goal), 3 * h), dtype=d_flat.dtype), np.empty((len(goal), 3 * h), dtype=d_flat.dtype)
+        d_z, d_r, d_c, d_u = (np.empty((len(goal), h), dtype=d_flat.dtype) for _ in range(4))
         carry, stop = np.zeros((0, h), dtype=d_flat.dtype), len(goal)
-        back = np.ascontiguousarray(self.recur.T)
+        z_back, r_back, c_back = (np.ascontiguousarray(x.T) for x in gates[3:])
         for (_, before, z, r, c, u), _ in reversed(kept):
             at = slice(stop - len(z), stop)
             stop = at.start
-            d_new, own, ours = d_flat[at], d_inputs[at], d_u[at]
+            d_new, own = d_flat[at], d_c[at]
             d_new[: len(carry)] += carry
-            np.multiply(d_new * (1 - z), 1 - c * c, out=own[:, 2 * h :])
-            np.multiply(d_new * (before - c), z * (1 - z), out=own[:, :h])
-            np.multiply(own[:, 2 * h :] * u, r * (1 - r), out=own[:, h : 2 * h])
-            ours[:, : 2 * h] = own[:, : 2 * h]
-            np.multiply(own[:, 2 * h :], r, out=ours[:, 2 * h :])
-            carry = d_new * z + ours @ back
-        grads["recur"] = np.concatenate([memory[1] for memory, _ in kept]).T @ d_u
+            carry = d_new * z
+            np.subtract(d_new, carry, out=own)
+            own *= 1 - c * c
+            np.multiply(own, r, out=d_u[at])
+            np.multiply(d_u[at] * u, 1 - r, out=d_r[at])
+            np.multiply(carry * (1 - z), before - c, out=d_z[at])
+            carry += d_z[at] @ z_back
+            carry += d_r[at] @ r_back
+            carry += d_u[at] @ c_back
+        befores = np.concatenate([memory[1] for memory, _ in kept]).T
+        grads["recur"] = np.concatenate([befores @ d_z, befores @ d_r, befores @ d_u], axis=1)
+        d_inputs = np.concatenate([d_z, d_r, d_c], axis=1)
         read = np.concatenate([memory[0] for memory, _ in kept])
         by_symbol = np.argsort(read.astype(np.uint16), kind="stable")
         symbols, first = np.unique(read[by_symbol], return_index=True)
@@ -269,7 +288,7 @@ def log_likelihood(model: Model, texts: list[np.ndarray], end: int, rows: int =
         group = order[at : at + rows]
         size = sizes[group]
         state = np.zeros((len(group), model.shape.hidden), dtype=model.recur.dtype)
-        last = np.full(len(group), end, dtype=np.int64)
+        last, gates = np.full(len(group), end, dtype=np.int64), model.gates()
         for t in range(0, int(size[0]) if len(size) else 0, window):
             live = int(np.searchsorted(-size, -t, side="left"))  # longer than t
             goal = np.full((window, live), end, dtype=np.int64)
@@ -282,7 +301,7 @@ def log_likelihood(model: Model, texts: list[np.ndarray], end: int, rows: int =
                 n = int(np.searchsorted(-size, -(t + s), side="left"))
                 if not n:
                     break
-                new, _ = model.step(last[:n], state[:n])
+                new, _ = model.step(last[:n], state[:n], gates)
                 state = new if n == live else np.concatenate([new, state[n:]])
                 states.append(new)
                 targets.append(goal[s, :n])
