@@ -2,7 +2,8 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from watchwell.operators import normalize
+from watchwell.functions import text
+from watchwell.operators import baseline, normalize
 from watchwell.sources import raw
 
 CONFIG = normalize.NormalizeConfig(b"secret")
@@ -99,3 +100,35 @@ def test_address_forms(spark):
     got = ip.address(spark.createDataFrame([(t,) for t in texts], "a string"), "a").collect()
     assert {r.a: tuple(r.ip) if r.ip else None for r in got} == {t: want(t) for t in texts}
     assert F is not None
+
+
+def test_alert_and_baseline_tables_are_read_back(spark, tmp_path):
+    found = spark.createDataFrame([("a", "r", 5)], "alert_id string, rule_id string, risk_score int")
+    raw.write_alerts(found, found.groupBy("rule_id").count(), str(tmp_path))
+    assert spark.read.parquet(f"{tmp_path}/alerts").collect() == found.collect()
+    assert [tuple(r) for r in spark.read.parquet(f"{tmp_path}/summary").collect()] == [("r", 1)]
+    frames = {name: spark.createDataFrame([(name, 1)], "k string, n int") for name in ("users", "user_ips", "user_apps", "user_hours", "daily")}
+    baseline.write(str(tmp_path / "baseline"), frames)
+    back = baseline.load(spark, str(tmp_path / "baseline"))
+    assert {name: [tuple(r) for r in df.collect()] for name, df in back.items()} == {name: [(name, 1)] for name in ("users", "user_ips", "user_apps", "user_hours")}
+
+
+def test_zoned_instants(spark):
+    rows = [("2026-03-16T10:00:00",), ("2026-03-16T10:00:00Z",), ("2026-03-16 10:00:00+02:00",), (" ",), ("never",), (None,)]
+    got = [r[0] for r in spark.createDataFrame(rows, "t string").select(text.zoned_instant(F.col("t"), "America/Guayaquil")).collect()]
+    assert got == [datetime(2026, 3, 16, 15), datetime(2026, 3, 16, 10), datetime(2026, 3, 16, 8), None, None, None]
+
+
+def test_values_at_ranks(spark):
+    import statistics
+
+    values = [((i * 7919) % 1000) / 8 for i in range(501)] + [3.0] * 40
+    df = spark.createDataFrame([(v,) for v in [*values, None]], "v double").repartition(5)
+    got = baseline.at_ranks(df, "v", {"first": lambda n: n * 0, "low": lambda n: F.floor((n - 1) / 2), "high": lambda n: F.ceil((n - 1) / 2)}).first()
+    assert (got.first, (got.low + got.high) / 2, got.max) == (min(values), statistics.median(values), max(values))
+    assert baseline.at_ranks(df.limit(0), "v", {"low": lambda n: n}).first() == (None, None)
+
+
+def test_csv_without_line_ends_in_fields(spark, tmp_path):
+    (tmp_path / "raw.csv").write_text("\n".join(line(record(i)) for i in range(50)))
+    assert raw.read_csv(spark, str(tmp_path / "raw.csv"), line_ends_in_fields=False).drop("pos").collect() == raw.read_csv(spark, str(tmp_path / "raw.csv")).drop("pos").collect()

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from watchwell.sources.auth import ZONE, local
+from watchwell.sources.tables import stored
 
 NO_SERVICE = "(sin_relying_party)"
 
@@ -34,14 +36,28 @@ def nearest_rank(values: Column, fraction: float) -> Column:
     return F.when(F.size(values) > 0, F.element_at(F.sort_array(values), F.greatest(at, F.lit(1)))).otherwise(F.lit(0))
 
 
-def ranked_values(values: DataFrame, column: str, fractions: dict[str, float]) -> DataFrame:
-    """nearest_rank of a long column, one output column a fraction, and its maximum.
+def at_ranks(values: DataFrame, column: str, ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """The values of a column at ranks (from 0; functions of the count), null if there are none, and ``max``.
 
-    Equal values are counted first; only the running counts of the distinct values
-    are ordered, not the rows.
+    Equal values are counted first. The distinct ones are dealt by range and stored;
+    they are added up inside each range, and only one row per range meets the others.
     """
-    from pyspark.sql import Window
+    counts = values.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
+    dealt = stored(counts.repartitionByRange("v").withColumn("part", F.spark_partition_id()), "ranked-values")
+    sums = dealt.groupBy("part").agg(F.sum("n").alias("own"))
+    before = F.coalesce(F.sum("own").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select("part", before.alias("before"), F.sum("own").over(Window.partitionBy()).alias("total"))
+    run = dealt.join(F.broadcast(sums), "part").withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("part").orderBy("v")))
+    return run.agg(*(F.min(F.when(F.col("upto") > rank(F.col("total")), F.col("v"))).alias(name) for name, rank in ranks.items()), F.max("v").alias("max"))
+
 
+def ranked_values(values: DataFrame, column: str, fractions: dict[str, float]) -> DataFrame:
+    """nearest_rank of a column of counts, one output column a fraction, and its maximum; 0 if it is empty.
+
+    Equal values are counted first; only the distinct ones are ordered, in one task:
+    counts that add up to N have fewer than sqrt(2 N) distinct values. at_ranks() is for
+    other values.
+    """
     counts = values.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
     run = counts.withColumn("upto", F.sum("n").over(Window.orderBy("v"))).withColumn("total", F.sum("n").over(Window.partitionBy()))
     picks = [F.coalesce(F.min(F.when(F.col("upto") > F.bround((F.col("total") - 1) * F.lit(f), 0), F.col("v"))), F.lit(0)).alias(name) for name, f in fractions.items()]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from watchwell.functions import ip, text
-from watchwell.operators.baseline import ranked_values
+from watchwell.operators.baseline import at_ranks
 
 
 def unpivoted(raw: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -92,9 +92,10 @@ def delays(raw: DataFrame, later: str, earlier: str) -> DataFrame:
     """Seconds between two times: count, negative, minimum, median, nearest-rank p95, maximum (P5)."""
     seconds = (F.unix_micros(text.instant(F.col(later))) - F.unix_micros(text.instant(F.col(earlier)))) / 1_000_000
     rows = raw.select(seconds.alias("s")).filter(F.col("s").isNotNull())
-    figures = rows.agg(F.count("*").alias("pairs"), F.count_if(F.col("s") < 0).alias("negative"), F.min("s").alias("minimum"), F.median("s").alias("median"))
-    ranks = ranked_values(rows, "s", {"p95": 0.95}).withColumnRenamed("max", "maximum")
-    return figures.join(F.broadcast(ranks))
+    figures = rows.agg(F.count("*").alias("pairs"), F.count_if(F.col("s") < 0).alias("negative"), F.min("s").alias("minimum"))
+    ranks = {"low": lambda n: F.floor((n - 1) / 2), "high": lambda n: F.ceil((n - 1) / 2), "p95": lambda n: F.bround((n - 1) * F.lit(0.95), 0)}
+    found = at_ranks(rows, "s", ranks).select(((F.col("low") + F.col("high")) / 2).alias("median"), *(F.coalesce(c, F.lit(0)).alias(name) for c, name in (("p95", "p95"), ("max", "maximum"))))
+    return figures.join(F.broadcast(found))
 
 
 def repeated_rows(raw: DataFrame, columns: Sequence[str]) -> DataFrame:

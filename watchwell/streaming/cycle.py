@@ -2,59 +2,92 @@
 
 from __future__ import annotations
 
+from collections import Counter, deque
 from collections.abc import Callable, Iterator
+from datetime import datetime, timezone
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType, TimestampType
 
 from watchwell.operators import mart, store
 from watchwell.operators.detect import detect
-from watchwell.operators.rules import Exclusions, RuleSet
+from watchwell.operators.rules import Exclusions, Rule, RuleSet
 
 LOOKBACK_MINUTES = 720
 
 
+def _there(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def _read(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
     """A Parquet table that may not be there yet."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-    return spark.read.schema(schema).parquet(folder) if there else spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(folder) if _there(spark, folder) else spark.createDataFrame([], schema)
+
+
+def _write(rows: DataFrame, folder: str, *parts: str) -> None:
+    """Rows into their partitions, which are replaced if they are there."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(folder)
 
 
-def monitor_cycle(folder: str, rules: RuleSet, source: str, lookback_minutes: int = LOOKBACK_MINUTES, baseline: Callable[[SparkSession], tuple[DataFrame, DataFrame, str] | None] | None = None, exclusions: Callable[[], Exclusions | None] | None = None) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: append new events, detect over the lookback, accept.
+_RUN = StructType(
+    [
+        StructField("run_id", LongType()), StructField("source_name", StringType()), StructField("started_at", TimestampType()), StructField("finished_at", TimestampType()), StructField("status", StringType()),
+        StructField("events_inserted", LongType()), StructField("events_duplicate", LongType()), StructField("alerts_created", LongType()), StructField("alerts_suppressed", LongType()), StructField("newest_ts", TimestampType()),
+    ]
+)
+
+
+def monitor_cycle(
+    folder: str, rules: RuleSet, source: str, lookback_minutes: int = LOOKBACK_MINUTES, baseline: Callable[[SparkSession], tuple[DataFrame, DataFrame, str] | None] | None = None,
+    exclusions: Callable[[], Exclusions | None] | None = None, prepare: Callable[[DataFrame], DataFrame] | None = None,
+) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function: append new events, detect over the lookback, accept, log the run.
 
     ``baseline`` and ``exclusions`` are read anew in every cycle; without a baseline
-    the new-address rule doesn't run. Batches are normalized events.
+    the new-address rule doesn't run. ``prepare`` makes events of raw rows (normalize,
+    then sources.auth.from_normalized); without it batches are events.
 
-    A batch may come twice after a failure: events are known by key, alerts by id,
-    and each batch writes into folders of its own number, so nothing doubles.
+    Kept in ``folder``: events, alerts, suppressions, and runs with one row a batch, from
+    which the next cycle knows the newest event. A batch may come twice after a failure:
+    events are known by key, alerts by id, and each batch writes into folders of its own
+    number, so nothing doubles.
     """
 
     def cycle(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        keyed = batch.withColumn("event_key", store.event_key(F.col("source_name"), F.col("event_id"))).withColumn("event_date", F.to_date("ts"))
+        spark, started = batch.sparkSession, datetime.now(timezone.utc)
+        events = prepare(batch) if prepare else batch
+        keyed = events.withColumn("event_key", store.event_key(F.col("source_name"), F.col("event_id"))).withColumn("event_date", F.to_date("ts"))
         schema = StructType([*keyed.schema.fields, StructField("batch", LongType())])
         kept = _read(spark, f"{folder}/events", schema).filter(F.col("batch") != number)
-        fresh, _ = store.append_events(keyed, kept.drop("batch"))
-        fresh.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "event_date").parquet(f"{folder}/events")
-        events = _read(spark, f"{folder}/events", schema).filter((F.col("batch") <= number) & F.col("is_consistent"))
-        newest = events.agg(F.max("ts").alias("t")).first().t
-        if newest is None:
-            return
-        start = newest - pd.Timedelta(minutes=lookback_minutes).to_pytimedelta()
-        # The date is a partition column: older days aren't read.
-        recent = events.filter((F.col("event_date") >= F.lit(start).cast("date")) & (F.col("ts") >= F.lit(start)))
-        found = detect(recent.drop("batch", "event_date", "event_key"), rules, baseline(spark) if baseline else None, exclusions() if exclusions else None)
-        stored_schema = StructType([*found.schema.fields, StructField("source_name", StringType()), StructField("batch", LongType())])
-        old = _read(spark, f"{folder}/alerts", stored_schema).filter(F.col("batch") != number)
-        judged = store.accept(found, old.select("alert_id", "source_name", "rule_id", "user_key", "client_ip_key", "last_seen"), store.cooldown_minutes(rules), source)
-        made = judged.filter("outcome = 'created'").drop("outcome").withColumns({"source_name": F.lit(source), "batch": F.lit(number).cast("long")})
-        made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{folder}/alerts")
-        store.suppressions(judged, source).withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{folder}/suppressions")
+        fresh, counts = store.append_events(keyed, kept.drop("batch"))
+        done = counts.first()
+        _write(fresh.withColumn("batch", F.lit(number).cast("long")), f"{folder}/events", "batch", "event_date")
+        before = _read(spark, f"{folder}/runs", StructType([*_RUN.fields, StructField("batch", LongType())])).filter(F.col("batch") < number).select("newest_ts")
+        newest = before.unionAll(keyed.filter("is_consistent").select("ts")).agg(F.max("newest_ts").alias("t")).first().t
+        created = suppressed = 0
+        if newest is not None:
+            start = newest - pd.Timedelta(minutes=lookback_minutes).to_pytimedelta()
+            # The date is a partition column: older days aren't read.
+            stored = _read(spark, f"{folder}/events", schema).filter((F.col("batch") <= number) & F.col("is_consistent"))
+            recent = stored.filter((F.col("event_date") >= F.lit(start).cast("date")) & (F.col("ts") >= F.lit(start)))
+            found = detect(recent.drop("batch", "event_date", "event_key"), rules, baseline(spark) if baseline else None, exclusions() if exclusions else None)
+            alert_schema = StructType([*found.schema.fields, StructField("source_name", StringType()), StructField("batch", LongType())])
+            old = _read(spark, f"{folder}/alerts", alert_schema).filter(F.col("batch") != number)
+            judged = store.accept(found, old.select("alert_id", "source_name", "rule_id", "user_key", "client_ip_key", "last_seen"), store.cooldown_minutes(rules), source)
+            judged = judged.withColumn("batch", F.lit(number).cast("long"))
+            _write(judged.filter("outcome = 'created'").drop("outcome").withColumn("source_name", F.lit(source)), f"{folder}/alerts", "batch")
+            quiet = store.suppressions(judged, source).withColumn("batch", F.lit(number).cast("long"))
+            _write(quiet, f"{folder}/suppressions", "batch")
+            mine = F.col("batch") == number
+            created = _read(spark, f"{folder}/alerts", alert_schema).filter(mine).count()
+            suppressed = _read(spark, f"{folder}/suppressions", quiet.schema).filter(mine).count()
+        row = (number, source, started, datetime.now(timezone.utc), "completed", done.inserted, done.duplicates, created, suppressed, newest)
+        _write(spark.createDataFrame([row], _RUN).withColumn("batch", F.lit(number).cast("long")), f"{folder}/runs", "batch")
 
     return cycle
 
@@ -72,30 +105,33 @@ def minute_stream(stream: DataFrame, delay: str = "720 minutes") -> DataFrame:
     return counts.select("source_name", F.col("window.start").alias("minute"), "relying_party", "total_events", "success_count", "failure_count", "lockout_count")
 
 
-_HIT = StructType([StructField("user_key", StringType()), StructField("event_id", StringType()), StructField("at_us", LongType()), StructField("total", LongType())])
+_HIT = StructType([StructField("entity_key", StringType()), StructField("event_id", StringType()), StructField("at_us", LongType()), StructField("total", LongType())])
+_ROW = StructType([StructField("us", LongType()), StructField("id", StringType()), StructField("w", LongType()), StructField("kind", StringType()), StructField("who", StringType())])
 
 
-class _BruteForce(StatefulProcessor):
-    """Failures of one user in a trailing window, with cooldown (T5).
+class _TrailingRule(StatefulProcessor):
+    """A rule over the trailing window of one entity, with cooldown (T5).
 
     Events wait until the watermark passes them and are then taken in (time, id)
-    order; state older than window and cooldown is dropped.
+    order; of those behind, the ones of one window are kept. ``counted``: the class
+    whose weights count (all if empty); ``fires_on``: the class of events that may hit
+    (all if empty).
     """
 
-    def __init__(self, window_minutes: int, minimum: int, cooldown_minutes: int):
-        self.window, self.minimum, self.cooldown = window_minutes * 60_000_000, minimum, cooldown_minutes * 60_000_000
+    def __init__(self, rule: Rule, counted: str = "", fires_on: str = ""):
+        self.window, self.cooldown = rule.window_minutes * 60_000_000, rule.cooldown_minutes * 60_000_000
+        self.minimum, self.minimum_users, self.counted, self.fires_on = rule.minimum, rule.minimum_users, counted, fires_on
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        row = StructType([StructField("us", LongType()), StructField("id", StringType()), StructField("w", LongType())])
-        self.waiting = handle.getListState("waiting", row)
-        self.recent = handle.getListState("recent", row)
+        self.waiting = handle.getListState("waiting", _ROW)
+        self.recent = handle.getListState("recent", _ROW)
         self.last = handle.getValueState("last", StructType([StructField("us", LongType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for batch in rows:
-            for us, i, w in zip(batch["us"].tolist(), batch["event_id"].tolist(), batch["weight"].tolist(), strict=True):
-                self.waiting.appendValue((int(us), i, int(w)))
+            for us, i, w, kind, who in zip(*(batch[c].tolist() for c in ("us", "event_id", "weight", "event_class", "who")), strict=True):
+                self.waiting.appendValue((int(us), i, int(w), kind, who))
                 self.handle.registerTimer(int(us) // 1000 + 1)
         return iter([])
 
@@ -105,16 +141,31 @@ class _BruteForce(StatefulProcessor):
         ready, later = [x for x in waiting if x[0] < mark], [x for x in waiting if x[0] >= mark]
         if not ready:
             return iter([])
-        recent = [tuple(x) for x in self.recent.get()]
+        recent: deque = deque()
         last = self.last.get()[0] if self.last.exists() else None
-        hits = []
-        for us, i, w in ready:
-            recent = [x for x in recent if x[0] >= us - self.window] + [(us, i, w)]
-            total = sum(x[2] for x in recent)
-            if total >= self.minimum and (last is None or us - last >= self.cooldown):
-                hits.append((key[0], i, us, total))
-                last = us
-        self.recent.put(recent)
+        total, users, hits = 0, Counter(), []
+
+        def count(x: tuple, sign: int) -> None:
+            nonlocal total
+            if self.counted in ("", x[3]):
+                total += sign * x[2]
+                if x[4]:
+                    users[x[4]] += sign
+                    if not users[x[4]]:
+                        del users[x[4]]
+
+        for x in self.recent.get():
+            recent.append(tuple(x))
+            count(recent[-1], 1)
+        for x in ready:
+            while recent and recent[0][0] < x[0] - self.window:
+                count(recent.popleft(), -1)
+            recent.append(x)
+            count(x, 1)
+            if self.fires_on in ("", x[3]) and total >= self.minimum and len(users) >= self.minimum_users and (last is None or x[0] - last >= self.cooldown):
+                hits.append((key[0], x[1], x[0], total))
+                last = x[0]
+        self.recent.put(list(recent))
         if later:
             self.waiting.put(later)
         else:
@@ -127,11 +178,34 @@ class _BruteForce(StatefulProcessor):
         pass
 
 
+def rule_stream(stream: DataFrame, rules: RuleSet, rule_id: str, delay: str = "0 minutes", baseline: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Hits of one rule as they become certain: (entity_key, event_id, at_us, total). Needs the RocksDB state store.
+
+    The entity is the user; the address for password spraying; "user|address" for new
+    addresses, which need ``baseline``: users with history, and their known addresses.
+    """
+    user, address = F.col("user_key"), F.col("client_ip_key")
+    plan = {
+        rules.brute_force.rule_id: (rules.brute_force, "event_class = 'failure' AND user_key <> ''", user, "", ""),
+        rules.lockout.rule_id: (rules.lockout, "event_class = 'lockout' AND user_key <> ''", user, "", ""),
+        rules.spray.rule_id: (rules.spray, "event_class = 'failure' AND client_ip_key <> ''", address, "", ""),
+        rules.success_after.rule_id: (rules.success_after, "event_class IN ('failure', 'success') AND user_key <> ''", user, "failure", "success"),
+        rules.new_ip.rule_id: (rules.new_ip, "event_class IN ('success', 'failure', 'lockout') AND user_key <> '' AND client_ip_key <> ''", F.concat_ws("|", user, address), "", ""),
+    }
+    rule, where, entity, counted, fires_on = plan[rule_id]
+    rows = stream.filter(where)
+    if rule_id == rules.new_ip.rule_id:
+        if baseline is None:
+            raise ValueError("new addresses need a baseline")
+        users, known = baseline
+        rows = rows.join(users.select("user_key"), "user_key", "left_semi").join(known.select("user_key", "client_ip_key"), ["user_key", "client_ip_key"], "left_anti")
+    rows = rows.select(entity.alias("entity_key"), "event_id", "ts", F.unix_micros("ts").alias("us"), "weight", "event_class", user.alias("who")).withWatermark("ts", delay)
+    return rows.groupBy("entity_key").transformWithStateInPandas(statefulProcessor=_TrailingRule(rule, counted, fires_on), outputStructType=_HIT, outputMode="Append", timeMode="EventTime")
+
+
 def brute_force_stream(stream: DataFrame, rules: RuleSet, delay: str = "0 minutes") -> DataFrame:
-    """Brute-force hits as they become certain: (user_key, event_id, at_us, total). Needs the RocksDB state store."""
-    rule = rules.brute_force
-    rows = stream.filter("event_class = 'failure' AND user_key <> ''").withColumn("us", F.unix_micros("ts")).withWatermark("ts", delay)
-    return rows.groupBy("user_key").transformWithStateInPandas(statefulProcessor=_BruteForce(rule.window_minutes, rule.minimum, rule.cooldown_minutes), outputStructType=_HIT, outputMode="Append", timeMode="EventTime")
+    """Brute-force hits as they become certain: (user_key, event_id, at_us, total)."""
+    return rule_stream(stream, rules, rules.brute_force.rule_id, delay).withColumnRenamed("entity_key", "user_key")
 
 
 def run_available(stream: DataFrame, sink: str, checkpoint: str, mode: str = "append") -> None:
