@@ -311,16 +311,18 @@ def representatives(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     Of rows that share this doc_id the one whose text has the smallest hash stays,
     then the one whose row has; rows without doc_id all stay.
     """
-    kept = classes(docs, threshold).filter(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("watchwell_kept"))
-    kept = stored(kept.groupBy("watchwell_kept").agg(F.count("*").alias("watchwell_rows")), "near-dup-kept")
-    rows = docs.join(kept, docs["doc_id"].cast("long") == kept["watchwell_kept"])
-    single = rows.filter("watchwell_rows = 1").select(*(docs[c] for c in docs.columns))
-    if kept.filter("watchwell_rows > 1").limit(1).count():
+    ids = classes(docs, threshold).filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.first("class_id").alias("class_id"), F.count("*").alias("n"))
+    # Few ids go or repeat: what most rows need is only not to be among them.
+    marked = stored(ids.filter("doc_id <> class_id OR n > 1").select(F.col("doc_id").alias("watchwell_id"), (F.col("doc_id") == F.col("class_id")).alias("watchwell_stays")), "near-dup-marked")
+    of_id = docs["doc_id"].cast("long") == marked["watchwell_id"]
+    single = docs.join(marked, of_id, "left_anti")
+    again = marked.filter("watchwell_stays")
+    if again.limit(1).count():
         row = F.struct(*(docs[c] for c in docs.columns))
         first = F.struct(F.sha2(F.coalesce(docs["text"], F.lit("")), 256), F.xxhash64(*(docs[c] for c in docs.columns)))
-        several = rows.filter("watchwell_rows > 1").groupBy("watchwell_kept").agg(F.min_by(row, first).alias("watchwell_row"))
+        several = docs.join(again, docs["doc_id"].cast("long") == again["watchwell_id"]).groupBy("watchwell_id").agg(F.min_by(row, first).alias("watchwell_row"))
         single = single.unionByName(several.select("watchwell_row.*"))
-    return single.unionByName(docs.filter(F.col("doc_id").isNull()))
+    return single
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
