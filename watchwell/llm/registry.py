@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from watchwell.llm import fingerprints, lm_score, near_dup, packing, pieces, pii, runs, token_store, topk, toxicity, turn_trie, urls
+from watchwell.llm import fingerprints, lm_score, near_dup, packing, pieces, pii, quality, runs, token_store, topk, toxicity, turn_trie, urls
 
-_MODULES = (fingerprints, lm_score, near_dup, packing, pieces, pii, runs, token_store, topk, toxicity, turn_trie, urls)
+_MODULES = (fingerprints, lm_score, near_dup, packing, pieces, pii, quality, runs, token_store, topk, toxicity, turn_trie, urls)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
