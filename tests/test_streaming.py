@@ -30,20 +30,20 @@ def test_cycle_keeps_each_event_once_and_finds_the_same_windows(spark, tmp_path)
     rows = sorted(events(), key=lambda r: r[1])
     stream = batches(spark, tmp_path, rows + rows[:20], 1)
     store_dir = f"{tmp_path}/store"
-    query = stream.writeStream.foreachBatch(cycle.monitor_cycle(store_dir, RULES, "demo")).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    query = stream.writeStream.foreachBatch(cycle.monitor_cycle(store_dir, RULES, "demo", key_slots=2)).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.read.parquet(f"{store_dir}/events").count() == len(rows)
     got = {r.alert_id for r in spark.read.parquet(f"{store_dir}/alerts").collect()}
     whole = {r.alert_id for r in detect.detect(spark.createDataFrame(rows, SCHEMA), RULES).collect()}
     assert got and got <= whole
     # The same batch once more changes nothing.
-    cycle.monitor_cycle(store_dir, RULES, "demo")(spark.createDataFrame(rows, SCHEMA), 0)
+    cycle.monitor_cycle(store_dir, RULES, "demo", key_slots=2)(spark.createDataFrame(rows, SCHEMA), 0)
     assert spark.read.parquet(f"{store_dir}/events").count() == len(rows)
     assert {r.alert_id for r in spark.read.parquet(f"{store_dir}/alerts").collect()} == got
     (run,) = spark.read.parquet(f"{store_dir}/runs").collect()
     assert (run.run_id, run.status, run.events_inserted, run.alerts_created, run.newest_ts) == (0, "completed", len(rows), len(got), max(r[1] for r in rows))
     # A later batch of the same events adds neither events nor alerts.
-    cycle.monitor_cycle(store_dir, RULES, "demo")(spark.createDataFrame(rows, SCHEMA), 1)
+    cycle.monitor_cycle(store_dir, RULES, "demo", key_slots=2)(spark.createDataFrame(rows, SCHEMA), 1)
     assert spark.read.parquet(f"{store_dir}/events").count() == len(rows)
     assert spark.read.parquet(f"{store_dir}/alerts").count() == len(got)
 
@@ -130,3 +130,58 @@ def test_every_stateful_rule_equals_batch(spark, tmp_path):
         got = sorted((r.entity_key, r.total) for r in spark.read.parquet(f"{at}/out").collect())
         want = sorted((entity(r), r[total]) for r in batch.collect())
         assert got == want and want, rule.rule_id
+
+
+def test_cycle_logs_failures_versions_and_routing(spark, tmp_path):
+    rows, folder = events(4), f"{tmp_path}/store"
+    whole = spark.createDataFrame(rows, SCHEMA)
+    ready = []
+
+    def active():
+        ready.append(1)
+        if len(ready) == 1:
+            raise LookupError("no rules yet")
+        return RULES, 7
+
+    run = cycle.monitor_cycle(folder, active, "demo", notify=cycle.Notify(immediate=("high", "critical"), per_run=1))
+    with pytest.raises(LookupError):
+        run(whole, 0)
+    (log,) = spark.read.parquet(f"{folder}/runs").collect()
+    assert (log.status, log.error, log.newest_ts) == ("failed", "LookupError", None) and log.finished_at >= log.started_at
+    run(whole, 0)  # the stream brings the batch again
+    (log,) = spark.read.parquet(f"{folder}/runs").collect()
+    alerts, routing = spark.read.parquet(f"{folder}/alerts").collect(), spark.read.parquet(f"{folder}/routing").collect()
+    assert (log.status, log.error, log.events_fetched, log.events_inserted, log.rule_version, log.alerts_created) == ("completed", None, len(rows), len(rows), 7, len(alerts))
+    assert alerts and {a.rule_version for a in alerts} == {7} and {r.alert_id for r in routing} == {a.alert_id for a in alerts}
+    assert log.notifications == sum(r.outcome == "send" for r in routing) == min(1, sum(a.severity in ("high", "critical") for a in alerts))
+    quiet = spark.read.parquet(f"{folder}/suppressions").groupBy("reason").count().collect()
+    assert {r.reason: r["count"] for r in quiet if r.reason.startswith("notification")} == {o: sum(r.outcome == o for r in routing) for o in {r.outcome for r in routing} - {"send"}}
+
+
+def test_cycle_reads_only_parts_that_may_hold_its_keys(spark, tmp_path):
+    run = cycle.monitor_cycle(f"{tmp_path}/store", RULES, "demo", key_slots=2)
+    one, two = events(5, 30), [("n" + r[0], *r[1:]) for r in events(6, 30)]
+    for number, rows in enumerate((one, two, one)):
+        run(spark.createDataFrame(rows, SCHEMA), number)
+    log = spark.read.parquet(f"{tmp_path}/store/runs").orderBy("run_id").collect()
+    assert [(r.events_inserted, r.events_duplicate) for r in log] == [(30, 0), (30, 0), (0, 30)]
+    keys = cycle.KeyedLog(f"{tmp_path}/store/keys", cycle._KEY, "event_key", 2)
+    asked = spark.createDataFrame([(f"demo:{r[0]}",) for r in one], "event_key string")
+    assert {p.batch for p in keys.opened(asked, 3)} == {0}
+
+
+def test_stateful_rules_with_exclusions_equal_batch(spark, tmp_path):
+    pytest.importorskip("google.protobuf")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    lists = Exclusions(user_keys=("u2",), client_ip_keys=("ip1",), thresholds={"failures_per_user": 6, "failures_per_ip": 6, "distinct_users_per_ip": 2})
+    rules = replace(RULES, spray=replace(RULES.spray, minimum=5))
+    rows = events(3)
+    late = ("zz", T + timedelta(days=1), "failure", "u9", "ip9", "s", 1, "demo", True)
+    whole = spark.createDataFrame(rows, SCHEMA)
+    for rule, batch, entity in ((rules.brute_force, detect.brute_force(whole, rules, lists), "user_key"), (rules.spray, detect.password_spray(whole, rules, lists), "client_ip_key")):
+        at = tmp_path / rule.rule_id
+        stream = cycle.rule_stream(batches(spark, at, [*rows, late], 1), rules, rule.rule_id, exclusions=lists)
+        cycle.run_available(stream, f"{at}/out", f"{at}/c")
+        found = spark.read.parquet(f"{at}/out").collect()
+        want = sorted((r[entity], r.event_count) for r in batch.collect())
+        assert sorted((r.entity_key, r.total) for r in found) == want and any(r.authorized for r in found), rule.rule_id

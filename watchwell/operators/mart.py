@@ -37,11 +37,22 @@ def _sums(sign: Column | None = None) -> list[Column]:
 
 def minutes(events: DataFrame) -> DataFrame:
     """Per source, UTC minute and service: total and class counts (A1)."""
-    other = F.coalesce(F.sum(F.when(F.col("event_class") == "other", F.col("weight"))), F.lit(0)).cast("long").alias("other_count")
-    return usable(events).groupBy("source_name", F.date_trunc("minute", "ts").alias("minute"), "relying_party").agg(*_sums(), other)
+    return _minutes(events, None)
 
 
-def _grained(events: DataFrame, zone: str) -> DataFrame:
+def _minutes(events: DataFrame, sign: Column | None) -> DataFrame:
+    w = F.col("weight") if sign is None else F.col("weight") * sign
+    other = F.coalesce(F.sum(F.when(F.col("event_class") == "other", w)), F.lit(0)).cast("long").alias("other_count")
+    return usable(events).groupBy("source_name", F.date_trunc("minute", "ts").alias("minute"), "relying_party").agg(*_sums(sign), other)
+
+
+def apply_to_minutes(stored: DataFrame, changes: DataFrame) -> DataFrame:
+    """Minutes after signed events, as apply_changes() is for buckets; minutes without events vanish."""
+    both = stored.select("source_name", "minute", "relying_party", *COUNTS, "other_count").unionByName(_minutes(changes, F.col("sign")))
+    return both.groupBy("source_name", "minute", "relying_party").agg(*(F.sum(c).cast("long").alias(c) for c in (*COUNTS, "other_count"))).filter("total_events > 0")
+
+
+def grained(events: DataFrame, zone: str) -> DataFrame:
     """Two rows per event, for its local hour and its local day; bucket is the UTC instant that the bucket begins."""
     wall = local(F.col("ts"), zone)
     begin = lambda grain: F.to_utc_timestamp(F.date_trunc(grain, wall), zone)
@@ -52,7 +63,7 @@ def _grained(events: DataFrame, zone: str) -> DataFrame:
 def buckets(events: DataFrame, zone: str = ZONE) -> DataFrame:
     """Per source, grain, bucket and service: counts, exact distinct users and addresses (A2)."""
     kinds = lambda c: F.count_distinct(F.nullif(F.col(c), F.lit("")))
-    found = _grained(usable(events), zone).groupBy(*KEYS).agg(*_sums(), kinds("user_key").alias("distinct_users"), kinds("client_ip_key").alias("distinct_ips"))
+    found = grained(usable(events), zone).groupBy(*KEYS).agg(*_sums(), kinds("user_key").alias("distinct_users"), kinds("client_ip_key").alias("distinct_ips"))
     return found.withColumn("service_key", service_key(F.col("relying_party")))
 
 
@@ -64,7 +75,7 @@ def _entities(events: DataFrame) -> DataFrame:
 
 def entities(events: DataFrame, zone: str = ZONE) -> DataFrame:
     """How many rows of a bucket name each user and address (A3)."""
-    return _entities(_grained(usable(events), zone)).groupBy(*KEYS, "kind", "entity_key").agg(F.count("*").alias("refs"))
+    return _entities(grained(usable(events), zone)).groupBy(*KEYS, "kind", "entity_key").agg(F.count("*").alias("refs"))
 
 
 def apply_changes(stored: DataFrame, refs: DataFrame, changes: DataFrame, zone: str = ZONE) -> tuple[DataFrame, DataFrame]:
@@ -73,7 +84,7 @@ def apply_changes(stored: DataFrame, refs: DataFrame, changes: DataFrame, zone:
     changes: events with ``sign`` +1 (inserted) or -1 (taken back); an update is
     both. Buckets without events and entities without rows vanish.
     """
-    marked = _grained(usable(changes), zone)
+    marked = grained(usable(changes), zone)
     new_refs = refs.select(*KEYS, "kind", "entity_key", "refs").unionByName(_entities(marked).groupBy(*KEYS, "kind", "entity_key").agg(F.sum("sign").alias("refs")))
     new_refs = new_refs.groupBy(*KEYS, "kind", "entity_key").agg(F.sum("refs").cast("long").alias("refs")).filter("refs > 0")
     sums = stored.select(*KEYS, *COUNTS).unionByName(marked.groupBy(*KEYS).agg(*_sums(F.col("sign"))))

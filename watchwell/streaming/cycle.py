@@ -4,29 +4,27 @@ from __future__ import annotations
 
 from collections import Counter, deque
 from collections.abc import Callable, Iterator
-from datetime import datetime, timezone
+from dataclasses import dataclass
+from datetime import datetime, timedelta, timezone
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StringType, StructField, StructType, TimestampType
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType, TimestampType
 
 from watchwell.operators import mart, store
-from watchwell.operators.detect import detect
+from watchwell.operators.detect import authorized, detect
 from watchwell.operators.rules import Exclusions, Rule, RuleSet
+from watchwell.streaming.keyed import KeyedLog
+from watchwell.streaming.parts import drop, there
 
 LOOKBACK_MINUTES = 720
 
 
-def _there(spark: SparkSession, folder: str) -> bool:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-
-
 def _read(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
     """A Parquet table that may not be there yet."""
-    return spark.read.schema(schema).parquet(folder) if _there(spark, folder) else spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(folder) if there(spark, folder) else spark.createDataFrame([], schema)
 
 
 def _write(rows: DataFrame, folder: str, *parts: str) -> None:
@@ -37,57 +35,100 @@ def _write(rows: DataFrame, folder: str, *parts: str) -> None:
 _RUN = StructType(
     [
         StructField("run_id", LongType()), StructField("source_name", StringType()), StructField("started_at", TimestampType()), StructField("finished_at", TimestampType()), StructField("status", StringType()),
-        StructField("events_inserted", LongType()), StructField("events_duplicate", LongType()), StructField("alerts_created", LongType()), StructField("alerts_suppressed", LongType()), StructField("newest_ts", TimestampType()),
+        StructField("events_fetched", LongType()), StructField("events_inserted", LongType()), StructField("events_duplicate", LongType()), StructField("alerts_created", LongType()), StructField("alerts_suppressed", LongType()),
+        StructField("notifications", LongType()), StructField("rule_version", LongType()), StructField("error", StringType()), StructField("newest_ts", TimestampType()),
     ]
 )
+_LEDGER = StructType([StructField("alert_id", StringType()), StructField("outcome", StringType())])
+_KEY = StructType([StructField("event_key", StringType())])
 
 
-def monitor_cycle(
-    folder: str, rules: RuleSet, source: str, lookback_minutes: int = LOOKBACK_MINUTES, baseline: Callable[[SparkSession], tuple[DataFrame, DataFrame, str] | None] | None = None,
-    exclusions: Callable[[], Exclusions | None] | None = None, prepare: Callable[[DataFrame], DataFrame] | None = None,
-) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: append new events, detect over the lookback, accept, log the run.
+@dataclass(frozen=True)
+class Notify:
+    """Which alerts of a cycle are to be sent: severities, how many in a cycle, attempts for each."""
 
-    ``baseline`` and ``exclusions`` are read anew in every cycle; without a baseline
-    the new-address rule doesn't run. ``prepare`` makes events of raw rows (normalize,
-    then sources.auth.from_normalized); without it batches are events.
+    immediate: tuple[str, ...] = ("critical", "high")
+    per_run: int = 20
+    attempts: int = 3
 
-    Kept in ``folder``: events, alerts, suppressions, and runs with one row a batch, from
-    which the next cycle knows the newest event. A batch may come twice after a failure:
-    events are known by key, alerts by id, and each batch writes into folders of its own
-    number, so nothing doubles.
+
+def monitor_cycle(
+    folder: str, rules: RuleSet | Callable[[], tuple[RuleSet, int]], source: str, lookback_minutes: int = LOOKBACK_MINUTES, baseline: Callable[[SparkSession], tuple[DataFrame, DataFrame, str] | None] | None = None,
+    exclusions: Callable[[], Exclusions | None] | None = None, prepare: Callable[[DataFrame], DataFrame] | None = None, notify: Notify | None = None, key_slots: int = 16,
+) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function: append new events, detect over the lookback, accept, route, log the run.
+
+    ``rules`` (with their version, else 0), ``baseline`` and ``exclusions`` are read anew
+    in every cycle; without a baseline the new-address rule doesn't run. ``prepare`` makes
+    events of raw rows (normalize, then sources.auth.from_normalized); without it batches
+    are events. With ``notify``, what becomes of each new alert is decided, from the
+    deliveries that a sender keeps in ``folder``/deliveries (alert_id, outcome).
+
+    Kept in ``folder``: events, their keys, alerts with the version of their rules,
+    suppressions, routing, and runs with one row a batch: ``running`` from its start on,
+    then ``completed``, or ``failed`` with the class of the error, which goes on to the
+    stream. From the runs the next cycle knows the newest event. A batch may come twice
+    after a failure: events are known by key, alerts by id, and each batch writes into
+    folders of its own number, so nothing doubles.
     """
+    keys = KeyedLog(f"{folder}/keys", _KEY, "event_key", key_slots)
 
     def cycle(batch: DataFrame, number: int) -> None:
-        spark, started = batch.sparkSession, datetime.now(timezone.utc)
+        spark = batch.sparkSession
+        row = dict.fromkeys(_RUN.names, 0) | {"run_id": number, "source_name": source, "started_at": datetime.now(timezone.utc), "finished_at": None, "error": None, "newest_ts": None}
+
+        def log(**values) -> None:
+            row.update(values)
+            _write(spark.createDataFrame([tuple(row.values())], _RUN).withColumn("batch", F.lit(number).cast("long")), f"{folder}/runs", "batch")
+
+        log(status="running")
+        try:
+            work(spark, batch, number, row)
+        except Exception as error:
+            log(status="failed", finished_at=datetime.now(timezone.utc), error=type(error).__name__)
+            raise
+        log(status="completed", finished_at=datetime.now(timezone.utc))
+
+    def work(spark: SparkSession, batch: DataFrame, number: int, row: dict) -> None:
+        active, row["rule_version"] = rules() if callable(rules) else (rules, 0)
+        of_batch = F.lit(number).cast("long")
         events = prepare(batch) if prepare else batch
-        keyed = events.withColumn("event_key", store.event_key(F.col("source_name"), F.col("event_id"))).withColumn("event_date", F.to_date("ts"))
-        schema = StructType([*keyed.schema.fields, StructField("batch", LongType())])
-        kept = _read(spark, f"{folder}/events", schema).filter(F.col("batch") != number)
-        fresh, counts = store.append_events(keyed, kept.drop("batch"))
-        done = counts.first()
-        _write(fresh.withColumn("batch", F.lit(number).cast("long")), f"{folder}/events", "batch", "event_date")
+        made = events.withColumn("event_key", store.event_key(F.col("source_name"), F.col("event_id"))).withColumn("event_date", F.to_date("ts"))
+        made.write.mode("overwrite").parquet(f"{folder}/work")  # prepared once, read by what follows
+        keyed = spark.read.schema(made.schema).parquet(f"{folder}/work")
+        schema = StructType([*made.schema.fields, StructField("batch", LongType())])
+        fresh, counts = store.append_events(keyed, keys.find(keyed, number))
+        _write(fresh.withColumn("batch", of_batch), f"{folder}/events", "batch", "event_date")
+        written = _read(spark, f"{folder}/events", schema).filter(F.col("batch") == number)
+        keys.append(written.select("event_key"), number)
+        row["events_fetched"], row["events_inserted"] = keyed.count(), written.count()
+        row["events_duplicate"] = row["events_fetched"] - row["events_inserted"]
         before = _read(spark, f"{folder}/runs", StructType([*_RUN.fields, StructField("batch", LongType())])).filter(F.col("batch") < number).select("newest_ts")
         newest = before.unionAll(keyed.filter("is_consistent").select("ts")).agg(F.max("newest_ts").alias("t")).first().t
-        created = suppressed = 0
+        row["newest_ts"] = newest
         if newest is not None:
-            start = newest - pd.Timedelta(minutes=lookback_minutes).to_pytimedelta()
+            start = newest - timedelta(minutes=lookback_minutes)
             # The date is a partition column: older days aren't read.
-            stored = _read(spark, f"{folder}/events", schema).filter((F.col("batch") <= number) & F.col("is_consistent"))
-            recent = stored.filter((F.col("event_date") >= F.lit(start).cast("date")) & (F.col("ts") >= F.lit(start)))
-            found = detect(recent.drop("batch", "event_date", "event_key"), rules, baseline(spark) if baseline else None, exclusions() if exclusions else None)
-            alert_schema = StructType([*found.schema.fields, StructField("source_name", StringType()), StructField("batch", LongType())])
+            kept = _read(spark, f"{folder}/events", schema).filter((F.col("batch") <= number) & F.col("is_consistent"))
+            recent = kept.filter((F.col("event_date") >= F.lit(start).cast("date")) & (F.col("ts") >= F.lit(start)))
+            found = detect(recent.drop("batch", "event_date", "event_key"), active, baseline(spark) if baseline else None, exclusions() if exclusions else None)
+            alert_schema = StructType([*found.schema.fields, StructField("source_name", StringType()), StructField("rule_version", LongType()), StructField("batch", LongType())])
             old = _read(spark, f"{folder}/alerts", alert_schema).filter(F.col("batch") != number)
-            judged = store.accept(found, old.select("alert_id", "source_name", "rule_id", "user_key", "client_ip_key", "last_seen"), store.cooldown_minutes(rules), source)
-            judged = judged.withColumn("batch", F.lit(number).cast("long"))
-            _write(judged.filter("outcome = 'created'").drop("outcome").withColumn("source_name", F.lit(source)), f"{folder}/alerts", "batch")
-            quiet = store.suppressions(judged, source).withColumn("batch", F.lit(number).cast("long"))
-            _write(quiet, f"{folder}/suppressions", "batch")
-            mine = F.col("batch") == number
-            created = _read(spark, f"{folder}/alerts", alert_schema).filter(mine).count()
-            suppressed = _read(spark, f"{folder}/suppressions", quiet.schema).filter(mine).count()
-        row = (number, source, started, datetime.now(timezone.utc), "completed", done.inserted, done.duplicates, created, suppressed, newest)
-        _write(spark.createDataFrame([row], _RUN).withColumn("batch", F.lit(number).cast("long")), f"{folder}/runs", "batch")
+            judged = store.accept(found, old.select("alert_id", "source_name", "rule_id", "user_key", "client_ip_key", "last_seen"), store.cooldown_minutes(active), source)
+            judged.write.mode("overwrite").parquet(f"{folder}/work")
+            judged = spark.read.schema(judged.schema).parquet(f"{folder}/work")
+            created = judged.filter("outcome = 'created'").drop("outcome").withColumns({"source_name": F.lit(source), "rule_version": F.lit(row["rule_version"]).cast("long"), "batch": of_batch})
+            _write(created, f"{folder}/alerts", "batch")
+            quiet = store.suppressions(judged, source)
+            if notify:
+                routed = store.route(created.withColumn("run_order", F.unix_micros("first_seen")), _read(spark, f"{folder}/deliveries", _LEDGER), notify.immediate, notify.per_run, notify.attempts)
+                _write(routed.withColumn("batch", of_batch), f"{folder}/routing", "batch")
+                held = created.join(routed.filter(F.col("outcome") != "send").select("alert_id", "outcome"), "alert_id")
+                quiet = quiet.unionByName(store.suppressions(held, source))
+                row["notifications"] = routed.filter("outcome = 'send'").count()
+            _write(quiet.withColumn("batch", of_batch), f"{folder}/suppressions", "batch")
+            row["alerts_created"], row["alerts_suppressed"] = created.count(), quiet.count()
+        drop(spark, f"{folder}/work")
 
     return cycle
 
@@ -105,7 +146,7 @@ def minute_stream(stream: DataFrame, delay: str = "720 minutes") -> DataFrame:
     return counts.select("source_name", F.col("window.start").alias("minute"), "relying_party", "total_events", "success_count", "failure_count", "lockout_count")
 
 
-_HIT = StructType([StructField("entity_key", StringType()), StructField("event_id", StringType()), StructField("at_us", LongType()), StructField("total", LongType())])
+_HIT = StructType([StructField("entity_key", StringType()), StructField("authorized", BooleanType()), StructField("event_id", StringType()), StructField("at_us", LongType()), StructField("total", LongType())])
 _ROW = StructType([StructField("us", LongType()), StructField("id", StringType()), StructField("w", LongType()), StructField("kind", StringType()), StructField("who", StringType())])
 
 
@@ -115,12 +156,15 @@ class _TrailingRule(StatefulProcessor):
     Events wait until the watermark passes them and are then taken in (time, id)
     order; of those behind, the ones of one window are kept. ``counted``: the class
     whose weights count (all if empty); ``fires_on``: the class of events that may hit
-    (all if empty).
+    (all if empty). ``raised``: thresholds of weight and users for authorized events,
+    which are entities of their own. A timer clears an entity's state once the watermark
+    is past its last event by window and cooldown.
     """
 
-    def __init__(self, rule: Rule, counted: str = "", fires_on: str = ""):
+    def __init__(self, rule: Rule, counted: str = "", fires_on: str = "", raised: tuple[int, int] | None = None):
         self.window, self.cooldown = rule.window_minutes * 60_000_000, rule.cooldown_minutes * 60_000_000
-        self.minimum, self.minimum_users, self.counted, self.fires_on = rule.minimum, rule.minimum_users, counted, fires_on
+        self.plain, self.counted, self.fires_on = (rule.minimum, rule.minimum_users), counted, fires_on
+        self.raised = raised or self.plain
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -133,6 +177,7 @@ class _TrailingRule(StatefulProcessor):
             for us, i, w, kind, who in zip(*(batch[c].tolist() for c in ("us", "event_id", "weight", "event_class", "who")), strict=True):
                 self.waiting.appendValue((int(us), i, int(w), kind, who))
                 self.handle.registerTimer(int(us) // 1000 + 1)
+                self.handle.registerTimer((int(us) + self.window + self.cooldown) // 1000 + 1)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -140,7 +185,12 @@ class _TrailingRule(StatefulProcessor):
         waiting = sorted(tuple(x) for x in self.waiting.get())
         ready, later = [x for x in waiting if x[0] < mark], [x for x in waiting if x[0] >= mark]
         if not ready:
+            newest = max((x[0] for x in self.recent.get()), default=None)
+            if not later and (newest is None or newest + self.window + self.cooldown < mark):
+                for state in (self.waiting, self.recent, self.last):
+                    state.clear()
             return iter([])
+        minimum, minimum_users = self.raised if key[1] else self.plain
         recent: deque = deque()
         last = self.last.get()[0] if self.last.exists() else None
         total, users, hits = 0, Counter(), []
@@ -162,8 +212,8 @@ class _TrailingRule(StatefulProcessor):
                 count(recent.popleft(), -1)
             recent.append(x)
             count(x, 1)
-            if self.fires_on in ("", x[3]) and total >= self.minimum and len(users) >= self.minimum_users and (last is None or x[0] - last >= self.cooldown):
-                hits.append((key[0], x[1], x[0], total))
+            if self.fires_on in ("", x[3]) and total >= minimum and len(users) >= minimum_users and (last is None or x[0] - last >= self.cooldown):
+                hits.append((key[0], key[1], x[1], x[0], total))
                 last = x[0]
         self.recent.put(list(recent))
         if later:
@@ -178,29 +228,34 @@ class _TrailingRule(StatefulProcessor):
         pass
 
 
-def rule_stream(stream: DataFrame, rules: RuleSet, rule_id: str, delay: str = "0 minutes", baseline: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
-    """Hits of one rule as they become certain: (entity_key, event_id, at_us, total). Needs the RocksDB state store.
+def rule_stream(stream: DataFrame, rules: RuleSet, rule_id: str, delay: str = "0 minutes", baseline: tuple[DataFrame, DataFrame] | None = None, exclusions: Exclusions | None = None) -> DataFrame:
+    """Hits of one rule as they become certain: (entity_key, authorized, event_id, at_us, total). Needs the RocksDB state store.
 
     The entity is the user; the address for password spraying; "user|address" for new
     addresses, which need ``baseline``: users with history, and their known addresses.
+    Events on a list of ``exclusions`` are counted apart, against raised thresholds.
     """
     user, address = F.col("user_key"), F.col("client_ip_key")
     plan = {
-        rules.brute_force.rule_id: (rules.brute_force, "event_class = 'failure' AND user_key <> ''", user, "", ""),
-        rules.lockout.rule_id: (rules.lockout, "event_class = 'lockout' AND user_key <> ''", user, "", ""),
-        rules.spray.rule_id: (rules.spray, "event_class = 'failure' AND client_ip_key <> ''", address, "", ""),
-        rules.success_after.rule_id: (rules.success_after, "event_class IN ('failure', 'success') AND user_key <> ''", user, "failure", "success"),
-        rules.new_ip.rule_id: (rules.new_ip, "event_class IN ('success', 'failure', 'lockout') AND user_key <> '' AND client_ip_key <> ''", F.concat_ws("|", user, address), "", ""),
+        rules.brute_force.rule_id: (rules.brute_force, "event_class = 'failure' AND user_key <> ''", user, "", "", "failures_per_user"),
+        rules.lockout.rule_id: (rules.lockout, "event_class = 'lockout' AND user_key <> ''", user, "", "", "lockouts_per_user"),
+        rules.spray.rule_id: (rules.spray, "event_class = 'failure' AND client_ip_key <> ''", address, "", "", "failures_per_ip"),
+        rules.success_after.rule_id: (rules.success_after, "event_class IN ('failure', 'success') AND user_key <> ''", user, "failure", "success", "success_after_failures"),
+        rules.new_ip.rule_id: (rules.new_ip, "event_class IN ('success', 'failure', 'lockout') AND user_key <> '' AND client_ip_key <> ''", F.concat_ws("|", user, address), "", "", "new_ip_events"),
     }
-    rule, where, entity, counted, fires_on = plan[rule_id]
+    rule, where, entity, counted, fires_on, limit = plan[rule_id]
     rows = stream.filter(where)
     if rule_id == rules.new_ip.rule_id:
         if baseline is None:
             raise ValueError("new addresses need a baseline")
         users, known = baseline
         rows = rows.join(users.select("user_key"), "user_key", "left_semi").join(known.select("user_key", "client_ip_key"), ["user_key", "client_ip_key"], "left_anti")
-    rows = rows.select(entity.alias("entity_key"), "event_id", "ts", F.unix_micros("ts").alias("us"), "weight", "event_class", user.alias("who")).withWatermark("ts", delay)
-    return rows.groupBy("entity_key").transformWithStateInPandas(statefulProcessor=_TrailingRule(rule, counted, fires_on), outputStructType=_HIT, outputMode="Append", timeMode="EventTime")
+    rows = rows.select(entity.alias("entity_key"), authorized(exclusions).alias("authorized"), "event_id", "ts", F.unix_micros("ts").alias("us"), "weight", "event_class", user.alias("who")).withWatermark("ts", delay)
+    raised = None
+    if exclusions:
+        users_limit = exclusions.threshold("distinct_users_per_ip", rule.minimum_users) if rule is rules.spray else rule.minimum_users
+        raised = (exclusions.threshold(limit, rule.minimum), users_limit)
+    return rows.groupBy("entity_key", "authorized").transformWithStateInPandas(statefulProcessor=_TrailingRule(rule, counted, fires_on, raised), outputStructType=_HIT, outputMode="Append", timeMode="EventTime")
 
 
 def brute_force_stream(stream: DataFrame, rules: RuleSet, delay: str = "0 minutes") -> DataFrame:
