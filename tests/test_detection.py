@@ -143,3 +143,18 @@ def test_evidence_ids_services_and_users_are_bounded(spark):
     assert r.evidence_event_ids.split(";") == [f"e{i:03}" for i in range(16) if i % 3][:10]
     assert r.relying_parties.split(";") == [f"app{i:02}" for i in range(8)]
     assert "collect_set(CASE WHEN NOT (user_key" not in detect.password_spray(frame(spark, rows), rules)._jdf.queryExecution().toString()
+
+
+def test_distinct_values_of_trailing_windows_in_linear_rows(spark):
+    """One busy address, ties in time, values that go and come back; no pair of events is made."""
+    chance, start = random.Random(9), datetime(2026, 3, 21, 15)
+    rows = [(f"e{i:03}", start + timedelta(minutes=chance.choice([0, 1, 7, 19, 20, 21, 22, 40, 41, 60, 61, 90, 91, 130])), "failure", chance.choice(["", "a", "b", "c", "d"]), "ip", "s", 1, "demo", True) for i in range(60)]
+    given = spark.createDataFrame(rows, "event_id string, ts timestamp, event_class string, user_key string, client_ip_key string, relying_party string, weight long, source_name string, is_consistent boolean")
+    for minutes in (20, 45):
+        marked = detect.sliced(given, ["client_ip_key"], minutes)
+        found = detect.trailing_distinct(marked, ["client_ip_key"], "user_key", minutes, "n").filter("home")
+        order = sorted(rows, key=lambda r: (r[1], r[0]))
+        want = {r[0]: len({x[3] for x in order[: i + 1] if x[3] and x[1] >= r[1] - timedelta(minutes=minutes)}) for i, r in enumerate(order)}
+        assert {r.event_id: r.n for r in found.collect()} == want
+    plan = detect.password_spray(given, RuleSet())._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1  # of the few hits with their evidence

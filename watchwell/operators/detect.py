@@ -54,14 +54,15 @@ def evaluation(events: DataFrame, training_end: str | None, zone: str) -> DataFr
 def sliced(events: DataFrame, keys: list[str], minutes: int) -> DataFrame:
     """events, twice, with slice, home, the time ``us`` and the number ``at``.
 
-    ``at`` counts the events of a key and slice in the order of (time, id). The
-    trailing window of an event holds those up to its ``at`` that are ``recent``.
+    ``at`` counts the events of a key and slice in the order of (time, id), then of a
+    hash of the row, so that it is the same wherever it is computed. The trailing window
+    of an event holds those up to its ``at`` that are ``recent``.
     """
     us = F.unix_micros("ts") - F.lit(_EPOCH_US)
     own = F.floor(us / F.lit(minutes * 60_000_000))
     twice = events.withColumn("us", us).withColumn("copy", F.explode(F.array(F.struct(own.alias("slice"), F.lit(True).alias("home")), F.struct((own + 1).alias("slice"), F.lit(False).alias("home")))))
     twice = twice.select("*", "copy.slice", "copy.home").drop("copy")
-    return twice.withColumn("at", F.row_number().over(Window.partitionBy(*keys, "slice").orderBy("us", "event_id")).cast("long"))
+    return twice.withColumn("at", F.row_number().over(Window.partitionBy(*keys, "slice").orderBy("us", "event_id", F.xxhash64(*events.columns))).cast("long"))
 
 
 def recent(minutes: int) -> Column:
@@ -77,6 +78,24 @@ def trailing_sum(value: Column, keys: list[str], minutes: int) -> Column:
     return until - F.coalesce(before, F.lit(0))
 
 
+def trailing_distinct(rows: DataFrame, keys: list[str], value: str, minutes: int, name: str) -> DataFrame:
+    """rows (sliced) with ``name``: how many values but "" the trailing window of each holds.
+
+    A value comes in with its first event and goes out when the window has passed its
+    last one. Sums of these steps in the order of time give the count: two rows of each
+    event at most, and no event is ever paired with another.
+    """
+    span = minutes * 60_000_000
+    of_value, there = Window.partitionBy(*keys, "slice", value).orderBy("at"), F.coalesce(F.col(value) != "", F.lit(False))
+    came = there & F.coalesce(F.lag("us").over(of_value) < F.col("us") - span, F.lit(True))
+    gone = there & F.coalesce(F.lead("us").over(of_value) > F.col("us") + span, F.lit(True))
+    step = lambda t, is_event, n: F.struct(t.alias("_t"), F.lit(is_event).alias("_event"), n.cast("long").alias("_step"))
+    steps = F.array_compact(F.array(step(F.col("us"), True, F.col("_came")), F.when(F.col("_gone"), step(F.col("us") + span + 1, False, F.lit(-1)))))
+    stepped = rows.withColumns({"_came": came, "_gone": gone}).select(*rows.columns, F.inline(steps))
+    count = F.sum("_step").over(Window.partitionBy(*keys, "slice").orderBy("_t", "_event", "at").rowsBetween(Window.unboundedPreceding, 0))
+    return stepped.withColumn(name, count).filter("_event").drop("_t", "_event", "_step")
+
+
 def cooled(hits: DataFrame, keys: list[str], minutes: int) -> DataFrame:
     """Of each key's hits those at least ``minutes`` after the last one kept.
 
@@ -225,20 +244,14 @@ def lockouts(events: DataFrame, rules: RuleSet, exclusions: Exclusions | None =
 
 
 def password_spray(events: DataFrame, rules: RuleSet, exclusions: Exclusions | None = None) -> DataFrame:
-    """Failures from one address against several users.
-
-    Users are only counted for rows whose weight already reaches its threshold.
-    """
+    """Failures from one address against several users."""
     rule, keys = rules.spray, ["client_ip_key", "authorized"]
     failures = events.filter((F.col("event_class") == "failure") & (F.col("client_ip_key") != ""))
     marked = sliced(failures.withColumn("authorized", authorized(exclusions)), keys, rule.window_minutes)
-    total = trailing_sum(F.col("weight"), keys, rule.window_minutes)
-    heavy = marked.withColumn("total", total).withColumn("lim", threshold(exclusions, "failures_per_ip", rule.minimum)).filter(F.col("home") & (F.col("total") >= F.col("lim")))
-    heavy = heavy.select(*keys, "slice", "at", "us", "total", "lim")
-    seen = marked.filter(F.col("user_key") != "").select(*keys, "slice", F.col("at").alias("e_at"), F.col("us").alias("e_us"), "user_key")
-    users = heavy.join(seen, [*keys, "slice"]).filter(recent(rule.window_minutes))
-    hits = users.groupBy(*heavy.columns).agg(F.count_distinct("user_key").alias("n_users"))
-    hits = hits.filter(F.col("n_users") >= threshold(exclusions, "distinct_users_per_ip", rule.minimum_users))
+    summed = marked.withColumn("total", trailing_sum(F.col("weight"), keys, rule.window_minutes)).select(*keys, "slice", "home", "at", "us", "user_key", "total")
+    counted = trailing_distinct(summed, keys, "user_key", rule.window_minutes, "n_users").withColumn("lim", threshold(exclusions, "failures_per_ip", rule.minimum))
+    hits = counted.filter(F.col("home") & (F.col("total") >= F.col("lim")) & (F.col("n_users") >= threshold(exclusions, "distinct_users_per_ip", rule.minimum_users)))
+    hits = hits.select(*keys, "slice", "at", "us", "total", "lim", "n_users")
     many = (F.col("total") >= rule.critical) | (F.col("n_users") >= rule.critical_users)
     extra = [("multiple_accounts", F.lit(rule.bonus)), ("intense_pattern", F.when(many, rule.intense_bonus).otherwise(0))]
     return alerts(cooled(hits, keys, rule.cooldown_minutes), marked, keys, rules, rule, extra)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from watchwell.operators import mart
 from watchwell.plans.common import ALL_RULES, E, E_ALL, Registry, all_alerts, text_time
 from watchwell.sources.auth import activity
+from watchwell.sources.tables import shared_dir
+from watchwell.streaming import live
 
 REGISTRY = Registry()
 _CLASS = """CAST(sum(w) AS BIGINT) AS total_events, CAST(coalesce(sum(w) FILTER (cls = 'success'), 0) AS BIGINT) AS success_count,
@@ -72,6 +76,29 @@ def bucket_changes(spark, sf_dir):
     return out.withColumn("bucket", text_time("bucket"))
 
 
+@REGISTRY.add(
+    "live_buckets",
+    f"""WITH {E_ALL}, e AS (
+      SELECT id, ts, us, cls, usr, ip, CASE WHEN cls = 'other' THEN 'svc_moved' ELSE rp END AS rp, w, loc FROM e_all WHERE ok AND cls <> 'lockout'),{_BUCKETS}
+    SELECT * REPLACE ({_T.format('bucket')} AS bucket) FROM b""",
+)
+def live_buckets(spark, sf_dir):
+    """Buckets of the live mart after batches of changes whose times are in no order, one of them twice.
+
+    Every event is inserted; then events of class other move to another service and
+    lockouts are deleted.
+    """
+    events = activity(spark, sf_dir)
+    order = F.when(F.col("op") == "insert", 0).when(F.col("op") == "update", 1).otherwise(2).cast("long")
+    moved = events.filter("event_class = 'other'").withColumn("relying_party", F.lit("svc_moved"))
+    changes = live.as_changes(events).unionByName(live.as_changes(moved, "update")).unionByName(live.as_changes(events.filter("event_class = 'lockout'"), "delete")).withColumn("seq", order)
+    one = live.LiveMart(f"{shared_dir(spark)}/live-{uuid.uuid4().hex}", slots=1, key_slots=2)
+    step, part = one.step(), F.pmod(F.xxhash64("event_id"), F.lit(2))
+    for number, which in enumerate((0, 1, 0)):
+        step(changes.filter(part == which), number)
+    return one.buckets(spark).withColumn("bucket", text_time("bucket"))
+
+
 @REGISTRY.add(
     "service_analytics_hour",
     f"WITH {E},{_BUCKETS} SELECT * REPLACE ({_T.format('bucket')} AS bucket), {_LABEL} AS service_label, round(100 * failure_count / total_events, 2) AS failure_rate FROM b WHERE grain = 'hour'",
