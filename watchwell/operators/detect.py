@@ -9,7 +9,8 @@ address, say) is spread over many partitions.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -96,25 +97,49 @@ def trailing_distinct(rows: DataFrame, keys: list[str], value: str, minutes: int
     return stepped.withColumn(name, count).filter("_event").drop("_t", "_event", "_step")
 
 
-def cooled(hits: DataFrame, keys: list[str], minutes: int) -> DataFrame:
+def cooled(hits: DataFrame, keys: list[str], minutes: int, last: DataFrame | None = None) -> DataFrame:
     """Of each key's hits those at least ``minutes`` after the last one kept.
 
     The fold runs over hits only, which Spark sorts by key and time. It holds the
-    last time kept and one batch, however many hits a key has.
+    last time kept and one batch, however many hits a key has. last: (keys, last_us),
+    the hits kept before these.
     """
     gap, names = minutes * 60_000_000, hits.columns
+    rows = hits.withColumn("last_us", F.lit(None).cast("long")) if last is None else hits.join(last, keys, "left")
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key = last = None
         for batch in batches:
-            kept = []
+            kept, before = [], batch["last_us"].astype("Int64")
             for i, (*k, us) in enumerate(zip(*(batch[c] for c in keys), batch["us"], strict=True)):
-                if k != key or us - last >= gap:
-                    key, last = k, us
+                if k != key:
+                    key, last = k, None if pd.isna(before.iloc[i]) else int(before.iloc[i])
+                if last is None or us - last >= gap:
+                    last = us
                     kept.append(i)
             yield batch.iloc[kept][names]
 
-    return hits.repartition(*keys).sortWithinPartitions(*keys, "us", "at").mapInPandas(fold, hits.schema)
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "us", "at").mapInPandas(fold, hits.schema)
+
+
+@dataclass(frozen=True)
+class Resume:
+    """Detection that goes on at an instant: hits from there on, cooldowns from before.
+
+    last: the hits kept before, of a rule, as (keys, last_us). keep: given a rule, its
+    keys and its kept hits, stores and returns them.
+    """
+
+    start: Column
+    last: Callable[[Rule, list[str]], DataFrame]
+    keep: Callable[[Rule, list[str], DataFrame], DataFrame]
+
+
+def _thinned(hits: DataFrame, keys: list[str], rule: Rule, resume: Resume | None) -> DataFrame:
+    if resume is None:
+        return cooled(hits, keys, rule.cooldown_minutes)
+    later = hits.filter(F.col("us") >= F.unix_micros(resume.start) - F.lit(_EPOCH_US))
+    return resume.keep(rule, keys, cooled(later, keys, rule.cooldown_minutes, resume.last(rule, keys)))
 
 
 def severity(score: Column, rules: RuleSet) -> Column:
@@ -217,33 +242,33 @@ def alerts(hits: DataFrame, evidence: DataFrame, keys: list[str], rules: RuleSet
     )
 
 
-def _weighty(events: DataFrame, rules: RuleSet, rule: Rule, exclusions: Exclusions | None, keys: list[str], limit_name: str, extra: list[tuple[str, Column]]) -> DataFrame:
+def _weighty(events: DataFrame, rules: RuleSet, rule: Rule, exclusions: Exclusions | None, keys: list[str], limit_name: str, extra: list[tuple[str, Column]], resume: Resume | None = None) -> DataFrame:
     """A rule that fires where the window's weight of a key reaches the threshold."""
     keys = [*keys, "authorized"]
     marked = sliced(events.withColumn("authorized", authorized(exclusions)), keys, rule.window_minutes)
     total = trailing_sum(F.col("weight"), keys, rule.window_minutes)
     hits = marked.withColumn("total", total).withColumn("lim", threshold(exclusions, limit_name, rule.minimum))
     hits = hits.filter(F.col("home") & (F.col("total") >= F.col("lim"))).select(*keys, "at", "us", "slice", "total", "lim")
-    return alerts(cooled(hits, keys, rule.cooldown_minutes), marked, keys, rules, rule, extra)
+    return alerts(_thinned(hits, keys, rule, resume), marked, keys, rules, rule, extra)
 
 
 def _intense(rule: Rule, count: Column) -> tuple[str, Column]:
     return "intense_pattern", F.when(count >= rule.critical, rule.intense_bonus).otherwise(0)
 
 
-def brute_force(events: DataFrame, rules: RuleSet, exclusions: Exclusions | None = None) -> DataFrame:
+def brute_force(events: DataFrame, rules: RuleSet, exclusions: Exclusions | None = None, resume: Resume | None = None) -> DataFrame:
     """Failures of one user."""
     failures = events.filter((F.col("event_class") == "failure") & (F.col("user_key") != ""))
-    return _weighty(failures, rules, rules.brute_force, exclusions, ["user_key"], "failures_per_user", [_intense(rules.brute_force, F.col("total"))])
+    return _weighty(failures, rules, rules.brute_force, exclusions, ["user_key"], "failures_per_user", [_intense(rules.brute_force, F.col("total"))], resume)
 
 
-def lockouts(events: DataFrame, rules: RuleSet, exclusions: Exclusions | None = None) -> DataFrame:
+def lockouts(events: DataFrame, rules: RuleSet, exclusions: Exclusions | None = None, resume: Resume | None = None) -> DataFrame:
     """Lockouts of one user."""
     locked = events.filter((F.col("event_class") == "lockout") & (F.col("user_key") != ""))
-    return _weighty(locked, rules, rules.lockout, exclusions, ["user_key"], "lockouts_per_user", [])
+    return _weighty(locked, rules, rules.lockout, exclusions, ["user_key"], "lockouts_per_user", [], resume)
 
 
-def password_spray(events: DataFrame, rules: RuleSet, exclusions: Exclusions | None = None) -> DataFrame:
+def password_spray(events: DataFrame, rules: RuleSet, exclusions: Exclusions | None = None, resume: Resume | None = None) -> DataFrame:
     """Failures from one address against several users."""
     rule, keys = rules.spray, ["client_ip_key", "authorized"]
     failures = events.filter((F.col("event_class") == "failure") & (F.col("client_ip_key") != ""))
@@ -254,10 +279,10 @@ def password_spray(events: DataFrame, rules: RuleSet, exclusions: Exclusions | N
     hits = hits.select(*keys, "slice", "at", "us", "total", "lim", "n_users")
     many = (F.col("total") >= rule.critical) | (F.col("n_users") >= rule.critical_users)
     extra = [("multiple_accounts", F.lit(rule.bonus)), ("intense_pattern", F.when(many, rule.intense_bonus).otherwise(0))]
-    return alerts(cooled(hits, keys, rule.cooldown_minutes), marked, keys, rules, rule, extra)
+    return alerts(_thinned(hits, keys, rule, resume), marked, keys, rules, rule, extra)
 
 
-def success_after_failures(events: DataFrame, rules: RuleSet, exclusions: Exclusions | None = None) -> DataFrame:
+def success_after_failures(events: DataFrame, rules: RuleSet, exclusions: Exclusions | None = None, resume: Resume | None = None) -> DataFrame:
     """A success after failures of the same user."""
     rule, keys = rules.success_after, ["user_key", "authorized"]
     used = events.filter(F.col("event_class").isin("failure", "success") & (F.col("user_key") != ""))
@@ -266,10 +291,10 @@ def success_after_failures(events: DataFrame, rules: RuleSet, exclusions: Exclus
     hits = marked.withColumn("total", failed).withColumn("lim", threshold(exclusions, "success_after_failures", rule.minimum))
     hits = hits.filter(F.col("home") & (F.col("event_class") == "success") & (F.col("total") >= F.col("lim"))).select(*keys, "at", "us", "slice", "total", "lim")
     extra = [("success_after_failures", F.lit(rule.bonus)), _intense(rule, F.col("total"))]
-    return alerts(cooled(hits, keys, rule.cooldown_minutes), marked, keys, rules, rule, extra, more_limit=1)
+    return alerts(_thinned(hits, keys, rule, resume), marked, keys, rules, rule, extra, more_limit=1)
 
 
-def new_ip(events: DataFrame, rules: RuleSet, users: DataFrame, known: DataFrame, training_end: str, exclusions: Exclusions | None = None) -> DataFrame:
+def new_ip(events: DataFrame, rules: RuleSet, users: DataFrame, known: DataFrame, training_end: str, exclusions: Exclusions | None = None, resume: Resume | None = None) -> DataFrame:
     """Activity of a well-known user from an address not seen in training.
 
     users: user_key with sufficient history; known: (user_key, client_ip_key).
@@ -277,15 +302,15 @@ def new_ip(events: DataFrame, rules: RuleSet, users: DataFrame, known: DataFrame
     later = evaluation(events, training_end, rules.zone)
     used = later.filter(F.col("event_class").isin("success", "failure", "lockout") & (F.col("user_key") != "") & (F.col("client_ip_key") != ""))
     used = used.join(users.select("user_key"), "user_key", "left_semi").join(known.select("user_key", "client_ip_key"), ["user_key", "client_ip_key"], "left_anti")
-    return _weighty(used, rules, rules.new_ip, exclusions, ["user_key", "client_ip_key"], "new_ip_events", [])
+    return _weighty(used, rules, rules.new_ip, exclusions, ["user_key", "client_ip_key"], "new_ip_events", [], resume)
 
 
-def detect(events: DataFrame, rules: RuleSet, baseline: tuple[DataFrame, DataFrame, str] | None = None, exclusions: Exclusions | None = None) -> DataFrame:
-    """All enabled rules (D14); order by first_seen_local, rule_id for the reports."""
-    parts = [f(events, rules, exclusions) for r, f in ((rules.brute_force, brute_force), (rules.spray, password_spray), (rules.success_after, success_after_failures), (rules.lockout, lockouts)) if r.enabled]
+def detect(events: DataFrame, rules: RuleSet, baseline: tuple[DataFrame, DataFrame, str] | None = None, exclusions: Exclusions | None = None, resume: Resume | None = None) -> DataFrame:
+    """All enabled rules (D14); order by first_seen_local, rule_id for the reports. ``resume``: only what is new."""
+    parts = [f(events, rules, exclusions, resume) for r, f in ((rules.brute_force, brute_force), (rules.spray, password_spray), (rules.success_after, success_after_failures), (rules.lockout, lockouts)) if r.enabled]
     if baseline is not None and rules.new_ip.enabled:
         users, known, end = baseline
-        parts.append(new_ip(events, rules, users, known, end, exclusions))
+        parts.append(new_ip(events, rules, users, known, end, exclusions, resume))
     whole = parts[0]
     for p in parts[1:]:
         whole = whole.unionByName(p)

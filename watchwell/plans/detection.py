@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from watchwell.operators import baseline, detect
 from watchwell.operators.rules import Exclusions
 from watchwell.plans.common import ALERT_FIELDS, ALL_RULES, CONFIG, E, R_BRUTE, R_LOCK, R_NEW, R_SPRAY, R_SUCCESS, RULES, TRAIN, TRAINING_END, Registry, all_alerts, consistent, found_alerts, one_rule, trained
+from watchwell.sources.tables import shared_dir
+from watchwell.streaming.growing import GrowingAlerts
 
 REGISTRY = Registry()
 
@@ -42,6 +47,19 @@ def alerts_all(spark, sf_dir):
     return found_alerts(spark, sf_dir).select(*ALERT_FIELDS)
 
 
+@REGISTRY.add("alerts_grown", ALL_RULES + " SELECT " + ", ".join(ALERT_FIELDS) + " FROM alerts")
+def alerts_grown(spark, sf_dir):
+    """The same alerts, found range by range of about a third of the time that the events span."""
+    events, known = consistent(spark, sf_dir), baseline.context(trained(spark, sf_dir), CONFIG)
+    span = events.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
+    if span.lo is None:
+        return found_alerts(spark, sf_dir).select(*ALERT_FIELDS)
+    bounds = [str(span.lo + (span.hi - span.lo) * i / 3) for i in range(3)] + [str(span.hi + timedelta(seconds=1))]
+    table = GrowingAlerts(f"{shared_dir(spark)}/alerts-grown-{uuid.uuid4().hex}", RULES, (known["users"], known["user_ips"], TRAINING_END))
+    table.refresh(events, bounds)
+    return table.alerts(spark).select(*ALERT_FIELDS)
+
+
 @REGISTRY.add(
     "alert_summary",
     ALL_RULES + " SELECT rule_id, severity, count(*) AS alerts, round(avg(risk_score), 2) AS mean_score FROM alerts GROUP BY GROUPING SETS ((rule_id), (severity), ())",
