@@ -7,21 +7,25 @@ order of the text: texts whose shingles agree in another order don't meet. Texts
 that agree in a sketch entry are candidates. A candidate pair is verified by
 banded alignment: shingles that both texts hold are matched inside the band of
 shifts which a pair over the threshold can have, and the longest chain in the
-order of both texts is their common part c; their similarity is
-c / (n_a + n_b - c). Pairs from ``threshold`` (0.8) on are links, and connected
-texts form a class.
-
-A pair at 0.8 shares a given entry with probability 0.8 ** 6, so it escapes all 40
-with probability 5e-6; above 0.85 less than 1e-8. A pair at 0.5 meets with
-probability 0.46, one at 0.3 with 0.03. Texts of at most ``SHORT`` shingles have
-entries of fewer picks instead (24 of 3), and those of 20 to 24 have both kinds.
+order of both texts aligns the words that its shingles cover. The similarity is that
+of the texts as edited words: aligned words / words of the longer text. A changed
+word takes five shingles away but one word only. Pairs from ``threshold`` (0.8) on
+that also have ``SHARED`` (0.4) of all their shingles in common are links, and
+connected texts form a class.
+
+A pair with a share x of common shingles meets in a given entry with probability
+x ** 5, so one at 0.6 escapes all 40 with probability 0.04, at 0.7 with 6e-4, at 0.8
+with 1e-7; one at 0.3 meets with probability 0.09. Words changed here and there leave
+0.6 of the shingles where 1 in 18 is, and 0.7 where 1 in 27 is. Texts of at most
+``SHORT`` shingles have entries of fewer picks instead (24 of 3), those of 20 to 24
+have both kinds, and those of at most ``TINY`` also 12 of a single pick.
 
 Before texts are compared, a pair must pass bounds that its nodes carry: the
 lengths, and a parity signature of ``BITS`` bits. Each shingle flips one bit, so
 two signatures differ in no more bits than shingles that only one text has, of
-which a pair at the threshold has (n_a + n_b) / 9 at most. For short texts this
-never loses a pair; where the signature fills up (about 1,000 shingles on), a pair
-goes only if it differs by six standard deviations more than it should (1e-9).
+which a pair with ``SHARED`` in common has 3 (n_a + n_b) / 7 at most. For short texts
+this never loses a pair; where the signature fills up, a pair goes only if it differs
+by six standard deviations more than it should (1e-9).
 
 Large groups: equal texts are one node. First all members of each bucket are
 compared with one centre, the member that meets most others; so a group of near
@@ -54,9 +58,13 @@ from watchwell.llm import words as W
 from watchwell.llm.common import stored, table
 from watchwell.llm.components import components
 
-K, SKETCHES, PICK = 5, 40, 6
+K, SKETCHES, PICK = 5, 40, 5
+#: Share of common shingles that a link has at least.
+SHARED = 0.4
 #: Texts of up to so many shingles have the short entries; those of over LONG the others.
 SHORT, LONG, SHORT_SKETCHES, SHORT_PICK = 24, 19, 24, 3
+#: Texts of up to so many shingles have entries of one pick too.
+TINY, TINY_SKETCHES = 6, 12
 BITS, GROWTH = 1024, 64
 #: Code points that are worked on in one go.
 UNITS = 1 << 17
@@ -131,6 +139,8 @@ def sketch(s: np.ndarray) -> np.ndarray:
         keys.append(_entries(s, SKETCHES, PICK))
     if len(s) <= SHORT:
         keys.append(_entries(s, SHORT_SKETCHES, SHORT_PICK))
+    if len(s) <= TINY:
+        keys.append(_entries(s, TINY_SKETCHES, 1))
     return np.concatenate(keys).view(np.int64)
 
 
@@ -140,28 +150,41 @@ def signature(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def _chain(line: np.ndarray) -> np.ndarray:
+    """Places of a longest increasing run of ``line``."""
+    if np.all(line[1:] > line[:-1]):
+        return np.arange(len(line))
+    ends: list[int] = []
+    last: list[int] = []
+    before: list[int] = []
+    for k, x in enumerate(line.tolist()):
+        i = bisect_left(ends, x)
+        ends[i : i + 1], last[i : i + 1] = [x], [k]
+        before.append(last[i - 1] if i else -1)
+    out, k = [], last[-1]
+    while k >= 0:
+        out.append(k)
+        k = before[k]
+    return np.array(out[::-1])
+
+
 def similarity(a: np.ndarray, b: np.ndarray, threshold: float = 0.8) -> float:
-    """Similarity of two shingle lists by banded alignment; 0 if under the threshold."""
-    total = len(a) + len(b)
-    least = int(np.ceil(threshold / (1 + threshold) * total - 1e-9))
-    if min(len(a), len(b)) < least:
+    """Aligned words / words of the longer text, from shingle lists; 0 if the pair is no link."""
+    longer, total = max(len(a), len(b)) + K - 1, len(a) + len(b)
+    if min(len(a), len(b)) + K - 1 < threshold * longer - 1e-9:
         return 0.0
+    least = int(np.ceil(SHARED / (1 + SHARED) * total - 1e-9))
     _, at_a, at_b = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    inside = np.abs(at_a - at_b) <= max(len(a), len(b)) - least
+    inside = np.abs(at_a - at_b) <= (1 - threshold) * longer + 1e-9
     at_a, at_b = at_a[inside], at_b[inside]
-    if len(at_a) < least:
+    if len(at_a) < least or not len(at_a):
         return 0.0
-    line = at_b[np.argsort(at_a)]
-    if np.all(line[1:] > line[:-1]):
-        chain = len(line)
-    else:  # longest increasing run of positions
-        ends: list[int] = []
-        for x in line.tolist():
-            i = bisect_left(ends, x)
-            ends[i : i + 1] = [x]
-        chain = len(ends)
-    found = chain / (total - chain)
-    return found if found >= threshold - 1e-9 else 0.0
+    order = np.argsort(at_a)
+    chain = order[_chain(at_b[order])]
+    if len(chain) < least:
+        return 0.0
+    covered = min(K + int(np.minimum(K, np.diff(at[chain])).sum()) for at in (at_a, at_b))
+    return covered / longer if covered >= threshold * longer - 1e-9 else 0.0
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -205,9 +228,9 @@ def possible(a: str, b: str, threshold: float) -> Column:
     """Whether rows a and b (n, bits) can be similar, by their lengths and signatures."""
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
     apart = sum((F.bit_count(F.col(f"{a}.bits")[i].bitwiseXOR(F.col(f"{b}.bits")[i])) for i in range(BITS // 64)), F.lit(0))
-    single = (n + m) * F.lit((1 - threshold) / (1 + threshold)) + F.lit(1e-6)
+    single = (n + m) * F.lit((1 - SHARED) / (1 + SHARED)) + F.lit(1e-6)
     filled = F.lit(BITS / 2) * (F.lit(1.0) - F.pow(F.lit(1 - 2 / BITS), single)) + F.lit(6 * BITS**0.5 / 2)
-    return (F.least(n, m) >= F.greatest(n, m) * F.lit(threshold) - F.lit(1e-6)) & (apart <= F.least(single, filled))
+    return (F.least(n, m) + K - 1 >= (F.greatest(n, m) + K - 1) * F.lit(threshold) - F.lit(1e-6)) & (apart <= F.least(single, filled))
 
 
 def _starred(buckets: DataFrame, nodes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
