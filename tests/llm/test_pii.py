@@ -2,6 +2,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -118,3 +119,29 @@ def test_cut_and_respelled_repeats_are_added_and_other_numbers_are_not(spark):
         caught += want in shown if want else 0
         wrong += sum(x != want for x in shown)
     assert caught >= 90 and wrong <= 2
+
+
+@pytest.fixture(scope="module")
+def given_field(spark):
+    return pii.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+
+
+@pytest.mark.parametrize("whole, cut", [("+49 30 1234567", "030 1234567"), ("user1234@mail.example.com", "user1234@mail"), ("4556 7375 8689 9855", "7375 8689 9855")])
+def test_repeats_of_a_look_alike_are_all_added(given_field, whole, cut):
+    for times in (1, 2, 3, 10, 40):
+        for text in (f"so und {whole} que the " + f"{cut} und dann so " * times, f"{cut} und dann so " * times + f"so {whole} que"):
+            ((base, more),) = pii.find([text], given_field)
+            assert len(base) == 1
+            shown = {text[a:b] for _, a, b in more}
+            assert len(more) == (0 if whole.startswith("4556") and not more else times) and all(s in cut or cut in s for s in shown)
+
+
+def test_time_grows_with_the_text(given_field):
+    took = []
+    for n in (4_000, 16_000):
+        text = "+49 30 1234567 " + "tel 030 1234567 und so weiter geht das dann bis hin zu einem ende hier " * n
+        start = time.perf_counter()
+        ((_, more),) = pii.find([text], given_field)
+        took.append(time.perf_counter() - start)
+        assert len(more) == n
+    assert took[1] < 10 * took[0] + 1

@@ -152,39 +152,58 @@ def features(text: str, a: int, b: int) -> list[int]:
 _DROP_DIGITS = {ord(c): None for c in "0123456789"}
 
 
+def _alike(text: str) -> str:
+    """What similar tokens share: the name before "@", or the last seven digits; "" of shorter ones."""
+    name, at, _ = text.partition("@")
+    key = name + at if at else _NOT_DIGIT.sub("", text)[-7:]
+    return key if len(key) >= (4 if at else 7) else ""
+
+
 def edges(text: str, found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """(i, j, type): 0 next within 40 characters, 1 next with the same text, 2 next that is similar.
+    """(i, j, type): 0 next within 40 characters, 1 next with the same text, 2 similar (_alike).
 
-    Similar are those with the same last seven digits, or the same name before "@".
+    A look-alike that is similar to base spans is tied to the first of these, however
+    far, and to no other look-alike: what it is doesn't depend on how often it is
+    repeated. Others are tied to the last similar or same one before.
     """
     out = [(i, i + 1, 0) for i in range(len(found) - 1) if found[i + 1][0] - found[i][1] <= 40]
+    plain = [text[a:b].lower() for a, b, _ in found]
+    keys = [_alike(t) for t in plain]
+    anchor: dict[str, int] = {}
+    for i, (_, _, label) in enumerate(found):
+        if label and keys[i]:
+            anchor.setdefault(keys[i], i)
     same: dict[str, int] = {}
     alike: dict[str, int] = {}
-    for i, (a, b, _) in enumerate(found):
-        t = text[a:b].lower()
-        if t in same:
-            out.append((same[t], i, 1))
-        name, at, _ = t.partition("@")
-        key = name + at if at else _NOT_DIGIT.sub("", t)[-7:]
-        if len(key) >= (4 if at else 7):
-            j = alike.get(key)
-            if j is not None and same.get(t) != j:
+    for i, (_, _, label) in enumerate(found):
+        if not label and keys[i] in anchor:
+            out.append((*sorted((anchor[keys[i]], i)), 2))
+            continue
+        if plain[i] in same:
+            out.append((same[plain[i]], i, 1))
+        if keys[i]:
+            j = alike.get(keys[i])
+            if j is not None and same.get(plain[i]) != j:
                 out.append((j, i, 2))
-            alike[key] = i
-        same[t] = i
+            alike[keys[i]] = i
+        same[plain[i]] = i
     return out
 
 
 def hidden(found: list[tuple[int, int, int]], links: list[tuple[int, int, int]]) -> list[int]:
-    """Labels for training: -1 for look-alikes that skip edges tie to a base span."""
-    ties = [(i, j) for i, j, kind in links if kind]
-    tied = {i for i, (_, _, label) in enumerate(found) if label}
-    grown = True
-    while grown:
-        more = {x for pair in ties if not tied.isdisjoint(pair) for x in pair} - tied
-        tied |= more
-        grown = bool(more)
-    return [label if label or i not in tied else -1 for i, (_, _, label) in enumerate(found)]
+    """Labels for training: -1 for look-alikes that skip edges tie to a base span, however far."""
+    root = list(range(len(found)))
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    for i, j, kind in links:
+        if kind:
+            root[top(j)] = top(i)
+    tied = {top(i) for i, (_, _, label) in enumerate(found) if label}
+    return [label if label or top(i) not in tied else -1 for i, (_, _, label) in enumerate(found)]
 
 
 class Field:
@@ -197,8 +216,12 @@ class Field:
     def start(cls) -> Field:
         return cls(np.zeros((N_FEATURES, len(LABELS))), np.stack([AGREE[kind] * np.eye(len(LABELS)) for kind in range(3)]))
 
-    def beliefs(self, scores: np.ndarray, links: np.ndarray, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
-        """Log beliefs of nodes, and messages (2 x edges x labels), by flooding sum-product."""
+    def beliefs(self, scores: np.ndarray, links: np.ndarray, rounds: int = 8, held: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Log beliefs of nodes, and messages (2 x edges x labels), by flooding sum-product.
+
+        A label travels ``rounds`` edges at most. ``held``: nodes whose labels are known;
+        they hear no messages, however many edges they have.
+        """
         n_labels = scores.shape[1]
         i, j, kind = links[:, 0], links[:, 1], links[:, 2]
         messages = np.zeros((2, len(links), n_labels))  # 0: to j, 1: to i
@@ -209,6 +232,9 @@ class Field:
             to_i = _log_sum(table + (belief[j] - messages[0])[:, None, :], 2)
             new = np.stack([to_j, to_i])
             new -= new.max(axis=2, keepdims=True)
+            if held is not None:
+                new[0, held[j]] = 0.0
+                new[1, held[i]] = 0.0
             messages = 0.5 * messages + 0.5 * new
             belief = scores.copy()
             np.add.at(belief, j, messages[0])
@@ -239,7 +265,7 @@ class Graph:
         self.hidden: list[int] = []
         self.links: list[tuple[int, int, int]] = []
 
-    def add(self, text: str, found: list[tuple[int, int, int]]) -> None:
+    def add(self, text: str, found: list[tuple[int, int, int]], training: bool = False) -> None:
         at = len(self.labels)
         for a, b, label in found:
             on = features(text, a, b)
@@ -247,7 +273,8 @@ class Graph:
             self.sizes.append(len(on))
             self.labels.append(label)
         links = edges(text, found)
-        self.hidden += hidden(found, links)
+        if training:
+            self.hidden += hidden(found, links)
         self.links += [(at + i, at + j, kind) for i, j, kind in links]
 
     def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -261,9 +288,9 @@ def _unary(field: Field, node: np.ndarray, feature: np.ndarray, n: int) -> np.nd
     return scores
 
 
-def _expected(field: Field, scores: np.ndarray, node: np.ndarray, feature: np.ndarray, links: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+def _expected(field: Field, scores: np.ndarray, node: np.ndarray, feature: np.ndarray, links: np.ndarray, rounds: int, held: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Expected sums of the features by label, and of the label pairs by edge type."""
-    belief, messages = field.beliefs(scores, links, rounds)
+    belief, messages = field.beliefs(scores, links, rounds, held)
     unary, pair = np.zeros_like(field.unary), np.zeros_like(field.pair)
     np.add.at(unary, feature, np.exp(belief)[node])
     if len(links):
@@ -291,7 +318,7 @@ def fit(graph: Graph, steps: int = 120, rate: float = 0.5, l2: float = 1e-3, rou
     size_pair = np.bincount(links[:, 2], minlength=3)[:, None, None] + 1.0
     for _ in range(steps):
         scores = _unary(field, node, feature, len(labels))
-        seen, seen_pair = _expected(field, _held(scores, labels), node, feature, links, rounds)
+        seen, seen_pair = _expected(field, _held(scores, labels), node, feature, links, rounds, labels >= 0)
         want, want_pair = _expected(field, scores, node, feature, links, rounds)
         field.unary += rate * ((seen - want) / size - l2 * field.unary)
         step = (seen_pair - want_pair) / size_pair
@@ -307,7 +334,7 @@ def train(docs: DataFrame, max_documents: int = 2000, max_nodes: int = 200) -> F
             for t in batch["text"]:
                 g, found = Graph(), nodes(t, base_spans(t))
                 if 0 < len(found) <= max_nodes:
-                    g.add(t, found)
+                    g.add(t, found, training=True)
                     node, feature, labels, links = g.arrays()
                     yield pd.DataFrame({"f": [feature.astype(np.int32).tobytes()], "s": [np.bincount(node).astype(np.int32).tobytes()], "l": [np.array(g.hidden, dtype=np.int32).tobytes()], "e": [links.astype(np.int32).tobytes()]})
 
@@ -341,7 +368,7 @@ def find(texts: list[str | None], field: Field, min_probability: float = 0.9) ->
     if len(labels):
         fixed = labels > 0
         scores = _held(_unary(field, node, feature, len(labels)), np.where(fixed, labels, -1))
-        p = np.exp(field.beliefs(scores, links)[0])
+        p = np.exp(field.beliefs(scores, links, held=fixed)[0])
         best = p[:, 1:].argmax(axis=1) + 1
         sure = ~fixed & (p[np.arange(len(p)), best] >= min_probability)
         for at in np.flatnonzero(sure):
