@@ -134,3 +134,28 @@ def test_nearest_rank(spark):
     r = baseline.ranked_values(values, "x", {"p50": 0.5, "p95": 0.95}).first()
     want = sorted([5, 1, 1, 2, 9, 9])
     assert (r.p50, r.p95, r.max) == (want[round(5 * 0.5)], want[round(5 * 0.95)], 9)
+
+
+def test_counts_around_alerts_equal_all_pairs(spark):
+    """Ties at both ends, windows over hours, an address with most rows; no rows of alerts times events."""
+    import random
+    from datetime import datetime, timedelta
+
+    from watchwell.operators import reports
+
+    chance, start = random.Random(4), datetime(2026, 3, 21, 10)
+    at = lambda: start + timedelta(minutes=chance.choice([0, 10, 59, 60, 61, 90, 119, 120, 180, 200, 400]))
+    events = [(f"e{i}", at(), chance.choice(["success", "failure", "lockout", "other"]), chance.choice(["", "a", "b", "c"]), chance.choice(["x", "x", "x", "y", ""]), chance.randint(1, 3), chance.random() < 0.9) for i in range(150)]
+    alerts = [(f"a{i}", *sorted((at(), at())), chance.choice(["x", "y", "z", ""])) for i in range(25)]
+    given = spark.createDataFrame(events, "event_id string, ts timestamp, event_class string, user_key string, client_ip_key string, weight long, is_consistent boolean")
+    asked = spark.createDataFrame(alerts, "alert_id string, first_seen timestamp, last_seen timestamp, client_ip_key string")
+    for before, after in ((60, 30), (10, 0), (0, 1)):
+        found = reports.entity_counts(asked, given, "client_ip_key", before, after)
+        want = []
+        for i, lo, hi, ip in alerts:
+            near = [e for e in events if e[6] and ip and e[4] == ip and lo - timedelta(minutes=before) <= e[1] <= hi + timedelta(minutes=after)]
+            if near:
+                of = lambda k: sum(e[5] for e in near if e[2] == k)  # noqa: B023, E731
+                want.append((i, ip, len(near), sum(e[5] for e in near), of("failure"), of("success"), of("lockout"), len({e[3] for e in near} - {""})))
+        columns = ["alert_id", "client_ip_key", "records", "events", "failures", "successes", "lockouts", "distinct_users"]
+        assert sorted(tuple(r) for r in found.select(columns).collect()) == sorted(want)

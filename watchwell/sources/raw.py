@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from watchwell.sources.auth import day_start
+
 # The columns of a raw file, in order; those that a historical read needs.
 RAW_COLUMNS = (
     "id", "event_name", "log_source", "event_count", "event_time", "created_at", "updated_at", "event_id", "low_level_category", "source_ip",
@@ -88,7 +90,7 @@ def history(rows: DataFrame, start: str, stop: str, lookback_minutes: int = 0, c
 
 def live_sample(rows: DataFrame, day: str, limit: int, zone: str, ts: str = "ts", id_column: str = "event_id") -> tuple[DataFrame, DataFrame]:
     """The newest ``limit`` rows of a local day, and the cursor just before them."""
-    today = rows.filter(F.to_date(F.from_utc_timestamp(ts, zone)) == F.lit(day).cast("date"))
+    today = rows.filter((F.col(ts) >= day_start(day, zone)) & (F.col(ts) < day_start(day, zone, 1)))
     newest = today.orderBy(F.desc(ts), F.desc(id_column)).limit(limit + 1)
     nth = F.row_number().over(Window.orderBy(F.desc(ts), F.desc(id_column)))  # over limit + 1 rows
     ranked = newest.withColumn("_nth", nth)
