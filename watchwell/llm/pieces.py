@@ -10,14 +10,16 @@ is such a boundary: there the search ends and begins anew, so what it finds for
 word is remembered (by a 64-bit hash; two of a million words share one with
 probability 3e-8).
 
-Scores. A unigram model's scores are log probabilities and are used as they are.
-The scores of a BPE model are merge ranks, whose sum means nothing (as scores they
-double the number of ids); their place takes -PIECE_COST - log(rank + 1): Zipf's law,
-and a cost for every piece. The result is the best split under that law and not the
-library's greedy merges: of the words of the test documents 82 % get the library's
-ids, and the number of ids is 1 % less. A character without a piece is spelled in
-byte pieces, each worth ``BYTE_SCORE``, if the model has them, else as its unknown
-piece. Ties: the longer last piece.
+Scores. A unigram model's scores are log probabilities and are used as they are. A
+character without a piece is spelled in byte pieces, each worth ``BYTE_SCORE``, if the
+model has them, else as its unknown piece. Ties: the longer last piece.
+
+Ranks. The scores of a BPE model are merge ranks: the library joins the neighbours of
+the lowest rank again and again. What it ends with is known by its neighbours alone:
+two pieces stand side by side only if merging the text of the two gives just these two.
+So a path of the search goes on with a piece only if that holds for it and the path's
+last piece; of each beginning of the text one path is left, the library's. Whether two
+pieces can stand side by side is remembered by a worker.
 
 Spaces are written as U+2581 and a text gets one in front, as the library does;
 U+2581 in a text is spelled in bytes, so decode(encode(text)) == text always.
@@ -42,7 +44,7 @@ from watchwell.llm import words as W
 from watchwell.llm.common import appended, table
 
 SPACE = "▁"
-BYTE_SCORE, PIECE_COST = -25.0, 6.0
+BYTE_SCORE = -25.0
 #: Bytes of text that are worked on in one go.
 UNITS = 1 << 17
 
@@ -61,14 +63,16 @@ class Pieces:
         names = [model.id_to_piece(i) for i in range(size)]
         plain = [i for i in range(size) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
         scores = {i: model.get_score(i) for i in plain}
-        if all(s == int(s) for s in scores.values()):  # merge ranks
-            scores = {i: -PIECE_COST - math.log(1 - s + 1) for i, s in scores.items()}
+        ranked = all(s == int(s) for s in scores.values())
         self.bytes = {int(names[i][1:-1], 16): i for i in range(size) if model.is_byte(i)}
         self.unknown = model.unk_id()
-        self._build({names[i]: (scores[i], i) for i in plain}, size)
+        self._build({names[i]: (scores[i], i) for i in plain}, size, ranked)
 
-    def _build(self, pieces: dict[str, tuple[float, int]], size: int) -> None:
-        self.pieces = pieces
+    def _build(self, pieces: dict[str, tuple[float, int]], size: int, ranked: bool = False) -> None:
+        """pieces: (score, id) by name; ranked: scores are merge ranks, the highest first."""
+        self.pieces, self.ranked = pieces, ranked
+        self.names = {i: name for name, (_, i) in pieces.items()}
+        self._beside: dict[tuple[int, int], bool] = {}
         self.longest = max(map(len, pieces), default=1)
         self.raw = [b""] * size
         for name, (_, i) in pieces.items():
@@ -84,6 +88,28 @@ class Pieces:
         """Ids of a character without a piece; one that no UTF-8 can spell becomes "?"."""
         return [self.bytes[b] for b in c.encode("utf-8", "replace")] if len(self.bytes) == 256 else [self.unknown]
 
+    def _merged(self, text: str) -> list[str]:
+        """What a short text is merged to, by the lowest rank and from the left."""
+        parts = list(text)
+        while len(parts) > 1:
+            best, at = max((self.pieces.get(parts[k] + parts[k + 1], (-math.inf,))[0], -k) for k in range(len(parts) - 1))
+            if best == -math.inf:
+                break
+            parts[-at : 2 - at] = [parts[-at] + parts[1 - at]]
+        return parts
+
+    def _may_follow(self, left: int, right: int) -> bool:
+        """Whether piece ``right`` can stand behind ``left`` (-1: none, or a spelled character)."""
+        if left < 0:
+            return True
+        known = self._beside.get((left, right))
+        if known is None:
+            if len(self._beside) >= self.CACHE:
+                self._beside.clear()
+            a, b = self.names[left], self.names[right]
+            known = self._beside[left, right] = self._merged(a + b) == [a, b]
+        return known
+
     def stream(self, text: str, check: int = 64) -> Iterator[list[int]]:
         """Lists of ids, each committed as soon as all surviving paths agree on it.
 
@@ -109,8 +135,10 @@ class Pieces:
             if k + 1 == len(best):
                 best.append(low)
                 back.append((0, -1))
-            c = shown[start]
+            c, last, ranked = shown[start], back[k][1], self.ranked
             spelled = so_far + BYTE_SCORE * (3 if c == "\0" and text[start] == SPACE else len(c.encode("utf-8", "replace")))
+            if ranked and c in beginnings and beginnings[c] is not None:
+                spelled = low  # a character with a piece is never spelled
             if spelled > best[k + 1]:
                 best[k + 1], back[k + 1] = spelled, (start, -1)
             for end in range(start + 1, min(n, start + longest) + 1):
@@ -118,13 +146,16 @@ class Pieces:
                 if hit == 0:  # no piece begins so
                     break
                 if hit is not None:
+                    if ranked and not self._may_follow(last, hit[1]):
+                        continue
                     e = end - done
                     while e >= len(best):
                         best.append(low)
                         back.append((0, -1))
                     # Of equal sums the first start, that is the longer last piece, stays; a piece is never worse than its bytes.
-                    if so_far + hit[0] > best[e] or (back[e][1] < 0 and so_far + hit[0] == best[e]):
-                        best[e], back[e] = so_far + hit[0], (start, hit[1])
+                    score = so_far + (0.0 if ranked else hit[0])
+                    if score > best[e] or (back[e][1] < 0 and score == best[e]):
+                        best[e], back[e] = score, (start, hit[1])
             if k >= check and k % check == 0:
                 # Each path to come passes one of the positions that are reached beyond start.
                 live = {start + 1 + i for i, x in enumerate(best[k + 1 :]) if x > low}
