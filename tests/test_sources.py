@@ -132,3 +132,34 @@ def test_values_at_ranks(spark):
 def test_csv_without_line_ends_in_fields(spark, tmp_path):
     (tmp_path / "raw.csv").write_text("\n".join(line(record(i)) for i in range(50)))
     assert raw.read_csv(spark, str(tmp_path / "raw.csv"), line_ends_in_fields=False).drop("pos").collect() == raw.read_csv(spark, str(tmp_path / "raw.csv")).drop("pos").collect()
+
+
+def test_addresses_equal_the_standard_library(spark):
+    """Canonical form, version, scope and routability of many texts, right and wrong."""
+    import ipaddress
+    import random
+
+    from watchwell.functions import ip
+
+    chance = random.Random(6)
+    starts = ["::", "::1", "64:ff9b:1::", "100::", "2001::", "2001:1::1", "2001:1::2", "2001:3::", "2001:4:112::", "2001:20::", "2001:30::", "2001:db8::", "2002::", "3fff::", "fc00::", "fe80::", "ff02::1", "2600::", "::ffff:0:0", "2001:200::", "64:ff9b::"]
+    numbers = [max(0, min(2**128 - 1, int(ipaddress.IPv6Address(s)) + d)) for s in starts for d in (-1, 0, 1, 2**40, 2**90)]
+    for _ in range(150):
+        numbers.append(sum((chance.choice([0, 0, 0, 1, 0xFFFF, chance.randrange(65536)])) << (16 * k) for k in range(8)))
+        numbers.append((0xFFFF << 32) + chance.choice([0x0A000001, 0x08080808, 0x64400001, chance.randrange(2**32)]))
+    texts = ["", "1.2.3.4", "10.0.0.1", "01.2.3.4", "256.1.1.1", ":::", ":1", "1:", "1::2::3", "1:2:3:4:5:6:7:8:9", "1:2:3:4:5:6:7::8", "1:2:3:4:5:6:7:8::", "::12345", "::g", "FE80::1%eth0", "fe80::1%", "fe80::1%a%b", "1.2.3.4%x", "::1.2.3.4", "::1.2.3", "::ffff:01.2.3.4", "1:2:3:4:5:6:1.2.3.4", "1:2:3:4:5:6:7:1.2.3.4", "::1.2.3.4:5", "1.2.3.4::", "::", "0:0:0:0:0:0:0:0", " ::1 ", "%eth0:1"]
+    for n in numbers:
+        a = ipaddress.IPv6Address(n)
+        texts += [a.exploded.upper(), str(a), ":".join(f"{n >> (16 * k) & 0xFFFF:x}" for k in range(7, -1, -1))]
+
+    def expected(t):
+        try:
+            a = ipaddress.ip_address(t.strip())
+        except ValueError:
+            return None
+        return a.compressed, a.version, "private" if a.is_private else "public", a.is_global
+
+    found = ip.address(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string"), "t")
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+    for r in found.collect():
+        assert (tuple(r.ip) if r.ip else None) == expected(texts[r.i]), texts[r.i]
