@@ -158,3 +158,28 @@ def test_distinct_values_of_trailing_windows_in_linear_rows(spark):
         assert {r.event_id: r.n for r in found.collect()} == want
     plan = detect.password_spray(given, RuleSet())._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1  # of the few hits with their evidence
+
+
+def test_cooldown_of_a_busy_key_is_worked_on_in_blocks(spark):
+    """Random and regular times, one key with most hits, hits kept before; as one fold from the first hit on."""
+    chance = random.Random(12)
+    for minutes, step in ((1, 7), (15, 60), (3, 180)):
+        rows = []
+        for key, n in (("busy", 1500), ("b", 40), ("c", 1), ("regular", 700)):
+            at = -500_000_000
+            for i in range(n):
+                at += step * 1_000_000 if key == "regular" else chance.choice([0, 1, 40, 400, 4000]) * chance.randrange(200_000)
+                rows.append((key, chance.random() < 0.5 if key == "b" else False, at, i))
+        hits = spark.createDataFrame(rows, "user_key string, authorized boolean, us long, at long").repartition(5)
+        for last in ({}, {("busy", False): -500_000_000 + 30_000_000, ("c", False): -10**15}):
+            given = spark.createDataFrame([(*k, v) for k, v in last.items()], "user_key string, authorized boolean, last_us long")
+            found = detect.cooled(hits, ["user_key", "authorized"], minutes, given if last else None)
+            want, kept = [], dict(last)
+            for key, auth, at, i in sorted(rows, key=lambda r: (r[0], r[1], r[2], r[3])):
+                before = kept.get((key, auth))
+                if before is None or at - before >= minutes * 60_000_000:
+                    kept[key, auth] = at
+                    want.append((key, auth, at, i))
+            assert sorted(map(tuple, found.collect())) == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan or "AdaptiveSparkPlan" in plan

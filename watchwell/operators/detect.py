@@ -12,14 +12,18 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from watchwell.operators.rules import TEXTS, Exclusions, Rule, RuleSet
 from watchwell.sources.auth import day_start, local
 
 _EPOCH_US = 1_577_836_800_000_000  # 2020-01-01
+#: Cooldowns of a block of time that is thinned by itself.
+_GAPS = 16
 
 ALERT_COLUMNS = (
     "alert_id", "rule_id", "rule_name", "severity", "risk_score", "risk_factors", "status", "first_seen_local", "last_seen_local",
@@ -97,29 +101,87 @@ def trailing_distinct(rows: DataFrame, keys: list[str], value: str, minutes: int
     return stepped.withColumn(name, count).filter("_event").drop("_t", "_event", "_step")
 
 
+def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, np.ndarray]]:
+    """(key, times) of each key of sorted rows; of a key only the times are held."""
+    key, held = None, []
+    for batch in batches:
+        changes = np.flatnonzero((batch[keys] != batch[keys].shift()).any(axis=1).to_numpy())
+        us = batch["us"].to_numpy()
+        for a, b in zip(changes, [*changes[1:], len(batch)], strict=True):
+            k = tuple(batch[keys].iloc[a])
+            if k != key:
+                if held:
+                    yield key, np.concatenate(held)
+                key, held = k, []
+            held.append(us[a:b])
+    if held:
+        yield key, np.concatenate(held)
+
+
 def cooled(hits: DataFrame, keys: list[str], minutes: int, last: DataFrame | None = None) -> DataFrame:
     """Of each key's hits those at least ``minutes`` after the last one kept.
 
-    The fold runs over hits only, which Spark sorts by key and time. It holds the
-    last time kept and one batch, however many hits a key has. last: (keys, last_us),
+    A key's time is cut into blocks of ``_GAPS`` cooldowns, which are worked on apart. Which
+    hit a block keeps last depends only on which one it keeps first, and that is one of
+    its first cooldown or the next behind it; for these a block tells where they lead
+    to, in ranges that lead to the same. One pass over the ranges of a key gives what was
+    kept before each block, and each block then keeps its own. last: (keys, last_us),
     the hits kept before these.
     """
-    gap, names = minutes * 60_000_000, hits.columns
-    rows = hits.withColumn("last_us", F.lit(None).cast("long")) if last is None else hits.join(last, keys, "left")
+    gap, names, spread = minutes * 60_000_000, hits.columns, [*keys, "block"]
+    if gap <= 0:
+        return hits
+    key_fields = [hits.schema[k] for k in keys] + [StructField("block", LongType())]
+    # Both uses take all columns of these rows, so they are found and dealt out once.
+    base = hits.withColumn("block", F.floor(F.col("us") / F.lit(gap * _GAPS))).repartition(*spread).sortWithinPartitions(*spread, "us", "at")
+
+    def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for key, us in _groups(batches, spread):
+            n = len(us)
+            following = np.searchsorted(us, us + gap)
+            to = np.where(following < n, following, np.arange(n))
+            for _ in range(_GAPS.bit_length() + 1):  # a block keeps _GAPS + 1 at most
+                to = to[to]
+            first = min(n, int(np.searchsorted(us, key[-1] * gap * _GAPS + gap)) + 1)
+            leads = us[to[:first]]
+            stops = np.flatnonzero(np.append(leads[1:] != leads[:-1], True))
+            out = pd.DataFrame({"reach": us[stops], "lead": leads[stops]})
+            yield out.assign(**dict(zip(spread, key, strict=True)))[[*spread, "reach", "lead"]]
+
+    ranges = base.mapInPandas(ends, StructType([*key_fields, StructField("reach", LongType()), StructField("lead", LongType())]))
+    ranges = ranges.withColumn("last_us", F.lit(None).cast("long")) if last is None else ranges.join(last, keys, "left")
+
+    def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key = block = kept = None
+        taken = False
+        for batch in batches:
+            out, known = [], batch["last_us"].astype("Int64")
+            for i, (*k, at, reach, lead) in enumerate(zip(*(batch[c] for c in (*spread, "reach", "lead")), strict=True)):
+                if k != key:
+                    key, block, kept = k, None, None if pd.isna(known.iloc[i]) else int(known.iloc[i])
+                if at != block:
+                    block, taken = at, False
+                    out.append((*k, at, kept))
+                if not taken and (kept is None or reach >= kept + gap):
+                    kept, taken = lead, True
+            yield pd.DataFrame(out, columns=[*spread, "last_us"]).astype({"last_us": "Int64"})
+
+    before = ranges.repartition(*keys).sortWithinPartitions(*spread, "reach").mapInPandas(chain, StructType([*key_fields, StructField("last_us", LongType())]))
+    rows = base.join(before, spread)
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key = last = None
         for batch in batches:
-            kept, before = [], batch["last_us"].astype("Int64")
-            for i, (*k, us) in enumerate(zip(*(batch[c] for c in keys), batch["us"], strict=True)):
+            kept, known = [], batch["last_us"].astype("Int64")
+            for i, (*k, us) in enumerate(zip(*(batch[c] for c in spread), batch["us"], strict=True)):
                 if k != key:
-                    key, last = k, None if pd.isna(before.iloc[i]) else int(before.iloc[i])
+                    key, last = k, None if pd.isna(known.iloc[i]) else int(known.iloc[i])
                 if last is None or us - last >= gap:
                     last = us
                     kept.append(i)
             yield batch.iloc[kept][names]
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "us", "at").mapInPandas(fold, hits.schema)
+    return rows.sortWithinPartitions(*spread, "us", "at").mapInPandas(fold, hits.schema)
 
 
 @dataclass(frozen=True)
