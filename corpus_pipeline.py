@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir), works on all rows that the stage before
 kept and returns a DataFrame that is written as Parquet and read again as the next
 stage's docs. All but the last return the columns of documents.
+
+Edge cases: null and empty texts are scored as empty ones, are equal texts for the
+near-duplicate stage (the smallest doc_id of them stays), hold no personal data and
+pack as one end token; rows without a doc_id are no one's duplicates and all stay; of
+rows that share a doc_id the near-duplicate stage keeps one; very long texts go through
+every stage whole; further columns, whatever their names, come through all stages but
+the last; empty tables give no rows, and without labels nothing is toxic.
 """
 
 from __future__ import annotations
