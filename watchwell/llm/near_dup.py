@@ -21,11 +21,13 @@ with 1e-7; one at 0.3 meets with probability 0.09. Words changed here and there
 have both kinds, and those of at most ``TINY`` also 12 of a single pick.
 
 Before texts are compared, a pair must pass bounds that its nodes carry: the
-lengths, and a parity signature of ``BITS`` bits. Each shingle flips one bit, so
-two signatures differ in no more bits than shingles that only one text has, of
-which a pair with ``SHARED`` in common has 3 (n_a + n_b) / 7 at most. For short texts
-this never loses a pair; where the signature fills up, a pair goes only if it differs
-by six standard deviations more than it should (1e-9).
+lengths, and two parity signatures of ``BITS`` bits, of the shingles and of the words
+with the number of their occurrence. Each flips one bit, so two signatures differ in
+no more bits than shingles, or words, that only one text has. Of shingles, a pair with
+``SHARED`` in common has 3 (n_a + n_b) / 7 such at most; of words, w_a + w_b less twice
+0.8 of the longer text's. For short texts this never loses a pair; where a signature
+fills up, a pair goes only if it differs by six standard deviations more than it should
+(1e-9). Texts that share a long passage fail by their words.
 
 Large groups: equal texts are one node. First all members of each bucket are
 compared with one centre, the member that meets most others; so a group of near
@@ -73,6 +75,19 @@ _SEEDS = np.array([xxhash.xxh3_64_intdigest(b"s%d" % i) for i in range(64)], dty
 _A, _B = np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)
 
 
+def _labelled(s: np.ndarray) -> np.ndarray:
+    """Hashes with the number of their occurrence, so that no two are equal."""
+    ranked = np.sort(s)
+    if np.any(ranked[1:] == ranked[:-1]):
+        order = np.argsort(s, kind="stable")
+        ranked = s[order]
+        fresh = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+        nth = np.empty(len(s), dtype=np.uint64)
+        nth[order] = np.arange(len(s)) - np.repeat(fresh, np.diff(np.append(fresh, len(s))))
+        s = np.where(nth > 0, W.mix(s + nth), s)
+    return s
+
+
 def _shingles(h: np.ndarray) -> np.ndarray:
     """Hashes of the occurrence-labelled shingles of a text's word hashes, in text order."""
     if len(h) <= K:
@@ -81,20 +96,11 @@ def _shingles(h: np.ndarray) -> np.ndarray:
     s = h[:n] * _WEIGHTS[0]
     for j in range(1, K):
         s += h[j : n + j] * _WEIGHTS[j]
-    s = W.mix(s)
-    ranked = np.sort(s)
-    if np.any(ranked[1:] == ranked[:-1]):
-        order = np.argsort(s, kind="stable")
-        ranked = s[order]
-        fresh = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-        nth = np.empty(n, dtype=np.uint64)
-        nth[order] = np.arange(n) - np.repeat(fresh, np.diff(np.append(fresh, n)))
-        s = np.where(nth > 0, W.mix(s + nth), s)
-    return s
+    return _labelled(W.mix(s))
 
 
-def shingle_lists(texts: list[str]) -> Iterator[np.ndarray]:
-    """The shingles of every text."""
+def word_lists(texts: list[str]) -> Iterator[np.ndarray]:
+    """The word hashes of every text."""
     lower = [t.lower() for t in texts]
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in lower])])
     for a, b in W.slices(offsets, UNITS):
@@ -102,7 +108,12 @@ def shingle_lists(texts: list[str]) -> Iterator[np.ndarray]:
         starts, ends, first = W.spans(units, at, W.word_points())
         h = W.hashes(units, starts, ends)
         for i in range(b - a):
-            yield _shingles(h[first[i] : first[i + 1]])
+            yield h[first[i] : first[i + 1]]
+
+
+def shingle_lists(texts: list[str]) -> Iterator[np.ndarray]:
+    """The shingles of every text."""
+    return map(_shingles, word_lists(texts))
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -188,21 +199,23 @@ def similarity(a: np.ndarray, b: np.ndarray, threshold: float = 0.8) -> float:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, n, keys, bits) of docs (doc_id, text): text hash, shingles, sketch entries, signature."""
+    """(doc_id, h, n, w, keys, bits) of docs (doc_id, text): text hash, shingles, words, sketch entries, signatures of shingles and of words."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
             for a in range(0, len(whole), 256):
                 batch = whole.iloc[a : a + 256]
-                n, keys, bits = [], [], []
-                for s in shingle_lists(batch["text"].tolist()):
+                n, w, keys, bits = [], [], [], []
+                for words in word_lists(batch["text"].tolist()):
+                    s = _shingles(words)
                     n.append(len(s))
+                    w.append(len(words))
                     keys.append(sketch(s))
-                    bits.append(signature(s))
+                    bits.append(np.concatenate([signature(s), signature(_labelled(words))]))
                 h = [hashlib.md5(t.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest() for t in batch["text"]]
-                yield pd.DataFrame({"doc_id": batch["doc_id"], "h": h, "n": n, "keys": keys, "bits": bits})
+                yield pd.DataFrame({"doc_id": batch["doc_id"], "h": h, "n": n, "w": w, "keys": keys, "bits": bits})
 
-    return docs.mapInPandas(run, "doc_id long, h binary, n int, keys array<long>, bits array<long>")
+    return docs.mapInPandas(run, "doc_id long, h binary, n int, w int, keys array<long>, bits array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -225,12 +238,18 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 
 
 def possible(a: str, b: str, threshold: float) -> Column:
-    """Whether rows a and b (n, bits) can be similar, by their lengths and signatures."""
-    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    apart = sum((F.bit_count(F.col(f"{a}.bits")[i].bitwiseXOR(F.col(f"{b}.bits")[i])) for i in range(BITS // 64)), F.lit(0))
-    single = (n + m) * F.lit((1 - SHARED) / (1 + SHARED)) + F.lit(1e-6)
-    filled = F.lit(BITS / 2) * (F.lit(1.0) - F.pow(F.lit(1 - 2 / BITS), single)) + F.lit(6 * BITS**0.5 / 2)
-    return (F.least(n, m) + K - 1 >= (F.greatest(n, m) + K - 1) * F.lit(threshold) - F.lit(1e-6)) & (apart <= F.least(single, filled))
+    """Whether rows a and b (n, w, bits) can be similar, by their lengths and signatures."""
+    n, m, v, w = (F.col(f"{x}.{c}") for c in "nw" for x in (a, b))
+    words = BITS // 64
+
+    def fits(first: int, single: Column) -> Column:
+        """Whether signatures differ in no more bits than so many single members flip."""
+        apart = sum((F.bit_count(F.col(f"{a}.bits")[i].bitwiseXOR(F.col(f"{b}.bits")[i])) for i in range(first, first + words)), F.lit(0))
+        filled = F.lit(BITS / 2) * (F.lit(1.0) - F.pow(F.lit(1 - 2 / BITS), single)) + F.lit(6 * BITS**0.5 / 2)
+        return apart <= F.least(single, filled)
+
+    longer = F.greatest(v, w) * F.lit(threshold)
+    return (F.least(v, w) >= longer - F.lit(1e-6)) & fits(words, v + w - 2 * longer + F.lit(1e-6)) & fits(0, (n + m) * F.lit((1 - SHARED) / (1 + SHARED)) + F.lit(1e-6))
 
 
 def _starred(buckets: DataFrame, nodes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -242,9 +261,9 @@ def _starred(buckets: DataFrame, nodes: DataFrame, threshold: float) -> tuple[Da
     met = buckets.groupBy("node").agg(F.sum("size").alias("met"))
     centres = buckets.join(met, "node").groupBy("key").agg(F.max(F.struct("met", "node")).alias("c")).select("key", F.col("c.node").alias("centre"))
     both = stored(buckets.join(centres, "key"), "sketch-stars")
-    facts = nodes.select("node", "n", "bits")
+    facts = nodes.select("node", "n", "w", "bits")
     pairs = both.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    pairs = pairs.join(facts.select(F.col("node").alias("a"), F.struct("n", "bits").alias("x")), "a").join(facts.select(F.col("node").alias("b"), F.struct("n", "bits").alias("y")), "b")
+    pairs = pairs.join(facts.select(F.col("node").alias("a"), F.struct("n", "w", "bits").alias("x")), "a").join(facts.select(F.col("node").alias("b"), F.struct("n", "w", "bits").alias("y")), "b")
     return pairs.filter(possible("x", "y", threshold)).select("a", "b"), both.filter("node <> centre").drop("centre")
 
 
@@ -286,7 +305,7 @@ def classes(docs: DataFrame, threshold: float = 0.8, few_pairs: int = 64) -> Dat
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     known = whole.filter(F.col("doc_id").isNotNull())
     rows = stored(sketches(known), "sketches")
-    nodes = rows.groupBy("h").agg(F.min("doc_id").alias("doc"), *(F.first(c).alias(c) for c in ("n", "keys", "bits")))
+    nodes = rows.groupBy("h").agg(F.min("doc_id").alias("doc"), *(F.first(c).alias(c) for c in ("n", "w", "keys", "bits")))
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "sketch-nodes")
     buckets = nodes.select("node", F.explode("keys").alias("key"))
     shared = buckets.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
@@ -299,7 +318,7 @@ def classes(docs: DataFrame, threshold: float = 0.8, few_pairs: int = 64) -> Dat
     labels = components(near)
     mixed = _mixed(left, labels)
     own = mixed.groupBy("node").agg(F.array_sort(F.collect_list("key")).alias("keys"))
-    members = stored(mixed.join(own, "node").join(nodes.select("node", "n", "bits"), "node"), "sketch-mixed")
+    members = stored(mixed.join(own, "node").join(nodes.select("node", "n", "w", "bits"), "node"), "sketch-mixed")
     crossing, size = _crossing(members)
     centres = GROWTH
     while crossing:
