@@ -142,3 +142,14 @@ def test_held_out_gain_over_the_base(spark):
     tokens = sum(r.n_tokens for r in rows)
     assert tokens > 20_000
     assert sum(r.score - r.base_score for r in rows) / tokens > 0.1
+
+
+def test_many_trainers_are_summed_in_groups(spark):
+    """More trainers than the driver takes: their sums come in groups, each whole and numbered."""
+    rows = [(i, float(i + 1), bytearray(np.full(3, float(i)).tobytes())) for i in range(150)]
+    made = spark.createDataFrame(rows, "trainer long, n double, p binary").repartition(7)
+    found = {r.trainer: (r.n, np.frombuffer(bytes(r.p)).tolist()) for r in lm_score._summed(made, 4).collect()}
+    assert found == {g: (sum(i + 1.0 for i in range(150) if i % 4 == g), [float(sum(i for i in range(150) if i % 4 == g))] * 3) for g in range(4)}
+    docs = spark.createDataFrame([(i, f"a{i % 7} b{i % 5} c d") for i in range(1200)], "doc_id long, text string")
+    _, lex, model = lm_score.fit(docs, trainer_tokens=150, rounds=1)
+    assert lex.total == 6000 and np.isfinite(model.flat()).all()

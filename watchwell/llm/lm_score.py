@@ -194,10 +194,11 @@ def encoded(train: DataFrame, shared) -> DataFrame:
 
 
 def _summed(made: DataFrame, groups: int) -> DataFrame:
-    """(n, p) of rows (trainer, n, p) of weights and binary vectors: their sums, in so many groups."""
+    """(trainer, n, p) of rows (trainer, n, p) of weights and binary vectors: their sums, in so many groups, whose numbers stand for trainers."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        from pyspark import TaskContext
 
         n, total = 0.0, None
         for batch in batches:
@@ -205,9 +206,11 @@ def _summed(made: DataFrame, groups: int) -> DataFrame:
                 x = np.frombuffer(p)
                 n, total = n + own, x if total is None else total + x
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.tobytes()])], names=["n", "p"])
+            row = ([TaskContext.get().partitionId()], [n], [total.tobytes()])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in row], names=["trainer", "n", "p"])
 
-    return made.repartitionById(groups, F.col("trainer") % groups).sortWithinPartitions("trainer").mapInArrow(run, "n double, p binary")
+    dealt = made.repartitionById(groups, F.pmod("trainer", F.lit(groups)).cast("int"))
+    return dealt.sortWithinPartitions("trainer").mapInArrow(run, "trainer long, n double, p binary")
 
 
 def _averaged(texts: DataFrame, trainers: int, shared, model: gru.Model, rate: float, batch: int) -> np.ndarray:
@@ -232,7 +235,7 @@ def _averaged(texts: DataFrame, trainers: int, shared, model: gru.Model, rate: f
         made, groups = stored(made, "lm-trained"), trainers
         while groups > 16:  # sums of 64 at a time, so that neither a task nor the driver gets all
             groups = -(-groups // 64)
-            made = stored(_summed(made, groups).withColumn("trainer", F.monotonically_increasing_id()), "lm-sums")
+            made = stored(_summed(made, groups), "lm-sums")
     sums = [(r.n, np.frombuffer(bytes(r.p))) for r in made.select("n", "p").collect()]
     if not sums:
         return start
