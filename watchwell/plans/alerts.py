@@ -89,7 +89,7 @@ _JOB = (
 def history_job(spark, sf_dir):
     """A past range, analyzed and accepted; windows begin at the range's lookback."""
     events = consistent(spark, sf_dir)
-    kept = all_alerts(spark, sf_dir).limit(0).select("alert_id", F.lit("demo").alias("source_name"), "rule_id", "user_key", "client_ip_key", "last_seen")
+    kept = spark.createDataFrame([], "alert_id string, source_name string, rule_id string, user_key string, client_ip_key string, last_seen timestamp")
     known = baseline.context(trained(spark, sf_dir), CONFIG)
     done = store.analyze(events, kept, RULES, "2024-01-12 00:00:00", "2024-01-20 00:00:00", "demo", (known["users"], known["user_ips"], TRAINING_END))
     return done.select("alert_id", "rule_id", "severity", "outcome")
