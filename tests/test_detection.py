@@ -5,6 +5,8 @@ from collections import deque
 from dataclasses import replace
 from datetime import datetime, timedelta
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -183,3 +185,46 @@ def test_cooldown_of_a_busy_key_is_worked_on_in_blocks(spark):
             assert sorted(map(tuple, found.collect())) == want
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "ReusedExchange" in plan or "AdaptiveSparkPlan" in plan
+
+
+def test_small_blocks_are_searched_together(spark):
+    """What a task makes of its blocks is some tables, not one a block; the blocks come out as one by one."""
+    chance, gap = random.Random(3), 60_000_000
+    rows = [(f"u{k:04}", False, b * gap * 16 + at, at) for k in range(900) for b in (-2, 0, 1) for at in sorted(chance.sample(range(gap * 16), chance.choice([1, 2, 9])))]
+    frames = [pd.DataFrame(rows[i : i + 1000], columns=["user_key", "authorized", "us", "at"]) for i in range(0, len(rows), 1000)]
+    frames = [f.assign(block=f["us"] // (gap * 16)) for f in frames]
+    made = list(detect._groups(iter(frames), ["user_key", "authorized", "block"]))
+    assert len(made) <= 2 * len(frames)
+    got = [(*k, us) for keyed, sizes, times in made for k, us in zip(keyed.itertuples(index=False, name=None), np.split(times, np.cumsum(sizes)[:-1]), strict=True)]
+    want = {}
+    for u, auth, us, _ in rows:
+        want.setdefault((u, auth, us // (gap * 16)), []).append(us)
+    assert [(*k, us.tolist()) for *k, us in got] == [(*k, v) for k, v in want.items()]
+    hits = spark.createDataFrame(rows, "user_key string, authorized boolean, us long, at long")
+    for minutes in (1, 2):
+        kept, last = [], {}
+        for u, auth, us, at in rows:
+            if u not in last or us - last[u] >= minutes * gap:
+                last[u] = us
+                kept.append((u, auth, us, at))
+        assert sorted(map(tuple, detect.cooled(hits, ["user_key", "authorized"], minutes).collect())) == sorted(kept)
+
+
+def test_evidence_of_keys_that_batches_cut(spark):
+    """Windows of many keys, worked on together and cut by Arrow batches, hold what a plain scan finds; events are not paired with hits."""
+    chance = random.Random(4)
+    rows = [(f"e{i:04}" if i % 9 else "", START + timedelta(seconds=chance.randrange(3000), microseconds=i), "failure", f"u{chance.randrange(6)}", chance.choice(["", "a", "b"]), f"app{chance.randrange(11):02}", 1 + i % 2) for i in range(500)]
+    rules = replace(RuleSet(), brute_force=replace(RuleSet().brute_force, cooldown_minutes=0))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    found = detect.brute_force(frame(spark, rows), rules)
+    assert "Join Inner" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted((r.user_key, r.last_seen, r.first_seen, r.event_count, r.distinct_client_ips, r.client_ip_key, r.relying_parties, r.evidence_event_ids) for r in found.collect())
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = []
+    for _, t, _, u, *_ in rows:
+        near = sorted((r for r in rows if r[3] == u and t - timedelta(minutes=10) <= r[1] <= t), key=lambda r: (r[1], r[0]))
+        if sum(r[6] for r in near) >= 6:
+            ips = {r[4] for r in near} - {""}
+            apps, ids = sorted({r[5] for r in near})[:8], [r[0] for r in near if r[0]][:10]
+            want.append((u, t, near[0][1], sum(r[6] for r in near), len(ips), "".join(ips) if len(ips) == 1 else "", ";".join(apps), ";".join(ids)))
+    assert got == sorted(want)

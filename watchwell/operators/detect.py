@@ -16,14 +16,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, LongType, NumericType, StringType, StructField, StructType
 
 from watchwell.operators.rules import TEXTS, Exclusions, Rule, RuleSet
-from watchwell.sources.auth import day_start, local
+from watchwell.sources.auth import CLASSES, day_start, local
 
 _EPOCH_US = 1_577_836_800_000_000  # 2020-01-01
 #: Cooldowns of a block of time that is thinned by itself.
 _GAPS = 16
+#: Before any instant.
+_NONE = -(2**62)
 
 ALERT_COLUMNS = (
     "alert_id", "rule_id", "rule_name", "severity", "risk_score", "risk_factors", "status", "first_seen_local", "last_seen_local",
@@ -61,7 +63,7 @@ def sliced(events: DataFrame, keys: list[str], minutes: int) -> DataFrame:
 
     ``at`` counts the events of a key and slice in the order of (time, id), then of a
     hash of the row, so that it is the same wherever it is computed. The trailing window
-    of an event holds those up to its ``at`` that are ``recent``.
+    of an event holds those up to its ``at`` from the window's edge on, the edge included.
     """
     us = F.unix_micros("ts") - F.lit(_EPOCH_US)
     own = F.floor(us / F.lit(minutes * 60_000_000))
@@ -70,11 +72,6 @@ def sliced(events: DataFrame, keys: list[str], minutes: int) -> DataFrame:
     return twice.withColumn("at", F.row_number().over(Window.partitionBy(*keys, "slice").orderBy("us", "event_id", F.xxhash64(*events.columns))).cast("long"))
 
 
-def recent(minutes: int) -> Column:
-    """Whether an event (e_us, e_at) is in the trailing window of one at (us, at), its edge included."""
-    return (F.col("e_at") <= F.col("at")) & (F.col("e_us") >= F.col("us") - minutes * 60_000_000)
-
-
 def trailing_sum(value: Column, keys: list[str], minutes: int) -> Column:
     """The sum over the trailing window: all up to an event, less all before its window."""
     part = Window.partitionBy(*keys, "slice")
@@ -101,21 +98,26 @@ def trailing_distinct(rows: DataFrame, keys: list[str], value: str, minutes: int
     return stepped.withColumn(name, count).filter("_event").drop("_t", "_event", "_step")
 
 
-def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, np.ndarray]]:
-    """(key, times) of each key of sorted rows; of a key only the times are held."""
-    key, held = None, []
+def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
+    """(keys, sizes, times) of many whole keys of sorted rows at a time; of a key that goes on only the times are held."""
+    last, held = None, []
     for batch in batches:
-        changes = np.flatnonzero((batch[keys] != batch[keys].shift()).any(axis=1).to_numpy())
-        us = batch["us"].to_numpy()
-        for a, b in zip(changes, [*changes[1:], len(batch)], strict=True):
-            k = tuple(batch[keys].iloc[a])
-            if k != key:
-                if held:
-                    yield key, np.concatenate(held)
-                key, held = k, []
-            held.append(us[a:b])
-    if held:
-        yield key, np.concatenate(held)
+        rows, us = batch[keys], batch["us"].to_numpy()
+        if not len(us):
+            continue
+        begins = np.flatnonzero((rows != rows.shift()).any(axis=1).to_numpy())
+        if last is not None and tuple(rows.iloc[0]) == tuple(last.iloc[0]):
+            held.append(us[: begins[1] if len(begins) > 1 else len(us)])
+            begins = begins[1:]
+        if not len(begins):
+            continue
+        if last is not None:
+            yield last, np.array([sum(map(len, held))]), np.concatenate(held)
+        if len(begins) > 1:
+            yield rows.iloc[begins[:-1]], np.diff(begins), us[begins[0] : begins[-1]]
+        last, held = rows.iloc[begins[-1:]], [us[begins[-1] :]]
+    if last is not None:
+        yield last, np.array([sum(map(len, held))]), np.concatenate(held)
 
 
 def cooled(hits: DataFrame, keys: list[str], minutes: int, last: DataFrame | None = None) -> DataFrame:
@@ -136,17 +138,27 @@ def cooled(hits: DataFrame, keys: list[str], minutes: int, last: DataFrame | Non
     base = hits.withColumn("block", F.floor(F.col("us") / F.lit(gap * _GAPS))).repartition(*spread).sortWithinPartitions(*spread, "us", "at")
 
     def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for key, us in _groups(batches, spread):
-            n = len(us)
-            following = np.searchsorted(us, us + gap)
-            to = np.where(following < n, following, np.arange(n))
-            for _ in range(_GAPS.bit_length() + 1):  # a block keeps _GAPS + 1 at most
-                to = to[to]
-            first = min(n, int(np.searchsorted(us, key[-1] * gap * _GAPS + gap)) + 1)
-            leads = us[to[:first]]
-            stops = np.flatnonzero(np.append(leads[1:] != leads[:-1], True))
-            out = pd.DataFrame({"reach": us[stops], "lead": leads[stops]})
-            yield out.assign(**dict(zip(spread, key, strict=True)))[[*spread, "reach", "lead"]]
+        # Blocks lie side by side on one line, a cooldown and more apart, so that they are searched together.
+        length = gap * _GAPS
+        stride, most = length + gap + 1, max(1, 2**62 // (length + gap + 1))
+        for keyed, sizes, times in _groups(batches, spread):
+            stops_at = np.cumsum(sizes)
+            for g in range(0, len(sizes), most):
+                some, size = keyed.iloc[g : g + most], sizes[g : g + most]
+                us = times[stops_at[g] - size[0] : stops_at[g + len(size) - 1]]
+                n, of, nth = len(us), np.repeat(np.arange(len(size)), size), np.arange(len(size)) * stride
+                starts = np.cumsum(size) - size
+                line = us - some["block"].to_numpy()[of] * length + nth[of]
+                following = np.searchsorted(line, line + gap)
+                to = np.where(following < (starts + size)[of], following, np.arange(n))
+                for _ in range(_GAPS.bit_length() + 1):  # a block keeps _GAPS + 1 at most
+                    to = to[to]
+                first = np.minimum(starts + size, np.searchsorted(line, nth + gap) + 1)
+                entries = np.flatnonzero(np.arange(n) < first[of])
+                leads, own = us[to[entries]], of[entries]
+                stops = np.flatnonzero(np.append((leads[1:] != leads[:-1]) | (own[1:] != own[:-1]), True))
+                out = some.iloc[own[stops]].reset_index(drop=True)
+                yield out.assign(reach=us[entries[stops]], lead=leads[stops])
 
     ranges = base.mapInPandas(ends, StructType([*key_fields, StructField("reach", LongType()), StructField("lead", LongType())]))
     ranges = ranges.withColumn("last_us", F.lit(None).cast("long")) if last is None else ranges.join(last, keys, "left")
@@ -167,21 +179,24 @@ def cooled(hits: DataFrame, keys: list[str], minutes: int, last: DataFrame | Non
             yield pd.DataFrame(out, columns=[*spread, "last_us"]).astype({"last_us": "Int64"})
 
     before = ranges.repartition(*keys).sortWithinPartitions(*spread, "reach").mapInPandas(chain, StructType([*key_fields, StructField("last_us", LongType())]))
-    rows = base.join(before, spread)
+    # A block's hits follow the row that tells what was kept before it; columns that only hits have are filled.
+    filled = [(F.lit(0) if isinstance(f.dataType, NumericType | BooleanType) else F.lit(None)).cast(f.dataType).alias(f.name) for f in hits.schema if f.name not in (*keys, "us")]
+    heads = before.select(*keys, "block", F.coalesce("last_us", F.lit(_NONE)).alias("us"), F.lit(False).alias("_hit"), *filled)
+    rows = base.withColumn("_hit", F.lit(True)).unionByName(heads).repartition(*spread)
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key = last = None
+        last = _NONE
         for batch in batches:
-            kept, known = [], batch["last_us"].astype("Int64")
-            for i, (*k, us) in enumerate(zip(*(batch[c] for c in spread), batch["us"], strict=True)):
-                if k != key:
-                    key, last = k, None if pd.isna(known.iloc[i]) else int(known.iloc[i])
-                if last is None or us - last >= gap:
+            kept = []
+            for i, (hit, us) in enumerate(zip(batch["_hit"].tolist(), batch["us"].tolist(), strict=True)):
+                if not hit:
+                    last = us
+                elif us - last >= gap:
                     last = us
                     kept.append(i)
             yield batch.iloc[kept][names]
 
-    return rows.sortWithinPartitions(*spread, "us", "at").mapInPandas(fold, hits.schema)
+    return rows.sortWithinPartitions(*spread, "_hit", "us", "at").mapInPandas(fold, hits.schema)
 
 
 @dataclass(frozen=True)
@@ -234,39 +249,83 @@ def iso_local(ts: Column, zone: str) -> Column:
     return F.concat(F.date_format(wall, "yyyy-MM-dd'T'HH:mm:ss"), fraction, offset)
 
 
+def _told(rows: pd.DataFrame, keys: list[str], span: int, failures_only: bool) -> pd.DataFrame:
+    """What the windows of the hits hold, of all events of some keys and slices in order."""
+    us, weight, kind = rows["us"].to_numpy(), rows["weight"].to_numpy(), rows["event_class"].to_numpy()
+    # Keys and slices lie side by side on one line, more than a window apart, so that they are searched together.
+    spread = rows[[*keys, "slice"]]
+    nth = np.cumsum((spread != spread.shift()).any(axis=1).to_numpy())
+    line = us - (rows["slice"].to_numpy() - 1) * span + nth * (3 * span + 1)
+    at = np.flatnonzero(rows["_hit"].to_numpy(dtype=bool))
+    used = np.flatnonzero(kind == "failure") if failures_only else np.arange(len(rows))
+    lo, hi = np.searchsorted(used, np.searchsorted(line, line[at] - span)), np.searchsorted(used, at)
+    out = rows.iloc[at].copy()
+    own = np.append(used, 0)[np.minimum(lo, len(used))]
+    out["first_us"] = us[np.where(hi > lo, own, at)]
+    for name, of in (("event_count", np.ones(len(rows), dtype=bool)), *((f"{k}_count", kind == k) for k in CLASSES)):
+        part = np.where(of, weight, 0)
+        sums = np.concatenate([[0], np.cumsum(part[used])])
+        out[name] = sums[hi] - sums[lo] + part[at]
+    inside = [np.append(used[a:b], i) for a, b, i in zip(lo, hi, at, strict=True)]
+    for c in ("user_key", "client_ip_key"):
+        names, codes = np.unique(rows[c].fillna("").to_numpy(dtype=str), return_inverse=True)
+        found = [codes[at[i : i + 1]] if c in keys else np.unique(codes[x]) for i, x in enumerate(inside)]
+        found = [x[names[x] != ""] for x in found]
+        out[f"n_{c}s"], out[f"a_{c}"] = [len(x) for x in found], [str(names[x[-1]]) if len(x) else None for x in found]
+    names, codes = np.unique(rows["relying_party"].fillna("").to_numpy(dtype=str), return_inverse=True)
+    out["apps"] = pd.Series([[str(n) for n in names[np.unique(codes[x])] if n][:8] for x in inside], index=out.index, dtype=object)
+    ids = rows["event_id"].fillna("").to_numpy(dtype=object)
+    named = ids != ""
+    out["ids"] = pd.Series([ids[x[named[x]][:10]].tolist() for x in inside], index=out.index, dtype=object)
+    return out
+
+
+def _gathered(hits: DataFrame, evidence: DataFrame, keys: list[str], minutes: int, failures_only: bool) -> DataFrame:
+    """hits with counts, users, addresses, first ten ids and first eight services of their windows (and, of failures_only, themselves).
+
+    A task reads the events of a key and slice once, in order, and tells of each hit what
+    its window holds: no rows of hits times events are made, and no more is held than the
+    events of one key in two windows.
+    """
+    spread, own = [*keys, "slice"], [c for c in hits.columns if c not in (*keys, "slice", "at", "us")]
+    columns = [*dict.fromkeys([*spread, "at", "us", "event_id", "event_class", "weight", "user_key", "client_ip_key", "relying_party"])]
+    marked = evidence.select(*columns).join(hits.select(*spread, "at", *own, F.lit(True).alias("_hit")), [*spread, "at"], "left")
+    marked = marked.withColumns({"_hit": F.coalesce("_hit", F.lit(False)), **{c: F.coalesce(c, F.lit(0)).cast(hits.schema[c].dataType) for c in own}})
+    marked = marked.withColumn("_any", F.max("_hit").over(Window.partitionBy(*spread))).filter("_any").drop("_any")
+
+    def tell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            begins = np.flatnonzero((batch[spread] != batch[spread].shift()).any(axis=1).to_numpy())
+            cut = int(begins[-1])  # the last key may go on
+            if held and (cut or tuple(batch[spread].iloc[0]) != tuple(held[-1][spread].iloc[-1])):
+                yield _told(pd.concat([*held, batch.iloc[:cut]], ignore_index=True), keys, minutes * 60_000_000, failures_only)[names]
+                held = []
+            elif cut:
+                yield _told(batch.iloc[:cut].reset_index(drop=True), keys, minutes * 60_000_000, failures_only)[names]
+            held.append(batch.iloc[cut:])
+        if held:
+            yield _told(pd.concat(held, ignore_index=True), keys, minutes * 60_000_000, failures_only)[names]
+
+    long, text = LongType(), StringType()
+    fields = [*(hits.schema[c] for c in keys), *(StructField(c, long) for c in ("slice", "at", "us")), *(hits.schema[c] for c in own)]
+    fields += [StructField(c, long) for c in ("first_us", "event_count", *(f"{k}_count" for k in CLASSES), "n_user_keys", "n_client_ip_keys")]
+    fields += [StructField("a_user_key", text), StructField("a_client_ip_key", text), StructField("apps", ArrayType(text)), StructField("ids", ArrayType(text))]
+    names = [f.name for f in fields]
+    told = marked.sortWithinPartitions(*spread, "at").mapInPandas(tell, StructType(fields))
+    instant = lambda c: F.timestamp_micros(F.col(c) + F.lit(_EPOCH_US))
+    return told.withColumns({"first_seen": instant("first_us"), "last_seen": instant("us")})
+
+
 def alerts(hits: DataFrame, evidence: DataFrame, keys: list[str], rules: RuleSet, rule: Rule, extra: list[tuple[str, Column]], more_limit: int = 0) -> DataFrame:
     """Alert records (ALERT_COLUMNS, first_seen, last_seen) of kept hits.
 
     hits: keys, slice, at, us, lim (threshold), and what ``extra`` reads. evidence:
     sliced events; a hit's are those of its key and slice in the window.
     """
-    e = evidence.select(*keys, "slice", F.col("at").alias("e_at"), F.col("us").alias("e_us"), "ts", "event_id", "event_class", F.col("weight"), *(c for c in ("user_key", "client_ip_key", "relying_party") if c not in keys))
-    near = hits.join(e, [*keys, "slice"]).filter(recent(rule.window_minutes))
-    if rule.rule_id == "AUTH_SUCCESS_AFTER_FAILURES":  # the failures and this success
-        near = near.filter((F.col("event_class") == "failure") | (F.col("e_at") == F.col("at")))
-    # Of ids the first ten and of services the first eight in order are kept; users and addresses are counted.
-    of_hit = Window.partitionBy(*keys, "slice", "at")
-    ranks = {"nth_id": F.row_number().over(of_hit.orderBy(F.coalesce(F.col("event_id"), F.lit("")) == "", "e_at")), "nth_app": F.dense_rank().over(of_hit.orderBy(F.coalesce(F.col("relying_party"), F.lit("")) == "", "relying_party"))}
-    near = near.withColumns(ranks)
-    own = [c for c in hits.columns if c not in (*keys, "slice", "at")]
-    of = lambda name: F.coalesce(F.sum(F.when(F.col("event_class") == name, F.col("weight"))), F.lit(0)).cast("long")
-    named = lambda c: F.when(F.col(c) != "", F.col(c))
-    grouped = near.groupBy(*keys, "slice", "at").agg(
-        *(F.first(c).alias(c) for c in own),
-        F.min("ts").alias("first_seen"),
-        F.max("ts").alias("last_seen"),
-        F.sum("weight").cast("long").alias("event_count"),
-        of("success").alias("success_count"),
-        of("failure").alias("failure_count"),
-        of("lockout").alias("lockout_count"),
-        of("other").alias("other_count"),
-        F.count_distinct(named("user_key")).alias("n_user_keys"),
-        F.max(named("user_key")).alias("a_user_key"),
-        F.count_distinct(named("client_ip_key")).alias("n_client_ip_keys"),
-        F.max(named("client_ip_key")).alias("a_client_ip_key"),
-        F.sort_array(F.collect_set(F.when(F.col("nth_app") <= 8, named("relying_party")))).alias("apps"),
-        F.transform(F.array_sort(F.collect_list(F.when((F.col("nth_id") <= 10) & (F.col("event_id") != ""), F.struct("e_at", "event_id")))), lambda x: x["event_id"]).alias("ids"),
-    )
+    grouped = _gathered(hits, evidence, keys, rule.window_minutes, rule.rule_id == "AUTH_SUCCESS_AFTER_FAILURES")
     factors = risk_factors(rules, rule, F.col("event_count"), F.col("lim") + more_limit, extra)
     rows = grouped.withColumn("factors", factors)
     rows = rows.withColumn("score", risk_score(F.col("factors")))
