@@ -159,3 +159,28 @@ def test_counts_around_alerts_equal_all_pairs(spark):
                 want.append((i, ip, len(near), sum(e[5] for e in near), of("failure"), of("success"), of("lockout"), len({e[3] for e in near} - {""})))
         columns = ["alert_id", "client_ip_key", "records", "events", "failures", "successes", "lockouts", "distinct_users"]
         assert sorted(tuple(r) for r in found.select(columns).collect()) == sorted(want)
+
+
+def test_newest_around_alerts_equal_all_pairs(spark):
+    """Windows of minutes and of weeks, ties in time, equal rows; ranges of distinct names; no join of alerts with events."""
+    import random
+    from datetime import datetime, timedelta
+
+    from watchwell.operators import around, reports
+
+    chance, start = random.Random(8), datetime(2026, 3, 21, 10)
+    at = lambda: start + timedelta(minutes=chance.choice([0, 1, 60, 479, 480, 481, 700, 4000, 9000, 40000]))
+    events = [(f"e{i % 150}", at(), chance.choice(["success", "failure"]), chance.choice(["", "a", "b", None]), chance.choice(["x", "x", "y", ""]), 1, chance.random() < 0.9) for i in range(200)]
+    events += events[:40]
+    alerts = [(f"a{i}", *sorted((at(), at())), chance.choice(["x", "y", "z", ""])) for i in range(25)]
+    given = spark.createDataFrame(events, "event_id string, ts timestamp, event_class string, user_key string, client_ip_key string, weight long, is_consistent boolean")
+    asked = spark.createDataFrame(alerts, "alert_id string, first_seen timestamp, last_seen timestamp, client_ip_key string")
+    near = {i: [e for e in events if e[6] and ip and e[4] == ip and lo - timedelta(minutes=60) <= e[1] <= hi + timedelta(minutes=30)] for i, lo, hi, ip in alerts}
+    for once in (False, True):
+        found = around.newest(around.windows(asked, "client_ip_key", 60, 30), given.filter("is_consistent"), "client_ip_key", 6, once)
+        want = [(i, n + 1, e[0], e[1]) for i, rows in near.items() for n, e in enumerate(sorted(set(rows) if once else rows, key=lambda e: (start - e[1], e[0]))[:6])]
+        assert sorted((r.alert_id, r.nth, r.event_id, r.ts) for r in found.collect()) == sorted(want)
+    found = reports.entity_counts(asked, given, "client_ip_key", 60, 30)
+    assert {r.alert_id: (r.records, r.distinct_users) for r in found.collect()} == {i: (len(rows), len({e[3] for e in rows} - {"", None})) for i, rows in near.items() if rows}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == plan.count("Join LeftSemi") + 1  # of events with the few levels, and with the slices that are asked for

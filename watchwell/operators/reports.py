@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from watchwell.operators import around
 from watchwell.operators.baseline import share
 from watchwell.operators.browse import latest_runs
 from watchwell.sources.auth import CLASSES, ZONE, local
@@ -109,45 +110,20 @@ def near(alerts: DataFrame, events: DataFrame, key: str, before: int, after: int
 
 def entity_events(alerts: DataFrame, events: DataFrame, key: str, before: int, after: int, most: int) -> DataFrame:
     """The newest events around each alert."""
-    nth = F.row_number().over(Window.partitionBy("alert_id").orderBy(F.desc("ts"), "event_id"))
-    return near(alerts, events, key, before, after).withColumn("nth", nth).filter(F.col("nth") <= most)
+    return around.newest(around.windows(alerts, key, before, after), events.filter("is_consistent"), key, most)
 
 
 def entity_counts(alerts: DataFrame, events: DataFrame, key: str, before: int, after: int) -> DataFrame:
     """Counts of the events around each alert.
 
-    Sums of a window are running sums at its end less those at its beginning: the
-    sums inside an hour, with the ends as rows between the events, and those of the
-    hours before. So an alert is two rows, however many events are around it. Users
-    are counted from their first and last events in each slot of time, no longer than
-    the padding (before + after minutes, 1 at least): no window begins and ends in one.
+    An alert is one row among the events of its key, however many are around it; its
+    users are those whose last event before lies before its window.
     """
-    if before + after < 1:
-        raise ValueError("a window needs a minute of padding")
-    hour, slot = 3_600_000_000, min(60, before + after) * 60_000_000
-    of = lambda k: F.when(F.col("event_class") == k, F.col("weight")).otherwise(0).cast("long")
-    measures = {"records": F.lit(1).cast("long"), "events": F.col("weight").cast("long"), "failures": of("failure"), "successes": of("success"), "lockouts": of("lockout")}
+    of = lambda k: F.when(F.col("event_class") == k, F.col("weight")).otherwise(0)
+    measures = {"records": F.lit(1), "events": F.col("weight"), "failures": of("failure"), "successes": of("success"), "lockouts": of("lockout")}
     known = events.filter(F.col("is_consistent") & (F.col(key) != "")).withColumn("us", F.unix_micros("ts"))
-    lo, hi = F.unix_micros("first_seen") - before * 60_000_000, F.unix_micros("last_seen") + after * 60_000_000
-    spans = alerts.filter(F.col(key) != "").select("alert_id", key, lo.alias("lo"), hi.alias("hi"))
-
-    # side: a beginning stands before the events of its instant, an end behind them.
-    rows = known.select(key, "us", F.lit(1).alias("side"), F.lit(None).cast("string").alias("alert_id"), *(m.alias(n) for n, m in measures.items()))
-    two = F.array(F.struct(F.col("lo").alias("us"), F.lit(0).alias("side")), F.struct(F.col("hi").alias("us"), F.lit(2).alias("side")))
-    ends = spans.select("alert_id", key, F.inline(two)).select(key, "us", "side", "alert_id", *(F.lit(0).cast("long").alias(n) for n in measures))
-    points = rows.unionByName(ends).withColumn("h", F.floor(F.col("us") / hour))
-    inside = Window.partitionBy(key, "h").orderBy("us", "side").rowsBetween(Window.unboundedPreceding, 0)
-    at_ends = points.withColumns({n: F.sum(n).over(inside) for n in measures}).filter("side <> 1")
-    hours = points.groupBy(key, "h").agg(*(F.sum(n).alias(n) for n in measures))
-    past = Window.partitionBy(key).orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = hours.select(key, "h", *(F.coalesce(F.sum(n).over(past), F.lit(0)).alias(f"{n}_before") for n in measures))
-    sign = F.col("side") - 1
-    sums = at_ends.join(earlier, [key, "h"]).groupBy("alert_id", key).agg(*(F.sum(sign * (F.col(n) + F.col(f"{n}_before"))).cast("long").alias(n) for n in measures)).filter("records > 0")
-
-    of_slot = known.groupBy(key, F.floor(F.col("us") / slot).alias("slot"), F.nullif(F.col("user_key"), F.lit("")).alias("user")).agg(F.min("us").alias("first"), F.max("us").alias("last"))
-    slots = spans.withColumn("slot", F.explode(F.sequence(F.floor(F.col("lo") / slot), F.floor(F.col("hi") / slot))))
-    users = slots.join(of_slot, [key, "slot"]).filter("last >= lo AND first <= hi").groupBy("alert_id", key).agg(F.count_distinct("user").alias("distinct_users"))
-    return sums.join(users, ["alert_id", key])
+    found = around.counted(around.windows(alerts, key, before, after), known, key, measures, "user_key")
+    return found.groupBy("alert_id", key).agg(*(F.sum(n).alias(n) for n in measures), F.max("n_distinct").alias("distinct_users"))
 
 
 def success_after_failure(around: DataFrame) -> DataFrame:
