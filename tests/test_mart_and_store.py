@@ -184,3 +184,32 @@ def test_newest_around_alerts_equal_all_pairs(spark):
     assert {r.alert_id: (r.records, r.distinct_users) for r in found.collect()} == {i: (len(rows), len({e[3] for e in rows} - {"", None})) for i, rows in near.items() if rows}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == plan.count("Join LeftSemi") + 1  # of events with the few levels, and with the slices that are asked for
+
+
+def test_context_equals_all_pairs(spark):
+    """Busy addresses, equal rows, evidence inside and outside of the newest; windows of addresses are cut before they meet the alert."""
+    import random
+    from datetime import datetime, timedelta
+
+    from watchwell.operators import reports
+
+    chance, start = random.Random(5), datetime(2026, 3, 21, 10)
+    at = lambda: start + timedelta(minutes=chance.choice([0, 1, 2, 60, 90, 480, 500, 1400]))
+    events = [(f"e{i:03}", at(), chance.choice(["success", "failure"]), chance.choice(["", "a", "b", "c"]), chance.choice(["x", "x", "x", "y", "z", ""]), 1, True) for i in range(120)]
+    alerts = [(f"a{i:02}", *sorted((at(), at())), chance.choice(["a", "b", ""]), chance.choice(["x", "y", ""]), ";".join(e[0] for e in chance.sample(events, 3))) for i in range(20)]
+    given = spark.createDataFrame(events + events[:30], "event_id string, ts timestamp, event_class string, user_key string, client_ip_key string, weight long, is_consistent boolean")
+    asked = spark.createDataFrame(alerts, "alert_id string, first_seen timestamp, last_seen timestamp, user_key string, client_ip_key string, evidence_event_ids string")
+    want = []
+    for i, lo, hi, user, ip, ids in alerts:
+        named = [e for e in events if e[0] in ids.split(";")]
+        ips = [x for x in (ip, *sorted({e[4] for e in named} - {ip})) if x]
+        near = [e for e in events if lo - timedelta(minutes=60) <= e[1] <= hi + timedelta(minutes=30) and ((user and e[3] == user) or e[4] in ips[:2])]
+        found = sorted(named, key=lambda e: (start - e[1], e[0])) + sorted(set(near) - set(named), key=lambda e: (start - e[1], e[0]))
+        kept = found[:8]
+        after = [e[0] for e in kept if e[2] == "success" and e[3] and e[4] and any(y[2] == "failure" and y[3:5] == e[3:5] and (y[1], y[0]) < (e[1], e[0]) for y in kept)]
+        others = {e[3] for e in kept if e[4] in ips[:2]} - {"", user}
+        want.append((i, len(kept), ";".join(sorted(after)), ";".join(sorted(others)), len(ips), len(found) > 8 or len(ips) > 2))
+    found = reports.context(asked, given, 60, 30, 8, 2)
+    assert sorted(tuple(r) for r in found.collect()) == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert " <= hi#" not in plan  # no range of instants is a condition of a join

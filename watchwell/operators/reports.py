@@ -9,8 +9,11 @@ from watchwell.operators import around
 from watchwell.operators.baseline import share
 from watchwell.operators.browse import latest_runs
 from watchwell.sources.auth import CLASSES, ZONE, local
+from watchwell.sources.tables import stored
 
 CLOSED = ("resolved", "false_positive")
+#: Alerts whose context a task puts together: each has up to a few hundred rows.
+_ALERTS_OF_TASK = 10_000
 
 
 def _seconds(later: Column, earlier: Column) -> Column:
@@ -140,33 +143,37 @@ def context(alerts: DataFrame, events: DataFrame, before: int, after: int, most:
     Evidence comes first, then the newest events of the user and of up to
     ``addresses`` addresses (the alert's own, then by key).
     """
-    anchors = evidence(alerts, events).select("alert_id", "event_id", "ts", "event_class", "user_key", "client_ip_key")
-    own = alerts.filter("client_ip_key <> ''").select("alert_id", "client_ip_key", F.lit(0).alias("o"))
-    more = anchors.filter("client_ip_key <> ''").select("alert_id", "client_ip_key", F.lit(1).alias("o"))
-    ips = own.unionByName(more).groupBy("alert_id", "client_ip_key").agg(F.min("o").alias("o"))
-    rank = F.row_number().over(Window.partitionBy("alert_id").orderBy("o", "client_ip_key"))
-    ips = ips.withColumn("nth", rank)
-    used = ips.filter(F.col("nth") <= addresses).select("alert_id", "client_ip_key")
-    spans = alerts.select("alert_id", "first_seen", "last_seen")
     fields = ["alert_id", "event_id", "ts", "event_class", "user_key", "client_ip_key"]
-    by_user = near(alerts, events, "user_key", before, after).select(*fields)
-    by_ip = near(used.join(spans, "alert_id"), events, "client_ip_key", before, after).select(*fields)
-    rows = anchors.select(*fields, F.lit(0).alias("p")).unionByName(by_user.unionByName(by_ip).withColumn("p", F.lit(1)))
-    rows = rows.groupBy(*fields).agg(F.min("p").alias("p"))
-    w = Window.partitionBy("alert_id")
-    rows = rows.withColumn("nth", F.row_number().over(w.orderBy("p", F.desc("ts"), "event_id")))
-    whole = rows.groupBy("alert_id").agg(F.count("*").alias("found"))
-    kept = rows.filter(F.col("nth") <= most)
-    after_failure = success_after_failure(kept).groupBy("alert_id").agg(F.array_join(F.array_sort(F.collect_list("event_id")), ";").alias("success_after_failure_ids"))
-    user = alerts.select("alert_id", F.col("user_key").alias("own_user"))
-    others = kept.join(used, ["alert_id", "client_ip_key"], "left_semi").join(user, "alert_id").filter((F.col("user_key") != "") & (F.col("user_key") != F.col("own_user")))
-    others = others.groupBy("alert_id").agg(F.array_join(F.array_sort(F.collect_set("user_key")), ";").alias("other_users"))
-    n_ips = ips.groupBy("alert_id").agg(F.count("*").alias("addresses"))
-    out = alerts.select("alert_id").join(kept.groupBy("alert_id").agg(F.count("*").alias("events")), "alert_id", "left")
-    for df in (whole, after_failure, others, n_ips):
-        out = out.join(df, "alert_id", "left")
-    out = out.fillna(0, ["events", "found", "addresses"]).fillna("", ["success_after_failure_ids", "other_users"])
-    return out.select("alert_id", "events", "success_after_failure_ids", "other_users", "addresses", ((F.col("found") > most) | (F.col("addresses") > addresses)).alias("truncated"))
+    anchors = stored(evidence(alerts, events).select(*fields), "context-anchors")
+    of_anchors = anchors.groupBy("alert_id").agg(F.array_sort(F.collect_set(F.nullif(F.col("client_ip_key"), F.lit("")))).alias("named"))
+    own = F.filter(F.array("client_ip_key"), lambda x: x != "")
+    ips = F.concat(own, F.array_except(F.coalesce("named", F.array().cast("array<string>")), own))
+    asked = alerts.join(of_anchors, "alert_id", "left").withColumn("ips", ips)
+    asked = asked.select("alert_id", "first_seen", "last_seen", "user_key", F.slice("ips", 1, addresses).alias("used"), F.size("ips").cast("long").alias("addresses"))
+    # More than ``most`` of one user or address can't be kept, and one more shows the cut.
+    known = events.filter("is_consistent").select(*fields[1:])
+    of_user = around.windows(asked, "user_key", before, after)
+    of_ip = around.windows(asked.withColumn("client_ip_key", F.explode("used")), "client_ip_key", before, after)
+    by_user, by_ip = (around.newest(x, known, k, most + 1, once=True).select(*fields) for x, k in ((of_user, "user_key"), (of_ip, "client_ip_key")))
+    rows = anchors.withColumn("p", F.lit(0)).unionByName(by_user.unionByName(by_ip).withColumn("p", F.lit(1)))
+    # An alert's rows are dealt out once, for all that follows, to tasks of so many alerts.
+    rows = rows.repartition(-(-alerts.count() // _ALERTS_OF_TASK) or 1, "alert_id").groupBy(*fields).agg(F.min("p").alias("p"))
+    nth = F.row_number().over(Window.partitionBy("alert_id").orderBy("p", F.desc("ts"), "event_id"))
+    listed = rows.withColumn("nth", nth).filter(F.col("nth") <= most + 1).groupBy("alert_id").agg(F.collect_list(F.struct("nth", *fields[1:])).alias("found"))
+    kept = F.filter("found", lambda x: x["nth"] <= most)
+    same = lambda x, y: (x["user_key"] == y["user_key"]) & (x["client_ip_key"] == y["client_ip_key"])
+    failed = lambda x: F.exists("kept", lambda y: same(x, y) & (y["event_class"] == "failure") & (F.struct(y["ts"], y["event_id"]) < F.struct(x["ts"], x["event_id"])))
+    after_failure = F.filter("kept", lambda x: (x["event_class"] == "success") & (x["user_key"] != "") & (x["client_ip_key"] != "") & failed(x))
+    others = F.filter("kept", lambda x: F.array_contains("used", x["client_ip_key"]) & (x["user_key"] != "") & (x["user_key"] != F.col("own_user")))
+    text = lambda a: F.coalesce(F.array_join(F.array_sort(a), ";"), F.lit(""))
+    return asked.withColumnRenamed("user_key", "own_user").join(listed.withColumn("kept", kept), "alert_id", "left").select(
+        "alert_id",
+        F.coalesce(F.size("kept"), F.lit(0)).cast("long").alias("events"),
+        text(F.transform(after_failure, lambda x: x["event_id"])).alias("success_after_failure_ids"),
+        text(F.array_distinct(F.transform(others, lambda x: x["user_key"]))).alias("other_users"),
+        "addresses",
+        ((F.coalesce(F.size("found"), F.lit(0)) > most) | (F.col("addresses") > addresses)).alias("truncated"),
+    )
 
 
 def totals(events: DataFrame) -> DataFrame:
