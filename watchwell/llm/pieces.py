@@ -118,6 +118,7 @@ class Pieces:
         """
         shown = text.replace(SPACE, "\0").replace(" ", SPACE)  # \0 has no piece
         beginnings, longest, n, low = self._beginnings, self.longest, len(shown), -math.inf
+        ranked, beside = self.ranked, self._beside
         done, best, back = 0, [0.0], [(0, -1)]  # of positions from done on; back: start of the last piece, and its id or -1
 
         def path(stop: int) -> list[int]:
@@ -135,26 +136,24 @@ class Pieces:
             if k + 1 == len(best):
                 best.append(low)
                 back.append((0, -1))
-            c, last, ranked = shown[start], back[k][1], self.ranked
-            spelled = so_far + BYTE_SCORE * (3 if c == "\0" and text[start] == SPACE else len(c.encode("utf-8", "replace")))
-            if ranked and c in beginnings and beginnings[c] is not None:
-                spelled = low  # a character with a piece is never spelled
-            if spelled > best[k + 1]:
-                best[k + 1], back[k + 1] = spelled, (start, -1)
+            c, last = shown[start], back[k][1]
+            if not ranked or beginnings.get(c) is None:  # else a character with a piece is never spelled
+                spelled = so_far + BYTE_SCORE * (3 if c == "\0" and text[start] == SPACE else len(c.encode("utf-8", "replace")))
+                if spelled > best[k + 1]:
+                    best[k + 1], back[k + 1] = spelled, (start, -1)
             for end in range(start + 1, min(n, start + longest) + 1):
                 hit = beginnings.get(shown[start:end], 0)
                 if hit == 0:  # no piece begins so
                     break
                 if hit is not None:
-                    if ranked and not self._may_follow(last, hit[1]):
-                        continue
                     e = end - done
                     while e >= len(best):
                         best.append(low)
                         back.append((0, -1))
                     # Of equal sums the first start, that is the longer last piece, stays; a piece is never worse than its bytes.
                     score = so_far + (0.0 if ranked else hit[0])
-                    if score > best[e] or (back[e][1] < 0 and score == best[e]):
+                    # Only a piece that would change something is asked whether it may stand there.
+                    if (score > best[e] or (back[e][1] < 0 and score == best[e])) and (not ranked or last < 0 or beside.get((last, hit[1])) or self._may_follow(last, hit[1])):
                         best[e], back[e] = score, (start, hit[1])
             if k >= check and k % check == 0:
                 # Each path to come passes one of the positions that are reached beyond start.
