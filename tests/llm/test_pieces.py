@@ -121,3 +121,11 @@ def test_frames(spark, model):
     assert [r.back for r in got] == ["some text", "", "", ""]
     assert got[0].ids == model.encode("some text").tolist()
     assert encode(df.limit(0), PATH).collect() == []
+
+
+def test_few_pieces_are_asked_for(model, monkeypatch):
+    """A piece is asked whether it may follow only where its place has no path that is as good."""
+    monkeypatch.setattr(model, "_beside", {})
+    ids = [i for part in model.stream(" international") for i in part]
+    assert model.decode(np.array(ids)) == "international"
+    assert len(model._beside) <= len(" international")  # 45 if all that fit are asked
