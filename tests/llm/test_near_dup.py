@@ -182,3 +182,24 @@ def test_hashes_and_bounds():
         x, y = (near_dup.shingles(" ".join(t)) for t in (a, b))
         bits = sum(int(v).bit_count() for v in (near_dup.signature(x) ^ near_dup.signature(y)).view(np.uint64))
         assert bits <= len(set(x.tolist()) ^ set(y.tolist()))
+
+
+def test_texts_around_a_passage_are_not_paired(spark, monkeypatch):
+    """A passage of 0.76 of each text, the same few words beside it: pairs pass the bounds on words, but no text is covered."""
+    rng, made, turn = random.Random(2), [], near_dup._turn
+    passage, few = [f"p{i}" for i in range(312)], [f"w{i}" for i in range(20)]
+    texts = [[*passage, *(rng.choice(few) for _ in range(100))] for _ in range(60)]
+    # Linked to text 7 by way of one between them, and two that only their covers tell apart.
+    texts += [[*texts[7][:350], "new", *texts[7][350:]], [*texts[7][:350], "new", *texts[7][350:], *passage[:30]], [*passage, *texts[9][312:350], *texts[3][312:350]]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+
+    def counted(*given):
+        pairs, left = turn(*given)
+        made.append(pairs.count())
+        return pairs, left
+
+    monkeypatch.setattr(near_dup, "_turn", counted)
+    got = {r.doc_id: r.class_id for r in near_dup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute_classes(rows)
+    assert got == want and len(set(want.values())) < len(rows)
+    assert sum(made) < 200  # of 1,953

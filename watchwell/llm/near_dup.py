@@ -29,6 +29,13 @@ no more bits than shingles, or words, that only one text has. Of shingles, a pai
 fills up, a pair goes only if it differs by six standard deviations more than it should
 (1e-9). Texts that share a long passage fail by their words.
 
+Members of buckets that hold several components must also pass a bound of their
+own before they are paired: the words that are covered by shingles which a member
+of another component has too. A link aligns no others, so a text of which less than
+0.8 is covered has no link, and a pair has none if the smaller cover is less than 0.8
+of the longer text. So texts around one passage that are too long for it go one by
+one, in rows that grow with the texts and not with their pairs.
+
 Large groups: equal texts are one node. First all members of each bucket are
 compared with one centre, the member that meets most others; so a group of near
 copies of one text grows together. Then, in turns, buckets that still hold several
@@ -53,7 +60,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from watchwell.llm import words as W
@@ -282,6 +289,26 @@ def _crossing(members: DataFrame) -> tuple[int, int]:
     return int(sums.pairs), int(sums.members)
 
 
+def _covered(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Those members (node, label, n) that can have a link into another component, with ``cover``: their words in shingles that other components have too."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in batches:
+            for at in range(0, len(whole), 32):
+                batch = whole.iloc[at : at + 32]
+                lists = list(shingle_lists(batch["text"].tolist()))
+                sizes = [len(s) for s in lists]
+                yield pd.DataFrame({"node": np.repeat(batch["node"].to_numpy(), sizes), "label": np.repeat(batch["label"].to_numpy(), sizes), "at": np.concatenate([np.arange(n, dtype=np.int32) for n in sizes]), "shingle": np.concatenate(lists).view(np.int64)})
+
+    labelled = members.select("node", "label").distinct()
+    placed = stored(texts.join(labelled, "node").mapInPandas(run, "node long, label long, at int, shingle long"), "sketch-shingles")
+    abroad = placed.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("shingle")
+    behind = F.lead("at").over(Window.partitionBy("node").orderBy("at")) - F.col("at")
+    new = placed.select("node", "at", "shingle").join(abroad, "shingle").select("node", F.least(F.lit(K), F.coalesce(behind, F.lit(K))).alias("new"))
+    cover = new.groupBy("node").agg(F.sum("new").alias("cover"))
+    return members.join(cover, "node").filter(F.col("cover") >= (F.col("n") + F.lit(K - 1)) * F.lit(threshold) - F.lit(1e-6))
+
+
 def _turn(members: DataFrame, centres: int, threshold: float) -> tuple[DataFrame, DataFrame]:
     """Pairs of about so many centres of each bucket with its other members, where they can be similar, and the buckets without those centres.
 
@@ -291,7 +318,8 @@ def _turn(members: DataFrame, centres: int, threshold: float) -> tuple[DataFrame
     a, b = members.filter("central").alias("a"), members.alias("b")
     once = F.element_at(F.array_intersect("a.keys", "b.keys"), 1) == F.col("a.key")
     apart = (F.col("a.label") != F.col("b.label")) & (~F.col("b.central") | (F.col("a.node") < F.col("b.node")))
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & apart & possible("a", "b", threshold) & once)
+    covered = F.least("a.cover", "b.cover") >= (F.greatest("a.n", "b.n") + F.lit(K - 1)) * F.lit(threshold) - F.lit(1e-6)
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & apart & covered & possible("a", "b", threshold) & once)
     return pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")), members.filter(~F.col("central")).drop("central")
 
 
@@ -320,6 +348,9 @@ def classes(docs: DataFrame, threshold: float = 0.8, few_pairs: int = 64) -> Dat
     own = mixed.groupBy("node").agg(F.array_sort(F.collect_list("key")).alias("keys"))
     members = stored(mixed.join(own, "node").join(nodes.select("node", "n", "w", "bits"), "node"), "sketch-mixed")
     crossing, size = _crossing(members)
+    if crossing:
+        members = stored(_covered(members, texts, threshold), "sketch-covered")
+        crossing, size = _crossing(members)
     centres = GROWTH
     while crossing:
         last = crossing <= few_pairs * size
