@@ -301,10 +301,12 @@ def _covered(members: DataFrame, texts: DataFrame, threshold: float) -> DataFram
                 yield pd.DataFrame({"node": np.repeat(batch["node"].to_numpy(), sizes), "label": np.repeat(batch["label"].to_numpy(), sizes), "at": np.concatenate([np.arange(n, dtype=np.int32) for n in sizes]), "shingle": np.concatenate(lists).view(np.int64)})
 
     labelled = members.select("node", "label").distinct()
-    placed = stored(texts.join(labelled, "node").mapInPandas(run, "node long, label long, at int, shingle long"), "sketch-shingles")
-    abroad = placed.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("shingle")
+    placed = texts.join(labelled, "node").mapInPandas(run, "node long, label long, at int, shingle long")
+    # Windows: a shingle that many texts have is spilled, not held, and no rows are made of it and its texts.
+    of_shingle = Window.partitionBy("shingle")
+    abroad = placed.withColumns({"low": F.min("label").over(of_shingle), "high": F.max("label").over(of_shingle)}).filter("low <> high").select("node", "at")
     behind = F.lead("at").over(Window.partitionBy("node").orderBy("at")) - F.col("at")
-    new = placed.select("node", "at", "shingle").join(abroad, "shingle").select("node", F.least(F.lit(K), F.coalesce(behind, F.lit(K))).alias("new"))
+    new = abroad.select("node", F.least(F.lit(K), F.coalesce(behind, F.lit(K))).alias("new"))
     cover = new.groupBy("node").agg(F.sum("new").alias("cover"))
     return members.join(cover, "node").filter(F.col("cover") >= (F.col("n") + F.lit(K - 1)) * F.lit(threshold) - F.lit(1e-6))
 
