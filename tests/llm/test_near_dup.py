@@ -203,3 +203,42 @@ def test_texts_around_a_passage_are_not_paired(spark, monkeypatch):
     want = brute_classes(rows)
     assert got == want and len(set(want.values())) < len(rows)
     assert sum(made) < 200  # of 1,953
+
+
+def test_shingles_of_near_copies_are_laid_out_once(spark, monkeypatch):
+    """Covers are those of brute force, and neither copies nor a common passage make a row for each shingle of each text."""
+    rng = random.Random(4)
+    base, passage, few = ([f"{c}{i}" for i in range(300)] for c in "bpf")
+    texts = [base[:i] + ["new"] + base[i:] for i in range(1, 300, 6)]
+    texts += [[*passage, *(rng.choice(few) for _ in range(60))] for _ in range(30)]
+    texts += [["two", "words"], base[:4], few[:5], few[:6], base[50:120], [*base[10:60], *passage[40:90], *base[9:14]], ["same"] * 40, ["same"] * 70]
+    labels = [0] * 50 + list(range(50, len(texts)))
+    lists = [near_dup.shingles(" ".join(t)) for t in texts]
+    holders = {}
+    for s, label in zip(lists, labels, strict=True):
+        for x in s.tolist():
+            holders.setdefault(x, set()).add(label)
+    want = {}
+    for node, s in enumerate(lists):
+        at = [i for i, x in enumerate(s.tolist()) if len(holders[x]) > 1]
+        if at:
+            want[node] = near_dup.K + int(np.minimum(near_dup.K, np.diff(at)).sum())
+    members = spark.createDataFrame([(i, 1, labels[i], len(s)) for i, s in enumerate(lists)], "node long, key long, label long, n int")
+    given = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "node long, text string")
+    made, kind = spark.sparkContext.accumulator(0), type(given)
+    plain = kind.mapInPandas
+
+    def counted(frame, run, *rest):
+        def again(batches):
+            for batch in run(batches):
+                made.add(len(batch))
+                yield batch
+
+        return plain(frame, again, *rest)
+
+    monkeypatch.setattr(kind, "mapInPandas", counted)
+    got = {r.node: r.cover for r in near_dup._covered(members, given, 0.0).collect()}
+    assert got == want
+    whole = sum(map(len, lists))
+    assert 0 < made.value < whole / 4  # before: all of them
+    assert near_dup._placed(near_dup._stretched(members, given)).count() < whole / 2

@@ -34,7 +34,11 @@ own before they are paired: the words that are covered by shingles which a membe
 of another component has too. A link aligns no others, so a text of which less than
 0.8 is covered has no link, and a pair has none if the smaller cover is less than 0.8
 of the longer text. So texts around one passage that are too long for it go one by
-one, in rows that grow with the texts and not with their pairs.
+one, in rows that grow with the texts and not with their pairs. For this, texts are cut
+into stretches of about ``STRETCH`` shingles where a shingle's hash says so: a passage
+is cut alike in all texts, and of equal stretches only one is laid out in shingles. That
+makes a row for each stretch of a text and a row for each shingle of different
+stretches, at most.
 
 Large groups: equal texts are one node. First all members of each bucket are
 compared with one centre, the member that meets most others; so a group of near
@@ -75,6 +79,8 @@ SHORT, LONG, SHORT_SKETCHES, SHORT_PICK = 24, 19, 24, 3
 #: Texts of up to so many shingles have entries of one pick too.
 TINY, TINY_SKETCHES = 6, 12
 BITS, GROWTH = 1024, 64
+#: Shingles of a stretch, about.
+STRETCH = 16
 #: Code points that are worked on in one go.
 UNITS = 1 << 17
 _WEIGHTS = np.array([int(xxhash.xxh3_64_intdigest(b"w%d" % i)) | 1 for i in range(K)], dtype=np.uint64)
@@ -289,24 +295,48 @@ def _crossing(members: DataFrame) -> tuple[int, int]:
     return int(sums.pairs), int(sums.members)
 
 
-def _covered(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Those members (node, label, n) that can have a link into another component, with ``cover``: their words in shingles that other components have too."""
+def _stretches(s: np.ndarray) -> np.ndarray:
+    """Where the stretches of a text's shingles begin, and the end: cut by the shingles alone, so equal passages are cut alike."""
+    return np.unique(np.concatenate([[0], np.flatnonzero(s % np.uint64(STRETCH) == 0), [len(s)]]))
+
+
+def _stretched(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, label, at, stretch, shingles) of all stretches of the members' texts; at: the first one's place in the text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
             for at in range(0, len(whole), 32):
                 batch = whole.iloc[at : at + 32]
                 lists = list(shingle_lists(batch["text"].tolist()))
-                sizes = [len(s) for s in lists]
-                yield pd.DataFrame({"node": np.repeat(batch["node"].to_numpy(), sizes), "label": np.repeat(batch["label"].to_numpy(), sizes), "at": np.concatenate([np.arange(n, dtype=np.int32) for n in sizes]), "shingle": np.concatenate(lists).view(np.int64)})
+                cuts = [_stretches(s) for s in lists]
+                sizes = [len(c) - 1 for c in cuts]
+                parts = [s[i:j] for s, c in zip(lists, cuts, strict=True) for i, j in zip(c[:-1], c[1:], strict=True)]
+                names = [xxhash.xxh3_128_digest(x.tobytes()) for x in parts]
+                yield pd.DataFrame({"node": np.repeat(batch["node"].to_numpy(), sizes), "label": np.repeat(batch["label"].to_numpy(), sizes), "at": np.concatenate([c[:-1] for c in cuts]), "stretch": names, "shingles": [x.view(np.int64) for x in parts]})
 
     labelled = members.select("node", "label").distinct()
-    placed = texts.join(labelled, "node").mapInPandas(run, "node long, label long, at int, shingle long")
-    # Windows: a shingle that many texts have is spilled, not held, and no rows are made of it and its texts.
+    return texts.join(labelled, "node").mapInPandas(run, "node long, label long, at int, stretch binary, shingles array<long>")
+
+
+def _placed(stretches: DataFrame) -> DataFrame:
+    """(stretch, low, high, at, shingle) of each different stretch, a row a shingle, with its smallest and largest label."""
+    once = stretches.groupBy("stretch").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.first("shingles").alias("shingles"))
+    return once.select("stretch", "low", "high", F.posexplode("shingles").alias("at", "shingle"))
+
+
+def _covered(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Those members (node, label, n) that can have a link into another component, with ``cover``: their words in shingles that other components have too."""
+    stretches = stored(_stretched(members, texts), "sketch-stretches")
+    # Windows: a shingle that many stretches have is spilled, not held, and no rows are made of it and its stretches.
     of_shingle = Window.partitionBy("shingle")
-    abroad = placed.withColumns({"low": F.min("label").over(of_shingle), "high": F.max("label").over(of_shingle)}).filter("low <> high").select("node", "at")
-    behind = F.lead("at").over(Window.partitionBy("node").orderBy("at")) - F.col("at")
-    new = abroad.select("node", F.least(F.lit(K), F.coalesce(behind, F.lit(K))).alias("new"))
+    abroad = _placed(stretches).withColumns({"least": F.min("low").over(of_shingle), "most": F.max("high").over(of_shingle)}).filter("least <> most").select("stretch", "at")
+    behind = F.lead("at").over(Window.partitionBy("stretch").orderBy("at")) - F.col("at")
+    # Of the last shingle of a stretch the next stretch of a text tells how many words are new.
+    steps = abroad.select("stretch", "at", F.when(behind.isNull(), 0).otherwise(F.least(F.lit(K), behind)).alias("new"))
+    inside = steps.groupBy("stretch").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.sum("new").alias("inner"))
+    of_text = stretches.select("node", "at", "stretch").join(inside, "stretch").select("node", (F.col("at") + F.col("first")).alias("first"), (F.col("at") + F.col("last")).alias("last"), "inner")
+    behind = F.lead("first").over(Window.partitionBy("node").orderBy("first")) - F.col("last")
+    new = of_text.select("node", (F.col("inner") + F.least(F.lit(K), F.coalesce(behind, F.lit(K)))).alias("new"))
     cover = new.groupBy("node").agg(F.sum("new").alias("cover"))
     return members.join(cover, "node").filter(F.col("cover") >= (F.col("n") + F.lit(K - 1)) * F.lit(threshold) - F.lit(1e-6))
 
