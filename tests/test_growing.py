@@ -45,3 +45,21 @@ def test_range_by_range_equals_one_run_and_reads_only_what_it_needs(spark, tmp_p
     table.add(spark.read.parquet(folder).filter("ts >= '2026-03-22 19:00:00'"), BOUNDS[2], BOUNDS[3], BOUNDS[1])
     assert plain(table.alerts(spark)) == plain(whole(rows + late))
     assert spark.read.parquet(f"{tmp_path}/alerts/last").count() > 0
+
+
+def test_a_last_hit_inside_the_first_block_holds_into_the_next(spark):
+    """The hit kept before a range may lie in the block of the range's first hits, a cooldown and more after the block's begin."""
+    gap, block = 60_000_000, 16 * 60_000_000
+    rows, last = [("a", True, int(2.1 * gap), 0), ("a", True, int(15.5 * gap), 1), ("a", True, block + gap // 6, 2)], [("a", True, 2 * gap)]
+    for i in range(40):
+        chance = random.Random(i)
+        begin = chance.randrange(block)
+        rows += [(f"u{i:02}", True, begin + t, n) for n, t in enumerate(sorted(chance.sample(range(3 * block), 30)))]
+        last.append((f"u{i:02}", True, begin - chance.randrange(gap)))
+    hits, known = spark.createDataFrame(rows, "user_key string, authorized boolean, us long, at long"), spark.createDataFrame(last, "user_key string, authorized boolean, last_us long")
+    want, kept = [], {k: us for k, _, us in last}
+    for k, auth, us, n in rows:
+        if us - kept[k] >= gap:
+            kept[k] = us
+            want.append((k, auth, us, n))
+    assert sorted(map(tuple, detect.cooled(hits, ["user_key", "authorized"], 1, known).collect())) == want

@@ -125,8 +125,9 @@ def cooled(hits: DataFrame, keys: list[str], minutes: int, last: DataFrame | Non
 
     A key's time is cut into blocks of ``_GAPS`` cooldowns, which are worked on apart. Which
     hit a block keeps last depends only on which one it keeps first, and that is one of
-    its first cooldown or the next behind it; for these a block tells where they lead
-    to, in ranges that lead to the same. One pass over the ranges of a key gives what was
+    the cooldown from its first hit on or the next behind it, wherever in the block the
+    one kept before lies; for these a block tells where they lead to, in ranges that
+    lead to the same. One pass over the ranges of a key gives what was
     kept before each block, and each block then keeps its own. last: (keys, last_us),
     the hits kept before these.
     """
@@ -153,7 +154,7 @@ def cooled(hits: DataFrame, keys: list[str], minutes: int, last: DataFrame | Non
                 to = np.where(following < (starts + size)[of], following, np.arange(n))
                 for _ in range(_GAPS.bit_length() + 1):  # a block keeps _GAPS + 1 at most
                     to = to[to]
-                first = np.minimum(starts + size, np.searchsorted(line, nth + gap) + 1)
+                first = np.minimum(starts + size, np.searchsorted(line, line[starts] + gap) + 1)
                 entries = np.flatnonzero(np.arange(n) < first[of])
                 leads, own = us[to[entries]], of[entries]
                 stops = np.flatnonzero(np.append((leads[1:] != leads[:-1]) | (own[1:] != own[:-1]), True))
