@@ -1,4 +1,5 @@
 import random
+import sys
 
 import duckdb
 import numpy as np
@@ -129,3 +130,17 @@ def test_few_pieces_are_asked_for(model, monkeypatch):
     ids = [i for part in model.stream(" international") for i in part]
     assert model.decode(np.array(ids)) == "international"
     assert len(model._beside) <= len(" international")  # 45 if all that fit are asked
+
+
+def test_few_lookups_a_character(model):
+    """The pieces that end at a character come from one lookup, not from one for each place where a piece may end."""
+    words = [" international", " understanding", " representations", " thertionat,", " enthaltenden", " the.\nThereafter"]
+    encoded = [[i for part in model.stream(w) for i in part] for w in words]
+    seen = []
+    sys.setprofile(lambda frame, event, called: seen.append(called.__name__) if event == "c_call" else None)
+    try:
+        again = [[i for part in model.stream(w) for i in part] for w in words]
+    finally:
+        sys.setprofile(None)
+    assert again == encoded
+    assert seen.count("get") < 4 * sum(map(len, words))

@@ -2,7 +2,7 @@
 
 The vocabulary and its scores come from a model file; the text is split into the
 pieces whose scores have the greatest sum. One search gives all ids. It goes once
-through the text and looks no further ahead than the longest piece; it keeps scores
+through the text and looks no further back than the longest piece; it keeps scores
 and backpointers from the last committed boundary on, and whenever all surviving
 paths run through one boundary, the ids before it are committed and forgotten.
 Where no piece can contain a space after its beginning, the beginning of each word
@@ -79,8 +79,8 @@ class Pieces:
             self.raw[i] = name.replace(SPACE, " ").encode()
         for byte, i in self.bytes.items():
             self.raw[i] = bytes([byte])
-        self._beginnings: dict[str, tuple[float, int] | None] = {p[:k]: None for p in pieces for k in range(1, len(p))}
-        self._beginnings |= pieces
+        self._beginnings = {p[:k] for p in pieces for k in range(1, len(p) + 1)}
+        self._endings: dict[str, tuple[tuple[int, int, float], ...]] = {"": ()}
         self.by_word = not any(SPACE in p.lstrip(SPACE) for p in pieces)
         self._known = W.Memory(np.dtype("<u4"))
 
@@ -90,12 +90,15 @@ class Pieces:
 
     def _merged(self, text: str) -> list[str]:
         """What a short text is merged to, by the lowest rank and from the left."""
-        parts = list(text)
-        while len(parts) > 1:
-            best, at = max((self.pieces.get(parts[k] + parts[k + 1], (-math.inf,))[0], -k) for k in range(len(parts) - 1))
-            if best == -math.inf:
-                break
-            parts[-at : 2 - at] = [parts[-at] + parts[1 - at]]
+        parts, none = list(text), (-math.inf,)
+        ranks = [self.pieces.get(a + b, none)[0] for a, b in zip(parts, parts[1:], strict=False)]
+        while ranks and (best := max(ranks)) > -math.inf:
+            at = ranks.index(best)
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del ranks[at]
+            for k in (at - 1, at):  # only the new part's neighbours change
+                if 0 <= k < len(ranks):
+                    ranks[k] = self.pieces.get(parts[k] + parts[k + 1], none)[0]
         return parts
 
     def _may_follow(self, left: int, right: int) -> bool:
@@ -110,64 +113,76 @@ class Pieces:
             known = self._beside[left, right] = self._merged(a + b) == [a, b]
         return known
 
+    def _ending(self, text: str) -> tuple[tuple[int, int, float], ...]:
+        """Size, id and score (ranked: 0) of all pieces that a beginning of a piece ends with, the longest first."""
+        found = ((len(text) - k, self.pieces.get(text[k:])) for k in range(len(text)))
+        return tuple((size, hit[1], 0.0 if self.ranked else hit[0]) for size, hit in found if hit)
+
     def stream(self, text: str, check: int = 64) -> Iterator[list[int]]:
         """Lists of ids, each committed as soon as all surviving paths agree on it.
 
         text: with spaces as they are; a U+2581 in it is spelled in bytes. Held are the
-        scores of positions from the last commit to the longest piece ahead.
+        scores of positions from the last commit on. The pieces that end at a character
+        are those that the longest beginning of a piece which ends there ends with; they
+        are listed once for each beginning.
         """
         shown = text.replace(SPACE, "\0").replace(" ", SPACE)  # \0 has no piece
-        beginnings, longest, n, low = self._beginnings, self.longest, len(shown), -math.inf
+        pieces, beginnings, endings, longest, low = self.pieces, self._beginnings, self._endings, self.longest, -math.inf
         ranked, beside = self.ranked, self._beside
-        done, best, back = 0, [0.0], [(0, -1)]  # of positions from done on; back: start of the last piece, and its id or -1
+        done, best, back, last = 0, [0.0], [0], [-1]  # of positions from done on; back, last: start of the last piece, and its id or -1
+        behind = ""  # the longest beginning of a piece that ends here
 
         def path(stop: int) -> list[int]:
             out: list[int] = []
             at = stop
             while at > done:
-                start, i = back[at - done]
+                start, i = back[at - done], last[at - done]
                 out += [i] if i >= 0 else reversed(self._spelled(SPACE if shown[start] == "\0" and text[start] == SPACE else shown[start]))
                 at = start
             return out[::-1]
 
-        for start in range(n):
-            k = start - done
-            so_far = best[k]
-            if k + 1 == len(best):
-                best.append(low)
-                back.append((0, -1))
-            c, last = shown[start], back[k][1]
-            if not ranked or beginnings.get(c) is None:  # else a character with a piece is never spelled
-                spelled = so_far + BYTE_SCORE * (3 if c == "\0" and text[start] == SPACE else len(c.encode("utf-8", "replace")))
-                if spelled > best[k + 1]:
-                    best[k + 1], back[k + 1] = spelled, (start, -1)
-            for end in range(start + 1, min(n, start + longest) + 1):
-                hit = beginnings.get(shown[start:end], 0)
-                if hit == 0:  # no piece begins so
+        for start, c in enumerate(shown):
+            behind += c
+            while (found := endings.get(behind)) is None:
+                if behind in beginnings:
+                    found = endings[behind] = self._ending(behind)
+                    break
+                behind = behind[1:]
+            k = start + 1 - done
+            top, first, piece = low, start, -1
+            # Of equal sums the first start, that is the longer last piece, stays; a piece is never worse than its bytes.
+            for size, i, value in found:
+                at = k - size
+                if at < 0 or (score := best[at] + value) <= top:
+                    continue
+                # Only a piece that would change something is asked whether it may stand there.
+                if ranked and (left := last[at]) >= 0:
+                    fits = beside.get((left, i))
+                    if not (self._may_follow(left, i) if fits is None else fits):
+                        continue
+                top, first, piece = score, start + 1 - size, i
+                if ranked and top == 0.0:  # no sum of ranked pieces is greater
                     break
-                if hit is not None:
-                    e = end - done
-                    while e >= len(best):
-                        best.append(low)
-                        back.append((0, -1))
-                    # Of equal sums the first start, that is the longer last piece, stays; a piece is never worse than its bytes.
-                    score = so_far + (0.0 if ranked else hit[0])
-                    # Only a piece that would change something is asked whether it may stand there.
-                    if (score > best[e] or (back[e][1] < 0 and score == best[e])) and (not ranked or last < 0 or beside.get((last, hit[1])) or self._may_follow(last, hit[1])):
-                        best[e], back[e] = score, (start, hit[1])
+            if not ranked or (top < 0.0 and c not in pieces):  # there a character with a piece is never spelled
+                spelled = best[k - 1] + BYTE_SCORE * (3 if c == "\0" and text[start] == SPACE else len(c.encode("utf-8", "replace")))
+                if spelled > top:
+                    top, first, piece = spelled, start, -1
+            best.append(top)
+            back.append(first)
+            last.append(piece)
             if k >= check and k % check == 0:
-                # Each path to come passes one of the positions that are reached beyond start.
-                live = {start + 1 + i for i, x in enumerate(best[k + 1 :]) if x > low}
+                # Each path to come passes one of the last positions that are reached.
+                live = {p for p in range(max(0, k + 1 - longest), k + 1) if best[p] > low}
                 while len(live) > 1:  # step back from the latest until all paths meet
                     p = max(live)
                     live.remove(p)
-                    live.add(back[p - done][0] if p > done else done)
+                    live.add(back[p] - done)
                 (meet,) = live
-                if done < meet <= start:
-                    yield path(meet)
-                    best, back, done = best[meet - done :], back[meet - done :], meet
-        if n > done:
-            yield path(n)
+                if meet:
+                    yield path(done + meet)
+                    best, back, last, done = best[meet:], back[meet:], last[meet:], done + meet
+        if len(shown) > done:
+            yield path(len(shown))
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids (uint32) of a text, by one search over all of it."""
